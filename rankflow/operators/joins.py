@@ -67,8 +67,12 @@ def enrich(src: DataFrame, table: DataFrame, key: str = "track_id", value_col: s
 
 def lookup_by_content(probe: DataFrame, table: DataFrame, title: str = "title", artist: str = "artist",
                       table_key: str = "track_id", out_key: str = "lookup_key") -> DataFrame:
-    """Derive the content key on the probe side and look it up."""
-    keys = table.select(F.col(table_key).alias("_hit_key")).where(F.col("_hit_key").isNotNull())
+    """Derive the content key on the probe side and look it up.
+
+    The key set is de-duplicated with a partial aggregate whose output is
+    already hash-partitioned on the key, so the join reuses that exchange and
+    a probe row never fans out."""
+    keys = table.select(F.col(table_key).alias("_hit_key")).where(F.col("_hit_key").isNotNull()).distinct()
     p = probe.withColumn(out_key, content_key(artist, title))
     return (p.join(keys, F.col(out_key) == F.col("_hit_key"), "left")
              .withColumn("found", F.col("_hit_key").isNotNull())

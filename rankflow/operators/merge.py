@@ -39,8 +39,8 @@ def insert_with_defaults(df: DataFrame, as_of, default_source: str = "beatport",
     """Rows shaped as tracks, with created_at = updated_at = as_of,
     ``source`` defaulting to ``beatport`` and empty strings dropped (NULL).
 
-    The id is content-derived (SHA-256 of the row's JSON) unless ``id_col`` is
-    given, so a rerun writes the same ids.
+    The id is the content key of (artist, title) unless ``id_col`` is given,
+    so a rerun writes the same ids and later lookups by content find them.
     """
     ts = F.lit(as_of).cast("timestamp")
     cols = []
@@ -57,12 +57,10 @@ def insert_with_defaults(df: DataFrame, as_of, default_source: str = "beatport",
             c = F.when(c == "", F.lit(None).cast("string")).otherwise(c)
         cols.append(c.alias(name))
     body = df.select(*cols)
-    ident = (F.col(id_col) if id_col else
-             F.sha2(F.to_json(F.struct(*[F.col(n) for n, _ in TRACK_SCHEMA if n not in ("track_id", "created_at", "updated_at")])), 256))
     if id_col:
         body = df.select(F.col(id_col).alias("track_id"), *cols)
     else:
-        body = body.withColumn("track_id", ident)
+        body = body.withColumn("track_id", content_key("artist", "title"))
     return body.select(*[n for n, _ in TRACK_SCHEMA])
 
 
@@ -100,7 +98,8 @@ def patch_report(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
 
 def upsert_if_missing(base: DataFrame, hits: DataFrame, key: str = "track_id",
                       fill: dict[str, str] | None = None, as_of=None, insert_cols: dict[str, str] | None = None,
-                      insert_source: str = "ytmusic", order_col: str | None = None) -> DataFrame:
+                      insert_source: str = "ytmusic", order_col: str | None = None,
+                      guard_falsy: bool = False) -> DataFrame:
     """Conditional upsert in one full outer join.
 
     * key in base, fill attribute absent (NULL) -> set fill columns, ``updated``
@@ -110,7 +109,8 @@ def upsert_if_missing(base: DataFrame, hits: DataFrame, key: str = "track_id",
 
     ``fill`` maps table column -> hit column; ``insert_cols`` adds the extra
     table columns an insert sets.  Several hits on one key behave as if applied
-    in ``order_col`` order: the first one decides.
+    in ``order_col`` order: the first one decides.  ``guard_falsy`` also
+    treats '' as missing (O39's rule).
     """
     fill = fill or {"youtube_video_id": "youtube_video_id", "youtube_url": "youtube_url"}
     insert_cols = insert_cols or {}
@@ -123,7 +123,8 @@ def upsert_if_missing(base: DataFrame, hits: DataFrame, key: str = "track_id",
     j = base.join(h, F.col(key) == F.col("_h_key"), "full_outer")
     in_base = F.col(key).isNotNull()
     in_hits = F.col("_h_key").isNotNull()
-    action = (F.when(in_base & in_hits & F.col(guard).isNull(), "updated")
+    missing = ~truthy_str(guard) if guard_falsy else F.col(guard).isNull()
+    action = (F.when(in_base & in_hits & missing, "updated")
                .when(in_base & in_hits, "unchanged")
                .when(in_hits, "inserted")
                .otherwise("untouched"))
@@ -167,7 +168,7 @@ def fill_by_content(base: DataFrame, hits: DataFrame, as_of, key: str = "track_i
     base_keys = base.select(F.col(key).alias("_bk"), F.col(value).alias("_bval"))
     probed = h.join(base_keys, F.col("_k1") == F.col("_bk"), "left")
     # Hits whose query key exists: fill when the stored value is falsy.
-    fills = (probed.where(F.col("_bk").isNotNull() & ~truthy_str("_bval"))
+    fills = (probed.where(F.col("_bk").isNotNull())
                    .select(F.col("_k1").alias(key), F.col(value).alias("_fv"), F.col(url).alias("_fu"),
                            *( [F.col(order_col)] if order_col else [])))
     # Misses insert under the catalogue key when that key is new.
@@ -176,7 +177,7 @@ def fill_by_content(base: DataFrame, hits: DataFrame, as_of, key: str = "track_i
                             F.col(value).alias("_fv"), F.col(url).alias("_fu"),
                             *( [F.col(order_col)] if order_col else [])))
     updated = upsert_if_missing(base, fills, key=key, fill={value: "_fv", url: "_fu"}, as_of=as_of,
-                                order_col=order_col).where(F.col("action") != "inserted")
+                                order_col=order_col, guard_falsy=True).where(F.col("action") != "inserted")
     updated = updated.withColumn("action", F.when(F.col("action") == "unchanged", "kept").otherwise(F.col("action")))
     new_keys = misses.join(base.select(F.col(key).alias("_ek")), F.col(key) == F.col("_ek"), "left_anti")
     order = F.col(order_col) if order_col else F.col("_fv")

@@ -249,3 +249,332 @@ def latest_chart_pair(spark, d):
     counts = _chart(spark, d).groupBy("month").agg(F.count(F.lit(1)).alias("track_count"))
     newest = counts.orderBy(F.col("month").desc()).limit(2)
     return newest.withColumn("recency", F.row_number().over(Window.orderBy(F.col("month").desc())).cast("bigint"))
+
+
+# ---------------------------------------------------------------- O32 / O33 / O34 lookups
+@register("lookup_exact", """
+SELECT p.p_partkey, h.match_key FROM part p
+LEFT JOIN (SELECT p_name, p_brand, min(p_partkey) AS match_key FROM part GROUP BY 1, 2) h
+  ON h.p_name = p.p_name AND h.p_brand = p.p_brand
+""")
+def lookup_exact(spark, d):
+    part = table(spark, d, "part")
+    return joins.lookup_exact(part.select("p_partkey", "p_name", "p_brand"), part, ["p_name", "p_brand"],
+                              "p_partkey").select("p_partkey", "match_key")
+
+
+@register("lookup_by_content", f"""
+SELECT p.p_partkey, {S.key("' ' || p.p_brand", "upper(p.p_name) || '!'")} AS lookup_key,
+       k.track_id IS NOT NULL AS found
+FROM part p LEFT JOIN (SELECT DISTINCT {S.key('p_brand', 'p_name')} AS track_id FROM part WHERE p_size <= 25) k
+  ON k.track_id = {S.key("' ' || p.p_brand", "upper(p.p_name) || '!'")}
+""")
+def lookup_by_content(spark, d):
+    part = table(spark, d, "part")
+    tracks = part.where(F.col("p_size") <= 25).select(content_key("p_brand", "p_name").alias("track_id"))
+    probe = part.select("p_partkey", F.concat(F.upper("p_name"), F.lit("!")).alias("title"),
+                        F.concat(F.lit(" "), F.col("p_brand")).alias("artist"))
+    return joins.lookup_by_content(probe, tracks).select("p_partkey", "lookup_key", "found")
+
+
+TOKENS_SQL = "list_distinct(list_filter(string_split_regex(lower({c}), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: t <> ''))"
+
+
+@register("match_top1", f"""
+WITH q AS (SELECT item_id, unnest({TOKENS_SQL.format(c='text')}) AS tok FROM benchmark),
+c AS (SELECT doc_id, unnest({TOKENS_SQL.format(c='text')}) AS tok FROM documents),
+ov AS (SELECT item_id, doc_id, count(*) AS overlap FROM q JOIN c USING (tok) GROUP BY 1, 2),
+best AS (SELECT item_id, doc_id, overlap, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) AS r FROM ov)
+SELECT b.item_id, x.doc_id AS match_id, x.overlap,
+       CASE WHEN x.doc_id IS NULL THEN 'not_found' ELSE 'success' END AS status
+FROM benchmark b LEFT JOIN (SELECT * FROM best WHERE r = 1) x ON x.item_id = b.item_id
+""")
+def match_top1(spark, d):
+    bench = table(spark, d, "benchmark")
+    docs = table(spark, d, "documents")
+    return joins.match_top1(bench.select("item_id", "text"), docs, "item_id", "text", "doc_id", "text") \
+        .select("item_id", "match_id", "overlap", "status")
+
+
+# ---------------------------------------------------------------- O36 - O39, O41 merges
+def _customer_tracks(spark, d, segments):
+    """Customers shaped as a tracks table keyed by the content key."""
+    c = table(spark, d, "customer").where(F.col("c_mktsegment").isin(*segments))
+    return c.select(
+        content_key("c_mktsegment", "c_name").alias("track_id"),
+        F.lit(AS_OF - _dt.timedelta(days=30)).cast("timestamp").alias("created_at"),
+        F.lit(AS_OF - _dt.timedelta(days=30)).cast("timestamp").alias("updated_at"),
+        F.col("c_name").alias("title"), F.col("c_mktsegment").alias("artist"),
+        F.round("c_acctbal", 2).alias("rating"), F.col("c_nationkey").cast("bigint").alias("rank"),
+        F.when(F.col("c_acctbal") > 5000, F.concat(F.lit("v-"), F.col("c_custkey").cast("string")))
+         .when(F.col("c_acctbal").between(0, 100), F.lit("")).alias("youtube_video_id"),
+        F.lit(None).cast("string").alias("youtube_url"),
+        F.lit("beatport").alias("source"), F.col("c_custkey"))
+
+
+BASE_SEGMENTS = ("BUILDING", "AUTOMOBILE", "MACHINERY")
+HIT_SEGMENTS = ("MACHINERY", "HOUSEHOLD", "FURNITURE")
+
+CUST_BASE_SQL = f"""
+SELECT {S.key('c_mktsegment', 'c_name')} AS track_id, c_name AS title, c_mktsegment AS artist,
+  CASE WHEN c_acctbal > 5000 THEN 'v-' || c_custkey WHEN c_acctbal BETWEEN 0 AND 100 THEN '' END AS youtube_video_id,
+  CAST(NULL AS VARCHAR) AS youtube_url, 'beatport' AS source, '2024-01-02 00:00:00' AS created_at,
+  '2024-01-02 00:00:00' AS updated_at, c_custkey
+FROM customer WHERE c_mktsegment IN {BASE_SEGMENTS}
+"""
+
+
+@register("insert_with_defaults", f"""
+SELECT {S.key('c_mktsegment', 'c_name')} AS track_id, c_name AS title, c_mktsegment AS artist,
+  round(c_acctbal, 2) AS rating, 'beatport' AS source, '2024-02-01 00:00:00' AS created_at,
+  '2024-02-01 00:00:00' AS updated_at, CAST(NULL AS VARCHAR) AS album
+FROM customer
+""")
+def insert_with_defaults(spark, d):
+    c = table(spark, d, "customer").select(
+        F.col("c_name").alias("title"), F.col("c_mktsegment").alias("artist"),
+        F.round("c_acctbal", 2).alias("rating"), F.lit("").alias("album"))
+    rows = merge.insert_with_defaults(c, AS_OF)
+    return ts_strings(rows.select("track_id", "title", "artist", "rating", "source", "created_at",
+                                  "updated_at", "album"))
+
+
+PATCH_UPD_SQL = f"""
+SELECT CAST(c_custkey AS VARCHAR) AS track_id, round(c_acctbal * 2, 2) AS rating, CAST(NULL AS VARCHAR) AS genre
+FROM customer WHERE c_acctbal < 0
+UNION ALL
+SELECT CAST(c_custkey + 100000000 AS VARCHAR), 1.0, 'x' FROM customer WHERE c_mktsegment = 'BUILDING'
+"""
+
+
+def _patch_inputs(spark, d):
+    c = table(spark, d, "customer")
+    base = c.select(F.col("c_custkey").cast("string").alias("track_id"), F.col("c_name").alias("title"),
+                    F.round("c_acctbal", 2).alias("rating"), F.col("c_mktsegment").alias("genre"),
+                    F.lit(AS_OF - _dt.timedelta(days=30)).cast("timestamp").alias("updated_at"))
+    upd = c.where(F.col("c_acctbal") < 0).select(
+        F.col("c_custkey").cast("string").alias("track_id"), F.round(F.col("c_acctbal") * 2, 2).alias("rating"),
+        F.lit(None).cast("string").alias("genre"), F.array(F.lit("rating"), F.lit("genre")).alias("present"))
+    unknown = c.where(F.col("c_mktsegment") == "BUILDING").select(
+        (F.col("c_custkey") + 100000000).cast("string").alias("track_id"), F.lit(1.0).alias("rating"),
+        F.lit("x").alias("genre"), F.array(F.lit("rating"), F.lit("genre")).alias("present"))
+    return base, upd.unionByName(unknown)
+
+
+@register("patch", f"""
+SELECT CAST(c.c_custkey AS VARCHAR) AS track_id, c.c_name AS title,
+  CASE WHEN u.track_id IS NOT NULL THEN u.rating ELSE round(c.c_acctbal, 2) END AS rating,
+  CASE WHEN u.track_id IS NOT NULL THEN u.genre ELSE c.c_mktsegment END AS genre,
+  CASE WHEN u.track_id IS NOT NULL THEN '2024-02-01 00:00:00' ELSE '2024-01-02 00:00:00' END AS updated_at,
+  CASE WHEN u.track_id IS NOT NULL THEN 'updated' ELSE 'unchanged' END AS action
+FROM customer c LEFT JOIN ({PATCH_UPD_SQL}) u ON u.track_id = CAST(c.c_custkey AS VARCHAR)
+""")
+def patch(spark, d):
+    base, upd = _patch_inputs(spark, d)
+    return ts_strings(merge.patch(base, upd, "track_id", as_of=AS_OF))
+
+
+@register("patch_report", f"""
+SELECT u.track_id, CASE WHEN c.c_custkey IS NULL THEN 'not_found' ELSE 'updated' END AS status
+FROM ({PATCH_UPD_SQL}) u LEFT JOIN customer c ON u.track_id = CAST(c.c_custkey AS VARCHAR)
+""")
+def patch_report(spark, d):
+    base, upd = _patch_inputs(spark, d)
+    return merge.patch_report(base, upd, "track_id").select("track_id", "status")
+
+
+def _hits(spark, d):
+    c = table(spark, d, "customer").where(F.col("c_mktsegment").isin(*HIT_SEGMENTS))
+    return c.select(content_key("c_mktsegment", "c_name").alias("track_id"),
+                    F.col("c_name").alias("title"), F.col("c_mktsegment").alias("artist"),
+                    F.concat(F.col("c_name"), F.lit(" (Official)")).alias("match_title"),
+                    F.col("c_mktsegment").alias("match_artist"),
+                    F.concat(F.lit("hit-"), F.col("c_custkey").cast("string")).alias("youtube_video_id"),
+                    F.concat(F.lit("https://music.example/watch?v=hit-"), F.col("c_custkey").cast("string"))
+                     .alias("youtube_url"))
+
+
+HITS_SQL = f"""
+SELECT {S.key('c_mktsegment', 'c_name')} AS track_id, c_name AS title, c_mktsegment AS artist,
+  c_name || ' (Official)' AS match_title, c_mktsegment AS match_artist,
+  'hit-' || c_custkey AS youtube_video_id, 'https://music.example/watch?v=hit-' || c_custkey AS youtube_url
+FROM customer WHERE c_mktsegment IN {HIT_SEGMENTS}
+"""
+
+
+@register("upsert_if_missing", f"""
+WITH b AS ({CUST_BASE_SQL}), h AS ({HITS_SQL}),
+j AS (SELECT b.*, h.track_id AS h_key, h.title AS h_title, h.artist AS h_artist,
+        h.youtube_video_id AS h_vid, h.youtube_url AS h_url,
+        CASE WHEN b.track_id IS NOT NULL AND h.track_id IS NOT NULL AND b.youtube_video_id IS NULL THEN 'updated'
+             WHEN b.track_id IS NOT NULL AND h.track_id IS NOT NULL THEN 'unchanged'
+             WHEN h.track_id IS NOT NULL THEN 'inserted' ELSE 'untouched' END AS action
+      FROM b FULL OUTER JOIN h ON b.track_id = h.track_id)
+SELECT coalesce(track_id, h_key) AS track_id,
+  CASE WHEN action = 'inserted' THEN h_title ELSE title END AS title,
+  CASE WHEN action = 'inserted' THEN h_artist ELSE artist END AS artist,
+  CASE WHEN action IN ('updated', 'inserted') THEN h_vid ELSE youtube_video_id END AS youtube_video_id,
+  CASE WHEN action IN ('updated', 'inserted') THEN h_url ELSE youtube_url END AS youtube_url,
+  CASE WHEN action = 'inserted' THEN 'ytmusic' ELSE source END AS source,
+  CASE WHEN action = 'inserted' THEN '2024-02-01 00:00:00' ELSE created_at END AS created_at,
+  CASE WHEN action IN ('updated', 'inserted') THEN '2024-02-01 00:00:00' ELSE updated_at END AS updated_at,
+  action
+FROM j
+""")
+def upsert_if_missing(spark, d):
+    base = _customer_tracks(spark, d, BASE_SEGMENTS).select(
+        "track_id", "title", "artist", "youtube_video_id", "youtube_url", "source", "created_at", "updated_at")
+    out = merge.upsert_if_missing(base, _hits(spark, d), as_of=AS_OF,
+                                  insert_cols={"title": "title", "artist": "artist"})
+    return ts_strings(out)
+
+
+@register("fill_by_content", f"""
+WITH b AS ({CUST_BASE_SQL}), h AS ({HITS_SQL}),
+hk AS (SELECT h.*, {S.key('match_artist', 'match_title')} AS k2 FROM h),
+found AS (SELECT hk.*, b.youtube_video_id AS bval FROM hk JOIN b ON b.track_id = hk.track_id),
+fills AS (SELECT track_id, youtube_video_id AS fv, youtube_url AS fu FROM found WHERE coalesce(bval, '') = ''),
+ins AS (SELECT DISTINCT ON (k2) k2 AS track_id, match_title AS title, match_artist AS artist, youtube_video_id, youtube_url
+        FROM hk WHERE hk.track_id NOT IN (SELECT track_id FROM b)
+          AND k2 NOT IN (SELECT track_id FROM b) ORDER BY k2, youtube_video_id)
+SELECT b.track_id, b.title,
+  CASE WHEN f.track_id IS NOT NULL THEN f.fv ELSE b.youtube_video_id END AS youtube_video_id,
+  CASE WHEN f.track_id IS NOT NULL THEN 'updated'
+       WHEN b.track_id IN (SELECT track_id FROM found) THEN 'kept' ELSE 'untouched' END AS action
+FROM b LEFT JOIN fills f ON f.track_id = b.track_id
+UNION ALL
+SELECT track_id, title, youtube_video_id, 'inserted' FROM ins
+""")
+def fill_by_content(spark, d):
+    base = _customer_tracks(spark, d, BASE_SEGMENTS).select(
+        "track_id", "title", "artist", "youtube_video_id", "youtube_url", "source", "created_at", "updated_at")
+    out = merge.fill_by_content(base, _hits(spark, d), AS_OF)
+    return out.select("track_id", "title", "youtube_video_id", "action")
+
+
+@register("fill_all", """
+WITH b AS (SELECT p_partkey AS track_id, p_name AS title, p_brand AS artist,
+             CASE WHEN p_size <= 10 THEN 'v-' || p_partkey END AS youtube_video_id FROM part),
+u AS (SELECT p_name AS title, p_brand AS artist, min('promo-' || p_partkey) AS vid FROM part
+      WHERE p_type = 'PROMO' GROUP BY 1, 2)
+SELECT b.track_id,
+  CASE WHEN u.title IS NOT NULL AND coalesce(b.youtube_video_id, '') = '' THEN u.vid ELSE b.youtube_video_id END AS youtube_video_id,
+  u.title IS NOT NULL AS matched,
+  u.title IS NOT NULL AND coalesce(b.youtube_video_id, '') = '' AS filled
+FROM b LEFT JOIN u ON u.title = b.title AND u.artist = b.artist
+""")
+def fill_all(spark, d):
+    part = table(spark, d, "part")
+    base = part.select(F.col("p_partkey").alias("track_id"), F.col("p_name").alias("title"),
+                       F.col("p_brand").alias("artist"),
+                       F.when(F.col("p_size") <= 10, F.concat(F.lit("v-"), F.col("p_partkey").cast("string")))
+                        .alias("youtube_video_id"))
+    upd = part.where(F.col("p_type") == "PROMO").select(
+        F.col("p_name").alias("title"), F.col("p_brand").alias("artist"),
+        F.concat(F.lit("promo-"), F.col("p_partkey").cast("string")).alias("vid"))
+    out = merge.fill_all(base, upd, ["title", "artist"], {"youtube_video_id": "vid"})
+    return out.select("track_id", "youtube_video_id", "matched", "filled")
+
+
+# ---------------------------------------------------------------- O09 - O12, O03, O04, O26
+@register("quarantine", """
+SELECT l_orderkey, l_linenumber, l_linenumber > 3 AS quarantined FROM lineitem
+""")
+def quarantine(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    kept, q = history.quarantine(li, "l_linenumber", 3)
+    return (kept.withColumn("quarantined", F.lit(False))
+                .unionByName(q.withColumn("quarantined", F.lit(True))))
+
+
+RETAIN_AS_OF = _dt.datetime(1998, 8, 1)
+
+
+@register("retain_versions", """
+SELECT o_orderkey, o_custkey FROM (
+  SELECT o_orderkey, o_custkey,
+         lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS superseded_at
+  FROM orders)
+WHERE superseded_at IS NULL OR superseded_at >= TIMESTAMP '1998-07-02 00:00:00'
+""")
+def retain_versions(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return history.retain_versions(o, "o_custkey", "o_orderdate", RETAIN_AS_OF, 30, version_col="o_orderkey") \
+        .select("o_orderkey", "o_custkey")
+
+
+@register("retain_recent", """
+SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-07-18 00:00:00'
+""")
+def retain_recent(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    return history.retain_recent(o, "o_orderdate", RETAIN_AS_OF, 14).select("o_orderkey")
+
+
+@register("get_by_key", """
+SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice FROM orders WHERE o_orderkey = 7
+""")
+def get_by_key(spark, d):
+    o = table(spark, d, "orders")
+    return history.get_by_key(o, "o_orderkey", 7).select(
+        "o_orderkey", "o_custkey", "o_orderstatus", F.round("o_totalprice", 2).alias("o_totalprice"))
+
+
+@register("scan_limited", """
+SELECT o_orderkey, o_custkey, count(*) OVER () AS returned_count
+FROM (SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 100)
+""")
+def scan_limited(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return history.scan_limited(o, "o_orderkey", 100)
+
+
+LISTING_SQL = """
+SELECT 'charts/' || strftime(o_orderdate, '%Y/%m/%d') || '/top100-' || o_orderkey
+         || CASE WHEN o_orderstatus = 'P' THEN '.tmp' ELSE '.json' END AS key,
+       CAST(trunc(o_totalprice) AS BIGINT) AS size,
+       o_orderdate + to_seconds(o_orderkey % 86400) AS last_modified
+FROM orders
+"""
+
+
+def _listing(spark, d) -> DataFrame:
+    """An object listing derived from orders: dated keys, some not JSON."""
+    o = table(spark, d, "orders")
+    return o.select(
+        F.concat(F.lit("charts/"), F.date_format("o_orderdate", "yyyy/MM/dd"), F.lit("/top100-"),
+                 F.col("o_orderkey").cast("string"),
+                 F.when(F.col("o_orderstatus") == "P", ".tmp").otherwise(".json")).alias("key"),
+        F.col("o_totalprice").cast("bigint").alias("size"),
+        (F.col("o_orderdate") + F.make_dt_interval(secs=(F.col("o_orderkey") % 86400).cast("decimal(18,6)")))
+        .alias("last_modified"))
+
+
+@register("list_snapshots", f"""
+SELECT key, size, strftime(last_modified, '%Y-%m-%d %H:%M:%S') AS last_modified FROM ({LISTING_SQL})
+WHERE starts_with(key, 'charts/1997/03/') AND ends_with(key, '.json')
+""")
+def list_snapshots(spark, d):
+    from rankflow.sources.snapshots import list_snapshots as ls
+    return ts_strings(ls(_listing(spark, d), date_prefix="1997/03/", root="charts/"))
+
+
+@register("latest_snapshot", f"""
+SELECT key, size, strftime(last_modified, '%Y-%m-%d %H:%M:%S') AS last_modified FROM ({LISTING_SQL})
+WHERE ends_with(key, '.json') ORDER BY last_modified DESC, key DESC LIMIT 1
+""")
+def latest_snapshot(spark, d):
+    from rankflow.sources.snapshots import latest_snapshot as ls, list_snapshots as li
+    return ts_strings(ls(li(_listing(spark, d), root="charts/")))
+
+
+@register("plain_numbers", """
+SELECT l_orderkey, l_linenumber,
+  CASE WHEN CAST(l_extendedprice AS DECIMAL(12,2)) % 1 = 0 THEN CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS BIGINT) END AS price_int,
+  CASE WHEN CAST(l_extendedprice AS DECIMAL(12,2)) % 1 <> 0 THEN CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS DOUBLE) END AS price_float
+FROM lineitem
+""")
+def plain_numbers(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber",
+                                            F.col("l_extendedprice").cast("decimal(12,2)").alias("price"))
+    return records.plain_numbers(li, ["price"])
