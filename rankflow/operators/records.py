@@ -75,47 +75,50 @@ def _typed(v: Column, sql_type: str) -> Column:
     return F.try_variant_get(v, "$", sql_type)
 
 
-def _default_empty(r: Column, key: str) -> Column:
-    """``record.get(key, '')``: '' when absent, None for JSON null, else str."""
-    val = vfield(r, key)
-    return F.when(val.isNull(), F.lit("")).when(F.is_variant_null(val), F.lit(None)).otherwise(vstr(val))
-
-
 def normalize_records(df: DataFrame, rec_col: str = "record", source: str = NORMALISED_SOURCE) -> DataFrame:
     """O23 + O24: normalise schemaless records and attach the content key.
 
     Non-objects and records without a truthy title or artist are dropped.
+    Field values are staged as columns first so each is extracted once.
     """
     r = F.col(rec_col)
-    title_v = vfirst_truthy(vfield(r, "title"), vfield(r, "track"), vfield(r, "name"))
-    artist_v = vfirst_truthy(vfield(r, "artist"), vfield(r, "artists"))
-    artist_is_list = vtype(artist_v).startswith("ARRAY")
-    artist_joined = F.array_join(F.transform(_typed(artist_v, "array<variant>"), lambda e: vstr(e)), ", ")
-    artist_s = F.when(artist_is_list, artist_joined).otherwise(vstr(artist_v))
-    artist_ok = F.when(artist_is_list, F.coalesce(artist_joined != F.lit(""), F.lit(False))).otherwise(vtruthy(artist_v))
-
-    staged = (df.where(vtype(r).startswith("OBJECT"))
-                .withColumn("_title_ok", vtruthy(title_v))
-                .withColumn("_artist_ok", artist_ok)
-                .where(F.col("_title_ok") & F.col("_artist_ok")))
-    title = py_strip(vstr(title_v))
-    artist = py_strip(artist_s)
-    rank_v = vfirst_truthy(vfield(r, "rank"), vfield(r, "position"))
+    fields = ["title", "track", "name", "artist", "artists", "album", "genre", "label", "bpm", "key",
+              "rank", "position", "rating", "release_date", "released", "beatport_url", "url", "beatport_id", "id"]
+    x = df.where(vtype(r).startswith("OBJECT"))
+    x = x.select("*", *[vfield(r, f).alias(f"_f_{f}") for f in fields])
+    f = lambda n: F.col(f"_f_{n}")
+    x = (x.withColumn("_title_v", vfirst_truthy(f("title"), f("track"), f("name")))
+          .withColumn("_artist_v", vfirst_truthy(f("artist"), f("artists")))
+          .withColumn("_rank_v", vfirst_truthy(f("rank"), f("position")))
+          .withColumn("_rel_v", vfirst_truthy(f("release_date"), f("released")))
+          .withColumn("_url_v", vfirst_truthy(f("beatport_url"), f("url")))
+          .withColumn("_id_v", vfirst_truthy(f("beatport_id"), f("id"))))
+    x = x.withColumn("_artist_list", vtype("_artist_v").startswith("ARRAY"))
+    x = x.withColumn("_artist_joined", F.when(F.col("_artist_list"), F.array_join(
+        F.transform(_typed(F.col("_artist_v"), "array<variant>"), lambda e: vstr(e)), ", ")))
+    artist_ok = F.when(F.col("_artist_list"), F.coalesce(F.col("_artist_joined") != F.lit(""), F.lit(False))) \
+                 .otherwise(vtruthy("_artist_v"))
+    x = x.where(vtruthy("_title_v") & artist_ok)
     keep = [c for c in df.columns if c != rec_col]
-    out = staged.select(
+
+    def default_empty(n: str):
+        v = f(n)
+        return F.when(v.isNull(), F.lit("")).when(F.is_variant_null(v), F.lit(None)).otherwise(vstr(v))
+
+    out = x.select(
         *keep,
-        title.alias("title"),
-        artist.alias("artist"),
-        _default_empty(r, "album").alias("album"),
-        _default_empty(r, "genre").alias("genre"),
-        _default_empty(r, "label").alias("label"),
-        _typed(vfield(r, "bpm"), "bigint").alias("bpm"),
-        _default_empty(r, "key").alias("key"),
-        _typed(rank_v, "bigint").alias("rank"),
-        _typed(vfield(r, "rating"), "double").alias("rating"),
-        vstr(vfirst_truthy(vfield(r, "release_date"), vfield(r, "released"))).alias("release_date"),
-        vstr(vfirst_truthy(vfield(r, "beatport_url"), vfield(r, "url"))).alias("beatport_url"),
-        vstr(vfirst_truthy(vfield(r, "beatport_id"), vfield(r, "id"))).alias("beatport_id"),
+        py_strip(vstr("_title_v")).alias("title"),
+        py_strip(F.when(F.col("_artist_list"), F.col("_artist_joined")).otherwise(vstr("_artist_v"))).alias("artist"),
+        default_empty("album").alias("album"),
+        default_empty("genre").alias("genre"),
+        default_empty("label").alias("label"),
+        _typed(f("bpm"), "bigint").alias("bpm"),
+        default_empty("key").alias("key"),
+        _typed(F.col("_rank_v"), "bigint").alias("rank"),
+        _typed(f("rating"), "double").alias("rating"),
+        vstr("_rel_v").alias("release_date"),
+        vstr("_url_v").alias("beatport_url"),
+        vstr("_id_v").alias("beatport_id"),
         F.to_json(r).alias("original_data"),
         F.lit(source).alias("source"),
     )

@@ -578,3 +578,289 @@ def plain_numbers(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber",
                                             F.col("l_extendedprice").cast("decimal(12,2)").alias("price"))
     return records.plain_numbers(li, ["price"])
+
+
+# ---------------------------------------------------------------- O05 / O46 notifications from events
+def _notifications(spark, d) -> DataFrame:
+    """Queue records built from events (to_json envelopes), one per event:
+    signup = not a queue record, error = unreadable body, view = not a storage
+    event, purchase under 2.0 = location without key, click from 45.0 = body of
+    the wrong JSON type; the rest are well-formed."""
+    e = table(spark, d, "events")
+    key = F.concat(F.lit("charts/"), F.date_format("ts", "yyyy/MM/dd"), F.lit("/top+"),
+                   F.col("event_id").cast("string"), F.lit("%2Ejson"))
+    obj = F.when((F.col("event_type") == "purchase") & (F.col("value") < 2),
+                 F.to_json(F.struct(F.lit(1).alias("size")))) \
+           .otherwise(F.to_json(F.struct(key.alias("key"), F.lit(1).alias("size"))))
+    rec = F.concat(F.lit('{"eventSource":"'),
+                   F.when(F.col("event_type") == "view", "aws:sns").otherwise("aws:s3"),
+                   F.lit('","eventName":"ObjectCreated:Put","s3":{"bucket":{"name":"bucket-'),
+                   F.col("user_id").cast("string"), F.lit('"},"object":'), obj, F.lit("}}"))
+    body = (F.when(F.col("event_type") == "error", F.concat(F.lit('{"Records": ['), F.col("event_id").cast("string")))
+             .when((F.col("event_type") == "click") & (F.col("value") >= 45),
+                   F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit("]")))
+             .otherwise(F.concat(F.lit('{"Records":['), rec, F.lit("]}"))))
+    return e.select("event_id", "ts",
+                    F.when(F.col("event_type") == "signup", "aws:sns").otherwise("aws:sqs").alias("eventSource"),
+                    body.alias("body"))
+
+
+NOTIFY_SQL = """
+SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, outcome,
+  CASE WHEN outcome = 'processed' THEN 'bucket-' || user_id END AS bucket,
+  CASE WHEN outcome = 'processed' THEN 'charts/' || strftime(ts, '%Y/%m/%d') || '/top ' || event_id || '.json' END AS key
+FROM (SELECT *, CASE WHEN event_type IN ('signup', 'error', 'view') THEN 'skipped'
+                     WHEN event_type = 'purchase' AND value < 2 THEN 'skipped'
+                     WHEN event_type = 'click' AND value >= 45 THEN 'failed'
+                     ELSE 'processed' END AS outcome FROM events)
+"""
+
+
+@register("decode_notifications", f"SELECT event_id, outcome, bucket, key FROM ({NOTIFY_SQL})")
+def decode_notifications(spark, d):
+    return envelopes.decode_notifications(_notifications(spark, d)).select("event_id", "outcome", "bucket", "key")
+
+
+@register("outcome_summary", f"""
+SELECT day, count(*) FILTER (WHERE outcome = 'processed') AS processed,
+  count(*) FILTER (WHERE outcome = 'skipped') AS skipped, count(*) FILTER (WHERE outcome = 'failed') AS failed
+FROM ({NOTIFY_SQL}) GROUP BY day
+""")
+def outcome_summary(spark, d):
+    dec = envelopes.decode_notifications(_notifications(spark, d)).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return envelopes.outcome_summary(dec, ["day"])
+
+
+# ---------------------------------------------------------------- O06 / O45 / O43 / O44 / O08 messages
+def _messages(spark, d) -> DataFrame:
+    """Doubly encoded fan-out messages built from events."""
+    e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    title = F.when((F.col("event_type") == "purchase") & (F.col("value") < 10), F.lit("  ")) \
+             .otherwise(F.concat(F.lit("Track "), F.col("k").cast("string")))
+    artist = F.concat(F.lit("user "), F.col("user_id").cast("string"))
+    job = F.concat(F.lit("job-"), F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyy-MM-dd"))
+    src = F.concat(F.lit("charts/"), F.date_format("ts", "yyyy/MM/dd"), F.lit("/user-"),
+                   F.col("user_id").cast("string"), F.lit(".json"))
+    inner = F.to_json(F.struct(F.struct(title.alias("title"), artist.alias("artist"),
+                                        F.concat(F.lit("tid-"), F.col("event_id").cast("string")).alias("track_id"))
+                               .alias("track"), job.alias("job_id"), src.alias("source_file")))
+    body = (F.when(F.col("event_type") == "signup", F.to_json(F.struct(F.lit("Notification").alias("Type"))))
+             .when(F.col("event_type") == "error", F.concat(F.lit("oops "), F.col("event_id").cast("string")))
+             .otherwise(F.to_json(F.struct(inner.alias("Message")))))
+    return e.select("event_id", "user_id", "k", "event_type", body.alias("body"))
+
+
+def _classified(spark, d) -> DataFrame:
+    msgs = envelopes.decode_messages(_messages(spark, d))
+    # catalogue: what click events put in the catalogue, keyed by content key
+    catalog = (table(spark, d, "events").where(F.col("event_type") == "click")
+               .select(content_key(F.concat(F.lit("user "), F.col("user_id").cast("string")),
+                                   F.concat(F.lit("Track "), F.get_json_object("props", "$.k"))).alias("_cat_key"))
+               .distinct())
+    looked = (msgs.withColumn("_q_key", content_key("artist", "title"))
+                  .join(catalog, F.col("_q_key") == F.col("_cat_key"), "left")
+                  .withColumn("lookup_status", F.when(F.col("_cat_key").isNotNull(), "success").otherwise("not_found")))
+    return jobs.classify_outcomes(looked)
+
+
+CLASSIFIED_SQL = f"""
+WITH cat AS (SELECT DISTINCT {S.key("'user ' || user_id", "'Track ' || (props->>'k')")} AS ck FROM events WHERE event_type = 'click'),
+m AS (SELECT event_id, event_type, user_id, value, CAST(props->>'k' AS INTEGER) AS k,
+             'job-' || user_id || '-' || strftime(ts, '%Y-%m-%d') AS job_id FROM events WHERE event_type <> 'signup')
+SELECT m.event_id,
+  CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'purchase' AND value < 10 THEN 'failed'
+       WHEN cat.ck IS NOT NULL THEN 'success' ELSE 'not_found' END AS status,
+  CASE WHEN event_type = 'error' THEN 'undecodable message'
+       WHEN event_type = 'purchase' AND value < 10 THEN 'missing title or artist'
+       WHEN cat.ck IS NOT NULL THEN NULL
+       ELSE 'No YouTube results found for: Track ' || k || ' - user ' || user_id END AS error,
+  CASE WHEN event_type = 'error' THEN NULL ELSE job_id END AS job_id,
+  CASE WHEN event_type = 'error' OR (event_type = 'purchase' AND value < 10) THEN 'unknown'
+       ELSE 'Track ' || k || ' - user ' || user_id END AS track
+FROM m LEFT JOIN cat ON cat.ck = {S.key("'user ' || m.user_id", "'Track ' || m.k")}
+   AND NOT (event_type = 'error' OR (event_type = 'purchase' AND value < 10))
+"""
+
+
+@register("classify_outcomes", CLASSIFIED_SQL)
+def classify_outcomes(spark, d):
+    return _classified(spark, d).select("event_id", "status", "error", "job_id", "track")
+
+
+@register("job_progress", f"""
+SELECT job_id, count(*) FILTER (WHERE status IN ('success', 'not_found')) AS processed_count
+FROM ({CLASSIFIED_SQL}) WHERE coalesce(job_id, '') <> '' GROUP BY job_id
+""")
+def job_progress(spark, d):
+    return jobs.job_progress(_classified(spark, d))
+
+
+def _event_jobs(spark, d) -> DataFrame:
+    """Jobs created when the messages were fanned out: one per user-day."""
+    e = table(spark, d, "events").where(F.col("event_type") != "signup").select(
+        F.concat(F.lit("charts/"), F.date_format("ts", "yyyy/MM/dd"), F.lit("/user-"),
+                 F.col("user_id").cast("string"), F.lit(".json")).alias("source_file"),
+        F.concat(F.lit("job-"), F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyy-MM-dd"))
+        .alias("job_key"))
+    made = jobs.create_jobs(e.where(F.col("source_file").isNotNull()), "source_file", AS_OF)
+    ids = e.select("source_file", "job_key").distinct()
+    return made.join(ids, "source_file").drop("job_id").withColumnRenamed("job_key", "job_id")
+
+
+@register("completed_jobs", f"""
+WITH p AS (SELECT job_id, count(*) FILTER (WHERE status IN ('success', 'not_found')) AS processed_count
+           FROM ({CLASSIFIED_SQL}) WHERE coalesce(job_id, '') <> '' GROUP BY job_id),
+j AS (SELECT 'job-' || user_id || '-' || strftime(ts, '%Y-%m-%d') AS job_id,
+             'charts/' || strftime(ts, '%Y/%m/%d') || '/user-' || user_id || '.json' AS source_file,
+             count(*) AS expected_count FROM events WHERE event_type <> 'signup' GROUP BY 1, 2)
+SELECT j.job_id, j.source_file, j.expected_count, p.processed_count, '2024-02-01 00:00:00' AS created_at,
+  'completed' AS status, '2024-02-01 00:00:00' AS completed_at, 'charts-bucket' AS s3_bucket, j.source_file AS s3_key
+FROM j JOIN p USING (job_id) WHERE p.processed_count >= j.expected_count AND p.processed_count > 0
+""")
+def completed_jobs(spark, d):
+    progress = jobs.job_progress(_classified(spark, d))
+    return ts_strings(jobs.completed_jobs(_event_jobs(spark, d), progress, AS_OF, bucket="charts-bucket"))
+
+
+@register("dead_letters", f"""
+SELECT event_id, job_id, error AS failure_reason, '2024-02-01T00:00:00.000000' AS dead_at
+FROM ({CLASSIFIED_SQL}) WHERE status = 'not_found'
+""")
+def dead_letters(spark, d):
+    _, dead = jobs.split_dead_letters(_classified(spark, d), AS_OF)
+    return dead.select("event_id", "job_id", "failure_reason", "dead_at")
+
+
+# ---------------------------------------------------------------- O27 / O28 requests
+def _requests(spark, d) -> DataFrame:
+    e = table(spark, d, "events")
+    uid = F.col("user_id").cast("string")
+    job = F.to_json(F.struct(F.lit("music-search.orchestrator").alias("source"),
+                             F.lit("Job Completed").alias("detail-type"),
+                             F.struct(F.concat(F.lit("job-"), uid).alias("job_id"),
+                                      F.when(F.col("value") >= 25, "charts").otherwise("").alias("s3_bucket"),
+                                      F.concat(F.lit("charts/u"), uid, F.lit(".json")).alias("s3_key")).alias("detail")))
+    loc = F.to_json(F.struct(F.lit("charts").alias("s3_bucket"), F.concat(F.lit("charts/u"), uid, F.lit(".json")).alias("s3_key")))
+    ids = F.to_json(F.struct(F.when(F.col("value") >= 20, F.concat(F.lit("pl-"), uid)).otherwise("").alias("playlist_name"),
+                             F.when(F.col("value") >= 5, F.array(F.concat(F.lit("v"), uid))).otherwise(F.array().cast("array<string>"))
+                             .alias("video_ids")))
+    look = F.to_json(F.struct(F.concat(F.lit("Track "), F.get_json_object("props", "$.k")).alias("title"),
+                              F.when(F.col("value") >= 3, F.concat(F.lit("user "), uid)).alias("author")))
+    req = (F.when(F.col("event_type") == "signup", job).when(F.col("event_type") == "click", loc)
+            .when(F.col("event_type") == "view", ids).when(F.col("event_type") == "purchase", look)
+            .otherwise(F.lit('{"Records": []}')))
+    return e.select("event_id", req.alias("request"))
+
+
+@register("route_validate", """
+SELECT event_id,
+  CASE event_type WHEN 'signup' THEN 'job_completed' WHEN 'click' THEN 'location' ELSE 'direct_ids' END AS route,
+  CASE WHEN event_type = 'signup' AND value < 25 THEN 'Missing s3_bucket or s3_key in job completion event'
+       WHEN event_type IN ('view', 'purchase', 'error') AND NOT (event_type = 'view' AND value >= 20) THEN 'playlist_name is required'
+       WHEN event_type = 'view' AND value < 5 THEN 'video_ids array is required and cannot be empty' END AS error,
+  CASE WHEN event_type = 'error' THEN 'batch' ELSE 'direct' END AS lookup_route,
+  CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'purchase' AND value >= 3 THEN NULL
+       ELSE 'Missing title or author' END AS lookup_error
+FROM events
+""")
+def route_validate(spark, d):
+    routed = playlist.validate(playlist.route(_requests(spark, d)))
+    return routed.select("event_id", "route", "error", "lookup_route", "lookup_error")
+
+
+# ---------------------------------------------------------------- O40 / O42 playlists from orders
+def _playlist_rows(spark, d) -> DataFrame:
+    o = table(spark, d, "orders")
+    return o.select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus",
+                    F.when(F.col("o_orderpriority") == "5-LOW", "skipped").otherwise("enriched").alias("status"))
+
+
+def _playlist_items(spark, d) -> DataFrame:
+    rows = _playlist_rows(spark, d)
+    add_status = (rows.where(F.col("o_orderstatus") == "P")
+                      .select("o_orderkey", F.lit("quota exceeded").alias("add_error")))
+    return playlist.playlist_items(rows.where(F.col("status") == "enriched"), ["o_custkey"],
+                                   ["o_orderdate", "o_orderkey"], "o_orderkey", add_status, ["o_orderkey"])
+
+
+ITEMS_SQL = """
+SELECT o_custkey, o_orderkey,
+  CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS INTEGER) AS position,
+  o_orderstatus <> 'P' AS added,
+  CASE WHEN o_orderstatus = 'P' THEN CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) END AS failed_position
+FROM orders WHERE o_orderpriority <> '5-LOW'
+"""
+
+
+@register("playlist_items", ITEMS_SQL)
+def playlist_items(spark, d):
+    return _playlist_items(spark, d).select("o_custkey", "o_orderkey", "position", "added", "failed_position")
+
+
+@register("playlist_summary", f"""
+WITH i AS ({ITEMS_SQL}),
+r AS (SELECT o.o_custkey, o.o_orderpriority <> '5-LOW' AS enriched, i.added FROM orders o LEFT JOIN i USING (o_orderkey)),
+a AS (SELECT o_custkey, count(*) AS total_tracks_in_source, count(*) FILTER (WHERE enriched) AS tracks_with_video_ids,
+        count(*) FILTER (WHERE enriched AND added) AS videos_added_successfully,
+        count(*) FILTER (WHERE enriched AND NOT added) AS failed_videos,
+        count(*) FILTER (WHERE NOT enriched) AS skipped_tracks FROM r GROUP BY o_custkey)
+SELECT a.*, sha256(CAST(a.o_custkey AS VARCHAR)) AS playlist_id,
+  'https://www.youtube.com/playlist?list=' || sha256(CAST(a.o_custkey AS VARCHAR)) AS playlist_url,
+  CASE WHEN c.c_mktsegment = 'AUTOMOBILE' THEN 'Beatport Top 100 (2024-02-01)'
+       WHEN c.c_mktsegment = 'BUILDING' THEN 'Building mix' ELSE c.c_name END AS playlist_name,
+  CASE WHEN c.c_mktsegment = 'AUTOMOBILE' THEN 'Automatically created playlist from job job-' || a.o_custkey
+         || ' completed on 2024-02-01 00:00. Source: orders/' || a.o_custkey || '.json'
+       ELSE 'Playlist created from orders/' || a.o_custkey || '.json on 2024-02-01 00:00' END AS description
+FROM a JOIN customer c ON c.c_custkey = a.o_custkey
+""")
+def playlist_summary(spark, d):
+    rows = _playlist_rows(spark, d)
+    items = _playlist_items(spark, d).select("o_orderkey", "added")
+    joined = rows.join(items, "o_orderkey", "left")
+    summary = playlist.playlist_summary(joined, ["o_custkey"])
+    cust = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("snapshot_name"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "Building mix").alias("request_name"),
+        F.when(F.col("c_mktsegment") == "AUTOMOBILE", F.concat(F.lit("job-"), F.col("c_custkey").cast("string")))
+         .alias("job_id"))
+    head = playlist.playlist_header(
+        summary.join(cust, "o_custkey").withColumn(
+            "s3_key", F.concat(F.lit("orders/"), F.col("o_custkey").cast("string"), F.lit(".json"))),
+        AS_OF, request_name="request_name", snapshot_name="snapshot_name", job_col="job_id")
+    return head.select("o_custkey", "total_tracks_in_source", "tracks_with_video_ids", "videos_added_successfully",
+                       "failed_videos", "skipped_tracks", "playlist_id", "playlist_url", "playlist_name",
+                       "description")
+
+
+# ---------------------------------------------------------------- O47 direct id lists from pages
+def _id_requests(spark, d) -> DataFrame:
+    p = table(spark, d, "pages")
+    return p.select("page_id", F.col("url").alias("playlist_name"),
+                    F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), 1).alias("video_ids"))
+
+
+IDS_SQL = """SELECT page_id, url AS playlist_name, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS video_ids FROM pages"""
+
+
+@register("playlist_from_ids_items", f"""
+SELECT page_id, CAST(o - 1 AS INTEGER) AS position, v AS video_id
+FROM ({IDS_SQL}) r, unnest(r.video_ids) WITH ORDINALITY AS t(v, o)
+WHERE coalesce(playlist_name, '') <> ''
+""")
+def playlist_from_ids_items(spark, d):
+    items, _ = playlist.playlist_from_ids(_id_requests(spark, d), "playlist_name", "video_ids", AS_OF)
+    req = _id_requests(spark, d).select("page_id", "playlist_name")
+    return items.join(req, "playlist_name").select("page_id", "position", "video_id")
+
+
+@register("playlist_from_ids_summary", f"""
+SELECT page_id, playlist_name,
+  CASE WHEN coalesce(playlist_name, '') = '' THEN 'playlist_name is required'
+       WHEN len(video_ids) = 0 THEN 'video_ids array is required and cannot be empty' END AS error,
+  'Public playlist created on 2024-02-01 00:00' AS description,
+  CASE WHEN coalesce(playlist_name, '') <> '' AND len(video_ids) > 0 THEN CAST(len(video_ids) AS INTEGER) END AS total_videos_requested
+FROM ({IDS_SQL})
+""")
+def playlist_from_ids_summary(spark, d):
+    _, summary = playlist.playlist_from_ids(_id_requests(spark, d), "playlist_name", "video_ids", AS_OF)
+    return summary.select("page_id", "playlist_name", "error", "description", "total_videos_requested")

@@ -37,7 +37,9 @@ def decode_notifications(df: DataFrame, body_col: str = "body", source_col: str
     body holds no events yields no row.  ``subscription_only`` also applies the
     bucket subscription (``ObjectCreated:*`` and ``.json`` keys).
     """
-    b = F.try_parse_json(F.col(body_col))
+    df0 = df
+    df = df.withColumn("_b", F.try_parse_json(F.col(body_col)))
+    b = F.col("_b")
     level1 = (F.when(F.coalesce(F.col(source_col) != QUEUE_SOURCE, F.lit(True)), "skipped")
                .when(b.isNull(), "skipped")
                .when(~_is_obj(b), "failed"))
@@ -45,12 +47,12 @@ def decode_notifications(df: DataFrame, body_col: str = "body", source_col: str
     items = F.when(level1.isNotNull(),
                    F.array(F.struct(F.lit(None).cast("variant").alias("r"), level1.alias("o"))))\
              .otherwise(F.transform(recs, lambda r: F.struct(r.alias("r"), F.lit(None).cast("string").alias("o"))))
-    keep = [c for c in df.columns]
+    keep = [c for c in df0.columns]
     x = df.select(*keep, F.posexplode(items).alias("event_pos", "_it"))
-    r = F.col("_it.r")
-    s3 = vfield(r, "s3")
-    bucket = F.coalesce(vfield(s3, "bucket"), F.parse_json(F.lit("{}")))
-    obj = F.coalesce(vfield(s3, "object"), F.parse_json(F.lit("{}")))
+    x = x.withColumn("_r", F.col("_it.r")).withColumn("_s3", vfield("_it.r", "s3"))
+    x = (x.withColumn("_bucket", F.coalesce(vfield("_s3", "bucket"), F.parse_json(F.lit("{}"))))
+          .withColumn("_obj", F.coalesce(vfield("_s3", "object"), F.parse_json(F.lit("{}")))))
+    r, s3, bucket, obj = F.col("_r"), F.col("_s3"), F.col("_bucket"), F.col("_obj")
     valid = _is_obj(s3) & _is_obj(bucket) & _is_obj(obj) & _has_key(bucket, "name") & _has_key(obj, "key")
     es = F.try_variant_get(r, "$.eventSource", "string")
     outcome = F.coalesce(F.col("_it.o"),
@@ -90,28 +92,35 @@ def decode_messages(df: DataFrame, body_col: str = "body") -> DataFrame:
     ``message_state``: ``ok``; ``no_message`` / ``no_track`` (the reference
     emits nothing for these); ``undecodable`` (any level unreadable or of the
     wrong type, including an explicit null title/artist/track_id).
+
+    Each level is parsed once into its own column so the generated code stays
+    small (one parse per level, not one per reference).
     """
-    b = F.try_parse_json(F.col(body_col))
-    msg = vfield(b, "Message")
-    s = F.try_parse_json(F.try_variant_get(msg, "$", "string"))
-    track = vfield(s, "track")
-    title, artist, tid = _field_str(track, "title"), _field_str(track, "artist"), _field_str(track, "track_id")
-    state = (F.when(b.isNull() | ~_is_obj(b), "undecodable")
-              .when(msg.isNull(), "no_message")
-              .when(vtype(msg) != "STRING", "undecodable")
-              .when(s.isNull() | ~_is_obj(s), "undecodable")
-              .when(~vtruthy(track), "no_track")
-              .when(~_is_obj(track), "undecodable")
-              .when(title.isNull() | artist.isNull() | tid.isNull(), "undecodable")
+    x = df.withColumn("_b", F.try_parse_json(F.col(body_col)))
+    x = x.withColumn("_msg", vfield("_b", "Message"))
+    x = x.withColumn("_s", F.try_parse_json(F.try_variant_get("_msg", "$", "string")))
+    x = x.withColumn("_track", vfield("_s", "track"))
+    x = (x.withColumn("_title", _field_str(F.col("_track"), "title"))
+          .withColumn("_artist", _field_str(F.col("_track"), "artist"))
+          .withColumn("_tid", _field_str(F.col("_track"), "track_id"))
+          .withColumn("_job", vfield("_s", "job_id")))
+    state = (F.when(F.col("_b").isNull() | ~_is_obj(F.col("_b")), "undecodable")
+              .when(F.col("_msg").isNull(), "no_message")
+              .when(vtype("_msg") != "STRING", "undecodable")
+              .when(F.col("_s").isNull() | ~_is_obj(F.col("_s")), "undecodable")
+              .when(~vtruthy("_track"), "no_track")
+              .when(~_is_obj(F.col("_track")), "undecodable")
+              .when(F.col("_title").isNull() | F.col("_artist").isNull() | F.col("_tid").isNull(), "undecodable")
               .otherwise("ok"))
-    job = vfield(s, "job_id")
-    return df.select("*",
-                     state.alias("message_state"),
-                     F.when(F.is_variant_null(job), F.lit(None)).otherwise(vstr(job)).alias("job_id"),
-                     F.when(state == "ok", title).alias("title"),
-                     F.when(state == "ok", artist).alias("artist"),
-                     F.when(state == "ok", tid).alias("track_id"),
-                     vstr(vfield(s, "source_file")).alias("source_file"))
+    x = x.withColumn("message_state", state)
+    ok = F.col("message_state") == "ok"
+    out = x.select(*df.columns, "message_state",
+                   F.when(F.is_variant_null("_job"), F.lit(None)).otherwise(vstr("_job")).alias("job_id"),
+                   F.when(ok, F.col("_title")).alias("title"),
+                   F.when(ok, F.col("_artist")).alias("artist"),
+                   F.when(ok, F.col("_tid")).alias("track_id"),
+                   vstr(vfield("_s", "source_file")).alias("source_file"))
+    return out
 
 
 def build_messages(df: DataFrame, source_col: str, job_col: str, as_of,
