@@ -864,3 +864,177 @@ FROM ({IDS_SQL})
 def playlist_from_ids_summary(spark, d):
     _, summary = playlist.playlist_from_ids(_id_requests(spark, d), "playlist_name", "video_ids", AS_OF)
     return summary.select("page_id", "playlist_name", "error", "description", "total_videos_requested")
+
+
+# ---------------------------------------------------------------- O13 - O21 extraction from pages
+LI_RULES = pages.ExtractRules(row_pattern=r"<li>(.*?)</li>", title_href="/", id_pattern=r"^/([^/]+)$",
+                              host="https://www.example.com", artist_href="/", label_href="/", genre_href="/")
+ARTICLE_RULES = pages.ExtractRules(row_pattern=r"(?s)<article>(.*?)</article>")
+
+LINK_SQL = r'<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
+
+
+def _extract_sql(row_pattern: str, title_href: str, id_pattern: str, host: str, other_href: str) -> str:
+    clean = S.strip(S.html_text("t[i]"))
+    own = S.strip(S.html_text("x"))
+    stop = "('track', 'title', 'artist', 'label', 'genre', 'bpm', 'key')"
+    text = S.html_text("row_html")
+    return f"""
+WITH r AS (SELECT page_id, CAST(o AS INTEGER) AS position, row_html
+           FROM pages, unnest(regexp_extract_all(html, '{row_pattern}', 1)) WITH ORDINALITY AS u(row_html, o)),
+l AS (SELECT *, regexp_extract_all(row_html, '{LINK_SQL}', 1) AS h,
+             list_transform(regexp_extract_all(row_html, '{LINK_SQL}', 2), lambda t_: t_) AS traw FROM r),
+c AS (SELECT *, list_transform(traw, lambda x: {S.strip(S.html_text("x"))}) AS t FROM l),
+f AS (SELECT *,
+  list_filter(generate_series(1, len(h)), lambda i: contains(h[i], '{title_href}') AND length(t[i]) > 3)[1] AS ti,
+  list_filter(list_transform(regexp_extract_all(row_html, '<(?:span|div|p)\\b[^>]*>([^<]*)', 1), lambda x: {own}),
+              lambda x: length(x) > 5 AND lower(x) NOT IN {stop} AND NOT regexp_matches(x, '^\\p{{Nd}}+$')
+                        AND NOT regexp_matches(x, '^\\d+[A-G]?$'))[1] AS fb,
+  list_filter(generate_series(1, len(h)), lambda i: contains(h[i], '{other_href}'))[1] AS oi,
+  list_transform(list_filter(generate_series(1, len(h)), lambda i: contains(h[i], '{other_href}') AND length(t[i]) > 1),
+                 lambda i: t[i]) AS arts,
+  TRY_CAST(nullif(regexp_extract({text}, '(?i)(\\d{{2,3}})\\s*BPM', 1), '') AS INTEGER) AS num,
+  nullif(regexp_extract({text}, '(?i)([A-G](?:#|b)?\\s+(?:Major|Minor))', 1), '') AS mkey
+  FROM c)
+SELECT page_id, position, coalesce(t[ti], fb) AS title,
+  CASE WHEN ti IS NOT NULL THEN nullif(regexp_extract(h[ti], '{id_pattern}', 1), '') END AS beatport_id,
+  CASE WHEN ti IS NOT NULL AND nullif(regexp_extract(h[ti], '{id_pattern}', 1), '') IS NOT NULL
+       THEN CASE WHEN starts_with(h[ti], '/') THEN '{host}' || h[ti] ELSE h[ti] END END AS url,
+  nullif(array_to_string(arts, ', '), '') AS artist,
+  nullif(t[oi], '') AS label, nullif(t[oi], '') AS genre,
+  CASE WHEN num BETWEEN 80 AND 200 THEN num END AS bpm, mkey AS "key"
+FROM f
+"""
+
+
+EXTRACT_LI_SQL = _extract_sql(LI_RULES.row_pattern, "/", LI_RULES.id_pattern, LI_RULES.host, "/")
+
+
+def _extracted(spark, d, rules) -> DataFrame:
+    rows = pages.split_rows(table(spark, d, "pages").select("page_id", "html"), "html", rules.row_pattern)
+    return pages.extract_fields(rows.where(F.col("row_count") > 0), rules)
+
+
+FIELDS = ["page_id", "position", "title", "beatport_id", "url", "artist", "label", "genre", "bpm", "key"]
+
+
+@register("extract_rows", EXTRACT_LI_SQL)
+def extract_rows(spark, d):
+    return _extracted(spark, d, LI_RULES).select(*FIELDS)
+
+
+@register("valid_rows", f"""
+SELECT * FROM ({EXTRACT_LI_SQL}) WHERE coalesce(title, '') <> '' AND coalesce(artist, '') <> ''
+""")
+def valid_rows(spark, d):
+    return pages.valid_rows(_extracted(spark, d, LI_RULES)).select(*FIELDS)
+
+
+@register("assemble_snapshot", f"""
+SELECT page_id, CAST(count(*) AS BIGINT) AS track_count, 'beatport-top100-20240201-000000' AS playlist_id,
+  min(position) AS first_position, arg_min(title, position) AS first_title
+FROM ({EXTRACT_LI_SQL}) WHERE coalesce(title, '') <> '' AND coalesce(artist, '') <> '' GROUP BY page_id
+""")
+def assemble_snapshot(spark, d):
+    valid = pages.valid_rows(_extracted(spark, d, LI_RULES)).withColumn("track_id", content_key("artist", "title"))
+    snap = pages.assemble_snapshot(valid, "page_id", AS_OF)
+    return snap.select("page_id", "track_count", "playlist_id",
+                       F.col("tracks")[0]["position"].alias("first_position"),
+                       F.col("tracks")[0]["title"].alias("first_title"))
+
+
+@register("title_fallback", f"""
+SELECT page_id, title FROM ({_extract_sql(ARTICLE_RULES.row_pattern, '/track/', ARTICLE_RULES.id_pattern,
+                                          ARTICLE_RULES.host, '/artist/')})
+""")
+def title_fallback(spark, d):
+    return _extracted(spark, d, ARTICLE_RULES).select("page_id", "title")
+
+
+BPM_TEXT_SQL = ("l_returnflag || ' ' || CAST(CAST(l_quantity * 5 AS INTEGER) AS VARCHAR) || 'BPM ' || "
+                "substr('ABCDEFG', l_linenumber, 1) || CASE WHEN l_linestatus = 'O' THEN 'b' ELSE '' END || ' minor'")
+
+
+@register("number_and_pattern", f"""
+SELECT l_orderkey, l_linenumber,
+  CASE WHEN TRY_CAST(nullif(regexp_extract({BPM_TEXT_SQL}, '(?i)(\\d{{2,3}})\\s*BPM', 1), '') AS INTEGER) BETWEEN 80 AND 200
+       THEN TRY_CAST(nullif(regexp_extract({BPM_TEXT_SQL}, '(?i)(\\d{{2,3}})\\s*BPM', 1), '') AS INTEGER) END AS bpm,
+  nullif(regexp_extract({BPM_TEXT_SQL}, '(?i)([A-G](?:#|b)?\\s+(?:Major|Minor))', 1), '') AS "key"
+FROM lineitem
+""")
+def number_and_pattern(spark, d):
+    li = table(spark, d, "lineitem")
+    text = F.concat(F.col("l_returnflag"), F.lit(" "), (F.col("l_quantity") * 5).cast("int").cast("string"),
+                    F.lit("BPM "), F.substring(F.lit("ABCDEFG"), F.col("l_linenumber"), F.lit(1)),
+                    F.when(F.col("l_linestatus") == "O", "b").otherwise(""), F.lit(" minor"))
+    return li.select("l_orderkey", "l_linenumber", pages.number_with_unit(text).alias("bpm"),
+                     pages.pattern_extract(text).alias("key"))
+
+
+# ---------------------------------------------------------------- O01 / O22 / O23 / O24 / O25 documents from events
+def _event_docs(spark, d) -> DataFrame:
+    """One JSON document per event, in the shapes snapshot files take:
+    click = ``tracks`` list (second record has an empty title), view =
+    ``playlist.tracks`` with an artist list, purchase = first record-like
+    array field after a non-record one, signup = root array with rank 0,
+    error = unreadable text."""
+    e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    uid = F.concat(F.lit("user "), F.col("user_id").cast("string"))
+    k = F.col("k").cast("string")
+    click = F.to_json(F.struct(F.lit("chart").alias("name"), F.array(
+        F.struct(F.concat(F.lit("Track "), k).alias("title"), uid.alias("artist"), F.col("k").alias("rank"),
+                 F.lit("").alias("genre")),
+        F.struct(F.lit("").alias("title"), uid.alias("artist"), F.col("k").alias("rank"),
+                 F.lit("x").alias("genre"))).alias("tracks")))
+    view = F.to_json(F.struct(F.struct(F.array(F.struct(
+        F.concat(F.lit("View "), k).alias("track"), F.array(uid, F.lit("guest")).alias("artists"))).alias("tracks"))
+        .alias("playlist")))
+    purchase = F.to_json(F.struct(F.array(F.col("k")).alias("meta"), F.array(F.struct(
+        F.concat(F.lit("Buy "), k, F.lit("!")).alias("name"), uid.alias("artist"), F.col("k").alias("position")))
+        .alias("items")))
+    signup = F.to_json(F.array(F.struct(F.concat(F.lit("  Hello "), k).alias("title"), uid.alias("artist"),
+                                        F.lit(0).alias("rank"), F.col("k").alias("position"))))
+    doc = (F.when(F.col("event_type") == "click", click).when(F.col("event_type") == "view", view)
+            .when(F.col("event_type") == "purchase", purchase).when(F.col("event_type") == "signup", signup)
+            .otherwise(F.concat(F.lit("not json "), F.col("event_id").cast("string"))))
+    return e.select("event_id", doc.alias("json"))
+
+
+DOCS_SQL = f"""
+WITH e AS (SELECT event_id, event_type, 'user ' || user_id AS artist, CAST(props->>'k' AS INTEGER) AS k FROM events),
+recs AS (
+  SELECT event_id, 0 AS rec_pos, 'Track ' || k AS title, artist, CAST(nullif(k, 0) AS BIGINT) AS rank, '' AS genre
+  FROM e WHERE event_type = 'click'
+  UNION ALL SELECT event_id, 0, 'View ' || k, artist || ', guest', NULL, '' FROM e WHERE event_type = 'view'
+  UNION ALL SELECT event_id, 0, 'Buy ' || k || '!', artist, CAST(k AS BIGINT), '' FROM e WHERE event_type = 'purchase'
+  UNION ALL SELECT event_id, 0, 'Hello ' || k, artist, CAST(k AS BIGINT), '' FROM e WHERE event_type = 'signup')
+SELECT event_id, CAST(rec_pos AS INTEGER) AS rec_pos, title, artist, rank, genre, {S.key('artist', 'title')} AS track_id
+FROM recs
+"""
+
+
+def _normalized_docs(spark, d) -> DataFrame:
+    docs = records.locate_records(_event_docs(spark, d), "json")
+    return records.normalize_records(docs)
+
+
+@register("normalize_records", DOCS_SQL)
+def normalize_records(spark, d):
+    return _normalized_docs(spark, d).select("event_id", "rec_pos", "title", "artist", "rank", "genre", "track_id")
+
+
+@register("locate_records", """
+SELECT event_id, CAST(rec_pos AS INTEGER) AS rec_pos FROM (
+  SELECT event_id, unnest(CASE event_type WHEN 'click' THEN [0, 1] WHEN 'error' THEN [] ELSE [0] END) AS rec_pos
+  FROM events)
+""")
+def locate_records(spark, d):
+    return records.locate_records(_event_docs(spark, d), "json").select("event_id", "rec_pos")
+
+
+@register("sparse_records", f"""
+SELECT event_id, rec_pos, title, nullif(genre, '') AS genre FROM ({DOCS_SQL})
+""")
+def sparse_records(spark, d):
+    n = _normalized_docs(spark, d).select("event_id", "rec_pos", "title", "genre")
+    return records.sparse(n, ["genre"])

@@ -80,7 +80,7 @@ def extract_fields(rows: DataFrame, rules: ExtractRules, row_col: str = "row_htm
     stop = F.array(*[F.lit(w) for w in FALLBACK_STOP_WORDS])
     fallback = F.get(F.filter(own, lambda t: (F.length(t) > rules.fallback_min_len)
                               & ~F.array_contains(stop, F.lower(t))
-                              & ~t.rlike(r"^\d+$") & ~t.rlike(r"^\d+[A-G]?$")), 0)
+                              & ~t.rlike(r"^\p{Nd}+$") & ~t.rlike(r"^\d+[A-G]?$")), 0)
     artists = F.filter(links, lambda l: l["href"].contains(rules.artist_href) & (F.length(l["text"]) > 1))
     artist = F.nullif(F.array_join(F.transform(artists, lambda l: l["text"]), ", "), F.lit(""))
 
