@@ -1038,3 +1038,54 @@ SELECT event_id, rec_pos, title, nullif(genre, '') AS genre FROM ({DOCS_SQL})
 def sparse_records(spark, d):
     n = _normalized_docs(spark, d).select("event_id", "rec_pos", "title", "genre")
     return records.sparse(n, ["genre"])
+
+
+# ---------------------------------------------------------------- O02 / O03 / O01 snapshot files round trip
+def _chart_docs(spark, d) -> DataFrame:
+    """One snapshot document per monthly chart (<= 100 tracks, the chart size)."""
+    chart = _chart(spark, d).withColumn(
+        "track", F.struct(F.col("position"), F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")).alias("title"),
+                          F.lit("orders chart").alias("artist"), F.col("o_custkey").cast("string").alias("beatport_id")))
+    return (chart.groupBy("month")
+                 .agg(F.array_sort(F.collect_list("track")).alias("tracks"))
+                 .select(F.concat(F.lit("chart-"), F.col("month")).alias("playlist_id"),
+                         F.lit("Monthly chart").alias("name"), F.size("tracks").alias("track_count"), "tracks",
+                         F.to_timestamp(F.concat(F.col("month"), F.lit("-01"))).alias("created_at")))
+
+
+def _written_charts(spark, d) -> str:
+    from rankflow.session import work_dir
+    from rankflow.sources.snapshots import write_snapshots
+    path = work_dir(spark, "snapshots")
+    write_snapshots(_chart_docs(spark, d), path, "created_at", source="chart")
+    return path
+
+
+@register("snapshot_roundtrip", f"""
+SELECT month, CAST(position - 1 AS INTEGER) AS rec_pos, 'Customer ' || o_custkey AS title,
+  'orders chart' AS artist, position AS rank, {S.key("'orders chart'", "'Customer ' || o_custkey")} AS track_id
+FROM ({CHART_SQL})
+""")
+def snapshot_roundtrip(spark, d):
+    from rankflow.sources.snapshots import read_snapshots
+    path = _written_charts(spark, d)
+    docs = read_snapshots(spark, path).withColumn(
+        "month", F.regexp_extract("path", r"year=(\d{4})/month=(\d{2})", 1))
+    docs = docs.withColumn("month", F.concat(F.col("month"), F.lit("-"),
+                                             F.regexp_extract("path", r"month=(\d{2})", 1)))
+    recs = records.normalize_records(records.locate_records(docs.drop("doc"), "json"))
+    return recs.select("month", "rec_pos", "title", "artist", "rank", "track_id")
+
+
+@register("list_snapshot_files", f"""
+SELECT strftime(strptime(month || '-01', '%Y-%m-%d'), '%Y/%m/%d') AS snapshot_date, count(*) AS objects
+FROM (SELECT DISTINCT month FROM ({CHART_SQL})) WHERE month LIKE '1997-%' GROUP BY 1
+""")
+def list_snapshot_files(spark, d):
+    from rankflow.sources.snapshots import list_snapshot_files as lsf
+    path = _written_charts(spark, d)
+    files = lsf(spark, path, date_prefix="1997/")
+    date = F.regexp_extract("key", r"year=(\d{4})/month=(\d{2})/day=(\d{2})", 0)
+    return (files.select(F.regexp_replace(F.regexp_replace(F.regexp_replace(date, "year=", ""), "month=", ""),
+                                          "day=", "").alias("snapshot_date"))
+                 .groupBy("snapshot_date").agg(F.count(F.lit(1)).alias("objects")))

@@ -19,7 +19,7 @@ def parse_snapshots(df: DataFrame, text_col: str = "json") -> DataFrame:
     return df.withColumn("doc", F.try_parse_json(F.col(text_col)))
 
 
-def read_snapshots(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
+def read_snapshots(spark: SparkSession, path: str, glob: str = "*.json*") -> DataFrame:
     """Whole-object UTF-8 reads -> (path, json, doc).
 
     ``wholetext`` keeps one row per object; every object is its own split, so
@@ -39,19 +39,31 @@ def write_snapshots(df: DataFrame, path: str, ts_col: str, source: str = "snapsh
              .withColumn("year", F.date_format(ts, "yyyy"))
              .withColumn("month", F.date_format(ts, "MM"))
              .withColumn("day", F.date_format(ts, "dd")))
-    (out.write.mode(mode).partitionBy("year", "month", "day").option("compression", "gzip").json(path))
+    (out.write.mode(mode).partitionBy("year", "month", "day").json(path))
+
+
+PARTITION_LEVELS = ["year", "month", "day"]
+
+
+def date_prefix_path(date_prefix: str | None) -> str:
+    """``YYYY[/MM[/DD]]`` -> ``year=YYYY[/month=MM[/day=DD]]`` (trailing / stripped)."""
+    if not date_prefix:
+        return ""
+    parts = [p for p in date_prefix.rstrip("/").split("/") if p]
+    return "/".join(f"{lvl}={p}" for lvl, p in zip(PARTITION_LEVELS, parts))
 
 
 def list_snapshot_files(spark: SparkSession, path: str, date_prefix: str | None = None,
-                        glob: str = "*.json") -> DataFrame:
+                        glob: str = "*.json*") -> DataFrame:
     """O03 over storage: objects under ``path[/date_prefix]`` newest first.
 
-    A prefix such as ``2024/07`` is a sub-folder, so only it is listed; all
-    listing pages are read.
+    A prefix such as ``2024/07`` maps to the partition folder
+    ``year=2024/month=07``, so only that folder is listed; all listing pages
+    are read.
     """
     root = path.rstrip("/")
     if date_prefix:
-        root = f"{root}/{date_prefix.rstrip('/')}"
+        root = f"{root}/{date_prefix_path(date_prefix)}"
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", glob).load(root)
              .select(F.col("path").alias("key"), F.col("length").alias("size"),
