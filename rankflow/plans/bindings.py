@@ -633,8 +633,12 @@ def outcome_summary(spark, d):
 
 # ---------------------------------------------------------------- O06 / O45 / O43 / O44 / O08 messages
 def _messages(spark, d) -> DataFrame:
-    """Doubly encoded fan-out messages built from events."""
-    e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return _messages_from(table(spark, d, "events"))
+
+
+def _messages_from(e: DataFrame) -> DataFrame:
+    """Doubly encoded fan-out messages built from events (batch or stream)."""
+    e = e.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     title = F.when((F.col("event_type") == "purchase") & (F.col("value") < 10), F.lit("  ")) \
              .otherwise(F.concat(F.lit("Track "), F.col("k").cast("string")))
     artist = F.concat(F.lit("user "), F.col("user_id").cast("string"))
@@ -647,11 +651,15 @@ def _messages(spark, d) -> DataFrame:
     body = (F.when(F.col("event_type") == "signup", F.to_json(F.struct(F.lit("Notification").alias("Type"))))
              .when(F.col("event_type") == "error", F.concat(F.lit("oops "), F.col("event_id").cast("string")))
              .otherwise(F.to_json(F.struct(inner.alias("Message")))))
-    return e.select("event_id", "user_id", "k", "event_type", body.alias("body"))
+    return e.select("event_id", "ts", "user_id", "k", "event_type", body.alias("body"))
 
 
 def _classified(spark, d) -> DataFrame:
-    msgs = envelopes.decode_messages(_messages(spark, d))
+    return _classify_from(spark, d, _messages(spark, d))
+
+
+def _classify_from(spark, d, messages: DataFrame) -> DataFrame:
+    msgs = envelopes.decode_messages(messages)
     # catalogue: what click events put in the catalogue, keyed by content key
     catalog = (table(spark, d, "events").where(F.col("event_type") == "click")
                .select(content_key(F.concat(F.lit("user "), F.col("user_id").cast("string")),
@@ -973,12 +981,16 @@ def number_and_pattern(spark, d):
 
 # ---------------------------------------------------------------- O01 / O22 / O23 / O24 / O25 documents from events
 def _event_docs(spark, d) -> DataFrame:
+    return _event_docs_from(table(spark, d, "events"))
+
+
+def _event_docs_from(e: DataFrame) -> DataFrame:
     """One JSON document per event, in the shapes snapshot files take:
     click = ``tracks`` list (second record has an empty title), view =
     ``playlist.tracks`` with an artist list, purchase = first record-like
     array field after a non-record one, signup = root array with rank 0,
     error = unreadable text."""
-    e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    e = e.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     uid = F.concat(F.lit("user "), F.col("user_id").cast("string"))
     k = F.col("k").cast("string")
     click = F.to_json(F.struct(F.lit("chart").alias("name"), F.array(
@@ -997,7 +1009,8 @@ def _event_docs(spark, d) -> DataFrame:
     doc = (F.when(F.col("event_type") == "click", click).when(F.col("event_type") == "view", view)
             .when(F.col("event_type") == "purchase", purchase).when(F.col("event_type") == "signup", signup)
             .otherwise(F.concat(F.lit("not json "), F.col("event_id").cast("string"))))
-    return e.select("event_id", doc.alias("json"))
+    return e.select("event_id", doc.alias("json"),
+                    F.concat(F.lit("events/"), F.date_format("ts", "yyyy/MM/dd"), F.lit(".json")).alias("source_file"))
 
 
 DOCS_SQL = f"""
@@ -1020,7 +1033,7 @@ def _normalized_docs(spark, d) -> DataFrame:
 
 @register("normalize_records", DOCS_SQL)
 def normalize_records(spark, d):
-    return _normalized_docs(spark, d).select("event_id", "rec_pos", "title", "artist", "rank", "genre", "track_id")
+    return _normalized_docs(spark, d).drop("source_file").select("event_id", "rec_pos", "title", "artist", "rank", "genre", "track_id")
 
 
 @register("locate_records", """
@@ -1029,7 +1042,7 @@ SELECT event_id, CAST(rec_pos AS INTEGER) AS rec_pos FROM (
   FROM events)
 """)
 def locate_records(spark, d):
-    return records.locate_records(_event_docs(spark, d), "json").select("event_id", "rec_pos")
+    return records.locate_records(_event_docs(spark, d).drop("source_file"), "json").select("event_id", "rec_pos")
 
 
 @register("sparse_records", f"""
@@ -1089,3 +1102,118 @@ def list_snapshot_files(spark, d):
     return (files.select(F.regexp_replace(F.regexp_replace(F.regexp_replace(date, "year=", ""), "month=", ""),
                                           "day=", "").alias("snapshot_date"))
                  .groupBy("snapshot_date").agg(F.count(F.lit(1)).alias("objects")))
+
+
+# ---------------------------------------------------------------- O50 - O53 streaming over the events files
+def _events_stream(spark, d) -> DataFrame:
+    from rankflow.streaming import file_stream
+    schema = table(spark, d, "events").schema
+    return file_stream(spark, d, schema, glob="events.parquet")
+
+
+def _run(query) -> None:
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+
+
+def _ingested(spark, d) -> str:
+    from rankflow.session import work_dir
+    from rankflow.streaming import ingest_stream
+    # known tracks: everything click documents carry (derived from events by Spark)
+    known = _normalized_docs(spark, d).join(table(spark, d, "events").where(F.col("event_type") == "click")
+                                             .select("event_id"), "event_id", "left_semi").select("track_id")
+    out = work_dir(spark, "ingest")
+    _run(ingest_stream(_event_docs_from(_events_stream(spark, d)), known, out, f"{out}/_checkpoint", AS_OF))
+    return out
+
+
+@register("stream_ingest", f"""
+SELECT event_id, rec_pos, track_id FROM ({DOCS_SQL})
+WHERE track_id NOT IN (SELECT {S.key("'user ' || user_id", "'Track ' || (props->>'k')")} FROM events WHERE event_type = 'click')
+""")
+def stream_ingest(spark, d):
+    out = _ingested(spark, d)
+    return spark.read.parquet(f"{out}/records").select("event_id", "rec_pos", "track_id")
+
+
+@register("stream_ingest_jobs", f"""
+SELECT sha256(source_file) AS job_id, source_file, count(*) AS expected_count
+FROM (SELECT 'events/' || strftime(e.ts, '%Y/%m/%d') || '.json' AS source_file
+      FROM ({DOCS_SQL}) r JOIN events e USING (event_id)
+      WHERE r.track_id NOT IN (SELECT {S.key("'user ' || user_id", "'Track ' || (props->>'k')")} FROM events WHERE event_type = 'click'))
+GROUP BY source_file
+""")
+def stream_ingest_jobs(spark, d):
+    out = _ingested(spark, d)
+    # one job per source and batch; summed over batches for the whole stream
+    return (spark.read.parquet(f"{out}/jobs").groupBy("job_id", "source_file")
+                 .agg(F.sum("expected_count").alias("expected_count")))
+
+
+def _stream_outcomes(spark, d) -> DataFrame:
+    """Classified outcomes of the message stream; purchase messages are
+    delivered twice (at-least-once delivery)."""
+    s = _events_stream(spark, d)
+    copies = F.when(F.col("event_type") == "purchase", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    s = s.withColumn("_copy", F.explode(copies)).drop("_copy")
+    return _classify_from(spark, d, _messages_from(s))
+
+
+@register("stream_dead_letters", f"""
+SELECT event_id, job_id, error AS failure_reason FROM ({CLASSIFIED_SQL}) WHERE status = 'not_found'
+""")
+def stream_dead_letters(spark, d):
+    from rankflow.session import work_dir
+    from rankflow.streaming import lookup_stream
+    out = work_dir(spark, "lookup")
+    base = _customer_tracks(spark, d, BASE_SEGMENTS).select(
+        "track_id", "title", "artist", "youtube_video_id", "youtube_url", "source", "created_at", "updated_at")
+    base.write.mode("overwrite").parquet(f"{out}/tracks/v=00000000")
+    outcomes = (_stream_outcomes(spark, d)
+                .withColumn("youtube_video_id", F.concat(F.lit("yt-"), F.col("event_id").cast("string")))
+                .withColumn("youtube_url", F.concat(F.lit("https://music.example/watch?v=yt-"),
+                                                    F.col("event_id").cast("string")))
+                .withColumn("track_id", content_key("artist", "title")))
+    _run(lookup_stream(outcomes, f"{out}/tracks", f"{out}/dlq", f"{out}/_checkpoint", AS_OF,
+                       id_col="event_id", ts_col="ts"))
+    return spark.read.parquet(f"{out}/dlq").select("event_id", "job_id", "failure_reason")
+
+
+def _progressed(spark, d) -> str:
+    from rankflow.session import work_dir
+    from rankflow.streaming import progress_stream
+    out = work_dir(spark, "progress")
+    spark.createDataFrame([], "job_id string, processed_count bigint").write.mode("overwrite") \
+        .parquet(f"{out}/progress/v=00000000")
+    _run(progress_stream(_stream_outcomes(spark, d), _event_jobs(spark, d), f"{out}/progress",
+                         f"{out}/completions", f"{out}/_checkpoint", AS_OF, id_col="event_id", ts_col="ts",
+                         bucket="charts-bucket"))
+    return out
+
+
+def _latest_version(spark, path: str) -> DataFrame:
+    versions = spark.read.parquet(path)
+    return versions.where(F.col("v") == versions.agg(F.max("v")).first()[0]).drop("v")
+
+
+@register("stream_progress", f"""
+SELECT job_id, count(*) FILTER (WHERE status IN ('success', 'not_found')) AS processed_count
+FROM ({CLASSIFIED_SQL}) WHERE coalesce(job_id, '') <> '' GROUP BY job_id
+""")
+def stream_progress(spark, d):
+    out = _progressed(spark, d)
+    return _latest_version(spark, f"{out}/progress").select("job_id", "processed_count")
+
+
+@register("stream_completions", f"""
+WITH p AS (SELECT job_id, count(*) FILTER (WHERE status IN ('success', 'not_found')) AS processed_count
+           FROM ({CLASSIFIED_SQL}) WHERE coalesce(job_id, '') <> '' GROUP BY job_id),
+j AS (SELECT 'job-' || user_id || '-' || strftime(ts, '%Y-%m-%d') AS job_id, count(*) AS expected_count
+      FROM events WHERE event_type <> 'signup' GROUP BY 1)
+SELECT j.job_id, j.expected_count, p.processed_count FROM j JOIN p USING (job_id)
+WHERE p.processed_count >= j.expected_count AND p.processed_count > 0
+""")
+def stream_completions(spark, d):
+    out = _progressed(spark, d)
+    return spark.read.parquet(f"{out}/completions").select("job_id", "expected_count", "processed_count")
