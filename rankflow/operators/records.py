@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankflow.functions.columns import where_once
 from rankflow.functions.text import content_key, py_strip
 from rankflow.functions.variant import vfield, vfirst_truthy, vstr, vtruthy, vtype
 
@@ -98,7 +99,7 @@ def normalize_records(df: DataFrame, rec_col: str = "record", source: str = NORM
         F.transform(_typed(F.col("_artist_v"), "array<variant>"), lambda e: vstr(e)), ", ")))
     artist_ok = F.when(F.col("_artist_list"), F.coalesce(F.col("_artist_joined") != F.lit(""), F.lit(False))) \
                  .otherwise(vtruthy("_artist_v"))
-    x = x.where(vtruthy("_title_v") & artist_ok)
+    x = where_once(x, vtruthy("_title_v") & artist_ok)
     keep = [c for c in df.columns if c != rec_col]
 
     def default_empty(n: str):

@@ -35,7 +35,7 @@ def register(name: str, sql: str | None):
 SELECT doc_id, {S.key('source', 'text')} AS track_key FROM documents
 """)
 def content_key_documents(spark, d):
-    docs = table(spark, d, "documents")
+    docs = table(spark, d, "documents", spread=True)
     return docs.select("doc_id", content_key("source", "text").alias("track_key"))
 
 
@@ -291,7 +291,7 @@ FROM benchmark b LEFT JOIN (SELECT * FROM best WHERE r = 1) x ON x.item_id = b.i
 """)
 def match_top1(spark, d):
     bench = table(spark, d, "benchmark")
-    docs = table(spark, d, "documents")
+    docs = table(spark, d, "documents", spread=True)
     return joins.match_top1(bench.select("item_id", "text"), docs, "item_id", "text", "doc_id", "text") \
         .select("item_id", "match_id", "overlap", "status")
 
@@ -586,7 +586,7 @@ def _notifications(spark, d) -> DataFrame:
     signup = not a queue record, error = unreadable body, view = not a storage
     event, purchase under 2.0 = location without key, click from 45.0 = body of
     the wrong JSON type; the rest are well-formed."""
-    e = table(spark, d, "events")
+    e = table(spark, d, "events", spread=True)
     key = F.concat(F.lit("charts/"), F.date_format("ts", "yyyy/MM/dd"), F.lit("/top+"),
                    F.col("event_id").cast("string"), F.lit("%2Ejson"))
     obj = F.when((F.col("event_type") == "purchase") & (F.col("value") < 2),
@@ -633,7 +633,7 @@ def outcome_summary(spark, d):
 
 # ---------------------------------------------------------------- O06 / O45 / O43 / O44 / O08 messages
 def _messages(spark, d) -> DataFrame:
-    return _messages_from(table(spark, d, "events"))
+    return _messages_from(table(spark, d, "events", spread=True))
 
 
 def _messages_from(e: DataFrame) -> DataFrame:
@@ -741,7 +741,7 @@ def dead_letters(spark, d):
 
 # ---------------------------------------------------------------- O27 / O28 requests
 def _requests(spark, d) -> DataFrame:
-    e = table(spark, d, "events")
+    e = table(spark, d, "events", spread=True)
     uid = F.col("user_id").cast("string")
     job = F.to_json(F.struct(F.lit("music-search.orchestrator").alias("source"),
                              F.lit("Job Completed").alias("detail-type"),
@@ -842,7 +842,7 @@ def playlist_summary(spark, d):
 
 # ---------------------------------------------------------------- O47 direct id lists from pages
 def _id_requests(spark, d) -> DataFrame:
-    p = table(spark, d, "pages")
+    p = table(spark, d, "pages", spread=True)
     return p.select("page_id", F.col("url").alias("playlist_name"),
                     F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), 1).alias("video_ids"))
 
@@ -919,7 +919,7 @@ EXTRACT_LI_SQL = _extract_sql(LI_RULES.row_pattern, "/", LI_RULES.id_pattern, LI
 
 
 def _extracted(spark, d, rules) -> DataFrame:
-    rows = pages.split_rows(table(spark, d, "pages").select("page_id", "html"), "html", rules.row_pattern)
+    rows = pages.split_rows(table(spark, d, "pages", spread=True).select("page_id", "html"), "html", rules.row_pattern)
     return pages.extract_fields(rows.where(F.col("row_count") > 0), rules)
 
 
@@ -981,7 +981,7 @@ def number_and_pattern(spark, d):
 
 # ---------------------------------------------------------------- O01 / O22 / O23 / O24 / O25 documents from events
 def _event_docs(spark, d) -> DataFrame:
-    return _event_docs_from(table(spark, d, "events"))
+    return _event_docs_from(table(spark, d, "events", spread=True))
 
 
 def _event_docs_from(e: DataFrame) -> DataFrame:
@@ -1108,7 +1108,8 @@ def list_snapshot_files(spark, d):
 def _events_stream(spark, d) -> DataFrame:
     from rankflow.streaming import file_stream
     schema = table(spark, d, "events").schema
-    return file_stream(spark, d, schema, glob="events.parquet")
+    from rankflow.session import spread
+    return spread(file_stream(spark, d, schema, glob="events.parquet"))
 
 
 def _run(query) -> None:

@@ -15,8 +15,13 @@ AS_OF = _dt.datetime(2024, 2, 1, 0, 0, 0)
 AS_OF_SQL = "TIMESTAMP '2024-02-01 00:00:00'"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A driver table; ``spread`` for CPU-heavy per-row work (see session.spread)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread:
+        from rankflow.session import spread as _spread
+        return _spread(df)
+    return df
 
 
 def ts_strings(df: DataFrame) -> DataFrame:

@@ -71,3 +71,18 @@ def is_local(path: str) -> bool:
 def ensure_parent(path: str) -> None:
     if is_local(path):
         os.makedirs(path.replace("file:", ""), exist_ok=True)
+
+
+def spread(df):
+    """Round-robin ``df`` over the cluster's cores when the scan produced
+    fewer partitions than cores (small files, one row group), so CPU-heavy
+    per-row work (JSON, regex, hashing) is not run by one task.  At scale the
+    scan already yields many splits and this is a no-op.  Round-robin
+    repartition sorts before distributing, so a retried task sees the same
+    rows (``spark.sql.execution.sortBeforeRepartition``)."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming:
+        return df.repartition(target)
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankflow.functions.columns import with_columns_once
 from rankflow.functions.text import py_strip
 from rankflow.functions.variant import vfield, vstr, vtruthy, vtype
 
@@ -112,15 +113,16 @@ def decode_messages(df: DataFrame, body_col: str = "body") -> DataFrame:
               .when(~_is_obj(F.col("_track")), "undecodable")
               .when(F.col("_title").isNull() | F.col("_artist").isNull() | F.col("_tid").isNull(), "undecodable")
               .otherwise("ok"))
-    x = x.withColumn("message_state", state)
-    ok = F.col("message_state") == "ok"
-    out = x.select(*df.columns, "message_state",
-                   F.when(F.is_variant_null("_job"), F.lit(None)).otherwise(vstr("_job")).alias("job_id"),
-                   F.when(ok, F.col("_title")).alias("title"),
-                   F.when(ok, F.col("_artist")).alias("artist"),
-                   F.when(ok, F.col("_tid")).alias("track_id"),
-                   vstr(vfield("_s", "source_file")).alias("source_file"))
-    return out
+    x = x.withColumn("_state", state)
+    ok = F.col("_state") == "ok"
+    return with_columns_once(x, {
+        "message_state": F.col("_state"),
+        "job_id": F.when(F.is_variant_null("_job"), F.lit(None)).otherwise(vstr("_job")),
+        "title": F.when(ok, F.col("_title")),
+        "artist": F.when(ok, F.col("_artist")),
+        "track_id": F.when(ok, F.col("_tid")),
+        "source_file": vstr(vfield("_s", "source_file")),
+    }, keep=df.columns)
 
 
 def build_messages(df: DataFrame, source_col: str, job_col: str, as_of,
