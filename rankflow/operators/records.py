@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.functions.columns import where_once
+from rankflow.functions.columns import where_once, with_columns_once
 from rankflow.functions.text import content_key, py_strip
 from rankflow.functions.variant import vfield, vfirst_truthy, vstr, vtruthy, vtype
 
@@ -106,23 +106,23 @@ def normalize_records(df: DataFrame, rec_col: str = "record", source: str = NORM
         v = f(n)
         return F.when(v.isNull(), F.lit("")).when(F.is_variant_null(v), F.lit(None)).otherwise(vstr(v))
 
-    out = x.select(
-        *keep,
-        py_strip(vstr("_title_v")).alias("title"),
-        py_strip(F.when(F.col("_artist_list"), F.col("_artist_joined")).otherwise(vstr("_artist_v"))).alias("artist"),
-        default_empty("album").alias("album"),
-        default_empty("genre").alias("genre"),
-        default_empty("label").alias("label"),
-        _typed(f("bpm"), "bigint").alias("bpm"),
-        default_empty("key").alias("key"),
-        _typed(F.col("_rank_v"), "bigint").alias("rank"),
-        _typed(f("rating"), "double").alias("rating"),
-        vstr("_rel_v").alias("release_date"),
-        vstr("_url_v").alias("beatport_url"),
-        vstr("_id_v").alias("beatport_id"),
-        F.to_json(r).alias("original_data"),
-        F.lit(source).alias("source"),
-    )
+    out = with_columns_once(x, {
+        "title": py_strip(vstr("_title_v")),
+        "artist": py_strip(F.when(F.col("_artist_list"), F.col("_artist_joined")).otherwise(vstr("_artist_v"))),
+        "album": default_empty("album"),
+        "genre": default_empty("genre"),
+        "label": default_empty("label"),
+        "bpm": _typed(f("bpm"), "bigint"),
+        "key": default_empty("key"),
+        "rank": _typed(F.col("_rank_v"), "bigint"),
+        "rating": _typed(f("rating"), "double"),
+        "release_date": vstr("_rel_v"),
+        "beatport_url": vstr("_url_v"),
+        "beatport_id": vstr("_id_v"),
+        "original_data": F.to_json(r),
+        "source": F.lit(source),
+    }, keep=keep)
+    # computed above the generator: predicates on the key stop there
     return out.withColumn("track_id", content_key("artist", "title"))
 
 

@@ -1121,9 +1121,10 @@ def _run(query) -> None:
 def _ingested(spark, d) -> str:
     from rankflow.session import work_dir
     from rankflow.streaming import ingest_stream
-    # known tracks: everything click documents carry (derived from events by Spark)
-    known = _normalized_docs(spark, d).join(table(spark, d, "events").where(F.col("event_type") == "click")
-                                             .select("event_id"), "event_id", "left_semi").select("track_id")
+    # known tracks: the content keys of what click events put in the catalogue
+    known = (table(spark, d, "events").where(F.col("event_type") == "click")
+             .select(content_key(F.concat(F.lit("user "), F.col("user_id").cast("string")),
+                                 F.concat(F.lit("Track "), F.get_json_object("props", "$.k"))).alias("track_id")))
     out = work_dir(spark, "ingest")
     _run(ingest_stream(_event_docs_from(_events_stream(spark, d)), known, out, f"{out}/_checkpoint", AS_OF))
     return out
