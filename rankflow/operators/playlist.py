@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankflow.functions.variant import vfield, vtruthy, vtype
+from rankflow.operators.ordinal import ordinal_in_group
 
 # Fixed values used in request routing, messages and links.
 ORCHESTRATOR_SOURCE = "music-search.orchestrator"
@@ -59,10 +60,11 @@ def playlist_items(enriched: DataFrame, group: list[str], order: list[str], valu
     order; duplicates are kept and a failed add does not renumber the rest.
 
     ``add_status`` (keys + ``add_error``) models the external insert result:
-    rows with an error are failures reported at ``position + 1``.
+    rows with an error are failures reported at ``position + 1``.  Positions
+    come from ``ordinal_in_group``, so one huge playlist is numbered by many
+    tasks.
     """
-    w = Window.partitionBy(*group).orderBy(*order)
-    items = enriched.withColumn("position", F.row_number().over(w) - 1)
+    items = ordinal_in_group(enriched, group, order, "position")
     if add_status is not None:
         items = items.join(add_status, on=status_keys, how="left")
     else:

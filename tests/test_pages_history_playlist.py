@@ -89,3 +89,13 @@ def test_route_validate_playlists(spark):
     assert rows(summ, "name", "error", "total_videos_requested") == [
         ("", "playlist_name is required", None), ("m", "video_ids array is required and cannot be empty", None),
         ("n", None, 2)]
+
+
+def test_ordinal_in_group_with_hot_group(spark):
+    from rankflow.operators.ordinal import ordinal_in_group
+    data = [("hot", i) for i in range(3000)] + [(f"g{i % 7}", i) for i in range(700)]
+    df = spark.createDataFrame(data, "g string, o int")
+    got = ordinal_in_group(df, ["g"], ["o"], "pos", partitions=6)
+    w = Window.partitionBy("g").orderBy("o")
+    brute = df.withColumn("pos", (F.row_number().over(w) - 1).cast("int"))
+    assert rows(got, "g", "o", "pos") == rows(brute, "g", "o", "pos")
