@@ -97,21 +97,64 @@ def tokens(c) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(c), TOKEN_SPLIT), lambda t: t != ""))
 
 
+HOT_TOKEN_DF = 50_000
+
+
+def _best(pairs: DataFrame, score: str) -> DataFrame:
+    """Best entry per query: highest score, then smallest id (partial aggregate)."""
+    return (pairs.groupBy("_qid")
+                 .agg(F.min(F.struct((-F.col(score)).alias("neg"), F.col("_cid").alias("cid"))).alias("_b"))
+                 .select("_qid", F.col("_b.cid").alias("_cid"), (-F.col("_b.neg")).alias("_ov")))
+
+
 def match_top1(queries: DataFrame, catalog: DataFrame, query_id: str, query_text: str | Column,
-               cat_id: str, cat_text: str | Column) -> DataFrame:
+               cat_id: str, cat_text: str | Column, hot_df: int = HOT_TOKEN_DF) -> DataFrame:
     """Best catalogue entry per query by shared distinct tokens, ties to
     the smallest id; queries with no shared token are ``not_found``.
 
-    Inverted-index plan: both sides are tokenised per row, joined on the token,
-    and (query, entry) overlaps are counted with a partial aggregate; the best
-    entry per query is a second partial aggregate (``min`` over a struct), so no
-    window over a whole query group is needed.
+    Exact, and without emitting every (query, entry) pair behind a token that
+    many entries carry.  Tokens with catalogue frequency above ``hot_df`` are
+    *hot* (``hot_df`` only moves work between the two paths, never the answer):
+
+    * cold path - join on cold tokens only (bounded fan-out per token), then
+      add each candidate's exact hot-token overlap by a keyed lookup of
+      (candidate, hot token) in the postings;
+    * hot path - an entry sharing only hot tokens scores at most |hot(q)|, so a
+      query whose best cold score already exceeds that is resolved; only the
+      remaining queries join on their hot tokens.
+
+    Cold scores are exact and hot-path scores never overestimate, so the
+    maximum (smallest id on ties) over both paths is the exact answer.
     """
     q = queries.select(F.col(query_id).alias("_qid"), F.explode(tokens(query_text)).alias("_tok"))
-    c = catalog.select(F.col(cat_id).alias("_cid"), F.explode(tokens(cat_text)).alias("_tok"))
-    overlap = q.join(c, "_tok").groupBy("_qid", "_cid").agg(F.count(F.lit(1)).alias("_ov"))
-    best = (overlap.groupBy("_qid")
-                   .agg(F.min(F.struct((-F.col("_ov")).alias("neg"), F.col("_cid").alias("cid"))).alias("_b"))
-                   .select("_qid", F.col("_b.cid").alias("match_id"), (-F.col("_b.neg")).alias("overlap")))
+    # Postings are tokenised once and hash-partitioned on the token; the
+    # frequency count and every token join reuse that exchange.  They grow with
+    # the catalogue's text, far beyond any file-size estimate, so they are never
+    # a broadcast candidate (sort-merge; measured faster than letting the planner
+    # choose here).
+    c = (catalog.select(F.col(cat_id).alias("_cid"), F.explode(tokens(cat_text)).alias("_tok"))
+                .repartition("_tok").hint("merge"))
+    freq = c.groupBy("_tok").agg(F.count(F.lit(1)).alias("_df"))
+    qf = q.join(freq, "_tok")                        # tokens absent from the catalogue cannot match
+    q_cold = qf.where(F.col("_df") <= hot_df).select("_qid", "_tok")
+    q_hot = qf.where(F.col("_df") > hot_df).select("_qid", "_tok")
+
+    cold = q_cold.join(c, "_tok").groupBy("_qid", "_cid").agg(F.count(F.lit(1)).alias("_cold"))
+    hot_of_cand = (cold.select("_qid", "_cid").join(q_hot, "_qid")
+                       .join(c, ["_cid", "_tok"], "left_semi")
+                       .groupBy("_qid", "_cid").agg(F.count(F.lit(1)).alias("_hot")))
+    exact = (cold.join(hot_of_cand, ["_qid", "_cid"], "left")
+                 .select("_qid", "_cid", (F.col("_cold") + F.coalesce(F.col("_hot"), F.lit(0))).alias("_score")))
+    best_cold = _best(exact, "_score")
+
+    n_hot = q_hot.groupBy("_qid").agg(F.count(F.lit(1)).alias("_k"))
+    unresolved = (n_hot.join(best_cold, "_qid", "left")
+                       .where(F.col("_ov").isNull() | (F.col("_ov") <= F.col("_k"))).select("_qid"))
+    hot_pairs = (q_hot.join(unresolved, "_qid", "left_semi").join(c, "_tok")
+                      .groupBy("_qid", "_cid").agg(F.count(F.lit(1)).alias("_score")))
+    best_hot = _best(hot_pairs, "_score")
+
+    best = _best(best_cold.unionByName(best_hot).withColumnRenamed("_ov", "_score"), "_score") \
+        .select("_qid", F.col("_cid").alias("match_id"), F.col("_ov").alias("overlap"))
     return (queries.join(best, queries[query_id] == best["_qid"], "left").drop("_qid")
                    .withColumn("status", F.when(F.col("match_id").isNull(), "not_found").otherwise("success")))

@@ -9,14 +9,16 @@ import uuid
 from pyspark.sql import SparkSession
 
 # Settings every rankflow job relies on.  Timestamps in the source documents are
-# ISO strings in UTC; AQE re-plans joins from runtime sizes (broadcast only when
-# the measured side is below the threshold) and splits skewed partitions.
+# ISO strings in UTC.  Static (estimate-based) broadcast is off: an estimate is
+# not a size bound (an exploded side is far larger than its file).  AQE
+# broadcasts only sides whose *measured* shuffle output is under the adaptive
+# threshold, and splits skewed partitions.
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",

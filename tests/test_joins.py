@@ -84,3 +84,30 @@ def test_match_top1_overlap_and_ties(spark):
                               "cid int, text string")
     got = rows(joins.match_top1(q, c, "qid", "text", "cid", "text"), "qid", "match_id", "overlap", "status")
     assert got == [(1, 10, 2, "success"), (2, 5, 1, "success"), (3, None, None, "not_found")]
+
+
+def _brute_top1(q, c):
+    out = {}
+    for qid, qt in q:
+        qs = set(t for t in qt.lower().split() if t)
+        best = None
+        for cid, ct in c:
+            ov = len(qs & set(ct.lower().split()))
+            if ov and (best is None or (-ov, cid) < (-best[1], best[0])):
+                best = (cid, ov)
+        out[qid] = best
+    return out
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("a b c d e f g h".split()), min_size=1, max_size=5), min_size=1, max_size=5),
+       st.lists(st.lists(st.sampled_from("a b c d e f g h".split()), min_size=1, max_size=6), min_size=1, max_size=12),
+       st.integers(0, 6))
+def test_property_match_top1_exact_for_any_hot_threshold(spark, qs, cs, hot_df):
+    q = [(i, " ".join(t)) for i, t in enumerate(qs)]
+    c = [(100 - i, " ".join(t)) for i, t in enumerate(cs)]
+    Q = spark.createDataFrame(q, "qid int, text string")
+    C = spark.createDataFrame(c, "cid int, text string")
+    got = {r.qid: (r.match_id, r.overlap) if r.match_id is not None else None
+           for r in joins.match_top1(Q, C, "qid", "text", "cid", "text", hot_df=hot_df).collect()}
+    assert got == _brute_top1(q, c)
