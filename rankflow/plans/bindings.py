@@ -1164,16 +1164,13 @@ def _stream_outcomes(spark, d) -> DataFrame:
     return _classify_from(spark, d, _messages_from(s))
 
 
-@register("stream_dead_letters", f"""
-SELECT event_id, job_id, error AS failure_reason FROM ({CLASSIFIED_SQL}) WHERE status = 'not_found'
-""")
-def stream_dead_letters(spark, d):
+def _looked_up(spark, d) -> str:
     from rankflow.session import work_dir
     from rankflow.streaming import lookup_stream
     out = work_dir(spark, "lookup")
     base = _customer_tracks(spark, d, BASE_SEGMENTS).select(
         "track_id", "title", "artist", "youtube_video_id", "youtube_url", "source", "created_at", "updated_at")
-    base.write.mode("overwrite").parquet(f"{out}/tracks/v=00000000")
+    base.write.mode("overwrite").parquet(f"{out}/tracks/base")
     outcomes = (_stream_outcomes(spark, d)
                 .withColumn("youtube_video_id", F.concat(F.lit("yt-"), F.col("event_id").cast("string")))
                 .withColumn("youtube_url", F.concat(F.lit("https://music.example/watch?v=yt-"),
@@ -1181,9 +1178,35 @@ def stream_dead_letters(spark, d):
                 .withColumn("track_id", content_key("artist", "title")))
     _run(lookup_stream(outcomes, f"{out}/tracks", f"{out}/dlq", f"{out}/_checkpoint", AS_OF,
                        id_col="event_id", ts_col="ts"))
+    return out
+
+
+@register("stream_dead_letters", f"""
+SELECT event_id, job_id, error AS failure_reason FROM ({CLASSIFIED_SQL}) WHERE status = 'not_found'
+""")
+def stream_dead_letters(spark, d):
+    out = _looked_up(spark, d)
     return spark.read.parquet(f"{out}/dlq").select("event_id", "job_id", "failure_reason")
 
 
+@register("stream_tracks", f"""
+WITH c AS ({CLASSIFIED_SQL}),
+hits AS (SELECT {S.key("regexp_extract(track, ' - (.*)$', 1)", "regexp_extract(track, '^(.*) - ', 1)")} AS track_id,
+                min('yt-' || event_id) AS vid
+         FROM c WHERE status = 'success' GROUP BY 1),
+b AS ({CUST_BASE_SQL})
+SELECT coalesce(b.track_id, h.track_id) AS track_id,
+  CASE WHEN b.track_id IS NULL OR (h.track_id IS NOT NULL AND b.youtube_video_id IS NULL) THEN h.vid
+       ELSE b.youtube_video_id END AS youtube_video_id,
+  CASE WHEN b.track_id IS NULL THEN 'ytmusic' ELSE b.source END AS source
+FROM b FULL OUTER JOIN hits h ON h.track_id = b.track_id
+""")
+def stream_tracks(spark, d):
+    from rankflow.streaming import current_table
+    out = _looked_up(spark, d)
+    return current_table(spark, f"{out}/tracks").select("track_id", "youtube_video_id", "source")
+
+
 def _progressed(spark, d) -> str:
     from rankflow.session import work_dir
     from rankflow.streaming import progress_stream

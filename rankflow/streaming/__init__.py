@@ -1,3 +1,3 @@
-from rankflow.streaming.jobs import file_stream, ingest_stream, lookup_stream, progress_stream
+from rankflow.streaming.jobs import current_table, file_stream, ingest_stream, lookup_stream, progress_stream
 
-__all__ = ["file_stream", "ingest_stream", "lookup_stream", "progress_stream"]
+__all__ = ["current_table", "file_stream", "ingest_stream", "lookup_stream", "progress_stream"]

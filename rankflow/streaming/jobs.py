@@ -64,15 +64,41 @@ def dedupe_deliveries(stream: DataFrame, id_col: str, ts_col: str, watermark: st
                   .drop("_event_ts"))
 
 
-def lookup_stream(outcomes: DataFrame, tracks_path: str, dlq_dir: str, checkpoint: str, as_of,
+def _view(spark: SparkSession, table_path: str, key: str, before: int | None = None) -> DataFrame:
+    """Merge-on-read view: ``base`` plus committed ``changes/batch_id=`` folders
+    (only those below ``before`` when given), the latest change per key winning.
+    ``max_by`` is a partial aggregate, so a hot key is combined map-side."""
+    base = spark.read.parquet(f"{table_path}/base")
+    rows = base.withColumn("_ver", F.lit(-1).cast("long"))
+    try:
+        ch = spark.read.parquet(f"{table_path}/changes")
+        if before is not None:
+            ch = ch.where(F.col("batch_id") < before)
+        rows = rows.unionByName(ch.withColumnRenamed("batch_id", "_ver").select(*rows.columns))
+    except Exception:  # noqa: BLE001 - no change committed yet
+        pass
+    cols = [c for c in base.columns if c != key]
+    latest = rows.groupBy(key).agg(F.max_by(F.struct(*cols), F.col("_ver")).alias("_r"))
+    return latest.select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
+
+
+def current_table(spark: SparkSession, table_path: str, key: str = "track_id") -> DataFrame:
+    """The keyed table as of the last committed micro-batch."""
+    return _view(spark, table_path, key)
+
+
+def lookup_stream(outcomes: DataFrame, table_path: str, dlq_dir: str, checkpoint: str, as_of,
                   key: str = "track_id", fill: dict[str, str] | None = None,
                   id_col: str | None = None, ts_col: str | None = None, watermark: str = "1 hour",
                   available_now: bool = True) -> StreamingQuery:
     """Classified outcomes -> per batch, one conditional upsert (O38) of
-    the hits into the next tracks version and the misses to dead letters (O08).
+    the hits and the misses to dead letters (O08).
 
-    ``tracks_path/v=00000000`` holds the starting table; batch ``b`` reads
-    version ``b`` and writes version ``b + 1``.
+    The keyed table is merge-on-read (``table_path/base`` + ``changes``): a
+    batch reads only the current rows of its own keys (semi join on the key
+    column) and writes only its changed rows to ``changes/batch_id=b``, so the
+    per-batch cost follows the batch, not the table.  Replaying batch ``b``
+    excludes its own earlier output and overwrites the same folder.
     """
     fill = fill or {"youtube_video_id": "youtube_video_id", "youtube_url": "youtube_url"}
     if id_col:
@@ -81,11 +107,13 @@ def lookup_stream(outcomes: DataFrame, tracks_path: str, dlq_dir: str, checkpoin
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
-        base = spark.read.parquet(_version_path(tracks_path, batch_id))
         hits = batch.where(F.col("status") == "success")
-        nxt = merge.upsert_if_missing(base, hits, key=key, fill=fill, as_of=as_of,
-                                      insert_cols={"title": "title", "artist": "artist"}).drop("action")
-        nxt.write.mode("overwrite").parquet(_version_path(tracks_path, batch_id + 1))
+        prior = _view(spark, table_path, key, before=batch_id)
+        touched = prior.join(hits.select(key), key, "left_semi")
+        changed = (merge.upsert_if_missing(touched, hits, key=key, fill=fill, as_of=as_of,
+                                           insert_cols={"title": "title", "artist": "artist"})
+                   .where(F.col("action").isin("updated", "inserted")).drop("action"))
+        changed.write.mode("overwrite").parquet(f"{table_path}/changes/batch_id={batch_id}")
         _, dead = J.split_dead_letters(batch, as_of)
         dead.write.mode("overwrite").parquet(f"{dlq_dir}/batch_id={batch_id}")
         batch.unpersist()
