@@ -116,9 +116,10 @@ def match_top1(queries: DataFrame, catalog: DataFrame, query_id: str, query_text
     many entries carry.  Tokens with catalogue frequency above ``hot_df`` are
     *hot* (``hot_df`` only moves work between the two paths, never the answer):
 
-    * cold path - join on cold tokens only (bounded fan-out per token), then
-      add each candidate's exact hot-token overlap by a keyed lookup of
-      (candidate, hot token) in the postings;
+    * cold path - join on cold tokens only (bounded fan-out per token), drop
+      candidates whose cold count plus |hot(q)| cannot reach the query's best
+      cold count, then add each survivor's exact hot-token overlap by a keyed
+      lookup of (candidate, hot token) in the postings;
     * hot path - an entry sharing only hot tokens scores at most |hot(q)|, so a
       query whose best cold score already exceeds that is resolved; only the
       remaining queries join on their hot tokens.
@@ -132,22 +133,27 @@ def match_top1(queries: DataFrame, catalog: DataFrame, query_id: str, query_text
     # the catalogue's text, far beyond any file-size estimate, so they are never
     # a broadcast candidate (sort-merge; measured faster than letting the planner
     # choose here).
-    c = (catalog.select(F.col(cat_id).alias("_cid"), F.explode(tokens(cat_text)).alias("_tok"))
-                .repartition("_tok").hint("merge"))
+    c = catalog.select(F.col(cat_id).alias("_cid"), F.explode(tokens(cat_text)).alias("_tok")).hint("merge")
     freq = c.groupBy("_tok").agg(F.count(F.lit(1)).alias("_df"))
     qf = q.join(freq, "_tok")                        # tokens absent from the catalogue cannot match
     q_cold = qf.where(F.col("_df") <= hot_df).select("_qid", "_tok")
     q_hot = qf.where(F.col("_df") > hot_df).select("_qid", "_tok")
 
     cold = q_cold.join(c, "_tok").groupBy("_qid", "_cid").agg(F.count(F.lit(1)).alias("_cold"))
+    n_hot = q_hot.groupBy("_qid").agg(F.count(F.lit(1)).alias("_k"))
+    # A candidate scores at most cold + |hot(q)|; one that cannot reach the best
+    # cold count of its query cannot win and needs no hot lookup (exact pruning).
+    reach = (cold.groupBy("_qid").agg(F.max("_cold").alias("_m"))
+                 .join(n_hot, "_qid", "left")
+                 .select("_qid", (F.col("_m") - F.coalesce(F.col("_k"), F.lit(0))).alias("_need")))
+    cold = cold.join(reach, "_qid").where(F.col("_cold") >= F.col("_need")).drop("_need")
     hot_of_cand = (cold.select("_qid", "_cid").join(q_hot, "_qid")
-                       .join(c, ["_cid", "_tok"], "left_semi")
+                       .join(c, ["_cid", "_tok"])          # (entry, token) is unique in the postings
                        .groupBy("_qid", "_cid").agg(F.count(F.lit(1)).alias("_hot")))
     exact = (cold.join(hot_of_cand, ["_qid", "_cid"], "left")
                  .select("_qid", "_cid", (F.col("_cold") + F.coalesce(F.col("_hot"), F.lit(0))).alias("_score")))
     best_cold = _best(exact, "_score")
 
-    n_hot = q_hot.groupBy("_qid").agg(F.count(F.lit(1)).alias("_k"))
     unresolved = (n_hot.join(best_cold, "_qid", "left")
                        .where(F.col("_ov").isNull() | (F.col("_ov") <= F.col("_k"))).select("_qid"))
     hot_pairs = (q_hot.join(unresolved, "_qid", "left_semi").join(c, "_tok")

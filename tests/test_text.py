@@ -64,6 +64,15 @@ def test_property_matches_model(spark, pairs):
 @settings(max_examples=15, deadline=None)
 @given(st.text(alphabet="abcXYZ ", min_size=1, max_size=10), st.text(alphabet="!?.,&-", max_size=4))
 def test_property_case_and_punctuation_invariant(spark, word, punct):
+    # Invariance holds for punctuation that does not sit next to edge
+    # whitespace; the reference strips before deleting (see the quirk test).
+    word = word.strip() or "a"
     df = spark.createDataFrame([(word, word.upper() + punct)], "a string, b string")
     r = df.select(norm_text("a").alias("x"), norm_text("b").alias("y")).first()
     assert r.x == r.y
+
+
+def test_edge_space_survives_deletion(spark):
+    """Strip runs before punctuation is deleted, so 'x ?' keeps its space."""
+    df = spark.createDataFrame([("X ?",)], "s string")
+    assert df.select(norm_text("s")).first()[0] == model_norm("X ?") == "x "
