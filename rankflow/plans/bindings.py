@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from rankflow.functions.text import content_key
 from rankflow.operators import history, joins, jobs, merge, playlist, records
 from rankflow.plans import sqltext as S
-from rankflow.plans.tables import AS_OF, AS_OF_SQL, table, ts_strings
+from rankflow.plans.tables import AS_OF, table, ts_strings
 from rankflow.sources import envelopes, pages
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -59,22 +58,6 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Make ``DataFrame.checkpoint()`` usable; returns the folder in use."""
-    path = work_dir(spark, "lineage")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def is_local(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
-def ensure_parent(path: str) -> None:
-    if is_local(path):
-        os.makedirs(path.replace("file:", ""), exist_ok=True)
-
-
 def spread(df):
     """Round-robin ``df`` over the cluster's cores when the scan produced
     fewer partitions than cores (small files, one row group), so CPU-heavy
