@@ -1085,9 +1085,8 @@ def snapshot_roundtrip(spark, d):
     from rankflow.sources.snapshots import read_snapshots
     path = _written_charts(spark, d)
     docs = read_snapshots(spark, path).withColumn(
-        "month", F.regexp_extract("path", r"year=(\d{4})/month=(\d{2})", 1))
-    docs = docs.withColumn("month", F.concat(F.col("month"), F.lit("-"),
-                                             F.regexp_extract("path", r"month=(\d{2})", 1)))
+        "month", F.concat(F.regexp_extract("path", r"year=(\d{4})", 1), F.lit("-"),
+                          F.regexp_extract("path", r"month=(\d{2})", 1)))
     recs = records.normalize_records(records.locate_records(docs.drop("doc"), "json"))
     return recs.select("month", "rec_pos", "title", "artist", "rank", "track_id")
 

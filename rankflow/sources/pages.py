@@ -103,6 +103,19 @@ def extract_fields(rows: DataFrame, rules: ExtractRules, row_col: str = "row_htm
     )
 
 
+def extract_rows(pages_df: DataFrame, html_col: str, rules: ExtractRules | None = None) -> DataFrame:
+    """O13-O19 in one call: one row per row fragment with its fields; a page
+    without rows keeps one row with ``row_count`` 0 (the error result)."""
+    rules = rules or ExtractRules()
+    rows = split_rows(pages_df, html_col, rules.row_pattern)
+    with_rows = extract_fields(rows.where(F.col("row_count") > 0), rules)
+    empty = rows.where(F.col("row_count") == 0)
+    for c in with_rows.columns:
+        if c not in empty.columns:
+            empty = empty.withColumn(c, F.lit(None).cast(with_rows.schema[c].dataType))
+    return with_rows.unionByName(empty.select(*with_rows.columns))
+
+
 def number_with_unit(c, pattern: str = r"(?i)(\d{2,3})\s*BPM", lo: int = 80, hi: int = 200) -> Column:
     """First match only; out of range -> NULL (no second try)."""
     c = F.col(c) if isinstance(c, str) else c

@@ -31,15 +31,16 @@ def read_snapshots(spark: SparkSession, path: str, glob: str = "*.json*") -> Dat
 
 
 def write_snapshots(df: DataFrame, path: str, ts_col: str, source: str = "snapshots",
-                    mode: str = "append") -> None:
+                    mode: str = "append", fmt: str = "json") -> None:
     """Dated snapshot documents under ``year=/month=/day=`` with their
-    metadata (source, snapshot id, written-at) as columns."""
+    metadata (source, snapshot id) as columns; ``fmt`` is ``json`` (one
+    document per line) or ``parquet``."""
     ts = F.col(ts_col).cast("timestamp")
     out = (df.withColumn("snapshot_id", F.concat(F.lit(f"{source}-"), F.date_format(ts, SNAPSHOT_FORMAT)))
              .withColumn("year", F.date_format(ts, "yyyy"))
              .withColumn("month", F.date_format(ts, "MM"))
              .withColumn("day", F.date_format(ts, "dd")))
-    (out.write.mode(mode).partitionBy("year", "month", "day").json(path))
+    out.write.mode(mode).partitionBy("year", "month", "day").format(fmt).save(path)
 
 
 PARTITION_LEVELS = ["year", "month", "day"]

@@ -99,3 +99,9 @@ def test_ordinal_in_group_with_hot_group(spark):
     w = Window.partitionBy("g").orderBy("o")
     brute = df.withColumn("pos", (F.row_number().over(w) - 1).cast("int"))
     assert rows(got, "g", "o", "pos") == rows(brute, "g", "o", "pos")
+
+
+def test_extract_rows_keeps_empty_pages(spark):
+    df = spark.createDataFrame([(1, ROW), (2, "<p>no rows</p>")], "page int, html string")
+    got = rows(pages.extract_rows(df, "html"), "page", "row_count", "position", "title")
+    assert got == [(1, 1, 1, "Fantasy Original Mix"), (2, 0, None, None)]
