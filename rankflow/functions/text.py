@@ -63,3 +63,12 @@ def truthy_str(c) -> Column:
     """Python truthiness of an optional string: non-null and non-empty."""
     c = _c(c)
     return c.isNotNull() & (c != F.lit(""))
+
+
+def py_isoformat(ts) -> Column:
+    """Python ``datetime.isoformat()`` of a naive timestamp: microseconds are
+    written only when non-zero."""
+    ts = _c(ts).cast("timestamp")
+    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.date_format(ts, "SSSSSS")
+    return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))

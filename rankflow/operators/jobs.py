@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankflow.functions.text import py_isoformat
+
 COUNTED = ("success", "not_found")
 
 
@@ -54,7 +56,7 @@ def split_dead_letters(df: DataFrame, as_of, status_col: str = "status",
     """(kept, dead letters); ``not_found`` rows become dead letters."""
     dead = df.where(F.col(status_col) == "not_found")
     letters = dead.select("*", F.col(reason_col).alias("failure_reason"),
-                          F.date_format(F.lit(as_of).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("dead_at"))
+                          py_isoformat(F.lit(as_of)).alias("dead_at"))
     return df.where(F.col(status_col) != "not_found"), letters
 
 

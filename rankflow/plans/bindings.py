@@ -90,7 +90,7 @@ def create_jobs(spark, d):
 SELECT l_orderkey, l_linenumber,
   to_json({{'track': {{'l_partkey': l_partkey, 'l_returnflag': l_returnflag, 'l_linestatus': l_linestatus}},
             'source_file': {SOURCE_FILE_SQL}, 'job_id': sha256({SOURCE_FILE_SQL}),
-            'timestamp': '2024-02-01T00:00:00.000000', 'action': 'process_new_track'}}) AS message,
+            'timestamp': '2024-02-01T00:00:00', 'action': 'process_new_track'}}) AS message,
   'New track: Unknown - Unknown' AS subject
 FROM ({NEW_LINES_SQL})
 """)
@@ -733,7 +733,7 @@ def completed_jobs(spark, d):
 
 
 @register("dead_letters", f"""
-SELECT event_id, job_id, error AS failure_reason, '2024-02-01T00:00:00.000000' AS dead_at
+SELECT event_id, job_id, error AS failure_reason, '2024-02-01T00:00:00' AS dead_at
 FROM ({CLASSIFIED_SQL}) WHERE status = 'not_found'
 """)
 def dead_letters(spark, d):

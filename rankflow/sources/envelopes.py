@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankflow.functions.columns import with_columns_once
-from rankflow.functions.text import py_strip
+from rankflow.functions.text import py_isoformat, py_strip
 from rankflow.functions.variant import vfield, vstr, vtruthy, vtype
 
 QUEUE_SOURCE = "aws:sqs"
@@ -129,7 +129,7 @@ def build_messages(df: DataFrame, source_col: str, job_col: str, as_of,
                    track_cols: list[str] | None = None) -> DataFrame:
     """One fan-out message per new record: JSON body, subject, attributes."""
     track_cols = track_cols or [c for c in df.columns if c not in (source_col, job_col)]
-    ts = F.date_format(F.lit(as_of).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    ts = py_isoformat(F.lit(as_of))
     body = F.to_json(F.struct(
         F.struct(*[F.col(c) for c in track_cols]).alias("track"),
         F.col(source_col).alias("source_file"),

@@ -89,4 +89,4 @@ def test_build_messages(spark):
     assert len(out[0].subject) == 100 and out[1].attributes["job_id"] == "unknown"
     assert out[1].attributes["track_id"] == "unknown"
     msg = json.loads(out[0].message)
-    assert msg["action"] == "process_new_track" and msg["timestamp"].startswith("2024-02-01T00:00:00")
+    assert msg["action"] == "process_new_track" and msg["timestamp"] == AS_OF.isoformat()
