@@ -121,8 +121,10 @@ def match_top1(queries: DataFrame, catalog: DataFrame, query_id: str, query_text
       cold count, then add each survivor's exact hot-token overlap by a keyed
       lookup of (candidate, hot token) in the postings;
     * hot path - an entry sharing only hot tokens scores at most |hot(q)|, so a
-      query whose best cold score already exceeds that is resolved; only the
-      remaining queries join on their hot tokens.
+      query whose best cold score already exceeds that is resolved.  Remaining
+      queries join on their hot tokens except the most frequent one; entries
+      sharing only that token score 1 and are answered by the smallest id
+      carrying it, so the hottest token never produces pairs.
 
     Cold scores are exact and hot-path scores never overestimate, so the
     maximum (smallest id on ties) over both paths is the exact answer.
@@ -137,7 +139,7 @@ def match_top1(queries: DataFrame, catalog: DataFrame, query_id: str, query_text
     freq = c.groupBy("_tok").agg(F.count(F.lit(1)).alias("_df"))
     qf = q.join(freq, "_tok")                        # tokens absent from the catalogue cannot match
     q_cold = qf.where(F.col("_df") <= hot_df).select("_qid", "_tok")
-    q_hot = qf.where(F.col("_df") > hot_df).select("_qid", "_tok")
+    q_hot = qf.where(F.col("_df") > hot_df).select("_qid", "_tok", "_df")
 
     cold = q_cold.join(c, "_tok").groupBy("_qid", "_cid").agg(F.count(F.lit(1)).alias("_cold"))
     n_hot = q_hot.groupBy("_qid").agg(F.count(F.lit(1)).alias("_k"))
@@ -147,7 +149,7 @@ def match_top1(queries: DataFrame, catalog: DataFrame, query_id: str, query_text
                  .join(n_hot, "_qid", "left")
                  .select("_qid", (F.col("_m") - F.coalesce(F.col("_k"), F.lit(0))).alias("_need")))
     cold = cold.join(reach, "_qid").where(F.col("_cold") >= F.col("_need")).drop("_need")
-    hot_of_cand = (cold.select("_qid", "_cid").join(q_hot, "_qid")
+    hot_of_cand = (cold.select("_qid", "_cid").join(q_hot.select("_qid", "_tok"), "_qid")
                        .join(c, ["_cid", "_tok"])          # (entry, token) is unique in the postings
                        .groupBy("_qid", "_cid").agg(F.count(F.lit(1)).alias("_hot")))
     exact = (cold.join(hot_of_cand, ["_qid", "_cid"], "left")
@@ -156,9 +158,23 @@ def match_top1(queries: DataFrame, catalog: DataFrame, query_id: str, query_text
 
     unresolved = (n_hot.join(best_cold, "_qid", "left")
                        .where(F.col("_ov").isNull() | (F.col("_ov") <= F.col("_k"))).select("_qid"))
-    hot_pairs = (q_hot.join(unresolved, "_qid", "left_semi").join(c, "_tok")
-                      .groupBy("_qid", "_cid").agg(F.count(F.lit(1)).alias("_score")))
-    best_hot = _best(hot_pairs, "_score")
+    uq_hot = q_hot.join(unresolved, "_qid", "left_semi")
+    # The query's most frequent hot token never enters a pair join: entries
+    # sharing only it score exactly 1, and the best of those is simply the
+    # smallest id carrying the token (a partial aggregate over the postings).
+    top = (uq_hot.groupBy("_qid").agg(F.max(F.struct("_df", "_tok")).alias("_t"))
+                 .select("_qid", F.col("_t._tok").alias("_tmax")))
+    rest = uq_hot.join(top, (uq_hot["_qid"] == top["_qid"]) & (uq_hot["_tok"] == top["_tmax"]), "left_anti")
+    rest_pairs = rest.join(c, "_tok").groupBy("_qid", "_cid").agg(F.count(F.lit(1)).alias("_n"))
+    has_top = (rest_pairs.join(top, "_qid")
+                         .join(c.select("_cid", F.col("_tok").alias("_tmax")), ["_cid", "_tmax"], "left_semi")
+                         .select("_qid", "_cid", F.lit(1).alias("_plus")))
+    hot_pairs = (rest_pairs.join(has_top, ["_qid", "_cid"], "left")
+                           .select("_qid", "_cid", (F.col("_n") + F.coalesce(F.col("_plus"), F.lit(0))).alias("_score")))
+    first_carrier = c.groupBy("_tok").agg(F.min("_cid").alias("_cid"))
+    only_top = (top.join(first_carrier, top["_tmax"] == first_carrier["_tok"])
+                   .select("_qid", "_cid", F.lit(1).cast("long").alias("_score")))
+    best_hot = _best(hot_pairs.unionByName(only_top), "_score")
 
     best = _best(best_cold.unionByName(best_hot).withColumnRenamed("_ov", "_score"), "_score") \
         .select("_qid", F.col("_cid").alias("match_id"), F.col("_ov").alias("overlap"))
