@@ -88,9 +88,9 @@ def create_jobs(spark, d):
 
 @register("build_messages", f"""
 SELECT l_orderkey, l_linenumber,
-  to_json({{'track': {{'l_partkey': l_partkey, 'l_returnflag': l_returnflag, 'l_linestatus': l_linestatus}},
+  CAST(to_json({{'track': {{'l_partkey': l_partkey, 'l_returnflag': l_returnflag, 'l_linestatus': l_linestatus}},
             'source_file': {SOURCE_FILE_SQL}, 'job_id': sha256({SOURCE_FILE_SQL}),
-            'timestamp': '2024-02-01T00:00:00', 'action': 'process_new_track'}}) AS message,
+            'timestamp': '2024-02-01T00:00:00', 'action': 'process_new_track'}}) AS VARCHAR) AS message,
   'New track: Unknown - Unknown' AS subject
 FROM ({NEW_LINES_SQL})
 """)
