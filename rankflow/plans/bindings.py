@@ -577,8 +577,8 @@ SELECT l_orderkey, l_linenumber,
 FROM lineitem
 """)
 def plain_numbers(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber",
-                                            F.col("l_extendedprice").cast("decimal(12,2)").alias("price"))
+    li = table(spark, d, "lineitem", spread=True).select(
+        "l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("decimal(12,2)").alias("price"))
     return records.plain_numbers(li, ["price"])
 
 
@@ -973,7 +973,7 @@ SELECT l_orderkey, l_linenumber,
 FROM lineitem
 """)
 def number_and_pattern(spark, d):
-    li = table(spark, d, "lineitem")
+    li = table(spark, d, "lineitem", spread=True)
     text = F.concat(F.col("l_returnflag"), F.lit(" "), (F.col("l_quantity") * 5).cast("int").cast("string"),
                     F.lit("BPM "), F.substring(F.lit("ABCDEFG"), F.col("l_linenumber"), F.lit(1)),
                     F.when(F.col("l_linestatus") == "O", "b").otherwise(""), F.lit(" minor"))
