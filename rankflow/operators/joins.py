@@ -1,9 +1,10 @@
 """Keyed lookups and joins.
 
-Join strategy is left to Catalyst + AQE: the probe side keeps its
-partitioning, the lookup side is projected to the columns needed before the
-exchange, and AQE turns a sort-merge join into a broadcast join only when the
-measured lookup side is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
+The lookup side is projected to the columns needed before the exchange.  A
+keyed lookup table is broadcast only behind an explicit bounded row count
+(``sized_broadcast``), so the large probe side is never shuffled for a small
+table; beyond the bound the join shuffles and AQE may still broadcast a side
+whose measured shuffle output is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
 A hot key on the probe side is split by AQE skew-join handling (supported for
 inner, left outer, left semi and left anti joins).
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankflow.functions.columns import BROADCAST_MAX_ROWS, sized_broadcast
 from rankflow.functions.text import content_key, py_strip, truthy_str
 
 SKIP_MISSING_FIELDS = "missing title or artist"
@@ -26,20 +28,27 @@ def _stripped(c: str) -> Column:
 
 
 def new_records(batch: DataFrame, known: DataFrame, key: str = "track_id",
-                required: tuple[str, ...] = ("title", "artist"), known_key: str | None = None) -> DataFrame:
+                required: tuple[str, ...] = ("title", "artist"), known_key: str | None = None,
+                broadcast_max_rows: int | None = BROADCAST_MAX_ROWS) -> DataFrame:
     """Rows of ``batch`` with all ``required`` fields non-blank, a key,
-    and no row in ``known`` with that key.  Duplicates inside the batch stay."""
+    and no row in ``known`` with that key.  Duplicates inside the batch stay.
+
+    The known keys are broadcast only after a bounded row count proves them
+    small (``sized_broadcast``); otherwise the anti join shuffles on the key."""
     cond = truthy_str(_stripped(key))
     for c in required:
         cond = cond & truthy_str(_stripped(c))
     lookup = known.select(F.col(known_key or key).alias("_known_key")).where(F.col("_known_key").isNotNull())
+    if broadcast_max_rows:
+        lookup = sized_broadcast(lookup, broadcast_max_rows)
     return (batch.where(cond)
                  .join(lookup, F.col(key) == F.col("_known_key"), "left_anti"))
 
 
 def enrich(src: DataFrame, table: DataFrame, key: str = "track_id", value_col: str = "youtube_video_id",
            url_col: str | None = "youtube_url", title: str = "title", artist: str = "artist",
-           url_prefix: str = "https://www.youtube.com/watch?v=") -> DataFrame:
+           url_prefix: str = "https://www.youtube.com/watch?v=",
+           broadcast_max_rows: int | None = BROADCAST_MAX_ROWS) -> DataFrame:
     """Every source row with ``status`` enriched/skipped and the first
     failing ``reason``; enriched rows carry the value and its url.
 
@@ -48,6 +57,8 @@ def enrich(src: DataFrame, table: DataFrame, key: str = "track_id", value_col: s
     t_cols = [F.col(key).alias("_t_key"), F.col(value_col).alias("_t_value")]
     t_cols.append(F.col(url_col).alias("_t_url") if url_col else F.lit(None).cast("string").alias("_t_url"))
     lookup = table.select(*t_cols)
+    if broadcast_max_rows:
+        lookup = sized_broadcast(lookup, broadcast_max_rows)
     s = (src.withColumn("_s_title", _stripped(title))
             .withColumn("_s_artist", _stripped(artist))
             .withColumn("_s_key", _stripped(key)))

@@ -41,3 +41,12 @@ def test_chart_top_k_limits_before_shuffle(spark):
 def test_retention_has_no_window(spark):
     text = plan(E.queries()["retain_versions"](spark, SF))
     assert "Window" not in text and "PushedFilters: [IsNotNull(o_orderdate), LessThan(o_orderdate" in text
+
+
+def test_sized_broadcast_only_within_bound(spark):
+    from rankflow.functions.columns import sized_broadcast
+    big = spark.range(5000).withColumnRenamed("id", "k")
+    small = spark.range(10).withColumnRenamed("id", "k")
+    assert "BroadcastHashJoin" in plan(big.join(sized_broadcast(small, 100), "k", "left_anti"))
+    beyond = plan(big.join(sized_broadcast(big.select("k"), 100), "k", "left_anti"))
+    assert "BroadcastHashJoin" not in beyond and "SortMergeJoin" in beyond
