@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankflow.functions.columns import sized_broadcast
 from rankflow.functions.text import content_key, truthy_str
 
 # The attributes a track update may set, in the reference's order.
@@ -74,7 +75,7 @@ def patch(base: DataFrame, updates: DataFrame, key: str, allowed: list[str] | No
     settable = [c for c in allowed if c in base.columns and c in updates.columns]
     u = updates.select(F.col(key).alias("_u_key"), F.col(present_col).alias("_present"),
                        *[F.col(c).alias(f"_u_{c}") for c in settable])
-    j = base.join(u, F.col(key) == F.col("_u_key"), "left")
+    j = base.join(sized_broadcast(u), F.col(key) == F.col("_u_key"), "left")
     hit = F.col("_u_key").isNotNull()
     out = []
     for c in base.columns:
@@ -204,7 +205,7 @@ def fill_all(base: DataFrame, updates: DataFrame, cols: list[str], fill: dict[st
     u = (updates.groupBy(*cols)
                 .agg(F.min_by(F.struct(*[F.col(v).alias(v) for v in sorted(set(fill.values()))]),
                               F.col(list(fill.values())[0])).alias("_u")))
-    u = u.select(*[F.col(c).alias(f"_u_{c}") for c in cols], "_u")
+    u = sized_broadcast(u.select(*[F.col(c).alias(f"_u_{c}") for c in cols], "_u"))
     cond = None
     for c in cols:
         e = F.col(c) == F.col(f"_u_{c}")
