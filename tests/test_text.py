@@ -48,14 +48,20 @@ def test_strip_is_python_strip(spark):
     assert [r[0] for r in df.select(py_strip("s")).collect()] == [v.strip() for v in vals]
 
 
+# Blocks assigned long before both Java 17's and Python 3.13's Unicode
+# versions; outside them the two differ only on code points one of them does
+# not know yet (documented in the survey).
+STABLE = "".join(chr(c) for r in [(0x09, 0x0D), (0x1C, 0x7E), (0x85, 0x85), (0xA0, 0x24F), (0x370, 0x3FF),
+                                   (0x400, 0x4FF), (0x2000, 0x206F), (0x3000, 0x3003), (0x4E00, 0x4E50)]
+                  for c in range(r[0], r[1] + 1)
+                  if c not in range(0x378, 0x37A) and c not in range(0x380, 0x384) and c not in (0x38B, 0x38D, 0x3A2)
+                  and c not in range(0x2065, 0x2066))
+
+
 @settings(max_examples=25, deadline=None)
-@given(st.lists(st.tuples(st.text(max_size=12), st.text(max_size=12)), min_size=1, max_size=8))
+@given(st.lists(st.tuples(st.text(alphabet=STABLE, max_size=12), st.text(alphabet=STABLE, max_size=12)),
+                min_size=1, max_size=8))
 def test_property_matches_model(spark, pairs):
-    # Java and Python agree on assigned code points; restrict to the BMP's
-    # assigned ranges the fixtures use (the survey documents the rest).
-    pairs = [(t, a) for t, a in pairs if all(ord(c) < 0x2FFF for c in t + a)]
-    if not pairs:
-        return
     df = spark.createDataFrame(pairs, "title string, artist string")
     got = [r[0] for r in df.select(content_key("artist", "title")).collect()]
     assert got == [model_key(t, a) for t, a in pairs]
