@@ -29,8 +29,12 @@ def ordinal_in_group(df: DataFrame, group: list[str], order: list[str | Column],
     parted = parted.withColumn("_piece", F.spark_partition_id())
     counts = parted.groupBy("_piece", *group).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_piece", *group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    offsets = counts.select(F.col("_piece").alias("_o_piece"), *[F.col(g).alias(f"_o_{g}") for g in group],
+                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    cond = F.col("_piece") == F.col("_o_piece")
+    for g in group:                                  # a NULL group is a group too
+        cond = cond & F.col(g).eqNullSafe(F.col(f"_o_{g}"))
     local = Window.partitionBy("_piece", *group).orderBy(*order)
-    return (parted.join(offsets, on=["_piece", *group])
+    return (parted.join(offsets, cond)
                   .withColumn(out, (F.row_number().over(local) - 1 + F.col("_offset") + base).cast("int"))
-                  .drop("_piece", "_offset"))
+                  .drop("_piece", "_offset", "_o_piece", *[f"_o_{g}" for g in group]))

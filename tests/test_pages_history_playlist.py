@@ -93,7 +93,7 @@ def test_route_validate_playlists(spark):
 
 def test_ordinal_in_group_with_hot_group(spark):
     from rankflow.operators.ordinal import ordinal_in_group
-    data = [("hot", i) for i in range(3000)] + [(f"g{i % 7}", i) for i in range(700)]
+    data = [("hot", i) for i in range(3000)] + [(f"g{i % 7}", i) for i in range(700)] + [(None, i) for i in range(40)]
     df = spark.createDataFrame(data, "g string, o int")
     got = ordinal_in_group(df, ["g"], ["o"], "pos", partitions=6)
     w = Window.partitionBy("g").orderBy("o")
