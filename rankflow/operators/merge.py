@@ -66,15 +66,19 @@ def insert_with_defaults(df: DataFrame, as_of, default_source: str = "beatport",
 
 
 def patch(base: DataFrame, updates: DataFrame, key: str, allowed: list[str] | None = None,
-          present_col: str = "present", as_of=None) -> DataFrame:
+          present_col: str = "present", as_of=None, order_col: str | None = None) -> DataFrame:
     """Apply partial updates; only fields named in ``present_col`` (an
     array of names) and in ``allowed`` change, a present NULL overwrites, and
     ``updated_at`` becomes ``as_of``.  Keys not in ``base`` insert nothing.
+    Several patches for one key: the last by ``order_col`` wins (a partial
+    ``max_by``), so a base row is never duplicated.
     Output: the next table version with ``action`` (updated / unchanged)."""
     allowed = allowed or UPDATABLE_FIELDS
     settable = [c for c in allowed if c in base.columns and c in updates.columns]
-    u = updates.select(F.col(key).alias("_u_key"), F.col(present_col).alias("_present"),
-                       *[F.col(c).alias(f"_u_{c}") for c in settable])
+    body = F.struct(F.col(present_col).alias("_present"), *[F.col(c).alias(f"_u_{c}") for c in settable])
+    last = (F.max_by(body, F.col(order_col)) if order_col else F.max(body)).alias("_u")
+    u = (updates.groupBy(F.col(key).alias("_u_key")).agg(last)
+                .select("_u_key", "_u._present", *[f"_u._u_{c}" for c in settable]))
     j = base.join(sized_broadcast(u), F.col(key) == F.col("_u_key"), "left")
     hit = F.col("_u_key").isNotNull()
     out = []
@@ -118,7 +122,8 @@ def upsert_if_missing(base: DataFrame, hits: DataFrame, key: str = "track_id",
     ts = F.lit(as_of).cast("timestamp")
     hit_cols = sorted(set(fill.values()) | set(insert_cols.values()))
     order = F.col(order_col) if order_col else F.col(list(fill.values())[0])
-    h = (hits.groupBy(F.col(key).alias("_h_key"))
+    h = (hits.where(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
+             .groupBy(F.col(key).alias("_h_key"))
              .agg(F.min_by(F.struct(*[F.col(c).alias(c) for c in hit_cols]), order).alias("_h")))
     guard = list(fill.keys())[0]
     j = base.join(h, F.col(key) == F.col("_h_key"), "full_outer")

@@ -68,3 +68,17 @@ def test_insert_with_defaults(spark):
     r = merge.insert_with_defaults(df, AS_OF).first()
     assert r.source == "beatport" and r.album is None and r.created_at == r.updated_at == AS_OF
     assert len(r.track_id) == 64
+
+
+def test_patch_duplicate_patches_last_wins(spark):
+    base = _base(spark)
+    upd = spark.createDataFrame([("k1", "A", ["title"], 1), ("k1", "B", ["title"], 2)],
+                                "track_id string, title string, present array<string>, seq int")
+    out = merge.patch(base, upd, "track_id", as_of=AS_OF, order_col="seq")
+    assert out.count() == 3 and out.where("track_id = 'k1'").first().title == "B"
+
+
+def test_upsert_ignores_keyless_hits(spark):
+    hits = spark.createDataFrame([(None, "n"), ("", "m")], "track_id string, youtube_video_id string")
+    out = merge.upsert_if_missing(_base(spark), hits, fill={"youtube_video_id": "youtube_video_id"}, as_of=AS_OF)
+    assert out.count() == 3 and out.where("action = 'inserted'").count() == 0
