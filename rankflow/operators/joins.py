@@ -77,14 +77,21 @@ def enrich(src: DataFrame, table: DataFrame, key: str = "track_id", value_col: s
 
 
 def lookup_by_content(probe: DataFrame, table: DataFrame, title: str = "title", artist: str = "artist",
-                      table_key: str = "track_id", out_key: str = "lookup_key") -> DataFrame:
+                      table_key: str = "track_id", out_key: str = "lookup_key",
+                      broadcast_max_rows: int | None = BROADCAST_MAX_ROWS) -> DataFrame:
     """Derive the content key on the probe side and look it up.
 
-    The key set is de-duplicated with a partial aggregate whose output is
-    already hash-partitioned on the key, so the join reuses that exchange and
-    a probe row never fans out."""
-    keys = table.select(F.col(table_key).alias("_hit_key")).where(F.col("_hit_key").isNotNull()).distinct()
+    The table is first reduced to the keys the probe asks for (a semi join
+    against the probe's distinct keys, broadcast after a bounded size check),
+    so a huge table is scanned on its key column but never shuffled whole; the
+    few matching keys are de-duplicated and joined back, so a probe row never
+    fans out."""
     p = probe.withColumn(out_key, content_key(artist, title))
+    wanted = p.select(F.col(out_key).alias("_hit_key")).where(F.col("_hit_key").isNotNull()).distinct()
+    if broadcast_max_rows:
+        wanted = sized_broadcast(wanted, broadcast_max_rows)
+    keys = (table.select(F.col(table_key).alias("_hit_key")).where(F.col("_hit_key").isNotNull())
+                 .join(wanted, "_hit_key", "left_semi").distinct())
     return (p.join(keys, F.col(out_key) == F.col("_hit_key"), "left")
              .withColumn("found", F.col("_hit_key").isNotNull())
              .drop("_hit_key"))
