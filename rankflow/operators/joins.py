@@ -98,11 +98,16 @@ def lookup_by_content(probe: DataFrame, table: DataFrame, title: str = "title",
 
 
 def lookup_exact(probe: DataFrame, table: DataFrame, cols: list[str], table_key: str,
-                 out_col: str = "match_key") -> DataFrame:
+                 out_col: str = "match_key", broadcast_max_rows: int | None = BROADCAST_MAX_ROWS) -> DataFrame:
     """Exact equality on ``cols`` (no normalisation); the first hit is the
-    smallest key.  The lookup side is reduced to one row per value tuple with a
-    partial (map-side) aggregate before the join, so duplicates never fan out."""
-    first_hit = table.where(F.col(table_key).isNotNull()).groupBy(*cols).agg(F.min(table_key).alias(out_col))
+    smallest key.  The table is reduced to the value tuples the probe asks for
+    (semi join against them, broadcast after a bounded size check) and then to
+    one row per tuple with a partial aggregate, so duplicates never fan out."""
+    wanted = probe.select(*cols).distinct()
+    if broadcast_max_rows:
+        wanted = sized_broadcast(wanted, broadcast_max_rows)
+    first_hit = (table.where(F.col(table_key).isNotNull()).join(wanted, on=cols, how="left_semi")
+                      .groupBy(*cols).agg(F.min(table_key).alias(out_col)))
     return probe.join(first_hit, on=cols, how="left")
 
 
