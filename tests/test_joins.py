@@ -111,3 +111,16 @@ def test_property_match_top1_exact_for_any_hot_threshold(spark, qs, cs, hot_df):
     got = {r.qid: (r.match_id, r.overlap) if r.match_id is not None else None
            for r in joins.match_top1(Q, C, "qid", "text", "cid", "text", hot_df=hot_df).collect()}
     assert got == _brute_top1(q, c)
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["t", "", " "]), st.sampled_from(["a", ""]),
+                          st.sampled_from(["k1", "k2", "k3", "", None])), max_size=12),
+       st.lists(st.sampled_from(["k1", "k2", "k9"]), max_size=3))
+def test_property_new_plus_matched_is_valid_input(spark, batch, known):
+    b = spark.createDataFrame(batch, "title string, artist string, track_id string")
+    k = spark.createDataFrame([(x,) for x in known], "track_id string")
+    new = rows(joins.new_records(b, k), "title", "artist", "track_id")
+    valid = [r for r in batch if r[0].strip() and r[1].strip() and r[2]]
+    matched = [r for r in valid if r[2] in set(known)]
+    assert sorted(new + matched, key=repr) == sorted(valid, key=repr)
