@@ -23,6 +23,19 @@ SKIP_NOT_FOUND = "track not found in database"
 SKIP_NO_VALUE = "youtube_video_id missing in database"
 
 
+def _restrict(lookup: DataFrame, lookup_key: str, probe_keys: DataFrame, probe_key: str,
+              max_rows: int) -> DataFrame:
+    """A lookup table ready to join: broadcast when a bounded count proves it
+    small; otherwise reduced to the keys the probe asks for (semi join against
+    the probe's distinct keys, themselves broadcast after the same check), so a
+    small probe against a huge table scans the table's key column once and
+    never shuffles the table."""
+    if lookup.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(lookup)
+    wanted = sized_broadcast(probe_keys.select(F.col(probe_key).alias("_want")).distinct(), max_rows)
+    return lookup.join(wanted, F.col(lookup_key) == F.col("_want"), "left_semi")
+
+
 def _stripped(c: str) -> Column:
     return py_strip(F.coalesce(F.col(c).cast("string"), F.lit("")))
 
@@ -39,10 +52,12 @@ def new_records(batch: DataFrame, known: DataFrame, key: str = "track_id",
     for c in required:
         cond = cond & truthy_str(_stripped(c))
     lookup = known.select(F.col(known_key or key).alias("_known_key")).where(F.col("_known_key").isNotNull())
-    if broadcast_max_rows:
+    valid = batch.where(cond)
+    if broadcast_max_rows and not batch.isStreaming:
+        lookup = _restrict(lookup, "_known_key", valid, key, broadcast_max_rows)
+    elif broadcast_max_rows:
         lookup = sized_broadcast(lookup, broadcast_max_rows)
-    return (batch.where(cond)
-                 .join(lookup, F.col(key) == F.col("_known_key"), "left_anti"))
+    return valid.join(lookup, F.col(key) == F.col("_known_key"), "left_anti")
 
 
 def enrich(src: DataFrame, table: DataFrame, key: str = "track_id", value_col: str = "youtube_video_id",
@@ -57,11 +72,13 @@ def enrich(src: DataFrame, table: DataFrame, key: str = "track_id", value_col: s
     t_cols = [F.col(key).alias("_t_key"), F.col(value_col).alias("_t_value")]
     t_cols.append(F.col(url_col).alias("_t_url") if url_col else F.lit(None).cast("string").alias("_t_url"))
     lookup = table.select(*t_cols)
-    if broadcast_max_rows:
-        lookup = sized_broadcast(lookup, broadcast_max_rows)
     s = (src.withColumn("_s_title", _stripped(title))
             .withColumn("_s_artist", _stripped(artist))
             .withColumn("_s_key", _stripped(key)))
+    if broadcast_max_rows and not src.isStreaming:
+        lookup = _restrict(lookup, "_t_key", s, "_s_key", broadcast_max_rows)
+    elif broadcast_max_rows:
+        lookup = sized_broadcast(lookup, broadcast_max_rows)
     j = s.join(lookup, (F.col("_s_key") == F.col("_t_key")) & (F.col("_s_key") != ""), "left")
     reason = (F.when((F.col("_s_title") == "") | (F.col("_s_artist") == ""), SKIP_MISSING_FIELDS)
                .when(F.col("_s_key") == "", SKIP_MISSING_KEY)
