@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -43,17 +44,27 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers started from now on import this package from where the driver did.  (On a cluster whose
+    executors have it elsewhere, ``--py-files`` or an installed package serves; this is then harmless.)"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session.  Only when it is unset
-    (local runs and tests) do we create one, so a cluster always writes to the
-    shared location it names.
+    ``spark.checkpoint.dir`` is read from the session.  Only a local master may
+    leave it unset (a temporary folder is made); elsewhere that is an error,
+    since other executors could not see a folder of the driver's own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="rankflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
