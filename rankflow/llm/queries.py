@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankflow.llm import bpe_codec, decontaminate, simhash, token_counts
+from rankflow.llm import bpe_codec, decontaminate, pii, quality, simhash, token_counts, toxicity
 from rankflow.session import ship_package
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,11 +39,30 @@ def op1(spark, d):
     return token_counts.document_token_counts(_table(spark, d, "documents"), BYTE_BPE)
 
 
+@register("op3_toxicity")
+def op3(spark, d):
+    return toxicity.judge(_table(spark, d, "documents"), _table(spark, d, "labels"))
+
+
 @register("op4_decontaminate")
 def op4(spark, d):
     return decontaminate.contamination(_table(spark, d, "documents"), _table(spark, d, "benchmark")).drop("items")
 
 
+@register("op5_quality")
+def op5(spark, d):
+    return quality.judge(_table(spark, d, "documents"))
+
+
+@register("op6_pii")
+def op6(spark, d):
+    found = pii.pii_spans(_table(spark, d, "documents").select("doc_id", "text")).drop("text")
+    counts = [F.size(F.filter("base_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}")
+              for k in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base_spans")), 256).alias("base_sha256"),
+                        pii.joined(F.col("spans")).alias("spans"))
+
+
 @register("op9_bpe_codec")
 def op9(spark, d):
     docs = _table(spark, d, "documents").select("doc_id", "text")
