@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankflow.llm import bpe_codec, decontaminate, pii, quality, simhash, token_counts, toxicity
+from rankflow.llm import bpe_codec, decontaminate, pii, quality, simhash, token_counts, toxicity, url_filter
 from rankflow.session import ship_package
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,6 +39,11 @@ def op1(spark, d):
     return token_counts.document_token_counts(_table(spark, d, "documents"), BYTE_BPE)
 
 
+@register("op2_url_filter")
+def op2(spark, d):
+    return url_filter.judge(_table(spark, d, "pages")).drop("score")
+
+
 @register("op3_toxicity")
 def op3(spark, d):
     return toxicity.judge(_table(spark, d, "documents"), _table(spark, d, "labels"))
