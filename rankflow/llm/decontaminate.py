@@ -190,3 +190,12 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), "items")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``contamination`` finds contaminated; all columns pass as they are."""
+    row = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text"))
+    keyed = docs.withColumn("_row_key", row)
+    bad = contamination(keyed.select(F.col("_row_key").alias("doc_id"), "text"), items).where("contaminated") \
+        .select(F.col("doc_id").alias("_row_key")).distinct()
+    return keyed.join(bad, "_row_key", "left_anti").drop("_row_key")

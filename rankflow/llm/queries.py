@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankflow.llm import bpe_codec, decontaminate, lm, pii, quality, simhash, token_counts, toxicity, url_filter
+from rankflow.llm import bpe_codec, decontaminate, lm, pii, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter
 from rankflow.session import ship_package
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -68,6 +68,12 @@ def op6(spark, d):
                         pii.joined(F.col("spans")).alias("spans"))
 
 
+@register("op7_suffix_dedup")
+def op7(spark, d):
+    found = suffix_dedup.remove_repeats(_table(spark, d, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register("op8_lm_score")
 def op8(spark, d):
     return lm.scores(_table(spark, d, "documents"))
