@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -85,3 +86,10 @@ def spread(df):
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps whose results are written: they go when the plans that made them are
+    collected, which a driver with little garbage puts off."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
