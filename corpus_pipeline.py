@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankflow.llm import bpe_codec, decontaminate, pii, simhash, toxicity
+from rankflow.llm.arrowtext import fresh
 from rankflow.llm.queries import BYTE_BPE
 from rankflow.llm.queries import QUERIES as OPERATOR_QUERIES
 from rankflow.session import ship_package, work_dir
@@ -23,7 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression distance, calibrated on the labelled ones, scores under 0.3."""
     ship_package(spark)
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model, "_toxicity").where("_toxicity < 0.3").drop("_toxicity")
+    score = fresh(docs, "toxicity")
+    return toxicity.scored(docs, model, score).where(F.col(score) < 0.3).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

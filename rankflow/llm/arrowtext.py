@@ -26,6 +26,14 @@ NOT_SPACE = ~((_codes == 0x20) | ((_codes >= 0x09) & (_codes <= 0x0D)))
 ALNUM = ((_codes >= 0x30) & (_codes <= 0x39)) | ((_codes >= 0x61) & (_codes <= 0x7A)) | (_codes >= 0x80)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def plus(df: DataFrame, name: str, kind: DataType) -> tuple[DataFrame, StructType]:
     """``df`` without a column ``name``, and its schema with one at the end."""
     df = df.drop(name) if name in df.columns else df

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.llm.arrowtext import ALNUM, ASCII_LOWER, RollingHash, mix, pieces, word_array, words
+from rankflow.llm.arrowtext import ALNUM, ASCII_LOWER, RollingHash, fresh, mix, pieces, word_array, words
 from rankflow.llm.bloom import BitFilter, bit_filter
 
 SPAN, GRAM = 13, 5
@@ -195,7 +195,8 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the rows that ``contamination`` finds contaminated; all columns pass as they are."""
     row = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text"))
-    keyed = docs.withColumn("_row_key", row)
-    bad = contamination(keyed.select(F.col("_row_key").alias("doc_id"), "text"), items).where("contaminated") \
-        .select(F.col("doc_id").alias("_row_key")).distinct()
-    return keyed.join(bad, "_row_key", "left_anti").drop("_row_key")
+    key = fresh(docs, "row_key")
+    keyed = docs.withColumn(key, row)
+    bad = contamination(keyed.select(F.col(key).alias("doc_id"), "text"), items).where("contaminated") \
+        .select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(bad, key, "left_anti").select(*docs.columns)

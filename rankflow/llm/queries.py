@@ -49,21 +49,77 @@ def op3(spark, d):
     return toxicity.judge(_table(spark, d, "documents"), _table(spark, d, "labels"))
 
 
-@register("op4_decontaminate")
+OP4_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+           FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, row_number() OVER () AS iid, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+bn AS (SELECT *, least(13, len(w)) AS n FROM b WHERE len(w) > 0),
+bi AS (SELECT item_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM bn),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM bi),
+dn AS (SELECT rid, w, x.n AS n FROM d, (SELECT DISTINCT n FROM bn) x WHERE len(w) >= x.n),
+di AS (SELECT rid, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM dn),
+dw AS (SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS k FROM di),
+m AS (SELECT dw.rid, dw.n, dw.i, bw.item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.k = bw.k),
+hw AS (SELECT rid, unnest(range(i, i + n)) AS j FROM (SELECT DISTINCT rid, i, n FROM m)),
+h AS (SELECT rid, count(DISTINCT j) AS n_hit FROM hw GROUP BY rid),
+it AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+       FROM (SELECT DISTINCT rid, item_id FROM m) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN it USING (rid)
+"""
+
+
+@register("op4_decontaminate", OP4_SQL)
 def op4(spark, d):
     return decontaminate.contamination(_table(spark, d, "documents"), _table(spark, d, "benchmark")).drop("items")
 
 
-@register("op5_quality")
+_RATIO_SQL = {name: f"least(coalesce((1000 * {a}) // nullif({b}, 0), 0), 1000)" for name, (a, b, _) in quality.RATIOS.items()}
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, lang, source, row_number() OVER () AS rid, coalesce(text, '') AS t,
+             regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT rid, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM d),
+t3 AS (SELECT rid, i, a, lead(a) OVER x AS b, lead(a, 2) OVER x AS c FROM g WINDOW x AS (PARTITION BY rid ORDER BY i)),
+r AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM t3 WHERE c IS NOT NULL),
+h AS (SELECT rid, count(DISTINCT j) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM r WHERE n > 1) GROUP BY rid),
+l AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+      FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY rid),
+m AS (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
+        length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
+        length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+        coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+        length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper
+      FROM d LEFT JOIN h USING (rid) LEFT JOIN l USING (rid)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+s AS ({" UNION ALL ".join(f"SELECT lang, source, '{k}' AS ratio, {v} AS step FROM f WHERE NOT base_failed" for k, v in _RATIO_SQL.items())}),
+q AS (SELECT lang, source, ratio, step, count(*) AS n FROM s GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, ratio ORDER BY step) AS upto,
+        sum(n) OVER (PARTITION BY lang, source, ratio) AS total FROM q),
+z AS (SELECT lang, source, ratio, min(step) FILTER (WHERE 4 * upto >= total) AS q1,
+        min(step) FILTER (WHERE 4 * upto >= 3 * total) AS q3 FROM u GROUP BY ALL),
+k AS (SELECT lang, source, {", ".join(f"max(q3 + greatest({least}, {quality.FENCE} * (q3 - q1))) FILTER (WHERE ratio = '{name}') AS max_{name}"
+                                     for name, (_, _, least) in quality.RATIOS.items())} FROM z GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND {" AND ".join(f"{v} <= coalesce(max_{name}, 1000)" for name, v in _RATIO_SQL.items())} AS kept
+FROM f LEFT JOIN k ON f.lang IS NOT DISTINCT FROM k.lang AND f.source IS NOT DISTINCT FROM k.source
+"""
+
+
+@register("op5_quality", OP5_SQL)
 def op5(spark, d):
-    return quality.judge(_table(spark, d, "documents"))
+    return quality.judge(_table(spark, d, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 @register("op6_pii")
 def op6(spark, d):
     found = pii.pii_spans(_table(spark, d, "documents").select("doc_id", "text")).drop("text")
-    counts = [F.size(F.filter("base_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}")
-              for k in pii.BASE_KINDS]
+    kinds = F.transform("base_spans", lambda s: s["kind"])
+    counts = [F.size(F.array_remove(kinds, k)) for k in pii.BASE_KINDS]
+    counts = [(F.size(kinds) - n).cast("long").alias(f"n_{k}") for k, n in zip(pii.BASE_KINDS, counts, strict=True)]
     return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base_spans")), 256).alias("base_sha256"),
                         pii.joined(F.col("spans")).alias("spans"))
 

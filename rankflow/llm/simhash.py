@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, MapType
 
-from rankflow.llm.arrowtext import ASCII_LOWER, NOT_SPACE, pieces, plus, word_array, words
+from rankflow.llm.arrowtext import ASCII_LOWER, NOT_SPACE, fresh, pieces, plus, word_array, words
 from rankflow.llm.components import connected_components
 from rankflow.session import work_dir
 
@@ -160,9 +160,10 @@ def keep_first(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: the one with the smallest doc_id (nulls last; among
     rows that share it, one that a hash of the row names).  All columns pass as they are."""
     row = F.xxhash64(*[f.name for f in docs.schema.fields if not isinstance(f.dataType, MapType)])
-    docs = docs.withColumn("_digest", row)
+    names, digest = docs.columns, fresh(docs, "row_digest")
+    docs = docs.withColumn(digest, row)
     folder = work_dir(docs.sparkSession, "simhash-rows")
-    fingerprints(docs.select("doc_id", "_digest", "text"), shingle).drop("text").write.mode("overwrite").parquet(folder)
+    fingerprints(docs.select("doc_id", F.col(digest).alias("_digest"), "text"), shingle).drop("text").write.mode("overwrite").parquet(folder)
     rows = docs.sparkSession.read.parquet(folder)
     nodes = rows.groupBy("fp").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_digest")).alias("first"),
@@ -171,13 +172,13 @@ def keep_first(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     firsts = (nodes.join(comps, "fp", "left").groupBy(F.coalesce("component", "fp").alias("component"))
               .agg(F.min("first").alias("first")).select("first.doc_id", "first._digest"))
     copies = rows.groupBy("doc_id", "_digest").agg(F.count("*").alias("n"))
-    on = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["_digest"] == b["_digest"])
+    on = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a[digest if digest in a.columns else "_digest"] == b["_digest"])
     repeated = copies.where("n > 1")
     firsts_once = firsts.join(repeated, on(firsts, repeated), "left_anti")
     firsts_more = firsts.join(repeated, on(firsts, repeated), "left_semi")
     once = docs.join(firsts_once, on(docs, firsts_once), "left_semi")
-    more = docs.join(firsts_more, on(docs, firsts_more), "left_semi").dropDuplicates(["doc_id", "_digest"])
-    return once.union(more).drop("_digest")
+    more = docs.join(firsts_more, on(docs, firsts_more), "left_semi").dropDuplicates(["doc_id", digest])
+    return once.union(more).select(*names)
 
 
 def hex16(fp: Column) -> Column:
