@@ -112,22 +112,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_BASE = 0x9E3779B97F4A7C15
+_KEPT_POWERS = 1 << 22
+_powers_of: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """base ** 0 .. base ** (n - 1), wrapping; kept for the task up to a bound."""
+    have = _powers_of.get(base)
+    if have is not None and len(have) >= n:
+        return have[:n]
+    out = np.full(max(n, 1), base, np.uint64)
+    out[0] = 1
+    out = np.multiply.accumulate(out)
+    if n <= _KEPT_POWERS:
+        _powers_of[base] = out
+    return out[:n]
 
 
 class RollingHash:
     """64-bit hashes of arbitrary byte ranges of one array (wrapping polynomial over scrambled bytes, then mixed)."""
 
     def __init__(self, data: np.ndarray, seed: int = 1):
-        base = 0x9E3779B97F4A7C15 | 1
-        inverse = pow(base, -1, 1 << 64)
         table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed))
-        self._up = _powers(base, len(data) + 1)
+        self._up = _powers(_BASE, len(data) + 1)
         self._sum = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(table[data] * _powers(inverse, len(data)), out=self._sum[1:])
+        np.cumsum(table[data] * _powers(pow(_BASE, -1, 1 << 64), len(data)), out=self._sum[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self._sum[ends] - self._sum[starts]) * self._up[starts]
