@@ -1,3 +1,7 @@
-from rankflow.streaming.jobs import current_table, file_stream, ingest_stream, lookup_stream, progress_stream
+from rankflow.streaming.jobs import (
+    current_table, file_stream, first_deliveries, ingest_stream, job_totals, lookup_stream, progress_stream,
+    running_totals, write_keyed_base,
+)
 
-__all__ = ["current_table", "file_stream", "ingest_stream", "lookup_stream", "progress_stream"]
+__all__ = ["current_table", "file_stream", "first_deliveries", "ingest_stream", "job_totals", "lookup_stream",
+           "progress_stream", "running_totals", "write_keyed_base"]

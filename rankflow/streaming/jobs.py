@@ -1,25 +1,33 @@
 """Arrival-driven jobs on Structured Streaming.
 
 Every sink is idempotent per micro-batch id: a batch writes only its own
-``batch_id=`` folder (or table version ``v=batch_id+1``) with mode overwrite,
-so a batch replayed after an executor or driver loss rewrites exactly the same
-output.  Offsets and state live in the checkpoint folder the caller passes
+``batch_id=`` folders with mode overwrite and reads only those of earlier
+batches, so a batch replayed after an executor or driver loss rewrites exactly
+the same output.  Offsets live in the checkpoint folder the caller passes
 (under the cluster's shared ``spark.checkpoint.dir``).
+
+Redeliveries are recognised by message id, however late they come: the ids seen
+are a table in buckets of their hash, and a batch reads the buckets of its own
+ids only.  No watermark drops anything.  Keyed tables lie in buckets too, so a
+batch reads and writes what its keys touch.  Tables given by path are read
+inside each batch and show what was added meanwhile.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from rankflow.operators import jobs as J
 from rankflow.operators import joins, merge, records
+from rankflow.sources import envelopes, snapshots
 
 # Reference micro-batch: at most 10 records per trigger, every 5 seconds.
 MAX_FILES_PER_TRIGGER = 10
 PROCESSING_TIME = "5 seconds"
+BUCKETS = 64
 
 
 def file_stream(spark: SparkSession, directory: str, schema: StructType, glob: str = "*",
@@ -33,53 +41,140 @@ def _trigger(writer, available_now: bool):
     return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=PROCESSING_TIME)
 
 
-def _version_path(path: str, v: int) -> str:
-    return f"{path.rstrip('/')}/v={v:08d}"
+def bucket_of(key: str | Column) -> Column:
+    return F.pmod(F.xxhash64(F.col(key) if isinstance(key, str) else key), F.lit(BUCKETS)).cast("int")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _earlier(spark: SparkSession, path: str, like: StructType, batch_id: int | None,
+             buckets: list[int] | None = None) -> DataFrame | None:
+    """Rows with the columns ``like`` that batches before ``batch_id`` wrote to
+    ``path``, of some buckets; None before the first."""
+    if not _exists(spark, path):
+        return None
+    fields = [f for f in like.fields if f.name not in ("batch_id", "bucket")]
+    layout = [StructField("batch_id", IntegerType()), *([StructField("bucket", IntegerType())] if buckets is not None else [])]
+    rows = spark.read.schema(StructType([*fields, *layout])).parquet(path)
+    if batch_id is not None:
+        rows = rows.where(F.col("batch_id") < batch_id)
+    return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
+
+
+def _put(rows: DataFrame, path: str, batch_id: int, key: str) -> None:
+    """The part of ``path`` that this batch owns, in buckets."""
+    (rows.withColumn("bucket", bucket_of(key)).repartition("bucket").write.mode("overwrite")
+         .partitionBy("bucket").parquet(f"{path}/batch_id={batch_id}"))
+
+
+def _buckets(rows: DataFrame, key: str) -> list[int]:
+    """The buckets that a batch touches (at most BUCKETS numbers)."""
+    return [r[0] for r in rows.select(bucket_of(key)).distinct().collect()]
+
+
+def first_deliveries(batch: DataFrame, batch_id: int, id_col: str, seen_path: str) -> DataFrame:
+    """Rows of a micro-batch whose message id no earlier batch delivered, one per id; their ids are recorded.
+    A row without an id is a message of its own."""
+    spark = batch.sparkSession
+    named = batch.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+    before = _earlier(spark, seen_path, named.select(id_col).schema, batch_id, _buckets(named, id_col))
+    fresh = named if before is None else named.join(before.select(id_col), id_col, "left_anti")
+    _put(fresh.select(id_col), seen_path, batch_id, id_col)
+    mine = spark.read.schema(batch.select(id_col).schema).parquet(f"{seen_path}/batch_id={batch_id}")
+    return named.join(mine, id_col, "left_semi").unionByName(batch.where(F.col(id_col).isNull()))
+
+
+def _add_up(increments: DataFrame, path: str, batch_id: int, key: str, value: str) -> None:
+    """Running totals by key: what earlier batches reached plus ``increments``, written for this batch's keys."""
+    spark = increments.sparkSession
+    before = _earlier(spark, path, increments.schema, batch_id, _buckets(increments, key))
+    total = increments
+    if before is not None:
+        last = before.groupBy(key).agg(F.max_by(value, "batch_id").alias("_before"))
+        total = (increments.join(last, key, "left")
+                 .withColumn(value, F.col(value) + F.coalesce("_before", F.lit(0))).drop("_before"))
+    _put(total, path, batch_id, key)
+
 
+def running_totals(spark: SparkSession, path: str, key: str = "job_id") -> DataFrame:
+    """The last row per key that a stream wrote to ``path``."""
+    rows = spark.read.parquet(path)
+    cols = [c for c in rows.columns if c not in (key, "batch_id", "bucket")]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*cols), "batch_id").alias("_r"))
+    return last.select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
-def ingest_stream(docs: DataFrame, known: DataFrame, out_dir: str, checkpoint: str, as_of,
+
+def _table(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    """A table by path, as it is now; a DataFrame is taken as given."""
+    return spark.read.parquet(source) if isinstance(source, str) else source
+
+
+def ingest_stream(docs: DataFrame, known: str | DataFrame, out_dir: str, checkpoint: str, as_of,
                   json_col: str = "json", source_col: str = "source_file", key: str = "track_id",
-                  available_now: bool = True) -> StreamingQuery:
-    """Snapshot documents -> records -> new records (stream-static anti
-    join against ``known``) -> ``records`` and ``jobs`` (O35) per batch."""
-    recs = records.normalize_records(records.locate_records(docs, json_col))
-    new = joins.new_records(recs, known, key=key)
+                  objects_root: str | None = None, available_now: bool = True) -> StreamingQuery:
+    """Snapshot documents -> records (O22, O23) -> new records (O29) ->
+    ``records``, ``messages`` (O07) and ``jobs`` (O35) under ``out_dir``.
+
+    With ``objects_root`` the stream carries arrival notifications instead
+    (O05): each batch reads the objects that it names (O01), whole, under
+    ``objects_root/<bucket>/<key>``.  ``known`` given as a path is read anew by
+    every batch.  A source file whose records come in several batches stays one
+    job: ``jobs`` has running totals (``running_totals``).
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        batch.write.mode("overwrite").parquet(f"{out_dir}/records/batch_id={batch_id}")
-        J.create_jobs(batch, source_col, as_of).write.mode("overwrite").parquet(
-            f"{out_dir}/jobs/batch_id={batch_id}")
-        batch.unpersist()
-
-    w = new.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        spark = batch.sparkSession
+        if objects_root:
+            decoded = envelopes.decode_notifications(batch).where("outcome = 'processed'")
+            named = [f"{objects_root.rstrip('/')}/{r['bucket']}/{r['key']}" for r in
+                     decoded.select("bucket", "key").where("key is not null").distinct().collect()]
+            source = F.regexp_replace(F.col("path"), "^.*?" + objects_root.rstrip("/").split("/")[-1] + "/[^/]+/", "")
+            batch = snapshots.read_objects(spark, named).select("json", source.alias(source_col))
+        found = records.normalize_records(records.locate_records(batch, json_col))
+        path = f"{out_dir}/records/batch_id={batch_id}"
+        joins.new_records(found, _table(spark, known), key=key).write.mode("overwrite").parquet(path)
+        new = spark.read.parquet(path)
+        created = J.create_jobs(new, source_col, as_of)
+        _add_up(created, f"{out_dir}/jobs", batch_id, "job_id", "expected_count")
+        tracks = [c for c in new.columns if c not in (source_col, "original_data", "source")]
+        messages = envelopes.build_messages(new.withColumn("job_id", F.sha2(F.col(source_col), 256)), source_col, "job_id",
+                                            as_of, track_cols=[c for c in tracks if c != "job_id"])
+        messages.select("message", "subject", "attributes").write.mode("overwrite").parquet(
+            f"{out_dir}/messages/batch_id={batch_id}")
+
+    w = docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return _trigger(w, available_now).start()
 
 
-def dedupe_deliveries(stream: DataFrame, id_col: str, ts_col: str, watermark: str = "1 hour") -> DataFrame:
-    """Drop redeliveries of a message id; state is bounded by the watermark."""
-    return (stream.withColumn("_event_ts", F.col(ts_col).cast("timestamp"))
-                  .withWatermark("_event_ts", watermark)
-                  .dropDuplicatesWithinWatermark([id_col])
-                  .drop("_event_ts"))
+def write_keyed_base(df: DataFrame, table_path: str, key: str = "track_id") -> None:
+    """The first version of a keyed table that a lookup stream goes on with, in buckets of the key's hash."""
+    (df.withColumn("bucket", bucket_of(key)).repartition("bucket").write.mode("overwrite").partitionBy("bucket")
+       .parquet(f"{table_path}/base"))
 
 
-def _view(spark: SparkSession, table_path: str, key: str, before: int | None = None) -> DataFrame:
-    """Merge-on-read view: ``base`` plus committed ``changes/batch_id=`` folders
-    (only those below ``before`` when given), the latest change per key winning.
-    ``max_by`` is a partial aggregate, so a hot key is combined map-side."""
+def _view(spark: SparkSession, table_path: str, key: str, before: int | None = None,
+          wanted: DataFrame | None = None) -> DataFrame:
+    """Merge-on-read view: ``base`` plus committed ``changes`` (only those
+    below ``before`` when given), the latest change per key winning; with
+    ``wanted``, of its keys only (their buckets are read, and other rows go
+    before the aggregate).  ``max_by`` is partial, so a hot key is combined
+    map-side."""
+    buckets = None if wanted is None else _buckets(wanted, key)
     base = spark.read.parquet(f"{table_path}/base")
-    rows = base.withColumn("_ver", F.lit(-1).cast("long"))
-    try:
-        ch = spark.read.parquet(f"{table_path}/changes")
-        if before is not None:
-            ch = ch.where(F.col("batch_id") < before)
-        rows = rows.unionByName(ch.withColumnRenamed("batch_id", "_ver").select(*rows.columns))
-    except Exception:  # noqa: BLE001 - no change committed yet
-        pass
-    cols = [c for c in base.columns if c != key]
-    latest = rows.groupBy(key).agg(F.max_by(F.struct(*cols), F.col("_ver")).alias("_r"))
-    return latest.select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
+    rows = (base if buckets is None else base.where(F.col("bucket").isin(buckets))).withColumn("batch_id", F.lit(-1).cast("int"))
+    if buckets is None:
+        rows = rows.drop("bucket")
+    changes = _earlier(spark, f"{table_path}/changes", base.schema, before, buckets)
+    if changes is not None:
+        rows = rows.unionByName(changes.select(*rows.columns))
+    if wanted is not None:
+        rows = rows.join(wanted.select(key), key, "left_semi")
+    cols = [c for c in base.columns if c not in (key, "bucket")]
+    latest = rows.groupBy(key).agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("_r"))
+    return latest.select(*[F.col(key) if c == key else F.col(f"_r.{c}").alias(c) for c in base.columns if c != "bucket"])
 
 
 def current_table(spark: SparkSession, table_path: str, key: str = "track_id") -> DataFrame:
@@ -89,32 +184,28 @@ def current_table(spark: SparkSession, table_path: str, key: str = "track_id") -
 
 def lookup_stream(outcomes: DataFrame, table_path: str, dlq_dir: str, checkpoint: str, as_of,
                   key: str = "track_id", fill: dict[str, str] | None = None,
-                  id_col: str | None = None, ts_col: str | None = None, watermark: str = "1 hour",
-                  available_now: bool = True) -> StreamingQuery:
+                  id_col: str | None = None, available_now: bool = True) -> StreamingQuery:
     """Classified outcomes -> per batch, one conditional upsert (O38) of
-    the hits and the misses to dead letters (O08).
+    the hits and the misses to dead letters (O08), each message id once.
 
-    The keyed table is merge-on-read (``table_path/base`` + ``changes``): a
-    batch reads only the current rows of its own keys (semi join on the key
-    column) and writes only its changed rows to ``changes/batch_id=b``, so the
-    per-batch cost follows the batch, not the table.  Replaying batch ``b``
-    excludes its own earlier output and overwrites the same folder.
+    The keyed table (``write_keyed_base``) is merge-on-read: a batch reads the
+    buckets of its own keys and writes its changed rows to
+    ``changes/batch_id=b``.  ``current_table`` written with
+    ``write_keyed_base`` to a new path, say daily, is the compaction.
     """
     fill = fill or {"youtube_video_id": "youtube_video_id", "youtube_url": "youtube_url"}
-    if id_col:
-        outcomes = dedupe_deliveries(outcomes, id_col, ts_col, watermark)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
-        hits = batch.where(F.col("status") == "success")
-        prior = _view(spark, table_path, key, before=batch_id)
-        touched = prior.join(hits.select(key), key, "left_semi")
+        fresh = first_deliveries(batch, batch_id, id_col, f"{table_path}/seen") if id_col else batch
+        hits = fresh.where(F.col("status") == "success")
+        touched = _view(spark, table_path, key, before=batch_id, wanted=hits.select(key).distinct())
         changed = (merge.upsert_if_missing(touched, hits, key=key, fill=fill, as_of=as_of,
                                            insert_cols={"title": "title", "artist": "artist"})
                    .where(F.col("action").isin("updated", "inserted")).drop("action"))
-        changed.write.mode("overwrite").parquet(f"{table_path}/changes/batch_id={batch_id}")
-        _, dead = J.split_dead_letters(batch, as_of)
+        _put(changed, f"{table_path}/changes", batch_id, key)
+        _, dead = J.split_dead_letters(fresh, as_of)
         dead.write.mode("overwrite").parquet(f"{dlq_dir}/batch_id={batch_id}")
         batch.unpersist()
 
@@ -122,32 +213,37 @@ def lookup_stream(outcomes: DataFrame, table_path: str, dlq_dir: str, checkpoint
     return _trigger(w, available_now).start()
 
 
-def progress_stream(outcomes: DataFrame, jobs: DataFrame, progress_path: str, completions_dir: str,
-                    checkpoint: str, as_of, id_col: str, ts_col: str, watermark: str = "1 hour",
-                    bucket: str | None = None, available_now: bool = True) -> StreamingQuery:
+def progress_stream(outcomes: DataFrame, jobs: str | DataFrame, progress_path: str, completions_dir: str,
+                    checkpoint: str, as_of, id_col: str, bucket: str | None = None,
+                    available_now: bool = True) -> StreamingQuery:
     """O52 + O53: at-least-once outcomes -> exactly-once job progress and one
     completion event per job.
 
-    Redeliveries are dropped by message id within the watermark; counts are a
-    streaming aggregate in update mode whose rows carry running totals, merged
-    by job id into the next progress version.  Completions are keyed by job id
-    and anti-joined against the ones earlier batches emitted.
+    A batch adds its first deliveries to the running totals of its own jobs.
+    Every open job (one per source file, so far fewer than messages) is then
+    checked, also one created after its outcomes came; ``jobs`` given as a path
+    is read anew by every batch.
     """
-    counts = J.job_progress(dedupe_deliveries(outcomes, id_col, ts_col, watermark))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        updated = batch.persist()
-        prev = spark.read.parquet(_version_path(progress_path, batch_id))
-        merged = prev.join(updated.select("job_id"), "job_id", "left_anti").unionByName(updated)
-        merged.write.mode("overwrite").parquet(_version_path(progress_path, batch_id + 1))
-        done = J.completed_jobs(jobs, updated, as_of, bucket=bucket)
-        earlier = (spark.read.parquet(completions_dir).where(F.col("batch_id") < batch_id).select("job_id")
-                   if batch_id > 0 else None)
-        if earlier is not None:
-            done = done.join(earlier, "job_id", "left_anti")
-        done.write.mode("overwrite").parquet(f"{completions_dir}/batch_id={batch_id}")
-        updated.unpersist()
-
-    w = counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+        batch = batch.persist()
+        fresh = first_deliveries(batch, batch_id, id_col, f"{progress_path}/seen")
+        _add_up(J.job_progress(fresh), f"{progress_path}/totals", batch_id, "job_id", "processed_count")
+        open_jobs = _table(spark, jobs)
+        job_id = StructType([open_jobs.schema["job_id"]])
+        if (done := _earlier(spark, completions_dir, job_id, batch_id)) is not None:
+            open_jobs = open_jobs.join(done.select("job_id"), "job_id", "left_anti")
+        upto = _earlier(spark, f"{progress_path}/totals", J.job_progress(fresh).schema, batch_id + 1)
+        reached = upto.groupBy("job_id").agg(F.max_by("processed_count", "batch_id").alias("processed_count"))
+        J.completed_jobs(open_jobs, reached, as_of, bucket=bucket).write.mode("overwrite").parquet(
+            f"{completions_dir}/batch_id={batch_id}")
+        batch.unpersist()
+
+    w = outcomes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return _trigger(w, available_now).start()
+
+
+def job_totals(spark: SparkSession, progress_path: str) -> DataFrame:
+    """job_id and processed_count as of the last committed micro-batch."""
+    return running_totals(spark, f"{progress_path}/totals")

@@ -5,12 +5,15 @@ import json
 import os
 import tempfile
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from conftest import rows
 from rankflow.operators import jobs, merge
 from rankflow.sources import envelopes
-from rankflow.streaming import current_table, file_stream, lookup_stream, progress_stream
+from rankflow.streaming import (
+    current_table, file_stream, ingest_stream, job_totals, lookup_stream, progress_stream, running_totals, write_keyed_base,
+)
 
 AS_OF = dt.datetime(2024, 2, 1)
 SCHEMA = "event_id long, ts timestamp, job_id string, title string, artist string, found boolean"
@@ -34,10 +37,9 @@ def _classify(df):
 
 
 def _write_batches(spark, folder, batches):
-    """One flat Parquet file per micro-batch (a tiny fixture, so pandas is fine)."""
+    """One flat Parquet file per micro-batch (a tiny fixture)."""
     for i, b in enumerate(batches):
-        pdf = _messages(spark, b).toPandas()
-        pdf.to_parquet(os.path.join(folder, f"part{i}.parquet"), coerce_timestamps="us", index=False)
+        pq.write_table(_messages(spark, b).toArrow(), os.path.join(folder, f"part{i}.parquet"), coerce_timestamps="us")
 
 
 def test_multi_batch_lookup_and_progress(spark):
@@ -61,9 +63,9 @@ def test_multi_batch_lookup_and_progress(spark):
                                  "track_id string, title string, artist string, youtube_video_id string, "
                                  "youtube_url string, source string, created_at timestamp, updated_at timestamp")
     tpath = os.path.join(root, "tracks")
-    base.write.parquet(os.path.join(tpath, "base"))
+    write_keyed_base(base, tpath)
     q = lookup_stream(stream(), tpath, os.path.join(root, "dlq"), os.path.join(root, "ck1"), AS_OF,
-                      id_col="event_id", ts_col="ts")
+                      id_col="event_id")
     q.awaitTermination()
     assert q.exception() is None and len(q.recentProgress) >= 3
     all_rows = _classify(_messages(spark, b1 + b2 + b3)).dropDuplicates(["event_id"])
@@ -80,14 +82,101 @@ def test_multi_batch_lookup_and_progress(spark):
     jobs_df = spark.createDataFrame([("j1", "f1", 3, AS_OF), ("j2", "f2", 3, AS_OF), ("j3", "f3", 1, AS_OF)],
                                     "job_id string, source_file string, expected_count long, created_at timestamp")
     ppath = os.path.join(root, "progress")
-    spark.createDataFrame([], "job_id string, processed_count bigint").write.parquet(f"{ppath}/v=00000000")
     cdir = os.path.join(root, "completions")
-    q2 = progress_stream(stream(), jobs_df, ppath, cdir, os.path.join(root, "ck2"), AS_OF, "event_id", "ts")
+    q2 = progress_stream(stream(), jobs_df, ppath, cdir, os.path.join(root, "ck2"), AS_OF, "event_id")
     q2.awaitTermination()
     assert q2.exception() is None
-    versions = spark.read.parquet(ppath)
-    last = versions.where(F.col("v") == versions.agg(F.max("v")).first()[0])
-    assert rows(last, "job_id", "processed_count") == [("j1", 3), ("j2", 3), ("j3", 1)]
+    assert rows(job_totals(spark, ppath), "job_id", "processed_count") == [("j1", 3), ("j2", 3), ("j3", 1)]
     comp = spark.read.parquet(cdir)
     assert rows(comp, "job_id") == [("j1",), ("j2",), ("j3",)]     # each exactly once
     assert json.dumps(sorted(r.batch_id for r in comp.collect()))    # spread over batches
+
+
+def _done(q):
+    q.awaitTermination()
+    assert q.exception() is None
+
+
+def test_late_messages_and_redeliveries_days_apart(spark):
+    """Rows days out of order and redelivered days later count once, and none is dropped."""
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    b1 = [(1, day(9), "j1", "a", "x", True), (2, day(9), "j1", "b", "x", False)]
+    b2 = [(3, day(0), "j1", "c", "x", True), (1, day(9), "j1", "a", "x", True), (None, day(0), "j1", "n", "x", False)]
+    b3 = [(4, day(3), "j1", "d", "x", False), (2, day(9), "j1", "b", "x", False), (6, day(12), "j2", "e", "x", True)]
+    root = tempfile.mkdtemp(prefix="rankflow-late-")
+    src = os.path.join(root, "in")
+    os.makedirs(src)
+    _write_batches(spark, src, [b1, b2, b3])
+    schema = _messages(spark, b1).schema
+    stream = lambda: _classify(file_stream(spark, src, schema, glob="*.parquet", max_files=1))
+    jobs_path = os.path.join(root, "jobs")
+    spark.createDataFrame([("j1", "f1", 5, AS_OF)], "job_id string, source_file string, expected_count long, created_at timestamp") \
+        .write.parquet(jobs_path)
+    ppath, cdir = os.path.join(root, "progress"), os.path.join(root, "completions")
+    _done(progress_stream(stream(), jobs_path, ppath, cdir, os.path.join(root, "ck"), AS_OF, "event_id"))
+    assert rows(job_totals(spark, ppath), "job_id", "processed_count") == [("j1", 5), ("j2", 1)]
+    assert rows(spark.read.parquet(cdir), "job_id") == [("j1",)]
+    # a job created after its outcomes came completes with the next batch
+    spark.createDataFrame([("j2", "f2", 1, AS_OF)], "job_id string, source_file string, expected_count long, created_at timestamp") \
+        .write.mode("append").parquet(jobs_path)
+    pq.write_table(_messages(spark, [(7, day(13), "j1", "g", "x", True)]).toArrow(), os.path.join(src, "part9.parquet"),
+                   coerce_timestamps="us")
+    _done(progress_stream(stream(), jobs_path, ppath, cdir, os.path.join(root, "ck"), AS_OF, "event_id"))
+    assert rows(spark.read.parquet(cdir), "job_id") == [("j1",), ("j2",)]
+    tpath = os.path.join(root, "tracks")
+    write_keyed_base(spark.createDataFrame([], "track_id string, title string, artist string, youtube_video_id string, "
+                                               "youtube_url string, source string, created_at timestamp, updated_at timestamp"), tpath)
+    spark.createDataFrame([("d|x", "d", "x", None, None, "beatport", AS_OF, AS_OF)], current_schema()).withColumn(
+        "bucket", F.lit(0)).write.mode("append").partitionBy("bucket").parquet(f"{tpath}/base")
+    _done(lookup_stream(stream(), tpath, os.path.join(root, "dlq"), os.path.join(root, "ck2"), AS_OF, id_col="event_id"))
+    assert rows(spark.read.parquet(os.path.join(root, "dlq")), "event_id") == [(2,), (4,), (None,)]
+    assert {r.track_id for r in current_table(spark, tpath).collect()} == {"a|x", "c|x", "d|x", "e|x", "g|x"}
+
+
+def current_schema():
+    return ("track_id string, title string, artist string, youtube_video_id string, youtube_url string, source string, "
+            "created_at timestamp, updated_at timestamp")
+
+
+def test_notifications_to_messages_with_a_growing_known_table(spark):
+    """Notifications name indented objects; one source over two batches is one
+    job; a track that became known in between is not reported again."""
+    root = tempfile.mkdtemp(prefix="rankflow-ingest-")
+    store, src = os.path.join(root, "store"), os.path.join(root, "in")
+    os.makedirs(os.path.join(store, "charts", "2024"))
+    os.makedirs(src)
+
+    def put(name, titles):
+        with open(os.path.join(store, "charts", "2024", name), "w") as fh:
+            json.dump({"tracks": [{"title": t, "artist": "x", "rank": i + 1} for i, t in enumerate(titles)]}, fh, indent=2)
+
+    def notify(i, name):
+        body = json.dumps({"Records": [{"eventSource": "aws:s3", "eventName": "ObjectCreated:Put",
+                                        "s3": {"bucket": {"name": "charts"}, "object": {"key": f"2024/{name}"}}}]})
+        spark.createDataFrame([("aws:sqs", body)], "eventSource string, body string").toPandas().to_parquet(
+            os.path.join(src, f"n{i}.parquet"), index=False)
+
+    put("a.json", ["one", "two"])
+    put("b%.json", ["three", "one"])
+    notify(0, "a.json")
+    notify(1, "b%25.json")
+    known, out = os.path.join(root, "known"), os.path.join(root, "out")
+    from rankflow.functions.text import content_key
+    keys = lambda *t: spark.createDataFrame([("x", x) for x in t], "artist string, title string").select(
+        content_key("artist", "title").alias("track_id"))
+    keys("two").write.parquet(known)
+
+    def run():
+        stream = file_stream(spark, src, spark.createDataFrame([], "eventSource string, body string").schema, glob="*.parquet", max_files=1)
+        _done(ingest_stream(stream, known, out, os.path.join(root, "ck"), AS_OF, objects_root=store))
+    run()
+    keys("one").write.mode("append").parquet(known)
+    put("a.json", ["one", "four", "two"])
+    notify(2, "a.json")
+    run()
+    got = rows(spark.read.parquet(f"{out}/records"), "source_file", "title")
+    assert got == [("2024/a.json", "four"), ("2024/a.json", "one"), ("2024/b%.json", "one"), ("2024/b%.json", "three")]
+    assert rows(running_totals(spark, f"{out}/jobs"), "source_file", "expected_count") == [("2024/a.json", 2), ("2024/b%.json", 2)]
+    sent = spark.read.parquet(f"{out}/messages").collect()
+    assert len(sent) == 4 and {r.attributes["track_title"] for r in sent} == {"one", "three", "four"}
+    assert all(json.loads(r.message)["job_id"] == r.attributes["job_id"] and "genre" in json.loads(r.message)["track"] for r in sent)
