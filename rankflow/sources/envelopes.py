@@ -20,6 +20,11 @@ STORE_SOURCE = "aws:s3"
 MESSAGE_ACTION = "process_new_track"
 
 
+def unquote_plus(c: Column) -> Column:
+    """Plus signs and valid ``%XX`` escapes decoded; everything else stays."""
+    return F.try_url_decode(F.regexp_replace(c, r"%(?![0-9A-Fa-f]{2})", "%25"))
+
+
 def _is_obj(v: Column) -> Column:
     return F.coalesce(vtype(v).startswith("OBJECT"), F.lit(False))
 
@@ -64,7 +69,7 @@ def decode_notifications(df: DataFrame, body_col: str = "body", source_col: str
     key_raw = vstr(vfield(obj, "key"))
     out = x.select(*keep, "event_pos", outcome.alias("outcome"),
                    F.when(outcome == "processed", vstr(vfield(bucket, "name"))).alias("bucket"),
-                   F.when(outcome == "processed", F.try_url_decode(key_raw)).alias("key"),
+                   F.when(outcome == "processed", unquote_plus(key_raw)).alias("key"),
                    F.try_variant_get(r, "$.eventName", "string").alias("event_name"))
     if subscription_only:
         out = out.where((F.col("outcome") != "processed") | (
@@ -130,19 +135,20 @@ def build_messages(df: DataFrame, source_col: str, job_col: str, as_of,
     """One fan-out message per new record: JSON body, subject, attributes."""
     track_cols = track_cols or [c for c in df.columns if c not in (source_col, job_col)]
     ts = py_isoformat(F.lit(as_of))
+    # null fields stay in the message, as the reference's writer keeps them
     body = F.to_json(F.struct(
         F.struct(*[F.col(c) for c in track_cols]).alias("track"),
         F.col(source_col).alias("source_file"),
         F.col(job_col).alias("job_id"),
         ts.alias("timestamp"),
-        F.lit(MESSAGE_ACTION).alias("action")))
+        F.lit(MESSAGE_ACTION).alias("action")), {"ignoreNullFields": "false"})
     title = F.coalesce(F.col("title").cast("string"), F.lit("Unknown")) if "title" in df.columns else F.lit("Unknown")
     artist = F.coalesce(F.col("artist").cast("string"), F.lit("Unknown")) if "artist" in df.columns else F.lit("Unknown")
     subject = py_strip(F.substring(F.concat(F.lit("New track: "), title, F.lit(" - "), artist), 1, 100))
     tid = F.coalesce(F.col("track_id"), F.lit("unknown")) if "track_id" in df.columns else F.lit("unknown")
     attrs = F.create_map(
         F.lit("source_file"), F.col(source_col).cast("string"),
-        F.lit("job_id"), F.coalesce(F.col(job_col).cast("string"), F.lit("unknown")),
+        F.lit("job_id"), F.coalesce(F.nullif(F.col(job_col).cast("string"), F.lit("")), F.lit("unknown")),
         F.lit("track_id"), tid,
         F.lit("track_title"), title,
         F.lit("track_artist"), artist)

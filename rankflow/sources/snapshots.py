@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 SNAPSHOT_FORMAT = "yyyyMMdd-HHmmss"
 
 
+def _plain_path():
+    """The path of the object a row came from, without the escapes of a URI."""
+    return F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def parse_snapshots(df: DataFrame, text_col: str = "json") -> DataFrame:
     """O01 (parse half): bad JSON becomes a NULL document, never an error."""
     return df.withColumn("doc", F.try_parse_json(F.col(text_col)))
@@ -25,22 +30,35 @@ def read_snapshots(spark: SparkSession, path: str, glob: str = "*.json*") -> Dat
     ``wholetext`` keeps one row per object; every object is its own split, so
     the read spreads over all executors.  Unreadable JSON gives ``doc`` NULL.
     """
-    raw = (spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-           .option("pathGlobFilter", glob).text(path))
-    return parse_snapshots(raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json")))
+    raw = (spark.read.option("recursiveFileLookup", "true")
+           .option("pathGlobFilter", glob).text(path, wholetext=True))
+    return parse_snapshots(raw.select(_plain_path().alias("path"), F.col("value").alias("json")))
+
+
+def read_objects(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """O01 for named objects: (path, json, doc) of those that exist."""
+    if not paths:
+        return parse_snapshots(spark.createDataFrame([], "path string, json string"))
+    raw = spark.read.option("ignoreMissingFiles", "true").text(paths, wholetext=True)
+    return parse_snapshots(raw.select(_plain_path().alias("path"), F.col("value").alias("json")))
 
 
 def write_snapshots(df: DataFrame, path: str, ts_col: str, source: str = "snapshots",
                     mode: str = "append", fmt: str = "json") -> None:
     """Dated snapshot documents under ``year=/month=/day=`` with their
-    metadata (source, snapshot id) as columns; ``fmt`` is ``json`` (one
-    document per line) or ``parquet``."""
+    metadata (source, snapshot id, type, time) as columns; ``fmt`` is ``json``
+    (one object per document: ``maxRecordsPerFile`` is one) or ``parquet``."""
     ts = F.col(ts_col).cast("timestamp")
     out = (df.withColumn("snapshot_id", F.concat(F.lit(f"{source}-"), F.date_format(ts, SNAPSHOT_FORMAT)))
+             .withColumn("playlist_type", F.lit(source))
+             .withColumn("scraped_at", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"))
              .withColumn("year", F.date_format(ts, "yyyy"))
              .withColumn("month", F.date_format(ts, "MM"))
              .withColumn("day", F.date_format(ts, "dd")))
-    out.write.mode(mode).partitionBy("year", "month", "day").format(fmt).save(path)
+    if fmt == "json":
+        out.write.mode(mode).partitionBy("year", "month", "day").option("maxRecordsPerFile", 1).json(path)
+    else:
+        out.write.mode(mode).partitionBy("year", "month", "day").format(fmt).save(path)
 
 
 PARTITION_LEVELS = ["year", "month", "day"]
