@@ -22,21 +22,3 @@ def with_columns_once(df: DataFrame, cols: dict[str, Column], keep: list[str] |
 def where_once(df: DataFrame, condition: Column) -> DataFrame:
     """``df.where(condition)`` with ``condition`` evaluated once, in place."""
     return with_columns_once(df, {"_keep": condition}).where(F.col("_keep")).drop("_keep")
-
-
-# Largest lookup side (rows) that may be broadcast after an explicit check.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
-
-    The check is ``limit(max_rows + 1).count()`` - a bounded job that stops
-    early on a large input - so a broadcast never rests on an estimate.  Beyond
-    the bound the side is returned as is and the join shuffles (sort-merge, or
-    an AQE broadcast if the measured shuffle output turns out small).
-    """
-    if df.isStreaming:
-        return df
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df

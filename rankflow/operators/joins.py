@@ -1,12 +1,9 @@
 """Keyed lookups and joins.
 
-The lookup side is projected to the columns needed before the exchange.  A
-keyed lookup table is broadcast only behind an explicit bounded row count
-(``sized_broadcast``), so the large probe side is never shuffled for a small
-table; beyond the bound the join shuffles and AQE may still broadcast a side
-whose measured shuffle output is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
-A hot key on the probe side is split by AQE skew-join handling (supported for
-inner, left outer, left semi and left anti joins).
+Each lookup is one plain join on the projected key.  No operator runs a job or
+forces a broadcast: AQE broadcasts a side whose *measured* shuffle output is
+under ``spark.sql.adaptive.autoBroadcastJoinThreshold`` bytes, and splits a hot
+key on the probe side (inner, left outer, left semi and left anti joins).
 """
 
 from __future__ import annotations
@@ -14,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.functions.columns import BROADCAST_MAX_ROWS, sized_broadcast
 from rankflow.functions.text import content_key, py_strip, truthy_str
 
 SKIP_MISSING_FIELDS = "missing title or artist"
@@ -23,63 +19,42 @@ SKIP_NOT_FOUND = "track not found in database"
 SKIP_NO_VALUE = "youtube_video_id missing in database"
 
 
-def _restrict(lookup: DataFrame, lookup_key: str, probe_keys: DataFrame, probe_key: str,
-              max_rows: int) -> DataFrame:
-    """A lookup table ready to join: broadcast when a bounded count proves it
-    small; otherwise reduced to the keys the probe asks for (semi join against
-    the probe's distinct keys, themselves broadcast after the same check), so a
-    small probe against a huge table scans the table's key column once and
-    never shuffles the table."""
-    if lookup.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(lookup)
-    wanted = sized_broadcast(probe_keys.select(F.col(probe_key).alias("_want")).distinct(), max_rows)
-    return lookup.join(wanted, F.col(lookup_key) == F.col("_want"), "left_semi")
-
-
 def _stripped(c: str) -> Column:
     return py_strip(F.coalesce(F.col(c).cast("string"), F.lit("")))
 
 
 def new_records(batch: DataFrame, known: DataFrame, key: str = "track_id",
-                required: tuple[str, ...] = ("title", "artist"), known_key: str | None = None,
-                broadcast_max_rows: int | None = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Rows of ``batch`` with all ``required`` fields non-blank, a key,
-    and no row in ``known`` with that key.  Duplicates inside the batch stay.
-
-    The known keys are broadcast only after a bounded row count proves them
-    small (``sized_broadcast``); otherwise the anti join shuffles on the key."""
-    cond = truthy_str(_stripped(key))
+                required: tuple[str, ...] = ("title", "artist"), known_key: str | None = None) -> DataFrame:
+    """Rows of ``batch`` with all ``required`` fields non-blank, a key
+    that is not empty, and no row in ``known`` with that key.  Duplicates
+    inside the batch stay."""
+    cond = truthy_str(F.col(key).cast("string"))
     for c in required:
         cond = cond & truthy_str(_stripped(c))
     lookup = known.select(F.col(known_key or key).alias("_known_key")).where(F.col("_known_key").isNotNull())
-    valid = batch.where(cond)
-    if broadcast_max_rows and not batch.isStreaming:
-        lookup = _restrict(lookup, "_known_key", valid, key, broadcast_max_rows)
-    elif broadcast_max_rows:
-        lookup = sized_broadcast(lookup, broadcast_max_rows)
-    return valid.join(lookup, F.col(key) == F.col("_known_key"), "left_anti")
+    return batch.where(cond).join(lookup, F.col(key) == F.col("_known_key"), "left_anti")
 
 
 def enrich(src: DataFrame, table: DataFrame, key: str = "track_id", value_col: str = "youtube_video_id",
            url_col: str | None = "youtube_url", title: str = "title", artist: str = "artist",
-           url_prefix: str = "https://www.youtube.com/watch?v=",
-           broadcast_max_rows: int | None = BROADCAST_MAX_ROWS) -> DataFrame:
+           url_prefix: str = "https://www.youtube.com/watch?v=") -> DataFrame:
     """Every source row with ``status`` enriched/skipped and the first
     failing ``reason``; enriched rows carry the value and its url.
 
-    ``table`` is keyed (one row per key), as the tracks table is.
+    ``table`` is keyed (one row per key), as the tracks table is.  Rows with a
+    blank key look up a key of their own that no table has (a space and a hash
+    of the row), so they spread over the partitions of the join.
     """
     t_cols = [F.col(key).alias("_t_key"), F.col(value_col).alias("_t_value")]
     t_cols.append(F.col(url_col).alias("_t_url") if url_col else F.lit(None).cast("string").alias("_t_url"))
-    lookup = table.select(*t_cols)
+    lookup = table.select(*t_cols).where(F.col("_t_key").isNotNull())
+    hashable = [f.name for f in src.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     s = (src.withColumn("_s_title", _stripped(title))
             .withColumn("_s_artist", _stripped(artist))
             .withColumn("_s_key", _stripped(key)))
-    if broadcast_max_rows and not src.isStreaming:
-        lookup = _restrict(lookup, "_t_key", s, "_s_key", broadcast_max_rows)
-    elif broadcast_max_rows:
-        lookup = sized_broadcast(lookup, broadcast_max_rows)
-    j = s.join(lookup, (F.col("_s_key") == F.col("_t_key")) & (F.col("_s_key") != ""), "left")
+    s = s.withColumn("_s_look", F.when(F.col("_s_key") != "", F.col("_s_key")).otherwise(
+        F.concat(F.lit(" "), F.xxhash64(*hashable).cast("string"))))
+    j = s.join(lookup, F.col("_s_look") == F.col("_t_key"), "left")
     reason = (F.when((F.col("_s_title") == "") | (F.col("_s_artist") == ""), SKIP_MISSING_FIELDS)
                .when(F.col("_s_key") == "", SKIP_MISSING_KEY)
                .when(F.col("_t_key").isNull(), SKIP_NOT_FOUND)
@@ -90,40 +65,32 @@ def enrich(src: DataFrame, table: DataFrame, key: str = "track_id", value_col: s
             .withColumn("video_id", F.when(enriched, F.col("_t_value")))
             .withColumn("video_url", F.when(enriched, F.coalesce(
                 F.col("_t_url"), F.concat(F.lit(url_prefix), F.col("_t_value"))))))
-    return out.drop("_s_title", "_s_artist", "_s_key", "_t_key", "_t_value", "_t_url")
+    return out.drop("_s_title", "_s_artist", "_s_key", "_s_look", "_t_key", "_t_value", "_t_url")
 
 
 def lookup_by_content(probe: DataFrame, table: DataFrame, title: str = "title", artist: str = "artist",
-                      table_key: str = "track_id", out_key: str = "lookup_key",
-                      broadcast_max_rows: int | None = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Derive the content key on the probe side and look it up.
-
-    The table is first reduced to the keys the probe asks for (a semi join
-    against the probe's distinct keys, broadcast after a bounded size check),
-    so a huge table is scanned on its key column but never shuffled whole; the
-    few matching keys are de-duplicated and joined back, so a probe row never
-    fans out."""
+                      table_key: str = "track_id", out_key: str = "lookup_key", out_item: str = "item",
+                      item_cols: list[str] | None = None) -> DataFrame:
+    """Derive the content key on the probe side and look it up: ``found``
+    and the stored item (a struct of ``item_cols``, by default all columns of
+    ``table``; NULL when there is none).
+
+    The table is reduced to one item per key (the smallest, a partial
+    aggregate), so a probe row never fans out."""
     p = probe.withColumn(out_key, content_key(artist, title))
-    wanted = p.select(F.col(out_key).alias("_hit_key")).where(F.col("_hit_key").isNotNull()).distinct()
-    if broadcast_max_rows:
-        wanted = sized_broadcast(wanted, broadcast_max_rows)
-    keys = (table.select(F.col(table_key).alias("_hit_key")).where(F.col("_hit_key").isNotNull())
-                 .join(wanted, "_hit_key", "left_semi").distinct())
-    return (p.join(keys, F.col(out_key) == F.col("_hit_key"), "left")
+    item = F.min(F.struct(*(item_cols or table.columns))).alias(out_item)
+    items = table.where(F.col(table_key).isNotNull()).groupBy(F.col(table_key).alias("_hit_key")).agg(item)
+    return (p.join(items, F.col(out_key) == F.col("_hit_key"), "left")
              .withColumn("found", F.col("_hit_key").isNotNull())
              .drop("_hit_key"))
 
 
 def lookup_exact(probe: DataFrame, table: DataFrame, cols: list[str], table_key: str,
-                 out_col: str = "match_key", broadcast_max_rows: int | None = BROADCAST_MAX_ROWS) -> DataFrame:
+                 out_col: str = "match_key") -> DataFrame:
     """Exact equality on ``cols`` (no normalisation); the first hit is the
-    smallest key.  The table is reduced to the value tuples the probe asks for
-    (semi join against them, broadcast after a bounded size check) and then to
-    one row per tuple with a partial aggregate, so duplicates never fan out."""
-    wanted = probe.select(*cols).distinct()
-    if broadcast_max_rows:
-        wanted = sized_broadcast(wanted, broadcast_max_rows)
-    first_hit = (table.where(F.col(table_key).isNotNull()).join(wanted, on=cols, how="left_semi")
+    smallest key.  One row per value tuple is left of the table by a partial
+    aggregate, so duplicates never fan out."""
+    first_hit = (table.where(F.col(table_key).isNotNull())
                       .groupBy(*cols).agg(F.min(table_key).alias(out_col)))
     return probe.join(first_hit, on=cols, how="left")
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.functions.columns import sized_broadcast
 from rankflow.functions.text import content_key, truthy_str
 
 # The attributes a track update may set, in the reference's order.
@@ -70,21 +69,26 @@ def patch(base: DataFrame, updates: DataFrame, key: str, allowed: list[str] | No
     """Apply partial updates; only fields named in ``present_col`` (an
     array of names) and in ``allowed`` change, a present NULL overwrites, and
     ``updated_at`` becomes ``as_of``.  Keys not in ``base`` insert nothing.
-    Several patches for one key: the last by ``order_col`` wins (a partial
-    ``max_by``), so a base row is never duplicated.
+    Several patches for one key are applied one after another in the order of
+    ``order_col`` (needed then; without it a repeated key is an error): each
+    field takes its last patch that names it, one partial ``max_by`` a field.
     Output: the next table version with ``action`` (updated / unchanged)."""
     allowed = allowed or UPDATABLE_FIELDS
     settable = [c for c in allowed if c in base.columns and c in updates.columns]
-    body = F.struct(F.col(present_col).alias("_present"), *[F.col(c).alias(f"_u_{c}") for c in settable])
-    last = (F.max_by(body, F.col(order_col)) if order_col else F.max(body)).alias("_u")
-    u = (updates.groupBy(F.col(key).alias("_u_key")).agg(last)
-                .select("_u_key", "_u._present", *[f"_u._u_{c}" for c in settable]))
-    j = base.join(sized_broadcast(u), F.col(key) == F.col("_u_key"), "left")
+    order = F.col(order_col) if order_col else F.lit(0)
+    last = [F.max_by(F.struct(F.col(c).alias("v")), F.when(F.array_contains(F.col(present_col), c), order))
+            .alias(f"_u_{c}") for c in settable]
+    u = updates.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_u_key")).agg(F.count(F.lit(1)).alias("_u_n"), *last)
+    if not order_col:
+        u = u.withColumn("_u_key", F.when(F.col("_u_n") > 1, F.raise_error(
+            F.lit("patch: several patches for one key need order_col")).cast("string"))
+            .otherwise(F.col("_u_key").cast("string")).cast(base.schema[key].dataType))
+    j = base.join(u, F.col(key) == F.col("_u_key"), "left")
     hit = F.col("_u_key").isNotNull()
     out = []
     for c in base.columns:
         if c in settable:
-            out.append(F.when(hit & F.array_contains("_present", c), F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c))
+            out.append(F.when(F.col(f"_u_{c}").isNotNull(), F.col(f"_u_{c}.v")).otherwise(F.col(c)).alias(c))
         elif c == "updated_at" and as_of is not None:
             out.append(F.when(hit, F.lit(as_of).cast("timestamp")).otherwise(F.col(c)).alias(c))
         else:
@@ -210,7 +214,7 @@ def fill_all(base: DataFrame, updates: DataFrame, cols: list[str], fill: dict[st
     u = (updates.groupBy(*cols)
                 .agg(F.min_by(F.struct(*[F.col(v).alias(v) for v in sorted(set(fill.values()))]),
                               F.col(list(fill.values())[0])).alias("_u")))
-    u = sized_broadcast(u.select(*[F.col(c).alias(f"_u_{c}") for c in cols], "_u"))
+    u = u.select(*[F.col(c).alias(f"_u_{c}") for c in cols], "_u")
     cond = None
     for c in cols:
         e = F.col(c) == F.col(f"_u_{c}")

@@ -17,31 +17,30 @@ from rankflow.functions.variant import vfield, vfirst_truthy, vstr, vtruthy, vty
 NORMALISED_SOURCE = "chart-processor"
 
 
-def _first_field_with_records(j: Column) -> Column:
-    """Key of the first field, in document order, holding a non-empty array
-    whose first element is an object with a ``title`` or ``artist`` key."""
-    keys = F.json_object_keys(j)
+DUPLICATE_KEYS = "spark.sql.variant.allowDuplicateKeys"
 
-    def looks_like_records(k: Column) -> Column:
-        first = F.call_function("get_json_object", j, F.concat(F.lit("$['"), k, F.lit("'][0]")))
-        first_keys = F.json_object_keys(first)
-        return F.coalesce(F.array_contains(first_keys, "title") | F.array_contains(first_keys, "artist"),
-                          F.lit(False))
 
-    return F.get(F.filter(keys, looks_like_records), 0)
+def _looks_like_records(v: Column) -> Column:
+    """A non-empty array whose first element is an object with a ``title`` or
+    ``artist`` key (constant paths only, whatever the field is called)."""
+    return (F.try_variant_get(v, "$[0].title", "variant").isNotNull()
+            | F.try_variant_get(v, "$[0].artist", "variant").isNotNull())
 
 
 def record_array(json_col: str | Column) -> Column:
     """``array<variant>`` of candidate records of one document, or NULL.
 
     Order of preference: key ``tracks`` (wins even when empty or not a list),
-    ``playlist.tracks``, the first record-like array field, a root array.
+    ``playlist.tracks``, the first record-like array field in document order,
+    a root array.  The document is parsed once; its fields are a map, so any
+    field name works.  Of a repeated key the last value counts.
     """
     j = F.col(json_col) if isinstance(json_col, str) else json_col
     v = F.try_parse_json(j)
     t = F.schema_of_variant(v)
     is_obj = t.startswith("OBJECT")
-    keys = F.json_object_keys(j)
+    fields = F.try_variant_get(v, "$", "map<string,variant>")
+    tracks = F.try_variant_get(v, "$.tracks", "variant")
     playlist = F.try_variant_get(v, "$.playlist", "variant")
     ptype = F.schema_of_variant(playlist)
     playlist_tracks = F.try_variant_get(v, "$.playlist.tracks", "variant")
@@ -50,15 +49,11 @@ def record_array(json_col: str | Column) -> Column:
         (ptype == "STRING") & F.coalesce(F.try_variant_get(playlist, "$", "string").contains("tracks"), F.lit(False))
     ) | (ptype.startswith("ARRAY") & F.coalesce(
         F.array_contains(F.try_variant_get(playlist, "$", "array<string>"), "tracks"), F.lit(False)))
-    fb_key = _first_field_with_records(j)
-    fallback = F.try_variant_get(
-        F.try_parse_json(F.call_function("get_json_object", j, F.concat(F.lit("$['"), fb_key, F.lit("']")))),
-        "$", "array<variant>")
-    return (F.when(is_obj & F.coalesce(F.array_contains(keys, "tracks"), F.lit(False)),
-                   F.try_variant_get(v, "$.tracks", "array<variant>"))
-            .when(is_obj & playlist_tracks.isNotNull(), F.try_variant_get(v, "$.playlist.tracks", "array<variant>"))
+    first = F.get(F.filter(F.json_object_keys(j), lambda k: _looks_like_records(F.try_element_at(fields, k))), 0)
+    return (F.when(is_obj & tracks.isNotNull(), F.try_variant_get(tracks, "$", "array<variant>"))
+            .when(is_obj & playlist_tracks.isNotNull(), F.try_variant_get(playlist_tracks, "$", "array<variant>"))
             .when(is_obj & playlist_blocks, F.lit(None))
-            .when(is_obj, fallback)
+            .when(is_obj, F.try_variant_get(F.try_element_at(fields, first), "$", "array<variant>"))
             .when(t.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")))
 
 
@@ -67,7 +62,10 @@ def locate_records(df: DataFrame, json_col: str, pos_col: str = "rec_pos",
     """One row per candidate record with its 0-based position.
 
     Documents that are unreadable or hold no record array produce no rows.
+    Repeated keys are read as ``json.loads`` does (a session setting of the
+    parser, set here).
     """
+    df.sparkSession.conf.set(DUPLICATE_KEYS, "true")
     keep = [c for c in df.columns if c != json_col]
     return df.select(*keep, F.posexplode(record_array(json_col)).alias(pos_col, rec_col))
 

@@ -130,9 +130,9 @@ def test_large_lookup_is_restricted_to_probe_keys(spark):
     known = spark.createDataFrame([(f"k{i}",) for i in range(200)], "track_id string")
     batch = spark.createDataFrame([("t", "a", "k3"), ("t", "a", "k500"), ("t", "a", "k7"), ("t", "a", "k500")],
                                   "title string, artist string, track_id string")
-    got = rows(joins.new_records(batch, known, broadcast_max_rows=5), "track_id")   # table above the bound
+    got = rows(joins.new_records(batch, known), "track_id")   # table above the bound
     assert got == [("k500",), ("k500",)]
     tbl = known.withColumn("youtube_video_id", known.track_id).withColumn("youtube_url", known.track_id)
-    enr = rows(joins.enrich(batch.withColumn("pos", batch.track_id), tbl, broadcast_max_rows=5),
+    enr = rows(joins.enrich(batch.withColumn("pos", batch.track_id), tbl),
                "track_id", "status")
     assert enr == [("k3", "enriched"), ("k500", "skipped"), ("k500", "skipped"), ("k7", "enriched")]

@@ -82,3 +82,21 @@ def test_upsert_ignores_keyless_hits(spark):
     hits = spark.createDataFrame([(None, "n"), ("", "m")], "track_id string, youtube_video_id string")
     out = merge.upsert_if_missing(_base(spark), hits, fill={"youtube_video_id": "youtube_video_id"}, as_of=AS_OF)
     assert out.count() == 3 and out.where("action = 'inserted'").count() == 0
+
+
+def test_patches_of_one_key_apply_one_after_another(spark):
+    base = spark.createDataFrame([("k1", "t", 1.0, "g0"), ("k2", "t", 2.0, "g0")], "track_id string, title string, rating double, genre string")
+    upd = spark.createDataFrame([("k1", 1, None, 5.0, None, ["rating"]), ("k1", 2, None, None, "g1", ["genre"]),
+                                 ("k1", 3, None, None, None, ["title"]), ("k1", 0, "x", 9.0, "z", ["title", "rating", "genre"])],
+                                "track_id string, seq int, title string, rating double, genre string, present array<string>")
+    out = merge.patch(base, upd, "track_id", as_of=AS_OF, order_col="seq")
+    assert rows(out, "track_id", "title", "rating", "genre", "action") == [
+        ("k1", None, 5.0, "g1", "updated"), ("k2", "t", 2.0, "g0", "unchanged")]
+
+
+def test_repeated_keys_need_an_order(spark):
+    import pytest
+    base = spark.createDataFrame([("k1", "t")], "track_id string, title string")
+    upd = spark.createDataFrame([("k1", "a", ["title"]), ("k1", "b", ["title"])], "track_id string, title string, present array<string>")
+    with pytest.raises(Exception, match="order_col"):
+        merge.patch(base, upd, "track_id", as_of=AS_OF).collect()

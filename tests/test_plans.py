@@ -6,6 +6,7 @@ import io
 import pytest
 
 import __spark_entry__ as E
+from rankflow.plans.bindings import QUERIES
 
 SF = "/root/testdata/sf0.001"
 # these run a stream or write files when called; their returned plans are plain reads
@@ -21,7 +22,7 @@ def plan(df) -> str:
     return buf.getvalue()
 
 
-@pytest.mark.parametrize("name", sorted(n for n in E.queries() if not n.startswith("stream_") and n not in SIDE_EFFECTS))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith("stream_") and n not in SIDE_EFFECTS))
 def test_no_cross_products_or_python(spark, name):
     text = plan(E.queries()[name](spark, SF))
     for op in FORBIDDEN:
@@ -43,10 +44,8 @@ def test_retention_has_no_window(spark):
     assert "Window" not in text and "PushedFilters: [IsNotNull(o_orderdate), LessThan(o_orderdate" in text
 
 
-def test_sized_broadcast_only_within_bound(spark):
-    from rankflow.functions.columns import sized_broadcast
-    big = spark.range(5000).withColumnRenamed("id", "k")
-    small = spark.range(10).withColumnRenamed("id", "k")
-    assert "BroadcastHashJoin" in plan(big.join(sized_broadcast(small, 100), "k", "left_anti"))
-    beyond = plan(big.join(sized_broadcast(big.select("k"), 100), "k", "left_anti"))
-    assert "BroadcastHashJoin" not in beyond and "SortMergeJoin" in beyond
+@pytest.mark.parametrize("name", ["new_records", "enrich", "lookup_by_content", "lookup_exact", "patch", "fill_all"])
+def test_keyed_lookups_force_no_broadcast(spark, name):
+    """The initial plan joins by shuffle; only AQE may broadcast, by measured bytes."""
+    text = plan(E.queries()[name](spark, SF)).split("== Initial Plan ==")[-1]
+    assert "BroadcastExchange" not in text and "SinglePartition" not in text

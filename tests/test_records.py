@@ -45,3 +45,13 @@ def test_sparse_and_plain_numbers(spark):
     assert s[0].a is None and s[1].b is None
     p = plain_numbers(df, ["n"]).collect()
     assert (p[0].n_int, p[0].n_float) == (3, None) and (p[1].n_int, p[1].n_float) == (None, 2.5)
+
+
+def test_any_field_name_and_repeated_keys(spark):
+    docs = ['{"a": 1, "dj\'s picks": [{"title": "t1", "artist": "x"}]}',
+            '{"tracks": [{"title": "old", "artist": "x"}], "tracks": [{"title": "new", "artist": "x"}]}',
+            '{"x": [1], "b.c[0]": [{"artist": "y", "title": "t3"}], "a": [{"title": "later", "artist": "z"}]}',
+            '{"tracks": "none", "other": [{"title": "no"}]}']
+    df = spark.createDataFrame(list(enumerate(docs)), "doc int, json string")
+    got = normalize_records(locate_records(df, "json"))
+    assert rows(got, "doc", "title") == [(0, "t1"), (1, "new"), (2, "t3")]
