@@ -314,6 +314,7 @@ def _customer_tracks(spark, d, segments):
         F.lit("beatport").alias("source"), F.col("c_custkey"))
 
 
+SEGMENTS = ("BUILDING", "AUTOMOBILE", "MACHINERY", "HOUSEHOLD", "FURNITURE")
 BASE_SEGMENTS = ("BUILDING", "AUTOMOBILE", "MACHINERY")
 HIT_SEGMENTS = ("MACHINERY", "HOUSEHOLD", "FURNITURE")
 
@@ -325,6 +326,8 @@ SELECT {S.key('c_mktsegment', 'c_name')} AS track_id, c_name AS title, c_mktsegm
 FROM customer WHERE c_mktsegment IN {BASE_SEGMENTS}
 """
 
+CUST_ALL_SQL = CUST_BASE_SQL.replace(str(BASE_SEGMENTS), str(SEGMENTS))
+
 
 @register("insert_with_defaults", f"""
 SELECT {S.key('c_mktsegment', 'c_name')} AS track_id, c_name AS title, c_mktsegment AS artist,
@@ -781,7 +784,7 @@ def route_validate(spark, d):
 # ---------------------------------------------------------------- O40 / O42 playlists from orders
 def _playlist_rows(spark, d) -> DataFrame:
     o = table(spark, d, "orders")
-    return o.select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus",
+    return o.select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority",
                     F.when(F.col("o_orderpriority") == "5-LOW", "skipped").otherwise("enriched").alias("status"))
 
 
@@ -794,7 +797,7 @@ def _playlist_items(spark, d) -> DataFrame:
 
 
 ITEMS_SQL = """
-SELECT o_custkey, o_orderkey,
+SELECT o_custkey, o_orderkey, o_orderpriority AS payload,
   CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS INTEGER) AS position,
   o_orderstatus <> 'P' AS added,
   CASE WHEN o_orderstatus = 'P' THEN CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) END AS failed_position
@@ -804,7 +807,8 @@ FROM orders WHERE o_orderpriority <> '5-LOW'
 
 @register("playlist_items", ITEMS_SQL)
 def playlist_items(spark, d):
-    return _playlist_items(spark, d).select("o_custkey", "o_orderkey", "position", "added", "failed_position")
+    return _playlist_items(spark, d).select(
+        "o_custkey", "o_orderkey", F.col("o_orderpriority").alias("payload"), "position", "added", "failed_position")
 
 
 @register("playlist_summary", f"""
@@ -1106,11 +1110,17 @@ def list_snapshot_files(spark, d):
 
 
 # ---------------------------------------------------------------- O50 - O53 streaming over the events files
+STREAM_FILES = 3
+
+
 def _events_stream(spark, d) -> DataFrame:
+    """All events as files that arrive one by one, each with rows of all times (so late ones too)."""
+    from rankflow.session import work_dir
     from rankflow.streaming import file_stream
-    schema = table(spark, d, "events").schema
-    from rankflow.session import spread
-    return spread(file_stream(spark, d, schema, glob="events.parquet"))
+    events = table(spark, d, "events")
+    folder = work_dir(spark, "arrivals")
+    events.repartition(STREAM_FILES, "user_id").write.parquet(folder)
+    return file_stream(spark, folder, events.schema, glob="*.parquet", max_files=1)
 
 
 def _run(query) -> None:
@@ -1127,7 +1137,8 @@ def _ingested(spark, d) -> str:
              .select(content_key(F.concat(F.lit("user "), F.col("user_id").cast("string")),
                                  F.concat(F.lit("Track "), F.get_json_object("props", "$.k"))).alias("track_id")))
     out = work_dir(spark, "ingest")
-    _run(ingest_stream(_event_docs_from(_events_stream(spark, d)), known, out, f"{out}/_checkpoint", AS_OF))
+    known.write.parquet(f"{out}/known")
+    _run(ingest_stream(_event_docs_from(_events_stream(spark, d)), f"{out}/known", out, f"{out}/_checkpoint", AS_OF))
     return out
 
 
@@ -1149,9 +1160,8 @@ GROUP BY source_file
 """)
 def stream_ingest_jobs(spark, d):
     out = _ingested(spark, d)
-    # one job per source and batch; summed over batches for the whole stream
-    return (spark.read.parquet(f"{out}/jobs").groupBy("job_id", "source_file")
-                 .agg(F.sum("expected_count").alias("expected_count")))
+    from rankflow.streaming import running_totals
+    return running_totals(spark, f"{out}/jobs").select("job_id", "source_file", "expected_count")
 
 
 def _stream_outcomes(spark, d) -> DataFrame:
@@ -1165,18 +1175,18 @@ def _stream_outcomes(spark, d) -> DataFrame:
 
 def _looked_up(spark, d) -> str:
     from rankflow.session import work_dir
-    from rankflow.streaming import lookup_stream
+    from rankflow.streaming import lookup_stream, write_keyed_base
     out = work_dir(spark, "lookup")
-    base = _customer_tracks(spark, d, BASE_SEGMENTS).select(
+    base = _customer_tracks(spark, d, SEGMENTS).select(
         "track_id", "title", "artist", "youtube_video_id", "youtube_url", "source", "created_at", "updated_at")
-    base.write.mode("overwrite").parquet(f"{out}/tracks/base")
+    write_keyed_base(base, f"{out}/tracks")
     outcomes = (_stream_outcomes(spark, d)
                 .withColumn("youtube_video_id", F.concat(F.lit("yt-"), F.col("event_id").cast("string")))
                 .withColumn("youtube_url", F.concat(F.lit("https://music.example/watch?v=yt-"),
                                                     F.col("event_id").cast("string")))
                 .withColumn("track_id", content_key("artist", "title")))
     _run(lookup_stream(outcomes, f"{out}/tracks", f"{out}/dlq", f"{out}/_checkpoint", AS_OF,
-                       id_col="event_id", ts_col="ts"))
+                       id_col="event_id"))
     return out
 
 
@@ -1193,7 +1203,7 @@ WITH c AS ({CLASSIFIED_SQL}),
 hits AS (SELECT {S.key("regexp_extract(track, ' - (.*)$', 1)", "regexp_extract(track, '^(.*) - ', 1)")} AS track_id,
                 min('yt-' || event_id) AS vid
          FROM c WHERE status = 'success' GROUP BY 1),
-b AS ({CUST_BASE_SQL})
+b AS ({CUST_ALL_SQL})
 SELECT coalesce(b.track_id, h.track_id) AS track_id,
   CASE WHEN b.track_id IS NULL OR (h.track_id IS NOT NULL AND b.youtube_video_id IS NULL) THEN h.vid
        ELSE b.youtube_video_id END AS youtube_video_id,
@@ -1210,26 +1220,21 @@ def _progressed(spark, d) -> str:
     from rankflow.session import work_dir
     from rankflow.streaming import progress_stream
     out = work_dir(spark, "progress")
-    spark.createDataFrame([], "job_id string, processed_count bigint").write.mode("overwrite") \
-        .parquet(f"{out}/progress/v=00000000")
-    _run(progress_stream(_stream_outcomes(spark, d), _event_jobs(spark, d), f"{out}/progress",
-                         f"{out}/completions", f"{out}/_checkpoint", AS_OF, id_col="event_id", ts_col="ts",
+    _event_jobs(spark, d).write.parquet(f"{out}/jobs")
+    _run(progress_stream(_stream_outcomes(spark, d), f"{out}/jobs", f"{out}/progress",
+                         f"{out}/completions", f"{out}/_checkpoint", AS_OF, id_col="event_id",
                          bucket="charts-bucket"))
     return out
 
 
-def _latest_version(spark, path: str) -> DataFrame:
-    versions = spark.read.parquet(path)
-    return versions.where(F.col("v") == versions.agg(F.max("v")).first()[0]).drop("v")
-
-
 @register("stream_progress", f"""
 SELECT job_id, count(*) FILTER (WHERE status IN ('success', 'not_found')) AS processed_count
 FROM ({CLASSIFIED_SQL}) WHERE coalesce(job_id, '') <> '' GROUP BY job_id
 """)
 def stream_progress(spark, d):
+    from rankflow.streaming import job_totals
     out = _progressed(spark, d)
-    return _latest_version(spark, f"{out}/progress").select("job_id", "processed_count")
+    return job_totals(spark, f"{out}/progress").select("job_id", "processed_count")
 
 
 @register("stream_completions", f"""

@@ -23,6 +23,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # of a repeated JSON key the last value counts, as in json.loads
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # streaming state (redelivery ids, per-job counts) lives off-heap in RocksDB
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -82,7 +84,7 @@ def spread(df):
     rows (``spark.sql.execution.sortBeforeRepartition``)."""
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.isStreaming:
-        return df.repartition(target)
+        return df
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df

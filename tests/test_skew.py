@@ -87,3 +87,19 @@ def test_upsert_with_hot_hit_key(spark):
                                             as_of=AS_OF).collect()}
     assert out["k1"] == ("n00000", "updated")          # first hit by order decides
     assert all(a in ("updated", "unchanged", "inserted", "untouched") for _, a in out.values())
+
+
+def test_positions_with_payload_and_hot_group(spark, tmp_path):
+    """400,000 rows, a third in one group, read from Parquet with payload columns: exactly row_number."""
+    from pyspark.sql import Window
+    from rankflow.operators.ordinal import ordinal_in_group
+    src = (spark.range(400_000).withColumn("g", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 1000))
+           .withColumn("o", F.xxhash64("id")).withColumn("payload", F.concat(F.lit("p"), F.col("id").cast("string")))
+           .withColumn("g", F.when(F.col("g") == 7, F.lit(None)).otherwise(F.col("g"))))
+    src.write.parquet(str(tmp_path / "rows"))
+    rows_ = spark.read.parquet(str(tmp_path / "rows"))
+    got = ordinal_in_group(rows_, ["g"], ["o"], partitions=13)
+    want = rows_.withColumn("want", F.row_number().over(Window.partitionBy("g").orderBy("o")) - 1)
+    both = got.select("id", "position", "payload").join(want.select("id", "want", F.col("payload").alias("p")), "id")
+    assert got.count() == 400_000 and both.count() == 400_000
+    assert both.where("position <> want or payload <> p").count() == 0
