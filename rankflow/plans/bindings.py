@@ -888,7 +888,8 @@ ARTICLE_RULES = pages.ExtractRules(row_pattern=r"(?s)<article>(.*?)</article>")
 LINK_SQL = r'<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
 
 
-def _extract_sql(row_pattern: str, title_href: str, id_pattern: str, host: str, other_href: str) -> str:
+def _extract_sql(row_pattern: str, title_href: str, id_pattern: str, host: str, other_href: str,
+                 block: str = "(?:span|div|p)") -> str:
     clean = S.strip(S.html_text("t[i]"))
     own = S.strip(S.html_text("x"))
     stop = "('track', 'title', 'artist', 'label', 'genre', 'bpm', 'key')"
@@ -901,7 +902,7 @@ l AS (SELECT *, regexp_extract_all(row_html, '{LINK_SQL}', 1) AS h,
 c AS (SELECT *, list_transform(traw, lambda x: {S.strip(S.html_text("x"))}) AS t FROM l),
 f AS (SELECT *,
   list_filter(generate_series(1, len(h)), lambda i: contains(h[i], '{title_href}') AND length(t[i]) > 3)[1] AS ti,
-  list_filter(list_transform(regexp_extract_all(row_html, '<(?:span|div|p)\\b[^>]*>([^<]*)', 1), lambda x: {own}),
+  list_filter(list_transform(regexp_extract_all(row_html, '(?s)<{block}\\b[^>]*>(.*?)(?:</{block}\\s*>|$)', 1), lambda x: {own}),
               lambda x: length(x) > 5 AND lower(x) NOT IN {stop} AND NOT regexp_matches(x, '^\\p{{Nd}}+$')
                         AND NOT regexp_matches(x, '^\\d+[A-G]?$'))[1] AS fb,
   list_filter(generate_series(1, len(h)), lambda i: contains(h[i], '{other_href}'))[1] AS oi,
@@ -959,7 +960,7 @@ def assemble_snapshot(spark, d):
 
 @register("title_fallback", f"""
 SELECT page_id, title FROM ({_extract_sql(ARTICLE_RULES.row_pattern, '/track/', ARTICLE_RULES.id_pattern,
-                                          ARTICLE_RULES.host, '/artist/')})
+                                          ARTICLE_RULES.host, '/artist/', 'p')})
 """)
 def title_fallback(spark, d):
     return _extracted(spark, d, ARTICLE_RULES).select("page_id", "title")

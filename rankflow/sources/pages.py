@@ -1,6 +1,7 @@
 """Row extraction from raw pages (O13-O21), as a distributed job over a table
-of pages.  Flat markup is handled by regular expressions evaluated inside the
-JVM; each page is processed independently (no shuffle until O21 groups rows
+of pages.  Markup is read by expressions inside the JVM: a row ends at its own
+balanced close, an element of the title fallback at the first close of its
+name.  Each page is processed independently (no shuffle until O21 groups rows
 back into one snapshot per page).
 """
 
@@ -20,12 +21,17 @@ ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&ap
 # Words the title fallback ignores.
 FALLBACK_STOP_WORDS = ["track", "title", "artist", "label", "genre", "bpm", "key"]
 
-LINK_RE = r'<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
+# href in double quotes, single quotes or none; the text may span lines and hold tags
+LINK_RE = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a\s*>"""
+BLOCK_START = r"(?i)(?=<(?:span|div|p)\b)"
+BLOCK = r"(?is)^<(span|div|p)\b[^>]*>(.*?)(?:</\1\s*>|$)"
 
 
 @dataclass(frozen=True)
 class ExtractRules:
-    row_pattern: str = r'(?s)<div[^>]*data-testid="tracks-table-row"[^>]*>(.*?)</div>\s*(?=<div[^>]*data-testid="tracks-table-row"|$)'
+    #: a pattern whose first group is a row, or None: rows are div elements that start with ``row_open``
+    row_pattern: str | None = None
+    row_open: str = r"""(?i)<div\b[^>]*data-testid\s*=\s*["']?tracks-table-row\b[^>]*>"""
     title_href: str = "/track/"
     id_pattern: str = r"/track/[^/]+/(\d+)"
     host: str = "https://www.beatport.com"
@@ -40,18 +46,55 @@ class ExtractRules:
     fallback_min_len: int = 5
 
 
+def _numeric_references(t: Column) -> Column:
+    """``&#233;`` and ``&#xE9;`` as their character; anything else stays."""
+    def one(part: Column) -> Column:
+        code = F.coalesce(F.conv(F.nullif(F.regexp_extract(part, r"^[xX]([0-9a-fA-F]{1,6});?", 1), F.lit("")), 16, 10),
+                          F.nullif(F.regexp_extract(part, r"^([0-9]{1,7});?", 1), F.lit(""))).cast("int")
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        rest = F.regexp_replace(part, r"^(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});?", "")
+        return F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), F.concat(char, rest)) \
+                .otherwise(F.concat(F.lit("&#"), part))
+
+    parts = F.split(t, "&#")
+    found = F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
+    return F.when(t.contains("&#"), found).otherwise(t)
+
+
 def html_text(c: Column) -> Column:
-    """Text of a markup fragment: tags removed, named references decoded."""
-    t = F.regexp_replace(c, r"<[^>]*>", "")
+    """Text of a markup fragment: tags removed, references decoded."""
+    t = _numeric_references(F.regexp_replace(c, r"<[^>]*>", ""))
     for ent, ch in ENTITIES:
         t = F.replace(t, F.lit(ent), F.lit(ch))
     return t
 
 
-def split_rows(pages: DataFrame, html_col: str, row_pattern: str) -> DataFrame:
+def _until_close(fragment: Column) -> Column:
+    """What follows an opening ``div`` tag, up to its own balanced close (or the end of the fragment)."""
+    pieces = F.split(F.concat(F.lit(" "), fragment), r"(?i)(?=</?div\b)")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("i"), F.lit(0).alias("cut"))
+
+    def step(acc, piece):
+        depth = acc["depth"] + F.when(piece.rlike(r"(?i)^</div"), -1).when(piece.rlike(r"(?i)^<div"), 1).otherwise(0)
+        return F.struct(depth.alias("depth"), (acc["i"] + 1).alias("i"),
+                        F.when((acc["cut"] == 0) & (depth < 0), acc["i"]).otherwise(acc["cut"]).alias("cut"))
+
+    # the first piece lies before any div tag, so a cut is at least one piece
+    cut = F.aggregate(pieces, start, step)["cut"]
+    return F.substr(F.array_join(F.slice(pieces, F.lit(1), F.when(cut > 0, cut).otherwise(F.size(pieces))), ""), F.lit(2))
+
+
+def split_rows(pages: DataFrame, html_col: str, row_pattern: str | None = None,
+               row_open: str = ExtractRules.row_open) -> DataFrame:
     """Row fragments with a 1-based position; ``row_count`` 0 marks a
-    page without rows (an error result in the reference)."""
-    rows = F.regexp_extract_all(F.col(html_col), F.lit(row_pattern), 1)
+    page without rows (an error result in the reference).  With a
+    ``row_pattern`` its first group is a row; else a row is what an element
+    that opens with ``row_open`` holds, wherever it stands."""
+    if row_pattern:
+        rows = F.regexp_extract_all(F.col(html_col), F.lit(row_pattern), 1)
+    else:
+        parts = F.split(F.coalesce(F.col(html_col), F.lit("")), row_open)
+        rows = F.transform(F.slice(parts, F.lit(2), F.size(parts)), _until_close)
     keep = [c for c in pages.columns if c != html_col]
     return pages.select(*keep, F.size(rows).alias("row_count"),
                         F.posexplode_outer(rows).alias("position", "row_html")) \
@@ -59,10 +102,18 @@ def split_rows(pages: DataFrame, html_col: str, row_pattern: str) -> DataFrame:
 
 
 def _links(row: Column) -> Column:
-    hrefs = F.regexp_extract_all(row, F.lit(LINK_RE), 1)
-    texts = F.regexp_extract_all(row, F.lit(LINK_RE), 2)
-    return F.transform(F.arrays_zip(hrefs.alias("h"), texts.alias("t")),
-                       lambda z: F.struct(z["h"].alias("href"), py_strip(html_text(z["t"])).alias("text")))
+    double, single, bare, texts = (F.regexp_extract_all(row, F.lit(LINK_RE), i) for i in (1, 2, 3, 4))
+    return F.transform(F.arrays_zip(double.alias("d"), single.alias("s"), bare.alias("b"), texts.alias("t")),
+                       lambda z: F.struct(html_text(F.concat(z["d"], z["s"], z["b"])).alias("href"),
+                                          py_strip(html_text(z["t"])).alias("text")))
+
+
+def _blocks(row: Column) -> Column:
+    """Full text, children included, of each span, div and p in document order."""
+    pieces = F.split(F.concat(F.lit(" "), row), BLOCK_START)  # so the first piece is no element
+    tails = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)),
+                        lambda _, i: F.array_join(F.slice(pieces, i + 2, F.size(pieces)), ""))
+    return F.transform(tails, lambda t: py_strip(html_text(F.regexp_extract(t, BLOCK, 2))))
 
 
 def extract_fields(rows: DataFrame, rules: ExtractRules, row_col: str = "row_html") -> DataFrame:
@@ -74,9 +125,8 @@ def extract_fields(rows: DataFrame, rules: ExtractRules, row_col: str = "row_htm
     href = title_link["href"]
     bid = F.nullif(F.regexp_extract(href, rules.id_pattern, 1), F.lit(""))
     url = F.when(bid.isNotNull(), F.when(href.startswith("/"), F.concat(F.lit(rules.host), href)).otherwise(href))
-    # O15 fallback: own text of span/div/p elements in document order
-    own = F.transform(F.regexp_extract_all(row, F.lit(r"<(?:span|div|p)\b[^>]*>([^<]*)"), 1),
-                      lambda t: py_strip(html_text(t)))
+    # O15 fallback: text of span/div/p elements in document order
+    own = _blocks(row)
     stop = F.array(*[F.lit(w) for w in FALLBACK_STOP_WORDS])
     fallback = F.get(F.filter(own, lambda t: (F.length(t) > rules.fallback_min_len)
                               & ~F.array_contains(stop, F.lower(t))
@@ -107,7 +157,7 @@ def extract_rows(pages_df: DataFrame, html_col: str, rules: ExtractRules | None
     """O13-O19 in one call: one row per row fragment with its fields; a page
     without rows keeps one row with ``row_count`` 0 (the error result)."""
     rules = rules or ExtractRules()
-    rows = split_rows(pages_df, html_col, rules.row_pattern)
+    rows = split_rows(pages_df, html_col, rules.row_pattern, rules.row_open)
     with_rows = extract_fields(rows.where(F.col("row_count") > 0), rules)
     empty = rows.where(F.col("row_count") == 0)
     for c in with_rows.columns:

@@ -105,3 +105,42 @@ def test_extract_rows_keeps_empty_pages(spark):
     df = spark.createDataFrame([(1, ROW), (2, "<p>no rows</p>")], "page int, html string")
     got = rows(pages.extract_rows(df, "html"), "page", "row_count", "position", "title")
     assert got == [(1, 1, 1, "Fantasy Original Mix"), (2, 0, None, None)]
+
+
+OPEN = '<div class="r" data-testid="tracks-table-row" id=x>'
+
+
+def _fields(spark, html):
+    df = spark.createDataFrame([(1, html)], "page int, html string")
+    return {r.position: r for r in pages.extract_rows(df, "html").collect()}
+
+
+def test_rows_inside_containers_and_alone(spark):
+    one = OPEN + '<div><a href="/track/a/1">Song One</a></div><a href="/artist/x/1">Ann</a></div>'
+    two = "<DIV data-testid='tracks-table-row'><div><div><a href='/track/b/2'>Song Two</a></div></div></DIV>"
+    got = _fields(spark, f"<html><div id=main><div>{one}<div>between</div>{two}</div><p>After the rows</p></div></html>")
+    assert [(p, r.title, r.beatport_id) for p, r in sorted(got.items())] == [(1, "Song One", "1"), (2, "Song Two", "2")]
+    assert got[1].artist == "Ann" and got[2].artist is None
+    alone = _fields(spark, f"<section>{one}</section>")
+    assert alone[1].row_count == 1 and alone[1].title == "Song One"
+    cut = _fields(spark, OPEN + '<a href="/track/a/1">Never closed')
+    assert cut[1].row_count == 1
+
+
+def test_links_over_lines_quotes_and_references(spark):
+    row = OPEN + """<a class=t
+       href='/track/x/77'>Multi
+       <b>Line</b> &#39;Mix&#x27; &eacute;&#233;</a>
+       <a href=/artist/q/1>Q&amp;A</a><a href="/artist/r/2?a=1&amp;b=2">R &lt;3</a><a href="/label/l/3">Lab</a><a href="/genre/g/4">Gen</a></div>"""
+    r = _fields(spark, row)[1]
+    assert r.title.split() == ["Multi", "Line", "'Mix'", "&eacute;é"] and r.beatport_id == "77"
+    assert (r.artist, r.label, r.genre) == ("Q&A, R <3", "Lab", "Gen")
+
+
+def test_title_fallback_takes_the_full_text_of_nested_elements(spark):
+    r = _fields(spark, OPEN + "<p>Deep <b>Purple Night</b></p><span>128 something</span></div>")[1]
+    assert r.title == "Deep Purple Night"
+    r = _fields(spark, OPEN + "<div><span>Key</span> <span>Inner <i>Words</i></span></div></div>")[1]
+    assert r.title == "Key Inner Words"
+    r = _fields(spark, OPEN + "<span>Key</span><p>12345678</p><div>&#72;ello World</div></div>")[1]
+    assert r.title == "Hello World"
