@@ -59,22 +59,29 @@ def dedupe_last(df: DataFrame, keys: list[str], order_col: str) -> DataFrame:
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, id_col: str, pos_col: str,
-                  by: list[str] | None = None, order_col: str | None = None) -> DataFrame:
+                  by: list[str] | None = None, order_col: str | None = None,
+                  payload: list[str] | None = None) -> DataFrame:
     """New / removed / moved items between two snapshots.
 
+    With ``payload`` columns each change also carries its whole row as the
+    struct ``item``: the new side's for new and moved items, the old side's
+    for removed ones.
+
     Each side is reduced to its last row per id, then the sides meet in one
     null-safe full outer join.  ``change`` is new - old, NULL if either
     position is null or 0.  ``by`` keys pair many snapshots at once.
     """
     by = by or []
     order_col = order_col or pos_col
-    o = dedupe_last(old.select(*by, id_col, pos_col, *( [order_col] if order_col != pos_col else [])),
-                    by + [id_col], order_col)
-    n = dedupe_last(new.select(*by, id_col, pos_col, *( [order_col] if order_col != pos_col else [])),
-                    by + [id_col], order_col)
-    o = o.select(*by, F.col(id_col).alias("_oid"), F.col(pos_col).alias("old_position"), F.lit(True).alias("_in_old"))
+    extra = [order_col] if order_col != pos_col else []
+    row = [F.struct(*payload).alias("_item")] if payload else []
+    o = dedupe_last(old.select(*by, id_col, pos_col, *extra, *row), by + [id_col], order_col)
+    n = dedupe_last(new.select(*by, id_col, pos_col, *extra, *row), by + [id_col], order_col)
+    o = o.select(*by, F.col(id_col).alias("_oid"), F.col(pos_col).alias("old_position"), F.lit(True).alias("_in_old"),
+                 *([F.col("_item").alias("_o_item")] if payload else []))
     n = n.select(*[F.col(b).alias(f"_n_{b}") for b in by], F.col(id_col).alias("_nid"),
-                 F.col(pos_col).alias("new_position"), F.lit(True).alias("_in_new"))
+                 F.col(pos_col).alias("new_position"), F.lit(True).alias("_in_new"),
+                 *([F.col("_item").alias("_n_item")] if payload else []))
     cond = F.col("_oid").eqNullSafe(F.col("_nid"))
     for b in by:
         cond = cond & F.col(b).eqNullSafe(F.col(f"_n_{b}"))
@@ -88,7 +95,8 @@ def snapshot_diff(old: DataFrame, new: DataFrame, id_col: str, pos_col: str,
     out = j.select(*[F.coalesce(F.col(b), F.col(f"_n_{b}")).alias(b) for b in by],
                    F.when(F.col("_in_old").isNull(), F.col("_nid")).otherwise(F.col("_oid")).alias(id_col),
                    kind.alias("change_type"), "old_position", "new_position",
-                   F.when(kind == "moved", change).alias("change"))
+                   F.when(kind == "moved", change).alias("change"),
+                   *([F.coalesce("_n_item", "_o_item").alias("item")] if payload else []))
     return out.where(F.col("change_type").isNotNull())
 
 
@@ -106,6 +114,13 @@ def diff_summary(diff: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.count_if(F.col("change_type") == "moved").alias("moved_count"))
 
 
+def pair_header(old: DataFrame, new: DataFrame, by: list[str], created_col: str) -> DataFrame:
+    """O49 header: time and track count of both snapshots of each pair."""
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*by).agg(F.max(created_col).alias(f"{name}_created_at"), F.count(F.lit(1)).alias(f"{name}_track_count"))
+    return side(old, "old").join(side(new, "new"), by, "full_outer")
+
+
 def top_k(df: DataFrame, group: list[str], order: list, k: int) -> DataFrame:
     """First ``k`` rows per group.
 

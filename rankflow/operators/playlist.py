@@ -115,9 +115,15 @@ def playlist_header(df: DataFrame, as_of, request_name: str | None = None, snaps
 
 
 def playlist_from_ids(requests: DataFrame, name_col: str, ids_col: str, as_of,
-                      desc_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+                      desc_col: str | None = None, id_col: str | None = None,
+                      failed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(items, summary) for direct id-list requests.  Invalid requests
-    get an ``error`` and no items; ``position`` is 0-based list order."""
+    get an ``error`` and no items; ``position`` is 0-based list order.
+
+    ``id_col`` tells requests of one name apart and stays with their items.
+    ``failed`` (``id_col``, ``position``, ``add_error``) has the adds that the
+    service refused; items then say whether they were ``added``, and the
+    summary counts ``videos_added_successfully`` and ``failed_videos``."""
     minute = F.date_format(F.lit(as_of).cast("timestamp"), "yyyy-MM-dd HH:mm")
     default_desc = F.concat(F.lit("Public playlist created on "), minute)
     err = (F.when(F.col(name_col).isNull() | (F.col(name_col) == ""), "playlist_name is required")
@@ -125,6 +131,22 @@ def playlist_from_ids(requests: DataFrame, name_col: str, ids_col: str, as_of,
     req = requests.withColumn("error", err).withColumn(
         "description", F.coalesce(F.col(desc_col), default_desc) if desc_col else default_desc)
     items = (req.where(F.col("error").isNull())
-                .select(name_col, F.posexplode(ids_col).alias("position", "video_id")))
+                .select(*([id_col] if id_col else []), name_col, F.posexplode(ids_col).alias("position", "video_id")))
     summary = req.select("*", F.when(F.col("error").isNull(), F.size(ids_col)).alias("total_videos_requested"))
+    if failed is not None:
+        items = (items.join(failed.select(id_col, "position", "add_error"), [id_col, "position"], "left")
+                      .withColumn("added", F.col("add_error").isNull()))
+        totals = items.groupBy(id_col).agg(F.count_if("added").alias("videos_added_successfully"),
+                                           F.count_if(~F.col("added")).alias("failed_videos"))
+        summary = summary.join(totals, id_col, "left")
     return items, summary
+
+
+def validate_location(enriched: DataFrame, requests: DataFrame, key: str) -> DataFrame:
+    """O28 for stored playlists: each request (``key``) with ``error`` where
+    its document has no tracks, or none of them a video id, after enrichment
+    (O30 rows carry ``key`` and ``status``)."""
+    per = enriched.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("status") == "enriched").alias("_ok"))
+    error = (F.when(F.coalesce("_n", F.lit(0)) == 0, "No tracks found in playlist data")
+              .when(F.col("_ok") == 0, "No tracks with YouTube video IDs found in database"))
+    return requests.join(per, key, "left").withColumn("error", error).drop("_n", "_ok")

@@ -856,15 +856,21 @@ def _id_requests(spark, d) -> DataFrame:
 IDS_SQL = """SELECT page_id, url AS playlist_name, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS video_ids FROM pages"""
 
 
+def _refused(spark, d) -> DataFrame:
+    """The second add of every fifth page is refused."""
+    return table(spark, d, "pages").where(F.col("page_id") % 5 == 0).select(
+        "page_id", F.lit(1).alias("position"), F.lit("quota exceeded").alias("add_error"))
+
+
 @register("playlist_from_ids_items", f"""
-SELECT page_id, CAST(o - 1 AS INTEGER) AS position, v AS video_id
+SELECT page_id, CAST(o - 1 AS INTEGER) AS position, v AS video_id, NOT (page_id % 5 = 0 AND o = 2) AS added
 FROM ({IDS_SQL}) r, unnest(r.video_ids) WITH ORDINALITY AS t(v, o)
 WHERE coalesce(playlist_name, '') <> ''
 """)
 def playlist_from_ids_items(spark, d):
-    items, _ = playlist.playlist_from_ids(_id_requests(spark, d), "playlist_name", "video_ids", AS_OF)
-    req = _id_requests(spark, d).select("page_id", "playlist_name")
-    return items.join(req, "playlist_name").select("page_id", "position", "video_id")
+    items, _ = playlist.playlist_from_ids(_id_requests(spark, d), "playlist_name", "video_ids", AS_OF, id_col="page_id",
+                                          failed=_refused(spark, d))
+    return items.select("page_id", "position", "video_id", "added")
 
 
 @register("playlist_from_ids_summary", f"""
@@ -872,12 +878,18 @@ SELECT page_id, playlist_name,
   CASE WHEN coalesce(playlist_name, '') = '' THEN 'playlist_name is required'
        WHEN len(video_ids) = 0 THEN 'video_ids array is required and cannot be empty' END AS error,
   'Public playlist created on 2024-02-01 00:00' AS description,
-  CASE WHEN coalesce(playlist_name, '') <> '' AND len(video_ids) > 0 THEN CAST(len(video_ids) AS INTEGER) END AS total_videos_requested
+  CASE WHEN coalesce(playlist_name, '') <> '' AND len(video_ids) > 0 THEN CAST(len(video_ids) AS INTEGER) END AS total_videos_requested,
+  CASE WHEN coalesce(playlist_name, '') <> '' AND len(video_ids) > 0
+       THEN len(video_ids) - CASE WHEN page_id % 5 = 0 AND len(video_ids) > 1 THEN 1 ELSE 0 END END AS videos_added_successfully,
+  CASE WHEN coalesce(playlist_name, '') <> '' AND len(video_ids) > 0
+       THEN CASE WHEN page_id % 5 = 0 AND len(video_ids) > 1 THEN 1 ELSE 0 END END AS failed_videos
 FROM ({IDS_SQL})
 """)
 def playlist_from_ids_summary(spark, d):
-    _, summary = playlist.playlist_from_ids(_id_requests(spark, d), "playlist_name", "video_ids", AS_OF)
-    return summary.select("page_id", "playlist_name", "error", "description", "total_videos_requested")
+    _, summary = playlist.playlist_from_ids(_id_requests(spark, d), "playlist_name", "video_ids", AS_OF, id_col="page_id",
+                                            failed=_refused(spark, d))
+    return summary.select("page_id", "playlist_name", "error", "description", "total_videos_requested",
+                          "videos_added_successfully", "failed_videos")
 
 
 # ---------------------------------------------------------------- O13 - O21 extraction from pages

@@ -144,3 +144,20 @@ def test_title_fallback_takes_the_full_text_of_nested_elements(spark):
     assert r.title == "Key Inner Words"
     r = _fields(spark, OPEN + "<span>Key</span><p>12345678</p><div>&#72;ello World</div></div>")[1]
     assert r.title == "Hello World"
+
+
+def test_changes_carry_their_rows_and_pairs_their_headers(spark):
+    old = spark.createDataFrame([("a", 1, "A"), ("b", 2, "B"), ("c", 3, "C")], "id string, pos int, title string")
+    new = spark.createDataFrame([("b", 1, "B2"), ("c", 3, "C"), ("d", 2, "D")], "id string, pos int, title string")
+    got = {r.id: (r.change_type, r["item"].title) for r in history.snapshot_diff(old, new, "id", "pos", payload=["id", "title"]).collect()}
+    assert got == {"a": ("removed", "A"), "b": ("moved", "B2"), "d": ("new", "D")}
+    side = lambda df, at: df.withColumn("pair", F.lit(1)).withColumn("at", F.lit(at))
+    head = history.pair_header(side(old, "x"), side(new.where("pos > 1"), "y"), ["pair"], "at")
+    assert rows(head) == [(1, "x", 3, "y", 2)]
+
+
+def test_location_rules(spark):
+    req = spark.createDataFrame([("none",), ("dry",), ("ok",)], "k string")
+    enr = spark.createDataFrame([("dry", "skipped"), ("ok", "skipped"), ("ok", "enriched")], "k string, status string")
+    assert rows(playlist.validate_location(enr, req, "k"), "k", "error") == [
+        ("dry", "No tracks with YouTube video IDs found in database"), ("none", "No tracks found in playlist data"), ("ok", None)]
