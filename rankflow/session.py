@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -92,6 +93,9 @@ def spread(df):
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of steps whose results are written: they go when the plans that made them are
-    collected, which a driver with little garbage puts off."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    collected, which a driver with little garbage puts off.  (What one
+    collection lets go of, the next one frees.)"""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
