@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.llm.arrowtext import RollingHash, pieces
-from rankflow.llm.bloom import BitFilter, bit_filter
+from rankflow.llm.arrowtext import RollingHash, mix, pieces
+from rankflow.llm.bloom import bit_filter
 from rankflow.session import release, work_dir
 
 SPAN, GRAM = 50, 20
@@ -138,37 +138,104 @@ def shared_digits(docs: DataFrame) -> DataFrame:
     return dealt.repartition("bucket").mapInArrow(meet, "h long")
 
 
-_RUN = "h long, c long, n int, a int, least long, content binary, docs binary, keys binary, starts binary"
+def _key(digit: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """One number for a run's digit and content."""
+    return mix(digit ^ mix(whole))
 
 
-def candidate_runs(docs: DataFrame, known) -> DataFrame:
-    """Runs whose digit passes the filter, by task and distinct content: digit, hash of the content, number of
-    suffixes, place of the digit, least document, content, and packed where they start (document, text key, place)."""
+class _Distinct:
+    """The kept runs of a piece, ordered by digit and content, and where each distinct one begins."""
+
+    def __init__(self, rows: pa.RecordBatch, found: tuple, keep: np.ndarray, whole: np.ndarray):
+        digit, text, start, n, a, at, _ = found
+        order = keep[np.lexsort((whole[keep], digit[keep]))]
+        self.digit, self.whole, self.start, self.n, self.a, self.at = (x[order] for x in (digit, whole, start, n, a, at))
+        self.doc, self.key = (rows.column(c).to_numpy()[text[order]] for c in ("doc_id", "key"))
+        self.first = np.flatnonzero(np.concatenate([[True], (self.digit[1:] != self.digit[:-1]) | (self.whole[1:] != self.whole[:-1])]))
+
+    def columns(self) -> list[pa.Array]:
+        """h, c, n, a of the distinct runs."""
+        f = self.first
+        return [pa.array(self.digit[f].view(np.int64)), pa.array(self.whole[f].view(np.int64)),
+                pa.array(self.n[f].astype(np.int32)), pa.array(self.a[f].astype(np.int32))]
+
+
+def _kept(batches: Iterator[pa.RecordBatch], keep) -> Iterator[tuple[_Distinct, np.ndarray]]:
+    """Distinct runs for which ``keep(digit, content, document)`` holds, with the bytes they lie in, piece by piece."""
+    for rows, data, offsets in pieces(batches, "text", STRETCH):
+        found = runs(data, offsets)
+        digit, text, _, n, _, at, hashed = found
+        if not len(digit):
+            continue
+        whole = hashed.of(at, at + n - 1 + SPAN)
+        some = np.flatnonzero(keep(digit, whole, rows.column("doc_id").to_numpy()[text]))
+        if len(some):
+            yield _Distinct(rows, found, some, whole), data
+
+
+def distinct_runs(docs: DataFrame, known) -> DataFrame:
+    """Distinct run contents whose digit passes the filter: digit (h), hash of the content (c), number of suffixes,
+    place of the digit, least and largest document, whether the digit has other contents too, and filter keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits: BitFilter = known.value
-        for rows, data, offsets in pieces(batches, "text", STRETCH):
-            digit, text, start, n, a, at, hashed = runs(data, offsets)
-            keep = np.flatnonzero(bits.holds(digit)) if len(digit) else np.empty(0, np.int64)
-            if not len(keep):
-                continue
-            digit, text, start, n, a, at = (x[keep] for x in (digit, text, start, n, a, at))
-            whole = hashed.of(at, at + n - 1 + SPAN)
-            order = np.lexsort((whole, digit))
-            digit, text, start, n, a, at, whole = (x[order] for x in (digit, text, start, n, a, at, whole))
-            first = np.flatnonzero(np.concatenate([[True], (digit[1:] != digit[:-1]) | (whole[1:] != whole[:-1])]))
-            doc, key = rows.column("doc_id").to_numpy()[text], rows.column("key").to_numpy()[text]
-            places = pa.array(np.append(first, len(doc)).astype(np.int32) * 8)
-            pack = lambda x: pa.Array.from_buffers(pa.binary(), len(first), [None, places.buffers()[1], pa.py_buffer(  # noqa: E731,B023
+        for d, _ in _kept(batches, lambda digit, whole, doc: known.value.holds(digit)):
+            yield pa.RecordBatch.from_arrays([*d.columns(), pa.array(np.minimum.reduceat(d.doc, d.first)),
+                                              pa.array(np.maximum.reduceat(d.doc, d.first))],
+                                             names=["h", "c", "n", "a", "least", "most"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(got) if (got := list(batches)) else None
+        if table is None or not table.num_rows:
+            return
+        h, c, n, a, least, most = (table[x].to_numpy() for x in ("h", "c", "n", "a", "least", "most"))
+        order = np.lexsort((c, h))
+        h, c, n, a, least, most = (x[order] for x in (h, c, n, a, least, most))
+        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
+        least, most = np.minimum.reduceat(least, first), np.maximum.reduceat(most, first)
+        h, c, n, a = (x[first] for x in (h, c, n, a))
+        begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        size = np.diff(np.append(begin, len(h)))
+        key = _key(h.view(np.uint64), c.view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
+            h, c, n, a, least, most, np.repeat(size > 1, size), key.view(np.int64),
+            mix(key ^ least.view(np.uint64)).view(np.int64))], names=_DISTINCT_NAMES)
+
+    return docs.mapInArrow(run, "h long, c long, n int, a int, least long, most long").repartition("h").mapInArrow(
+        meet, "h long, c long, n int, a int, least long, most long, crowded boolean, run_key long, first_key long")
+
+
+_DISTINCT_NAMES = ["h", "c", "n", "a", "least", "most", "crowded", "run_key", "first_key"]
+
+
+def first_contents(docs: DataFrame, wanted) -> DataFrame:
+    """The bytes of runs in the documents that the filter names: digit, content hash, shape, document, bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds = lambda digit, whole, doc: wanted.value.holds(mix(_key(digit, whole) ^ doc.view(np.uint64)))
+        for d, data in _kept(batches, holds):
+            raw, f = data.tobytes(), d.first
+            content = [raw[i:j] for i, j in zip(d.at[f].tolist(), (d.at + d.n - 1 + SPAN)[f].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*d.columns(), pa.array(np.minimum.reduceat(d.doc, f)), pa.array(content, pa.binary())],
+                                             names=["h", "c", "n", "a", "least", "content"])
+
+    return docs.mapInArrow(run, "h long, c long, n int, a int, least long, content binary")
+
+
+_PLACES = "h long, c long, n int, docs binary, keys binary, starts binary"
+
+
+def run_places(docs: DataFrame, wanted) -> DataFrame:
+    """Where the runs lie that the filter names: by task and distinct content, packed documents, text keys, places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for d, _ in _kept(batches, lambda digit, whole, doc: wanted.value.holds(_key(digit, whole))):
+            at = pa.array(np.append(d.first, len(d.doc)).astype(np.int32) * 8)
+            pack = lambda x: pa.Array.from_buffers(pa.binary(), len(d.first), [None, at.buffers()[1], pa.py_buffer(  # noqa: E731,B023
                 np.ascontiguousarray(x.astype(np.int64)))])
-            raw, ends = data.tobytes(), at + n - 1 + SPAN
-            yield pa.RecordBatch.from_arrays([
-                pa.array(digit[first].view(np.int64)), pa.array(whole[first].view(np.int64)), pa.array(n[first].astype(np.int32)),
-                pa.array(a[first].astype(np.int32)), pa.array(np.minimum.reduceat(doc, first)),
-                pa.array([raw[i:j] for i, j in zip(at[first].tolist(), ends[first].tolist(), strict=True)], pa.binary()),
-                pack(doc), pack(key), pack(start)], names=[x.split()[0] for x in _RUN.split(", ")])
+            yield pa.RecordBatch.from_arrays([*d.columns()[:3], pack(d.doc), pack(d.key), pack(d.start)],
+                                             names=[x.split()[0] for x in _PLACES.split(", ")])
 
-    return docs.mapInArrow(run, _RUN)
+    return docs.mapInArrow(run, _PLACES)
 
 
 def _digits(raw: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
@@ -209,32 +276,27 @@ def least_by_suffix(digit: np.ndarray, place: np.ndarray, n: np.ndarray, doc: np
     return out
 
 
-def suffix_answers(distinct: DataFrame) -> DataFrame:
-    """(h, c, least, suffixes): for each distinct run content the least document that has it, and packed the least
-    document of every suffix where that differs."""
+def suffix_answers(contents: DataFrame) -> DataFrame:
+    """(h, c, suffixes): packed, the least document of every suffix of a run, where one differs from the run's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        table = pa.Table.from_batches(got) if (got := list(batches)) else None
         if table is None or not table.num_rows:
             return
-        h, c, least = (table[x].to_numpy() for x in ("h", "c", "least"))
-        n, a = (table[x].to_numpy().astype(np.int64) for x in ("n", "a"))
-        order = np.argsort(h, kind="stable")
-        size = np.diff(np.append(np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]])), len(h)))
-        crowd = np.sort(order[np.repeat(size > 1, size)])
-        content = table["content"].combine_chunks().cast(pa.large_binary()).take(pa.array(crowd))
-        at = np.frombuffer(content.buffers()[1], np.int64)[: len(crowd) + 1] if len(crowd) else np.zeros(1, np.int64)
-        raw = np.frombuffer(content.buffers()[2], np.uint8) if len(crowd) else np.empty(0, np.uint8)
-        found = least_by_suffix(h[crowd], a[crowd], n[crowd], least[crowd], raw, at[:-1])
-        packed: list[bytes | None] = [None] * len(h)
-        ends = np.cumsum(n[crowd])
-        differs = np.add.reduceat(found != np.repeat(least[crowd], n[crowd]), ends - n[crowd]) if len(crowd) else []
-        for i in np.flatnonzero(differs).tolist():
-            packed[crowd[i]] = found[ends[i] - n[crowd[i]]: ends[i]].tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(least), pa.array(packed, pa.binary())],
-                                         names=["h", "c", "least", "suffixes"])
-
-    return distinct.repartition("h").mapInArrow(run, "h long, c long, least long, suffixes binary")
+        h, c, least, n, a = (table[x].to_numpy().astype(np.int64) for x in ("h", "c", "least", "n", "a"))
+        order = np.lexsort((least, c, h))
+        order = order[np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])])]
+        h, c, least, n, a = (x[order] for x in (h, c, least, n, a))
+        content = table["content"].combine_chunks().cast(pa.large_binary()).take(pa.array(order))
+        at = np.frombuffer(content.buffers()[1], np.int64)[: len(order) + 1]
+        found = least_by_suffix(h, a, n, least, np.frombuffer(content.buffers()[2], np.uint8), at[:-1])
+        ends = np.cumsum(n)
+        differs = np.flatnonzero(np.add.reduceat(found != np.repeat(least, n), ends - n))
+        packed = [found[ends[i] - n[i]: ends[i]].tobytes() for i in differs.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(h[differs]), pa.array(c[differs]), pa.array(packed, pa.binary())],
+                                         names=["h", "c", "suffixes"])
+
+    return contents.repartition("h").mapInArrow(run, "h long, c long, suffixes binary")
 
 
 def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,24 +341,30 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
     a document with a smaller id too; spans are byte stretches (start, end), which may touch or overlap.  ``key`` tells
     texts with one doc_id apart."""
     spark, folder = docs.sparkSession, work_dir(docs.sparkSession, "suffixes")
-    shared_digits(docs).write.parquet(f"{folder}/digits")
-    digits = spark.read.parquet(f"{folder}/digits")
-    known = spark.sparkContext.broadcast(bit_filter(digits, "h", digits.count()))
-    release(spark)
-    candidate_runs(docs, known).write.option("compression", "zstd").parquet(f"{folder}/runs")
-    found = spark.read.parquet(f"{folder}/runs")
-    distinct = found.groupBy("h", "c").agg(F.min("least").alias("least"), F.first("n").alias("n"), F.first("a").alias("a"),
-                                           F.first("content").alias("content"))
-    suffix_answers(distinct).write.parquet(f"{folder}/answers")
-    release(spark)
-    answers = spark.read.parquet(f"{folder}/answers")
-    met = found.select("h", "c", "n", "docs", "keys", "starts").join(answers, ["h", "c"])
-    (met.select("n", "docs", "keys", "starts", "least", "suffixes")
-     .mapInArrow(_intervals, "doc_id long, key long, start long, end long")
-     .groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-     .write.parquet(f"{folder}/spans"))
-    release(spark)
-    return spark.read.parquet(f"{folder}/spans")
+
+    def kept(name: str, step) -> DataFrame:
+        step().write.parquet(f"{folder}/{name}")  # nothing here holds the step's plan any longer
+        release(spark)
+        return spark.read.parquet(f"{folder}/{name}")
+
+    def filter_of(df: DataFrame, column: str):
+        return spark.sparkContext.broadcast(bit_filter(df.select(column), column, df.count()))
+
+    digits = kept("digits", lambda: shared_digits(docs))
+    distinct = kept("distinct", lambda: distinct_runs(docs, filter_of(digits, "h")))
+    suffixes = kept("suffixes", lambda: suffix_answers(
+        first_contents(docs, filter_of(distinct.where("crowded"), "first_key"))))
+    answers = kept("answers", lambda: distinct.select("h", "c", "least", "most", "run_key").join(
+        suffixes, ["h", "c"], "left").where("least < most or suffixes is not null"))
+
+    def spans() -> DataFrame:
+        places = run_places(docs, filter_of(answers, "run_key"))
+        met = places.join(answers.select("h", "c", "least", "suffixes"), ["h", "c"])
+        return (met.select("n", "docs", "keys", "starts", "least", "suffixes")
+                .mapInArrow(_intervals, "doc_id long, key long, start long, end long")
+                .groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
+
+    return kept("spans", spans)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
