@@ -15,7 +15,7 @@ import regex
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: pre-tokens up to this length are remembered, at most so many at a time
-KEEP_CHARS, KEEP_ENTRIES = 64, 1_000_000
+KEEP_CHARS, KEEP_ENTRIES = 64, 400_000
 
 
 def byte_chars() -> list[str]:

@@ -17,7 +17,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from rankflow.llm.arrowtext import plus
 from rankflow.llm.bpe import KEEP_CHARS, KEEP_ENTRIES, tables
@@ -39,7 +39,7 @@ class PrefixEncoder(dict):
         self.alone = [bool(raw) and t.merged(raw) == [i] for i, raw in enumerate(t.bytes_of)]
         self.right_edge = [self._edge(i, 2) for i in range(len(t.bytes_of))]
         self.left_edge = [self._edge(i, 1) for i in range(len(t.bytes_of))]
-        self.compatible_pairs: dict[tuple[int, int], bool] = {}
+        self.compatible_pairs: dict[int, bool] = {}
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The pieces of a token that lie at its border, from the single byte up to the token itself, each with the
@@ -83,11 +83,11 @@ class PrefixEncoder(dict):
                 if alone[token]:
                     last[end] = token
             elif (before := last[start]) >= 0:
-                fits = known.get((before, token))
+                fits = known.get(pair := before << 20 | token)
                 if fits is None:
-                    if len(known) > 2_000_000:
+                    if len(known) >= KEEP_ENTRIES:
                         known.clear()
-                    fits = known[before, token] = self.compatible(before, token)
+                    fits = known[pair] = self.compatible(before, token)
                 if fits:
                     last[end] = token
         ids, at = [], len(raw)
@@ -121,6 +121,21 @@ def encode_text(text: str | None, path: str) -> bytes:
     return b"".join(out)
 
 
+def _encoded(texts: pa.Array, tokenizer: str) -> pa.ListArray:
+    found = [encode_text(x.as_py(), tokenizer) for x in texts]
+    at = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(found), np.int32)))
+
+
+def _decoded(column: pa.ListArray, tokenizer: str) -> pa.Array:
+    pieces = tables(tokenizer).bytes_of
+    column = column.fill_null([]) if column.null_count else column
+    at = column.offsets.to_numpy()
+    raw = [pieces[x] if 0 <= x < len(pieces) else b"" for x in column.values.to_numpy(zero_copy_only=False)[at[0]: at[-1]].tolist()]
+    at = at - at[0]
+    return pa.array([b"".join(raw[a:b]).decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)], pa.string())
+
+
 def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` plus ``out``, the ids (array of int) of each whole text under the byte-level BPE file ``tokenizer``.
 
@@ -133,10 +148,8 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 rows = batch.slice(start, 256)
-                found = [encode_text(x.as_py(), tokenizer) for x in rows.column(text)]
-                at = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(found), np.int32)))
-                yield pa.RecordBatch.from_arrays([*rows.columns, ids], names=[*rows.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*rows.columns, _encoded(rows.column(text), tokenizer)],
+                                                 names=[*rows.schema.names, out])
 
     return docs.mapInArrow(run, schema)
 
@@ -147,24 +160,30 @@ def bpe_decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", out: str =
     encoded, schema = plus(encoded, out, StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = dict(enumerate(tables(tokenizer).bytes_of))
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 rows = batch.slice(start, 256)
-                column = rows.column(ids).fill_null([]) if rows.column(ids).null_count else rows.column(ids)
-                at = column.offsets.to_numpy()
-                raw = [pieces.get(x, b"") for x in column.values.to_numpy(zero_copy_only=False)[at[0]: at[-1]].tolist()]
-                at = at - at[0]
-                texts = [b"".join(raw[a:b]).decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())],
+                yield pa.RecordBatch.from_arrays([*rows.columns, _decoded(rows.column(ids), tokenizer)],
                                                  names=[*rows.schema.names, out])
 
     return encoded.mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Every column of ``docs`` plus ``ids`` and ``decoded``."""
-    return bpe_decode(bpe_encode(docs, tokenizer), tokenizer)
+    """Every column of ``docs`` plus ``ids`` and ``decoded``, encoded and decoded by one Python worker a task."""
+    docs, _ = plus(docs, "ids", ArrayType(IntegerType()))
+    docs, _ = plus(docs, "decoded", StringType())
+    schema = StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                rows = batch.slice(start, 256)
+                ids = _encoded(rows.column("text"), tokenizer)
+                yield pa.RecordBatch.from_arrays([*rows.columns, ids, _decoded(ids, tokenizer)],
+                                                 names=[*rows.schema.names, "ids", "decoded"])
+
+    return docs.mapInArrow(run, schema)
 
 
 def ids_of(row: bytes) -> list[int]:
