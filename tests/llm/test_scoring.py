@@ -275,3 +275,13 @@ def test_lm_class_probabilities_sum_to_one():
     z = model.logits(t.features(), slice(0, 7))
     p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
     assert np.allclose(np.log10(p[np.arange(7), t.kind]), model.class_log10(t), atol=1e-5)
+
+
+def test_lm_history_reaches_three_tokens_back():
+    import numpy as np
+    import pyarrow as pa
+    top = pa.array([b"", *(b"w%d" % i for i in range(30))], pa.large_binary())
+    rows = [lm.Tokens(np.frombuffer(text, np.uint8), np.array([0, len(text)]), top).features() for text in (b"w20 w1 w2 w3", b"w21 w1 w2 w3")]
+    assert lm.CLASSES == 64 and len(rows[0]) == 4
+    at = 3  # its last three tokens differ in the third one only, and that one is a class of its own
+    assert [a[at] == b[at] for a, b in zip(*rows, strict=True)] == [True, True, True, False]
