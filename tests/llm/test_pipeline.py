@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from rankflow.llm import pii
+from rankflow.llm import pii, toxicity
 
 SF = "/root/testdata/sf0.001"
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -53,3 +53,22 @@ def test_run_and_odd_rows(spark):
             rows = stage(spark, rows, SF)
         rows.collect()
     assert docs.select(F.count("*")).first()[0] == 5
+
+
+def test_toxicity_stage_drops_what_scores_over(spark, tmp_path):
+    from test_scoring import lower, toxic_tables
+    docs, labels, truth = toxic_tables(spark)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()}
+    model = toxicity.fit(docs, labels)
+    plain, toxic = model.compressors()
+
+    def score(text):
+        raw = lower(text).encode()
+        saved = [len(plain(w)) - len(toxic(w)) for w in (raw[i: i + 140] for i in range(0, max(1, len(raw) - 70), 70))]
+        return model.score(max(saved), sum(x for x in saved if x > 0))
+
+    assert kept == {r.doc_id for r in docs.collect() if score(r.text) < 0.3}
+    for label in (0, 1):
+        ids = {i for i, x in truth.items() if x == label}
+        assert len(ids & kept if label == 0 else ids - kept) > 0.95 * len(ids)
