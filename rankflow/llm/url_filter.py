@@ -20,8 +20,8 @@ RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 
 #: at most so many labelled urls fit the trees, taken by a hash of the url
 FIT_ROWS = 20_000
-#: suffixes with at least so many labelled urls get statistics of their own, at most so many of them
-SUFFIX_LEAST, SUFFIX_TOP = 20, 64
+#: suffixes with at least so many labelled urls get statistics of their own
+SUFFIX_LEAST = 20
 TREES, DEPTH, BINS, RATE, LAMBDA = 6, 3, 12, 0.5, 1.0
 
 
@@ -69,14 +69,11 @@ def suffix(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
-def features(urls: DataFrame, suffixes: dict[str, float], prior: float) -> DataFrame:
-    """``urls`` (with _url, _host, _path) plus one double column per lexical feature.  ``suffixes`` has the smoothed
-    allow share of known suffixes; others get ``prior``."""
+def features(urls: DataFrame, suffixes: DataFrame, prior: float) -> DataFrame:
+    """``urls`` (with _url, _host, _path) plus one double column per lexical feature.  ``suffixes`` (_suffix,
+    _share) has the smoothed allow share of known suffixes; others get ``prior``."""
     url, host, path = F.coalesce("_url", F.lit("")), F.col("_host"), F.col("_path")
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
-    known = F.lit(prior)
-    for name, share in sorted(suffixes.items()):
-        known = F.when(suffix(host) == name, F.lit(share)).otherwise(known)
     cols = {
         "f_length": F.length(url), "f_host_length": F.length(host), "f_path_length": F.length(path),
         "f_depth": F.length(F.regexp_replace(path, "[^/]", "")),
@@ -85,9 +82,10 @@ def features(urls: DataFrame, suffixes: dict[str, float], prior: float) -> DataF
         "f_entropy": _entropy(url), "f_host_entropy": _entropy(host),
         "f_params": F.when(query != "", F.length(F.regexp_replace(query, "[^&]", "")) + 1).otherwise(0),
         "f_query_length": F.length(query), "f_fragment": F.instr(url, "#") > 0, "f_https": url.startswith("https"),
-        "f_marks": _share(url, "[^%_=&-]"), "f_suffix": known,
+        "f_marks": _share(url, "[^%_=&-]"), "f_suffix": F.coalesce("_share", F.lit(prior)),
     }
-    return urls.select("*", *[c.cast("double").alias(name) for name, c in cols.items()])
+    met = urls.withColumn("_suffix", suffix(host)).join(suffixes, "_suffix", "left")
+    return met.select(*urls.columns, *[c.cast("double").alias(name) for name, c in cols.items()])
 
 
 NAMES = ["f_length", "f_host_length", "f_path_length", "f_depth", "f_labels", "f_digits", "f_path_digits", "f_entropy",
@@ -150,19 +148,22 @@ def _grow(rows: DataFrame, score: Column, cuts: dict[str, list[float]]) -> dict:
     return build(1)
 
 
-def fit(labelled: DataFrame) -> tuple[list[dict], dict[str, float], float]:
+def fit(labelled: DataFrame) -> tuple[list[dict], DataFrame, float]:
     """(trees, suffix statistics, prior) from rows (_url, _host, _path, label 0/1).
 
     Uses at most FIT_ROWS rows, chosen by a hash of the url, so a big input costs one pass.  Suffix statistics count
-    all labelled rows.  No labelled rows give no trees."""
+    all labelled rows and are a table, whose rows grow with the corpus.  No labelled rows give no trees."""
     spark = labelled.sparkSession
-    stats = (labelled.groupBy(suffix(F.col("_host")).alias("s")).agg(F.count("*").alias("n"), F.sum("label").alias("ones"))
-             .where(F.col("n") >= SUFFIX_LEAST).orderBy(F.desc("n"), "s").limit(SUFFIX_TOP).collect())
-    all_n, ones = labelled.agg(F.count("*"), F.sum("label")).first()
+    at = work_dir(spark, "url-suffixes")
+    (labelled.groupBy(suffix(F.col("_host")).alias("_suffix")).agg(F.count("*").alias("n"), F.sum("label").alias("ones"))
+     .write.mode("overwrite").parquet(at))
+    counts = spark.read.parquet(at)
+    all_n, ones = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("ones")).first()
+    prior = ones / all_n if all_n else 0.5
+    suffixes = counts.where(F.col("n") >= SUFFIX_LEAST).select(
+        "_suffix", ((F.col("ones") + 10 * prior) / (F.col("n") + 10)).alias("_share"))
     if not all_n:
-        return [], {}, 0.5
-    prior = ones / all_n
-    suffixes = {r["s"]: (r["ones"] + 10 * prior) / (r["n"] + 10) for r in stats}
+        return [], suffixes, prior
     folder = work_dir(spark, "url-fit")
     sample = labelled.orderBy(F.xxhash64("_url"), "_url").limit(FIT_ROWS)
     features(sample, suffixes, prior).select("label", *NAMES).write.mode("overwrite").parquet(folder)

@@ -216,6 +216,15 @@ def test_url_trees_learn_the_labelled_urls(spark):
     assert scored.where((F.col("s") >= 0).cast("int") != F.col("label")).count() == 0
 
 
+def test_url_suffixes_all_have_statistics(spark):
+    rows = [(f"https://h.site{k}.org/{i}", f"h.site{k}.org", f"/{i}", k % 2) for k in range(100) for i in range(url_filter.SUFFIX_LEAST)]
+    labelled = spark.createDataFrame([*rows, ("https://few.net/", "few.net", "/", 0), ("https://few.net/1", "few.net", "/1", 1)], "_url string, _host string, _path string, label int")
+    _, suffixes, prior = url_filter.fit(labelled)
+    got = url_filter.features(labelled, suffixes, prior).select("_host", "label", "f_suffix").collect()
+    assert len(got) == len(rows) + 2 and prior == 0.5
+    assert all(r.f_suffix == (prior if r._host == "few.net" else pytest.approx((20 * r.label + 5) / 30)) for r in got)
+
+
 def test_url_plan_is_native(spark):
     plan = url_filter.judge(spark.read.parquet(f"{SF}/pages.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "html" not in plan.split("== Physical Plan ==")[1]
