@@ -61,7 +61,8 @@ def _entropy(text: Column) -> Column:
     for c in "abcdefghijklmnopqrstuvwxyz0123456789":
         k = F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))
         total = total - F.when(k > 0, k / n * F.log2(k / n)).otherwise(0.0)
-    return total
+    rest = F.length(F.translate(low, "abcdefghijklmnopqrstuvwxyz0123456789", ""))
+    return total - F.when(rest > 0, rest / n * F.log2(rest / n)).otherwise(0.0)
 
 
 def suffix(host: Column) -> Column:

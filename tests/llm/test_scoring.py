@@ -225,6 +225,14 @@ def test_url_suffixes_all_have_statistics(spark):
     assert all(r.f_suffix == (prior if r._host == "few.net" else pytest.approx((20 * r.label + 5) / 30)) for r in got)
 
 
+def test_url_entropy_has_the_rest_as_a_class(spark):
+    texts = ["", "a", "a/", "/._%", "Ab1/é-", "aaaa..", "http://x.org/é?a=1&b=2"]
+    got = {r.t: r.e for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", url_filter._entropy(F.col("t")).alias("e")).collect()}
+    for t in texts:
+        n = Counter(c if re.match("[a-z0-9]", c) else "rest" for c in t.lower())
+        assert got[t] == pytest.approx(-sum(k / len(t) * math.log2(k / len(t)) for k in n.values()), abs=1e-9)
+
+
 def test_url_plan_is_native(spark):
     plan = url_filter.judge(spark.read.parquet(f"{SF}/pages.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "html" not in plan.split("== Physical Plan ==")[1]
