@@ -154,7 +154,8 @@ def calibrated(counts: dict[tuple[int, int], int]) -> list[float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """A model from labelled rows outside the held-out fold, in bounded samples taken by a hash of doc_id.
+    """A model from labelled rows outside the held-out fold, in bounded samples taken by a hash of doc_id, one text (the
+    least) of a doc_id.
 
     ``labels`` (doc_id, toxic): a document labelled twice counts as toxic if any label says so; null labels and rows
     without a text are ignored.  With no toxic or no ordinary texts the toxic dictionary adds nothing, and scores are
@@ -170,7 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     chosen = some(for_fit.where("label = 1"), FIT_TOXIC).union(some(for_fit.where("label = 0"), FIT_ORDINARY)) \
         .union(some(marked.where("not use"), CALIBRATE))
     texts = docs.where(F.octet_length("text") <= SAMPLE_TEXT_BYTES).select("doc_id", "text")
-    sample = texts.join(F.broadcast(chosen), "doc_id")  # at most FIT_TOXIC + FIT_ORDINARY + CALIBRATE keys
+    # at most FIT_TOXIC + FIT_ORDINARY + CALIBRATE keys, and one text of each, however many rows have its doc_id
+    sample = (texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "use").agg(F.min("text").alias("text")))
     got = sample.where("use").select("label", "text").toArrow().to_pylist()
     by = {k: [r["text"].translate(_LOWER).encode() for r in got if r["label"] == k] for k in (0, 1)}
     pieces_found = telling_pieces(by[1], by[0])

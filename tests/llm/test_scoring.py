@@ -175,6 +175,17 @@ def test_toxicity_edges(spark, docs_of):
     assert toxicity.judge(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_fits_one_text_a_doc_id(spark, monkeypatch):
+    docs, labels, truth = toxic_tables(spark, 200)
+    copies = spark.range(400).select(F.lit(4).cast("long").alias("doc_id"), F.lit("frizzlent copies").alias("text"))
+    other = spark.range(400).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("other "), "id").alias("text"))
+    seen, (find, calibrate) = {}, (toxicity.telling_pieces, toxicity.calibrated)
+    monkeypatch.setattr(toxicity, "telling_pieces", lambda bad, good: seen.update(fit=len(bad) + len(good)) or find(bad, good))
+    monkeypatch.setattr(toxicity, "calibrated", lambda counts: seen.update(calibrate=sum(counts.values())) or calibrate(counts))
+    toxicity.fit(docs.union(copies).union(other).union(docs), labels)
+    assert seen["fit"] + seen["calibrate"] == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in truth)
+
+
 def test_toxic_calibration_never_falls():
     p = toxicity.calibrated({(0, 0): 900, (0, 1): 20, (1, 0): 30, (1, 1): 5, (2, 0): 50, (2, 1): 2, (3, 1): 40})
     assert p == sorted(p) and 0 <= p[0] < p[-1] <= 1 and len(p) == toxicity.TOP + 1
