@@ -17,8 +17,3 @@ def spark():
                       extra={"spark.checkpoint.dir": ckpt, "spark.sql.shuffle.partitions": "4"})
     yield s
     s.stop()
-
-
-def rows(df, *cols):
-    cols = cols or df.columns
-    return sorted([tuple(r[c] for c in cols) for r in df.collect()], key=repr)

@@ -3,7 +3,7 @@
 import datetime as dt
 import json
 
-from conftest import rows
+from rowtools import rows
 from rankflow.operators import jobs
 from rankflow.sources import envelopes
 

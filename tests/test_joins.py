@@ -2,7 +2,7 @@
 
 from hypothesis import given, settings, strategies as st
 
-from conftest import rows
+from rowtools import rows
 from rankflow.operators import history, joins
 
 

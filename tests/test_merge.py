@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from conftest import rows
+from rowtools import rows
 from rankflow.operators import merge
 
 AS_OF = dt.datetime(2024, 2, 1)

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import rows
+from rowtools import rows
 from rankflow.operators import history, playlist
 from rankflow.sources import pages
 

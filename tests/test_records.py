@@ -2,7 +2,7 @@
 
 from decimal import Decimal
 
-from conftest import rows
+from rowtools import rows
 from rankflow.operators.records import locate_records, normalize_records, plain_numbers, sparse
 
 DOCS = [

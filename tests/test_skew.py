@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from rowtools import rows
 from rankflow.operators import history, jobs, joins, merge
 
 AS_OF = dt.datetime(2024, 2, 1)

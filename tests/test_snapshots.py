@@ -5,7 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from rowtools import rows
 from rankflow.operators import records
 from rankflow.sources import envelopes, snapshots
 

@@ -8,7 +8,7 @@ import tempfile
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from conftest import rows
+from rowtools import rows
 from rankflow.operators import jobs, merge
 from rankflow.sources import envelopes
 from rankflow.streaming import (
