@@ -11,10 +11,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankflow.llm import bpe_codec, decontaminate, lm, pii, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter
+from rankflow.llm import alignment, bpe_codec, centroids, decontaminate, lm, pii, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter
 from rankflow.session import ship_package
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -148,3 +149,36 @@ def op9(spark, d):
 def op10(spark, d):
     found = simhash.near_duplicates(_table(spark, d, "documents"))
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def _op11_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """Lloyd's rounds spelled out, one pair of CTEs a round."""
+    ctes = [f"""v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+      FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})""",
+            f"""c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS j, v AS c
+      FROM (SELECT sha256('2:' || vec_id) AS h, v FROM v ORDER BY h, v LIMIT {k}))"""]
+    for r in range(rounds + 1):
+        ctes.append(f"""a{r} AS (SELECT rid, min(d * 1000 + j) % 1000 AS j, min(d * 1000 + j) // 1000 AS d FROM (SELECT rid, j,
+      CAST(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v, c{r}) GROUP BY rid)""")
+        if r < rounds:
+            ctes.append(f"""s{r} AS (SELECT j, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM
+      (SELECT j, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r} JOIN v USING (rid)) GROUP BY j, i)""")
+            ctes.append(f"""c{r + 1} AS (SELECT j, coalesce(m, c) AS c FROM c{r} LEFT JOIN
+      (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM s{r} GROUP BY j) USING (j))""")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} USING (rid) JOIN c{rounds} USING (j)"""
+
+
+OP11_SQL = _op11_sql()
+
+
+@register("op11_centroids", OP11_SQL)
+def op11(spark, d):
+    return centroids.clustering(_table(spark, d, "embeddings"))
+
+
+@register("op13_alignment")
+def op13(spark, d):
+    return alignment.alignment(_table(spark, d, "documents"), BYTE_BPE, PIECE_BPE)
