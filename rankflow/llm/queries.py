@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankflow.llm import alignment, bpe_codec, centroids, decontaminate, lm, pii, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter
+from rankflow.llm import alignment, bpe_codec, centroids, decontaminate, embedding_dedup, lm, pii, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter
 from rankflow.session import ship_package
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -179,6 +179,27 @@ def op11(spark, d):
     return centroids.clustering(_table(spark, d, "embeddings"))
 
 
+OP12_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, embedding,
+  embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok FROM embeddings),
+u AS (SELECT rid, vec_id, len(embedding) AS n, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM v WHERE ok),
+e AS (SELECT a.rid AS a, b.rid AS b, a.vec_id AS va, b.vec_id AS vb FROM u a JOIN u b ON a.n = b.n AND a.rid <> b.rid
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT a, b, vb FROM e UNION SELECT r.a, e.b, e.vb FROM r JOIN e ON r.b = e.a),
+k AS (SELECT a AS rid, count(*) AS n FROM e GROUP BY a),
+c AS (SELECT a AS rid, min(vb) AS least FROM r GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(least, vec_id)) AS kept
+FROM v LEFT JOIN k USING (rid) LEFT JOIN c USING (rid)
+"""
+
+
+@register("op12_embedding_dedup", OP12_SQL)
+def op12(spark, d):
+    return embedding_dedup.near_duplicates(_table(spark, d, "embeddings"))
+
+
 @register("op13_alignment")
 def op13(spark, d):
     return alignment.alignment(_table(spark, d, "documents"), BYTE_BPE, PIECE_BPE)
