@@ -13,6 +13,7 @@ none of those can be a hot key.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankflow.llm.arrowtext import pieces
-from rankflow.llm.bpe import byte_chars
+from rankflow.llm.bpe import PRE_TOKEN, byte_chars
 from rankflow.session import release, spread, work_dir
 
 #: bits of an id of the second tokenizer in a pair code
@@ -55,23 +56,56 @@ class Cutter:
 
 
 class ByteBpe(Cutter):
-    """A byte-level BPE file of the tokenizers library, of space + text; special strings are plain text."""
+    """A byte-level BPE file of the tokenizers library, of space + text; special strings are plain text.
+
+    Where the ids of the file are its merge order, the same merges run in tiktoken, which is three times as fast; a
+    text that tiktoken's pattern gives up on (white space without end), and any other file, goes to the library."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = True
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.library.encode_special_tokens = True
         value = {c: b for b, c in enumerate(byte_chars())}
-        size = 1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values())
-        special = {t for t in self.tokenizer.get_added_tokens_decoder()}
-        names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
-        self._tables([x.encode() if i in special else bytes(value[c] for c in x) for i, x in enumerate(names)])
+        vocab = self.library.get_vocab(with_added_tokens=False)
+        special = {i: t.content for i, t in self.library.get_added_tokens_decoder().items()}
+        size = 1 + max([*vocab.values(), *special])
+        raw = [b""] * size
+        for name, i in vocab.items():
+            raw[i] = bytes(value[c] for c in name) if i not in special else name.encode()
+        self._tables([special[i].encode() if i in special else b for i, b in enumerate(raw)])
+        self.fast = self._fast(path, {b: i for i, b in enumerate(raw) if b and i not in special})
+
+    @staticmethod
+    def _fast(path: str, ranks: dict[bytes, int]):
+        import tiktoken
+        with open(path, encoding="utf-8") as fh:
+            spec = json.load(fh)
+        plain = {k: spec.get(k) for k in ("normalizer",)} == {"normalizer": None} and spec["pre_tokenizer"] == {
+            "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": spec["pre_tokenizer"].get("trim_offsets"),
+            "use_regex": spec["pre_tokenizer"].get("use_regex", True)} and spec["pre_tokenizer"].get("use_regex", True)
+        merges = [p.split(" ") if isinstance(p, str) else p for p in spec["model"]["merges"]]
+        order = [spec["model"]["vocab"][a + b] for a, b in merges]
+        singles = [i for b, i in ranks.items() if len(b) == 1]
+        if not plain or len(singles) != 256 or order != sorted(order) or len(order) + 256 != len(ranks) or max(singles) > order[0]:
+            return None
+        return tiktoken.Encoding("byte-bpe", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
 
     def cut(self, texts):
-        return [x.ids for x in self.tokenizer.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)]
+        out = []
+        for x in texts:
+            try:
+                out.append(self.fast.encode_ordinary(" " + x) if self.fast and len(x) < 1 << 20 else None)
+            except BaseException as stop:  # the pattern's engine ends in a panic, which is no Exception
+                if isinstance(stop, KeyboardInterrupt | SystemExit):
+                    raise
+                out.append(None)
+        left = [k for k, ids in enumerate(out) if ids is None]
+        for k, found in zip(left, self.library.encode_batch_fast([" " + texts[k] for k in left], add_special_tokens=False), strict=True):
+            out[k] = found.ids
+        return out
 
 
 class Pieces(Cutter):
