@@ -54,6 +54,17 @@ def validate(df: DataFrame, json_col: str = "request") -> DataFrame:
     return df.select("*", err.alias("error"), lookup_err.alias("lookup_error"))
 
 
+def snapshot_tracks(objects: DataFrame, json_col: str = "json", pos_col: str = "rec_pos") -> DataFrame:
+    """The rows of ``tracks`` of each stored document, in order, with ``title``, ``artist`` and ``track_id`` as the
+    document has them.  Documents without such a list give no rows; a field that is no text counts as missing."""
+    v = F.try_parse_json(F.col(json_col))
+    keep = [c for c in objects.columns if c != json_col]
+    rows = objects.select(*keep, F.posexplode(F.try_variant_get(v, "$.tracks", "array<variant>")).alias(pos_col, "_track"))
+    return rows.select(*keep, pos_col, *[
+        F.when(vtype(vfield("_track", c)) == "STRING", F.try_variant_get(vfield("_track", c), "$", "string")).alias(c)
+        for c in ("title", "artist", "track_id")])
+
+
 def playlist_items(enriched: DataFrame, group: list[str], order: list[str], value_col: str,
                    add_status: DataFrame | None = None, status_keys: list[str] | None = None) -> DataFrame:
     """0-based ``position`` of each value in its playlist, in source

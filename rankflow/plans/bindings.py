@@ -1122,18 +1122,21 @@ def list_snapshot_files(spark, d):
                  .groupBy("snapshot_date").agg(F.count(F.lit(1)).alias("objects")))
 
 
-# ---------------------------------------------------------------- O50 - O53 streaming over the events files
+# ---------------------------------------------------------------- O46, O50 - O53 streaming over the events files
 STREAM_FILES = 3
 
 
-def _events_stream(spark, d) -> DataFrame:
-    """All events as files that arrive one by one, each with rows of all times (so late ones too)."""
+def _arrivals(spark, rows: DataFrame, by: str = "user_id") -> DataFrame:
+    """Rows as files that arrive one by one, each with rows of all times (so late ones too)."""
     from rankflow.session import work_dir
     from rankflow.streaming import file_stream
-    events = table(spark, d, "events")
     folder = work_dir(spark, "arrivals")
-    events.repartition(STREAM_FILES, "user_id").write.parquet(folder)
-    return file_stream(spark, folder, events.schema, glob="*.parquet", max_files=1)
+    rows.repartition(STREAM_FILES, by).write.parquet(folder)
+    return file_stream(spark, folder, rows.schema, glob="*.parquet", max_files=1)
+
+
+def _events_stream(spark, d) -> DataFrame:
+    return _arrivals(spark, table(spark, d, "events"))
 
 
 def _run(query) -> None:
@@ -1142,6 +1145,24 @@ def _run(query) -> None:
         raise query.exception()
 
 
+@register("stream_outcome_summary", f"""
+SELECT count(*) FILTER (WHERE outcome = 'processed') AS processed,
+  count(*) FILTER (WHERE outcome = 'skipped') AS skipped, count(*) FILTER (WHERE outcome = 'failed') AS failed
+FROM ({NOTIFY_SQL})
+""")
+def stream_outcome_summary(spark, d):
+    from rankflow.session import work_dir
+    from rankflow.streaming import OutcomeCounts, notification_stream
+    out, counts = work_dir(spark, "notifications"), OutcomeCounts()
+    spark.streams.addListener(counts)
+    try:
+        _run(notification_stream(_arrivals(spark, _notifications(spark, d), "event_id"), counts, f"{out}/decoded", f"{out}/_checkpoint"))
+        counts.wait(STREAM_FILES)
+    finally:
+        spark.streams.removeListener(counts)
+    return counts.frame(spark).groupBy().agg(*[F.sum(c).alias(c) for c in ("processed", "skipped", "failed")])
+
+
 def _ingested(spark, d) -> str:
     from rankflow.session import work_dir
     from rankflow.streaming import ingest_stream
@@ -1173,8 +1194,8 @@ GROUP BY source_file
 """)
 def stream_ingest_jobs(spark, d):
     out = _ingested(spark, d)
-    from rankflow.streaming import running_totals
-    return running_totals(spark, f"{out}/jobs").select("job_id", "source_file", "expected_count")
+    from rankflow.streaming import job_table
+    return job_table(spark, f"{out}/jobs").select("job_id", "source_file", "expected_count")
 
 
 def _stream_outcomes(spark, d) -> DataFrame:
@@ -1186,28 +1207,14 @@ def _stream_outcomes(spark, d) -> DataFrame:
     return _classify_from(spark, d, _messages_from(s))
 
 
-def _looked_up(spark, d) -> str:
-    from rankflow.session import work_dir
-    from rankflow.streaming import lookup_stream, write_keyed_base
-    out = work_dir(spark, "lookup")
-    base = _customer_tracks(spark, d, SEGMENTS).select(
-        "track_id", "title", "artist", "youtube_video_id", "youtube_url", "source", "created_at", "updated_at")
-    write_keyed_base(base, f"{out}/tracks")
-    outcomes = (_stream_outcomes(spark, d)
-                .withColumn("youtube_video_id", F.concat(F.lit("yt-"), F.col("event_id").cast("string")))
-                .withColumn("youtube_url", F.concat(F.lit("https://music.example/watch?v=yt-"),
-                                                    F.col("event_id").cast("string")))
-                .withColumn("track_id", content_key("artist", "title")))
-    _run(lookup_stream(outcomes, f"{out}/tracks", f"{out}/dlq", f"{out}/_checkpoint", AS_OF,
-                       id_col="event_id"))
-    return out
-
-
 @register("stream_dead_letters", f"""
 SELECT event_id, job_id, error AS failure_reason FROM ({CLASSIFIED_SQL}) WHERE status = 'not_found'
 """)
 def stream_dead_letters(spark, d):
-    out = _looked_up(spark, d)
+    from rankflow.session import work_dir
+    from rankflow.streaming import dead_letter_stream
+    out = work_dir(spark, "dead-letters")
+    _run(dead_letter_stream(_stream_outcomes(spark, d), f"{out}/dlq", f"{out}/_checkpoint", AS_OF, id_col="event_id"))
     return spark.read.parquet(f"{out}/dlq").select("event_id", "job_id", "failure_reason")
 
 
@@ -1224,19 +1231,29 @@ SELECT coalesce(b.track_id, h.track_id) AS track_id,
 FROM b FULL OUTER JOIN hits h ON h.track_id = b.track_id
 """)
 def stream_tracks(spark, d):
-    from rankflow.streaming import current_table
-    out = _looked_up(spark, d)
+    from rankflow.session import work_dir
+    from rankflow.streaming import current_table, file_stream, lookup_stream
+    out = work_dir(spark, "lookup")
+    base = _customer_tracks(spark, d, SEGMENTS).select(
+        "track_id", "title", "artist", "youtube_video_id", "youtube_url", "source", "created_at", "updated_at")
+    base.write.parquet(f"{out}/base")
+    outcomes = (_stream_outcomes(spark, d)
+                .withColumn("youtube_video_id", F.concat(F.lit("yt-"), F.col("event_id").cast("string")))
+                .withColumn("youtube_url", F.concat(F.lit("https://music.example/watch?v=yt-"),
+                                                    F.col("event_id").cast("string")))
+                .withColumn("track_id", content_key("artist", "title")))
+    tracks = file_stream(spark, f"{out}/base", base.schema, glob="*.parquet", max_files=None)
+    _run(lookup_stream(outcomes, tracks, f"{out}/tracks", f"{out}/_checkpoint", AS_OF))
     return current_table(spark, f"{out}/tracks").select("track_id", "youtube_video_id", "source")
 
 
 def _progressed(spark, d) -> str:
     from rankflow.session import work_dir
-    from rankflow.streaming import progress_stream
+    from rankflow.streaming import JOB_SCHEMA, file_stream, progress_stream
     out = work_dir(spark, "progress")
     _event_jobs(spark, d).write.parquet(f"{out}/jobs")
-    _run(progress_stream(_stream_outcomes(spark, d), f"{out}/jobs", f"{out}/progress",
-                         f"{out}/completions", f"{out}/_checkpoint", AS_OF, id_col="event_id",
-                         bucket="charts-bucket"))
+    made = file_stream(spark, f"{out}/jobs", JOB_SCHEMA, glob="*.parquet", max_files=None)
+    _run(progress_stream(_stream_outcomes(spark, d), made, f"{out}/progress", f"{out}/_progress", id_col="event_id"))
     return out
 
 
@@ -1247,17 +1264,117 @@ FROM ({CLASSIFIED_SQL}) WHERE coalesce(job_id, '') <> '' GROUP BY job_id
 def stream_progress(spark, d):
     from rankflow.streaming import job_totals
     out = _progressed(spark, d)
-    return job_totals(spark, f"{out}/progress").select("job_id", "processed_count")
+    mentioned = _stream_jobs_mentioned(spark, d)
+    return job_totals(spark, f"{out}/progress").join(mentioned, "job_id", "left_semi")
 
 
-@register("stream_completions", f"""
-WITH p AS (SELECT job_id, count(*) FILTER (WHERE status IN ('success', 'not_found')) AS processed_count
-           FROM ({CLASSIFIED_SQL}) WHERE coalesce(job_id, '') <> '' GROUP BY job_id),
-j AS (SELECT 'job-' || user_id || '-' || strftime(ts, '%Y-%m-%d') AS job_id, count(*) AS expected_count
-      FROM events WHERE event_type <> 'signup' GROUP BY 1)
-SELECT j.job_id, j.expected_count, p.processed_count FROM j JOIN p USING (job_id)
+def _stream_jobs_mentioned(spark, d) -> DataFrame:
+    """Jobs that an outcome names (the counters also hold jobs that wait for their first)."""
+    return _classified(spark, d).where("coalesce(job_id, '') <> ''").select("job_id").distinct()
+
+
+def _completed(spark, d) -> str:
+    from rankflow.streaming import PROGRESS_SCHEMA, batches_of, completion_stream
+    out = _progressed(spark, d)
+    _run(completion_stream(batches_of(spark, f"{out}/progress", PROGRESS_SCHEMA, 16), f"{out}/completions",
+                           f"{out}/_completions", AS_OF, bucket="charts-bucket"))
+    return out
+
+
+STREAM_DONE_SQL = f"""
+SELECT j.job_id, j.source_file, j.user_id, j.day, j.expected_count, p.processed_count
+FROM (SELECT 'job-' || user_id || '-' || strftime(ts, '%Y-%m-%d') AS job_id, user_id, strftime(ts, '%Y-%m-%d') AS day,
+        'charts/' || strftime(ts, '%Y/%m/%d') || '/user-' || user_id || '.json' AS source_file, count(*) AS expected_count
+      FROM events WHERE event_type <> 'signup' GROUP BY ALL) j
+JOIN (SELECT job_id, count(*) FILTER (WHERE status IN ('success', 'not_found')) AS processed_count
+      FROM ({CLASSIFIED_SQL}) WHERE coalesce(job_id, '') <> '' GROUP BY job_id) p USING (job_id)
 WHERE p.processed_count >= j.expected_count AND p.processed_count > 0
-""")
+"""
+
+
+@register("stream_completions", f"SELECT job_id, expected_count, processed_count FROM ({STREAM_DONE_SQL})")
 def stream_completions(spark, d):
-    out = _progressed(spark, d)
+    out = _completed(spark, d)
     return spark.read.parquet(f"{out}/completions").select("job_id", "expected_count", "processed_count")
+
+
+def _job_snapshots(spark, d) -> DataFrame:
+    """The stored snapshot of each user-day: its events in order, of which every fifth has no title and every seventh no
+    track id.  Users divisible by 13 have none, and days of users divisible by 11 hold no tracks."""
+    e = table(spark, d, "events").where(F.col("event_type") != "signup")
+    title = F.concat(F.lit("Track "), F.get_json_object("props", "$.k"))
+    artist = F.concat(F.lit("user "), F.col("user_id").cast("string"))
+    one = F.struct("event_id", F.struct(
+        F.when(F.col("event_id") % 5 == 0, "").otherwise(title).alias("title"), artist.alias("artist"),
+        F.when(F.col("event_id") % 7 == 0, "").otherwise(content_key(artist, title)).alias("track_id")).alias("t"))
+    rows = e.where(F.col("user_id") % 13 != 0).groupBy("user_id", F.date_format("ts", "yyyy/MM/dd").alias("day")).agg(
+        F.array_sort(F.collect_list(one)).alias("_t"))
+    tracks = F.when(F.col("user_id") % 11 == 0, F.slice("_t", 1, 0)).otherwise(F.col("_t"))
+    return rows.select(F.lit("charts-bucket").alias("bucket"),
+                       F.concat(F.lit("charts/"), F.col("day"), F.lit("/user-"), F.col("user_id").cast("string"), F.lit(".json")).alias("key"),
+                       F.to_json(F.struct(F.transform(tracks, lambda x: x["t"]).alias("tracks"))).alias("json"))
+
+
+def _job_tracks(spark, d) -> DataFrame:
+    """The tracks table: what click events put in it; those of users divisible by 3 wait for their video."""
+    e = table(spark, d, "events").where(F.col("event_type") == "click")
+    title = F.concat(F.lit("Track "), F.get_json_object("props", "$.k"))
+    artist = F.concat(F.lit("user "), F.col("user_id").cast("string"))
+    found = e.select(content_key(artist, title).alias("track_id"),
+                     F.when(F.col("user_id") % 3 != 0, F.concat(F.lit("v-"), F.get_json_object("props", "$.k"))).alias("youtube_video_id"))
+    return found.distinct().withColumn("youtube_url", F.lit(None).cast("string"))
+
+
+def _playlists(spark, d) -> str:
+    from rankflow.streaming import COMPLETION_SCHEMA, batches_of, playlist_stream
+    out = _completed(spark, d)
+    _job_snapshots(spark, d).write.parquet(f"{out}/snapshots")
+    _job_tracks(spark, d).write.parquet(f"{out}/tracks")
+    stored = spark.read.parquet(f"{out}/snapshots")
+    done = batches_of(spark, f"{out}/completions", COMPLETION_SCHEMA, 16)
+    twice = done.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")  # two rules deliver each completion
+    _run(playlist_stream(twice, lambda names: stored.join(names, ["bucket", "key"], "left_semi"), f"{out}/tracks",
+                         f"{out}/made", f"{out}/_made", AS_OF))
+    return f"{out}/made"
+
+
+JOB_ROWS_SQL = f"""
+WITH t AS (SELECT DISTINCT {S.key("'user ' || user_id", "'Track ' || (props->>'k')")} AS track_id,
+             CASE WHEN user_id % 3 <> 0 THEN 'v-' || (props->>'k') END AS vid FROM events WHERE event_type = 'click'),
+r AS (SELECT c.job_id, c.user_id, e.event_id, row_number() OVER (PARTITION BY c.job_id ORDER BY e.event_id) - 1 AS rec_pos,
+        {S.key("'user ' || e.user_id", "'Track ' || (e.props->>'k')")} AS track_id
+      FROM ({STREAM_DONE_SQL}) c JOIN events e ON e.user_id = c.user_id AND strftime(e.ts, '%Y-%m-%d') = c.day AND e.event_type <> 'signup'
+      WHERE c.user_id % 13 <> 0 AND c.user_id % 11 <> 0),
+x AS (SELECT r.*, t.vid, CASE WHEN event_id % 5 = 0 THEN 'missing title or artist' WHEN event_id % 7 = 0 THEN 'missing track_id'
+        WHEN t.track_id IS NULL THEN 'track not found in database' WHEN t.vid IS NULL THEN 'youtube_video_id missing in database' END AS reason
+      FROM r LEFT JOIN t USING (track_id))
+"""
+
+
+@register("stream_playlist_items", f"""{JOB_ROWS_SQL}
+SELECT job_id, CAST(rec_pos AS INTEGER) AS rec_pos, reason, CASE WHEN reason IS NULL THEN vid END AS video_id,
+  CASE WHEN reason IS NULL THEN CAST(count(*) FILTER (WHERE reason IS NULL) OVER (PARTITION BY job_id ORDER BY rec_pos) - 1 AS INTEGER) END AS position
+FROM x
+""")
+def stream_playlist_items(spark, d):
+    out = _playlists(spark, d)
+    return spark.read.parquet(f"{out}/items").select("job_id", "rec_pos", "reason", "video_id", "position")
+
+
+@register("stream_playlists", f"""{JOB_ROWS_SQL},
+n AS (SELECT job_id, count(*) AS total, count(*) FILTER (WHERE reason IS NULL) AS ok FROM x GROUP BY job_id),
+j AS (SELECT c.*, n.total, n.ok, CASE WHEN c.user_id % 13 = 0 THEN 'Failed to download playlist data from S3'
+        WHEN n.total IS NULL THEN 'No tracks found in playlist data' WHEN n.ok = 0 THEN 'No tracks with YouTube video IDs found in database' END AS error
+      FROM ({STREAM_DONE_SQL}) c LEFT JOIN n USING (job_id))
+SELECT job_id, error, total AS total_tracks_in_source, ok AS tracks_with_video_ids, ok AS videos_added_successfully,
+  total - ok AS skipped_tracks,
+  CASE WHEN error IS NULL THEN 'https://www.youtube.com/playlist?list=' || sha256(job_id) END AS playlist_url,
+  CASE WHEN error IS NULL THEN 'Beatport Top 100 (2024-02-01)' END AS playlist_name,
+  CASE WHEN error IS NULL THEN 'Automatically created playlist from job ' || job_id || ' completed on 2024-02-01 00:00. Source: ' || source_file END AS description
+FROM j
+""")
+def stream_playlists(spark, d):
+    out = _playlists(spark, d)
+    return spark.read.parquet(f"{out}/playlists").select(
+        "job_id", "error", "total_tracks_in_source", "tracks_with_video_ids", "videos_added_successfully", "skipped_tracks",
+        "playlist_url", "playlist_name", "description")

@@ -1,117 +1,125 @@
-"""Arrival-driven jobs on Structured Streaming.
-
-Every sink is idempotent per micro-batch id: a batch writes only its own
-``batch_id=`` folders with mode overwrite and reads only those of earlier
-batches, so a batch replayed after an executor or driver loss rewrites exactly
-the same output.  Offsets live in the checkpoint folder the caller passes
-(under the cluster's shared ``spark.checkpoint.dir``).
-
-Redeliveries are recognised by message id, however late they come: the ids seen
-are a table in buckets of their hash, and a batch reads the buckets of its own
-ids only.  No watermark drops anything.  Keyed tables lie in buckets too, so a
-batch reads and writes what its keys touch.  Tables given by path are read
-inside each batch and show what was added meanwhile.
+"""Arrival-driven jobs on Structured Streaming.
+
+What a stream has to remember lives in Spark's state store (RocksDB): ids of
+messages seen (``dropDuplicates``), one row per track, one per job.  A
+micro-batch touches the state of its own keys, so its cost follows its rows, not
+the history, and nothing is ever too late.  No watermark drops anything.
+
+Sinks are idempotent per micro-batch id: a batch writes only its own
+``batch_id=`` folders with mode overwrite, so a batch replayed after an executor
+or driver loss rewrites the same output.  Offsets and state live in the
+checkpoint folder the caller passes (under the cluster's shared
+``spark.checkpoint.dir``).
+
+The jobs are chained by their outputs: messages -> outcomes -> ``progress_stream``
+-> ``completion_stream`` -> ``playlist_stream``.  Each reads the files that the one
+before writes, and each drops what it has seen, so a file read twice does nothing.
 """
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.types import StructType
 
 from rankflow.operators import jobs as J
-from rankflow.operators import joins, merge, records
-from rankflow.sources import envelopes, snapshots
+from rankflow.operators import joins, playlist, records
+from rankflow.sources import envelopes
 
 # Reference micro-batch: at most 10 records per trigger, every 5 seconds.
 MAX_FILES_PER_TRIGGER = 10
 PROCESSING_TIME = "5 seconds"
-BUCKETS = 64
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+NO_SNAPSHOT = "Failed to download playlist data from S3"
 
-def file_stream(spark: SparkSession, directory: str, schema: StructType, glob: str = "*",
-                fmt: str = "parquet", max_files: int = MAX_FILES_PER_TRIGGER) -> DataFrame:
-    """Files arriving in ``directory`` as a stream (new files only, each once)."""
-    return (spark.readStream.format(fmt).schema(schema).option("pathGlobFilter", glob)
-            .option("maxFilesPerTrigger", max_files).load(directory))
+JOB_SCHEMA = ("job_id string, source_file string, expected_count long, processed_count int, status string, "
+              "started_at timestamp, created_at timestamp, updated_at timestamp")
+PROGRESS_SCHEMA = ("job_id string, processed_count long, expected_count long, source_file string, created_at timestamp, "
+                   "reached boolean")
+COMPLETION_SCHEMA = ("job_id string, source_file string, expected_count long, processed_count long, created_at timestamp, "
+                     "status string, completed_at timestamp, s3_bucket string, s3_key string")
 
 
-def _trigger(writer, available_now: bool):
-    return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=PROCESSING_TIME)
+def file_stream(spark: SparkSession, directory: str, schema: StructType | str, glob: str = "*",
+                fmt: str = "parquet", max_files: int | None = MAX_FILES_PER_TRIGGER) -> DataFrame:
+    """Files arriving in ``directory`` as a stream (new files only, each once); without ``max_files`` a batch takes
+    all there are."""
+    reader = spark.readStream.format(fmt).schema(schema).option("pathGlobFilter", glob)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).load(directory)
 
 
-def bucket_of(key: str | Column) -> Column:
-    return F.pmod(F.xxhash64(F.col(key) if isinstance(key, str) else key), F.lit(BUCKETS)).cast("int")
+def batches_of(spark: SparkSession, directory: str, schema: str, max_files: int | None = None) -> DataFrame:
+    """The ``batch_id=`` folders that another stream fills, as a stream."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    return file_stream(spark, directory, f"{schema}, batch_id int", "*.parquet", max_files=max_files).drop("batch_id")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def _start(out: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool,
+           mode: str = "append") -> StreamingQuery:
+    conf = out.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    writer = out.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
+    return _trigger(writer, available_now).start()
 
 
-def _earlier(spark: SparkSession, path: str, like: StructType, batch_id: int | None,
-             buckets: list[int] | None = None) -> DataFrame | None:
-    """Rows with the columns ``like`` that batches before ``batch_id`` wrote to
-    ``path``, of some buckets; None before the first."""
-    if not _exists(spark, path):
-        return None
-    fields = [f for f in like.fields if f.name not in ("batch_id", "bucket")]
-    layout = [StructField("batch_id", IntegerType()), *([StructField("bucket", IntegerType())] if buckets is not None else [])]
-    rows = spark.read.schema(StructType([*fields, *layout])).parquet(path)
-    if batch_id is not None:
-        rows = rows.where(F.col("batch_id") < batch_id)
-    return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
+def _trigger(writer, available_now: bool):
+    return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=PROCESSING_TIME)
 
 
-def _put(rows: DataFrame, path: str, batch_id: int, key: str) -> None:
-    """The part of ``path`` that this batch owns, in buckets."""
-    (rows.withColumn("bucket", bucket_of(key)).repartition("bucket").write.mode("overwrite")
-         .partitionBy("bucket").parquet(f"{path}/batch_id={batch_id}"))
+def _put(rows: DataFrame, path: str, batch_id: int) -> None:
+    """The part of ``path`` that this batch owns."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def _buckets(rows: DataFrame, key: str) -> list[int]:
-    """The buckets that a batch touches (at most BUCKETS numbers)."""
-    return [r[0] for r in rows.select(bucket_of(key)).distinct().collect()]
+def first_deliveries(messages: DataFrame, id_col: str) -> DataFrame:
+    """The first row of each message id, however late a redelivery comes.  A row without an id is a message of its
+    own."""
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("\0"), F.uuid()))
+    return messages.withColumn("_delivery", key).dropDuplicates(["_delivery"]).drop("_delivery")
 
 
-def first_deliveries(batch: DataFrame, batch_id: int, id_col: str, seen_path: str) -> DataFrame:
-    """Rows of a micro-batch whose message id no earlier batch delivered, one per id; their ids are recorded.
-    A row without an id is a message of its own."""
-    spark = batch.sparkSession
-    named = batch.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    before = _earlier(spark, seen_path, named.select(id_col).schema, batch_id, _buckets(named, id_col))
-    fresh = named if before is None else named.join(before.select(id_col), id_col, "left_anti")
-    _put(fresh.select(id_col), seen_path, batch_id, id_col)
-    mine = spark.read.schema(batch.select(id_col).schema).parquet(f"{seen_path}/batch_id={batch_id}")
-    return named.join(mine, id_col, "left_semi").unionByName(batch.where(F.col(id_col).isNull()))
+def _table(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    """A table by path, as it is now; a DataFrame is taken as given."""
+    return spark.read.parquet(source) if isinstance(source, str) else source
 
 
-def _add_up(increments: DataFrame, path: str, batch_id: int, key: str, value: str) -> None:
-    """Running totals by key: what earlier batches reached plus ``increments``, written for this batch's keys."""
-    spark = increments.sparkSession
-    before = _earlier(spark, path, increments.schema, batch_id, _buckets(increments, key))
-    total = increments
-    if before is not None:
-        last = before.groupBy(key).agg(F.max_by(value, "batch_id").alias("_before"))
-        total = (increments.join(last, key, "left")
-                 .withColumn(value, F.col(value) + F.coalesce("_before", F.lit(0))).drop("_before"))
-    _put(total, path, batch_id, key)
+# ---------------------------------------------------------------- objects named by rows
+def read_named(names: DataFrame, root: str, bucket: str = "bucket", key: str = "key") -> DataFrame:
+    """(bucket, key, json) of the objects that ``names`` names and that exist under ``root/<bucket>/<key>``.
 
+    The names stay a DataFrame: tasks open the objects, whole, through Arrow's file systems (local, S3, GCS, HDFS),
+    and no list of them comes to the driver."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        store, base = fs.FileSystem.from_uri(root if "://" in root else "file://" + root)
+        for batch in batches:
+            for where in batch.to_pylist():
+                try:
+                    with store.open_input_stream(f"{base.rstrip('/')}/{where['bucket']}/{where['key']}") as f:
+                        text = f.read().decode("utf-8", "replace")
+                except (FileNotFoundError, IsADirectoryError):
+                    continue
+                yield pa.RecordBatch.from_pylist([{**where, "json": text}], schema=pa.schema(
+                    [(c, pa.string()) for c in ("bucket", "key", "json")]))
 
-def running_totals(spark: SparkSession, path: str, key: str = "job_id") -> DataFrame:
-    """The last row per key that a stream wrote to ``path``."""
-    rows = spark.read.parquet(path)
-    cols = [c for c in rows.columns if c not in (key, "batch_id", "bucket")]
-    last = rows.groupBy(key).agg(F.max_by(F.struct(*cols), "batch_id").alias("_r"))
-    return last.select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
+    wanted = names.select(F.col(bucket).alias("bucket"), F.col(key).alias("key")).where("bucket IS NOT NULL AND key IS NOT NULL")
+    return wanted.distinct().mapInArrow(read, "bucket string, key string, json string")
 
 
-def _table(spark: SparkSession, source: str | DataFrame) -> DataFrame:
-    """A table by path, as it is now; a DataFrame is taken as given."""
-    return spark.read.parquet(source) if isinstance(source, str) else source
+def stored_objects(root: str) -> Callable[[DataFrame], DataFrame]:
+    """A reader of named objects under ``root``, for ``playlist_stream``."""
+    return lambda names: read_named(names, root)
 
 
+# ---------------------------------------------------------------- O50
 def ingest_stream(docs: DataFrame, known: str | DataFrame, out_dir: str, checkpoint: str, as_of,
                   json_col: str = "json", source_col: str = "source_file", key: str = "track_id",
                   objects_root: str | None = None, available_now: bool = True) -> StreamingQuery:
@@ -119,131 +127,238 @@ def ingest_stream(docs: DataFrame, known: str | DataFrame, out_dir: str, checkpo
     ``records``, ``messages`` (O07) and ``jobs`` (O35) under ``out_dir``.
 
     With ``objects_root`` the stream carries arrival notifications instead
-    (O05): each batch reads the objects that it names (O01), whole, under
+    (O05): tasks read the objects that a batch names (O01), whole, under
     ``objects_root/<bucket>/<key>``.  ``known`` given as a path is read anew by
     every batch.  A source file whose records come in several batches stays one
-    job: ``jobs`` has running totals (``running_totals``).
+    job: ``jobs`` has what each batch adds to it (``job_table`` sums it up, and
+    so does ``progress_stream``).
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         if objects_root:
-            decoded = envelopes.decode_notifications(batch).where("outcome = 'processed'")
-            named = [f"{objects_root.rstrip('/')}/{r['bucket']}/{r['key']}" for r in
-                     decoded.select("bucket", "key").where("key is not null").distinct().collect()]
-            source = F.regexp_replace(F.col("path"), "^.*?" + objects_root.rstrip("/").split("/")[-1] + "/[^/]+/", "")
-            batch = snapshots.read_objects(spark, named).select("json", source.alias(source_col))
+            named = envelopes.decode_notifications(batch).where("outcome = 'processed'")
+            batch = read_named(named, objects_root).select("json", F.col("key").alias(source_col))
         found = records.normalize_records(records.locate_records(batch, json_col))
-        path = f"{out_dir}/records/batch_id={batch_id}"
-        joins.new_records(found, _table(spark, known), key=key).write.mode("overwrite").parquet(path)
-        new = spark.read.parquet(path)
-        created = J.create_jobs(new, source_col, as_of)
-        _add_up(created, f"{out_dir}/jobs", batch_id, "job_id", "expected_count")
+        _put(joins.new_records(found, _table(spark, known), key=key), f"{out_dir}/records", batch_id)
+        new = spark.read.parquet(f"{out_dir}/records/batch_id={batch_id}")
+        _put(J.create_jobs(new, source_col, as_of), f"{out_dir}/jobs", batch_id)
         tracks = [c for c in new.columns if c not in (source_col, "original_data", "source")]
         messages = envelopes.build_messages(new.withColumn("job_id", F.sha2(F.col(source_col), 256)), source_col, "job_id",
                                             as_of, track_cols=[c for c in tracks if c != "job_id"])
-        messages.select("message", "subject", "attributes").write.mode("overwrite").parquet(
-            f"{out_dir}/messages/batch_id={batch_id}")
-
-    w = docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return _trigger(w, available_now).start()
-
-
-def write_keyed_base(df: DataFrame, table_path: str, key: str = "track_id") -> None:
-    """The first version of a keyed table that a lookup stream goes on with, in buckets of the key's hash."""
-    (df.withColumn("bucket", bucket_of(key)).repartition("bucket").write.mode("overwrite").partitionBy("bucket")
-       .parquet(f"{table_path}/base"))
-
-
-def _view(spark: SparkSession, table_path: str, key: str, before: int | None = None,
-          wanted: DataFrame | None = None) -> DataFrame:
-    """Merge-on-read view: ``base`` plus committed ``changes`` (only those
-    below ``before`` when given), the latest change per key winning; with
-    ``wanted``, of its keys only (their buckets are read, and other rows go
-    before the aggregate).  ``max_by`` is partial, so a hot key is combined
-    map-side."""
-    buckets = None if wanted is None else _buckets(wanted, key)
-    base = spark.read.parquet(f"{table_path}/base")
-    rows = (base if buckets is None else base.where(F.col("bucket").isin(buckets))).withColumn("batch_id", F.lit(-1).cast("int"))
-    if buckets is None:
-        rows = rows.drop("bucket")
-    changes = _earlier(spark, f"{table_path}/changes", base.schema, before, buckets)
-    if changes is not None:
-        rows = rows.unionByName(changes.select(*rows.columns))
-    if wanted is not None:
-        rows = rows.join(wanted.select(key), key, "left_semi")
-    cols = [c for c in base.columns if c not in (key, "bucket")]
-    latest = rows.groupBy(key).agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("_r"))
-    return latest.select(*[F.col(key) if c == key else F.col(f"_r.{c}").alias(c) for c in base.columns if c != "bucket"])
+        _put(messages.select("message", "subject", "attributes"), f"{out_dir}/messages", batch_id)
 
+    return _start(docs, write, checkpoint, available_now)
 
-def current_table(spark: SparkSession, table_path: str, key: str = "track_id") -> DataFrame:
-    """The keyed table as of the last committed micro-batch."""
-    return _view(spark, table_path, key)
+
+def job_table(spark: SparkSession, path: str) -> DataFrame:
+    """One row per job of the ``jobs`` folder of an ingest stream, with the sum of its batches."""
+    return spark.read.parquet(path).groupBy("job_id", "source_file").agg(
+        F.sum("expected_count").alias("expected_count"), F.min("created_at").alias("created_at"))
 
 
-def lookup_stream(outcomes: DataFrame, table_path: str, dlq_dir: str, checkpoint: str, as_of,
+# ---------------------------------------------------------------- O51
+def lookup_stream(outcomes: DataFrame, base: DataFrame, table_path: str, checkpoint: str, as_of,
                   key: str = "track_id", fill: dict[str, str] | None = None,
-                  id_col: str | None = None, available_now: bool = True) -> StreamingQuery:
-    """Classified outcomes -> per batch, one conditional upsert (O38) of
-    the hits and the misses to dead letters (O08), each message id once.
-
-    The keyed table (``write_keyed_base``) is merge-on-read: a batch reads the
-    buckets of its own keys and writes its changed rows to
-    ``changes/batch_id=b``.  ``current_table`` written with
-    ``write_keyed_base`` to a new path, say daily, is the compaction.
+                  insert_cols: dict[str, str] | None = None, order_col: str | None = None,
+                  insert_source: str = "ytmusic", available_now: bool = True) -> StreamingQuery:
+    """Classified outcomes -> the conditional upsert of their hits.
+
+    State is one row per key: its base row and its first hit (by micro-batch,
+    then by ``order_col``).  ``base`` is a stream too (``file_stream`` over the
+    table's files): its rows fill the state when they arrive, and rows added to
+    the table later reach the state as well.  Redelivered hits change nothing.
+    Rows that a batch changed go to ``table_path/batch_id=``; ``current_table``
+    is the last row of each key.
     """
     fill = fill or {"youtube_video_id": "youtube_video_id", "youtube_url": "youtube_url"}
+    insert_cols = insert_cols or {"title": "title", "artist": "artist"}
+    guard = list(fill)[0]
+    hit_cols = sorted({*fill.values(), *insert_cols.values()})
+    order = F.col(order_col or fill[guard]).cast("string")
+    base_kind = base.schema.simpleString()
+    hit_kind = "struct<" + ",".join(f"`{c}`:{outcomes.schema[c].dataType.simpleString()}" for c in hit_cols) + ">"
+    hits = outcomes.where((F.col("status") == "success") & F.col(key).isNotNull() & (F.col(key).cast("string") != "")).select(
+        F.col(key).alias("_key"), F.lit(None).cast(base_kind).alias("_base"),
+        F.struct(*[F.col(c) for c in hit_cols]).alias("_hit"), order.alias("_order"))
+    rows = base.where(F.col(key).isNotNull()).select(
+        F.col(key).alias("_key"), F.struct(*[F.col(c) for c in base.columns]).alias("_base"),
+        F.lit(None).cast(hit_kind).alias("_hit"), F.lit(None).cast("string").alias("_order"))
+    # the time of the micro-batch orders what comes in different batches
+    both = rows.unionByName(hits).withColumn("_at", F.current_timestamp())
+    is_hit, is_base = F.col("_hit").isNotNull(), F.col("_base").isNotNull()
+    state = both.groupBy("_key").agg(
+        F.max("_at").alias("_now"),
+        F.max(F.when(is_base, F.col("_at"))).alias("_base_at"), F.max_by("_base", F.when(is_base, F.col("_at"))).alias("_base"),
+        F.min(F.when(is_hit, F.col("_at"))).alias("_hit_at"),
+        F.min_by("_hit", F.when(is_hit, F.struct("_at", "_order"))).alias("_hit"))
+    ts = F.lit(as_of).cast("timestamp")
+    in_base = F.col("_base").isNotNull()
+    filled = F.col("_hit").isNotNull() & (~in_base | F.col(f"_base.{guard}").isNull())
+
+    def value(c: str) -> Column:
+        old = F.col(f"_base.{c}")
+        if c == key:
+            return F.col("_key")
+        if c in fill:
+            return F.when(filled, F.col(f"_hit.{fill[c]}")).otherwise(old)
+        if c == "updated_at":
+            return F.when(filled, ts).otherwise(old)
+        new = {"created_at": ts, "source": F.lit(insert_source)}.get(c)
+        if c in insert_cols:
+            new = F.col(f"_hit.{insert_cols[c]}")
+        return old if new is None else F.when(in_base, old).otherwise(new)
+
+    changed = state.where((F.col("_base_at") == F.col("_now")) | (filled & (F.col("_hit_at") == F.col("_now"))))
+    out = changed.select(*[value(c).cast(base.schema[c].dataType).alias(c) for c in base.columns])
+    return _start(out, lambda batch, batch_id: _put(batch, table_path, batch_id), checkpoint, available_now, "update")
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
-        fresh = first_deliveries(batch, batch_id, id_col, f"{table_path}/seen") if id_col else batch
-        hits = fresh.where(F.col("status") == "success")
-        touched = _view(spark, table_path, key, before=batch_id, wanted=hits.select(key).distinct())
-        changed = (merge.upsert_if_missing(touched, hits, key=key, fill=fill, as_of=as_of,
-                                           insert_cols={"title": "title", "artist": "artist"})
-                   .where(F.col("action").isin("updated", "inserted")).drop("action"))
-        _put(changed, f"{table_path}/changes", batch_id, key)
-        _, dead = J.split_dead_letters(fresh, as_of)
-        dead.write.mode("overwrite").parquet(f"{dlq_dir}/batch_id={batch_id}")
-        batch.unpersist()
-
-    w = outcomes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return _trigger(w, available_now).start()
-
-
-def progress_stream(outcomes: DataFrame, jobs: str | DataFrame, progress_path: str, completions_dir: str,
-                    checkpoint: str, as_of, id_col: str, bucket: str | None = None,
+
+def current_table(spark: SparkSession, table_path: str, key: str = "track_id") -> DataFrame:
+    """The keyed table as of the last committed micro-batch of ``lookup_stream``."""
+    rows = spark.read.parquet(table_path)
+    cols = [c for c in rows.columns if c not in (key, "batch_id")]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*cols), "batch_id").alias("_r"))
+    return last.select(*[F.col(key) if c == key else F.col(f"_r.{c}").alias(c) for c in rows.columns if c != "batch_id"])
+
+
+def dead_letter_stream(outcomes: DataFrame, dlq_dir: str, checkpoint: str, as_of, id_col: str | None = None,
+                       available_now: bool = True) -> StreamingQuery:
+    """O08 on a stream: misses to dead letters, each message id once."""
+    _, dead = J.split_dead_letters(outcomes, as_of)
+    dead = first_deliveries(dead, id_col) if id_col else dead
+    return _start(dead, lambda batch, batch_id: _put(batch, dlq_dir, batch_id), checkpoint, available_now)
+
+
+# ---------------------------------------------------------------- O52
+def progress_stream(outcomes: DataFrame, jobs: DataFrame, progress_dir: str, checkpoint: str, id_col: str,
                     available_now: bool = True) -> StreamingQuery:
-    """O52 + O53: at-least-once outcomes -> exactly-once job progress and one
-    completion event per job.
+    """At-least-once outcomes -> job counters that count each message once.
 
-    A batch adds its first deliveries to the running totals of its own jobs.
-    Every open job (one per source file, so far fewer than messages) is then
-    checked, also one created after its outcomes came; ``jobs`` given as a path
-    is read anew by every batch.
+    ``jobs`` is a stream of job rows (``batches_of`` the jobs of an ingest
+    stream); several rows of a job add up to what it expects.  State is one row
+    per message id and one per job, whichever of outcomes and job comes first.
+    Jobs that a batch touched go to ``progress_dir/batch_id=`` with their totals
+    and whether they ``reached`` what they expect.
+    """
+    counted = F.col("status").isin(*J.COUNTED).cast("long")
+    done = first_deliveries(outcomes.select(id_col, "job_id", "status"), id_col).where(
+        F.col("job_id").isNotNull() & (F.col("job_id") != "")).select(
+        "job_id", counted.alias("_done"), F.lit(None).cast("long").alias("_expected"),
+        F.lit(None).cast("string").alias("source_file"), F.lit(None).cast("timestamp").alias("created_at"))
+    made = jobs.select("job_id", F.lit(0).cast("long").alias("_done"), F.col("expected_count").cast("long").alias("_expected"),
+                       "source_file", F.col("created_at").cast("timestamp"))
+    state = done.unionByName(made).groupBy("job_id").agg(
+        F.sum("_done").alias("processed_count"), F.sum("_expected").alias("expected_count"),
+        F.max("source_file").alias("source_file"), F.min("created_at").alias("created_at"))
+    reached = F.coalesce((F.col("processed_count") > 0) & (F.col("processed_count") >= F.col("expected_count")), F.lit(False))
+    return _start(state.withColumn("reached", reached), lambda batch, batch_id: _put(batch, progress_dir, batch_id),
+                  checkpoint, available_now, "update")
+
+
+def job_totals(spark: SparkSession, progress_dir: str) -> DataFrame:
+    """job_id and processed_count of the jobs with outcomes, as of the last committed micro-batch."""
+    last = spark.read.parquet(progress_dir).groupBy("job_id").agg(F.max_by("processed_count", "batch_id").alias("processed_count"))
+    return last
+
+
+# ---------------------------------------------------------------- O53
+def completion_stream(progress: DataFrame, completions_dir: str, checkpoint: str, as_of, bucket: str | None = None,
+                      available_now: bool = True) -> StreamingQuery:
+    """Job counters (``batches_of`` a progress stream) -> one completion event per job, in O44's columns."""
+    ts = F.lit(as_of).cast("timestamp")
+    has_file = F.coalesce(F.col("source_file") != "", F.lit(False))
+    done = progress.where("reached").dropDuplicates(["job_id"]).select(
+        "job_id", "source_file", "expected_count", "processed_count", "created_at", F.lit("completed").alias("status"),
+        ts.alias("completed_at"), F.when(has_file, F.lit(bucket)).alias("s3_bucket"),
+        F.when(has_file, F.col("source_file")).alias("s3_key"))
+    return _start(done, lambda batch, batch_id: _put(batch, completions_dir, batch_id), checkpoint, available_now)
+
+
+def playlist_stream(completions: DataFrame, read: Callable[[DataFrame], DataFrame], tracks: str | DataFrame, out_dir: str,
+                    checkpoint: str, as_of, available_now: bool = True) -> StreamingQuery:
+    """Completions -> the playlist of each job, made once however often its completion is delivered.
+
+    ``read`` gives (bucket, key, json) for a DataFrame of (bucket, key)
+    (``stored_objects`` or a lookup in a snapshot table); ``tracks`` given as a
+    path is read anew by every batch.  Per batch: the snapshots of its jobs
+    (O01), enriched (O30), go in order (O40) to ``items``, skipped rows
+    with their reason included; totals, names and links (O42), or the error of a
+    job without a playlist (O28), to ``playlists``.
     """
+    once = completions.dropDuplicates(["job_id"])
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
-        fresh = first_deliveries(batch, batch_id, id_col, f"{progress_path}/seen")
-        _add_up(J.job_progress(fresh), f"{progress_path}/totals", batch_id, "job_id", "processed_count")
-        open_jobs = _table(spark, jobs)
-        job_id = StructType([open_jobs.schema["job_id"]])
-        if (done := _earlier(spark, completions_dir, job_id, batch_id)) is not None:
-            open_jobs = open_jobs.join(done.select("job_id"), "job_id", "left_anti")
-        upto = _earlier(spark, f"{progress_path}/totals", J.job_progress(fresh).schema, batch_id + 1)
-        reached = upto.groupBy("job_id").agg(F.max_by("processed_count", "batch_id").alias("processed_count"))
-        J.completed_jobs(open_jobs, reached, as_of, bucket=bucket).write.mode("overwrite").parquet(
-            f"{completions_dir}/batch_id={batch_id}")
-        batch.unpersist()
-
-    w = outcomes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return _trigger(w, available_now).start()
-
-
-def job_totals(spark: SparkSession, progress_path: str) -> DataFrame:
-    """job_id and processed_count as of the last committed micro-batch."""
-    return running_totals(spark, f"{progress_path}/totals")
+        _put(batch, f"{out_dir}/jobs", batch_id)
+        jobs = spark.read.parquet(f"{out_dir}/jobs/batch_id={batch_id}")
+        here = F.coalesce(F.col("s3_bucket") != "", F.lit(False)) & F.coalesce(F.col("s3_key") != "", F.lit(False))
+        names = jobs.where(here).select(F.col("s3_bucket").alias("bucket"), F.col("s3_key").alias("key"))
+        _put(read(names.distinct()).where(F.try_parse_json("json").isNotNull()), f"{out_dir}/objects", batch_id)
+        found = spark.read.parquet(f"{out_dir}/objects/batch_id={batch_id}")
+        owners = jobs.select("job_id", F.col("s3_bucket").alias("bucket"), F.col("s3_key").alias("key"))
+        _put(joins.enrich(playlist.snapshot_tracks(found).join(owners, ["bucket", "key"]), _table(spark, tracks)),
+             f"{out_dir}/rows", batch_id)
+        rows = spark.read.parquet(f"{out_dir}/rows/batch_id={batch_id}")
+        numbered = playlist.playlist_items(rows.where("status = 'enriched'"), ["job_id"], ["rec_pos"], "video_id")
+        skipped = rows.where("status <> 'enriched'").withColumn("added", F.lit(False))
+        columns = ["job_id", "rec_pos", "track_id", "title", "artist", "status", "reason", "video_id", "video_url", "position", "added"]
+        _put(numbered.unionByName(skipped, allowMissingColumns=True).select(*columns), f"{out_dir}/items", batch_id)
+        items = spark.read.parquet(f"{out_dir}/items/batch_id={batch_id}")
+        checked = playlist.validate_location(rows, jobs, "job_id")
+        there = found.select("bucket", "key").withColumn("_there", F.lit(True))
+        checked = checked.join(there, (F.col("s3_bucket") == F.col("bucket")) & (F.col("s3_key") == F.col("key")), "left").drop("bucket", "key")
+        missing = F.when(~here, "Missing s3_bucket or s3_key in job completion event").when(F.col("_there").isNull(), NO_SNAPSHOT)
+        made = playlist.playlist_header(
+            checked.withColumn("error", F.coalesce(missing, "error")).drop("_there")
+                   .join(playlist.playlist_summary(items, ["job_id"]), "job_id", "left"), as_of, job_col="job_id")
+        no = F.col("error").isNotNull()
+        hidden = ("playlist_id", "playlist_url", "music_url", "playlist_name", "description")
+        _put(made.select(*[F.when(~no, F.col(c)).alias(c) if c in hidden else F.col(c) for c in made.columns]),
+             f"{out_dir}/playlists", batch_id)
+
+    return _start(once, write, checkpoint, available_now)
+
+
+# ---------------------------------------------------------------- O46 per micro-batch
+class OutcomeCounts(StreamingQueryListener):
+    """Processed / skipped / failed of every micro-batch of the streams that ``observed`` marks with ``name``: Spark
+    counts them while the batch runs, and reports them with its progress.  One entry a batch, kept by (query, batch)."""
+
+    def __init__(self, name: str = "outcomes"):
+        self.name, self.batches = name, {}
+
+    def observed(self, decoded: DataFrame) -> DataFrame:
+        return decoded.observe(self.name, *[F.count_if(F.col("outcome") == o).alias(o) for o in ("processed", "skipped", "failed")])
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        found = event.progress.observedMetrics.get(self.name)
+        if found is not None:
+            self.batches[str(event.progress.id), event.progress.batchId] = found.asDict()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def wait(self, batches: int, seconds: float = 30) -> None:
+        """Until so many batches are reported (reports come a moment after a stream's end)."""
+        until = time.time() + seconds
+        while len(self.batches) < batches and time.time() < until:
+            time.sleep(0.05)
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """(query, batch_id, processed, skipped, failed)."""
+        rows = [(q, b, m["processed"], m["skipped"], m["failed"]) for (q, b), m in sorted(self.batches.items())]
+        return spark.createDataFrame(rows, "query string, batch_id long, processed long, skipped long, failed long")
+
+
+def notification_stream(records_in: DataFrame, counts: OutcomeCounts, out_dir: str, checkpoint: str,
+                        available_now: bool = True, **how) -> StreamingQuery:
+    """O05 and O46 on a stream: decoded notifications to ``out_dir/batch_id=``, their outcomes counted by batch."""
+    decoded = counts.observed(envelopes.decode_notifications(records_in, **how))
+    return _start(decoded, lambda batch, batch_id: _put(batch, out_dir, batch_id), checkpoint, available_now)
