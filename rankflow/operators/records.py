@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DecimalType, MapType, StructType, VariantType
 
 from rankflow.functions.columns import where_once, with_columns_once
 from rankflow.functions.text import content_key, py_strip
@@ -131,12 +132,47 @@ def sparse(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
                        if c in cols else F.col(c) for c in df.columns])
 
 
+def _has_number(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _has_number(kind.elementType)
+    if isinstance(kind, MapType):
+        return _has_number(kind.valueType)
+    if isinstance(kind, StructType):
+        return any(_has_number(f.dataType) for f in kind.fields)
+    return isinstance(kind, DecimalType | VariantType)
+
+
+def plain_value(value: Column, kind: DataType) -> Column:
+    """O26 for a value of any type: the same shape with every exact decimal a VARIANT number, whole (of any size) or
+    a double.  Null structs, arrays and elements stay null, empty ones empty; keys of maps and types without
+    decimals are left as they are.  In a VARIANT, whole numbers become whole and others stay exact (they print the
+    same)."""
+    if not _has_number(kind):
+        return value
+    if isinstance(kind, DecimalType):
+        whole = value.cast("decimal(38,0)")
+        number = F.when(F.abs(value) <= (1 << 63) - 1, whole.try_cast("bigint").cast("variant")).otherwise(whole.cast("variant"))
+        return F.when(value % 1 == 0, number).when(value.isNotNull(), value.cast("double").cast("variant"))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: plain_value(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, x: plain_value(x, kind.valueType))
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*[plain_value(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
+    return F.try_parse_json(F.to_json(value))
+
+
 def plain_numbers(df: DataFrame, cols: list[str]) -> DataFrame:
     """Exact decimals rendered as whole numbers (``<c>_int``) or as
-    fractional doubles (``<c>_float``); exactly one of the two is set."""
+    fractional doubles (``<c>_float``); exactly one of the two is set.  A struct,
+    array, map or VARIANT column keeps its name and shape, with the decimals in
+    it rendered at every depth (``plain_value``)."""
     out = df
     for c in cols:
-        d = F.col(c)
+        d, kind = F.col(c), df.schema[c].dataType
+        if not isinstance(kind, DecimalType):
+            out = out.withColumn(c, plain_value(d, kind))
+            continue
         whole = (d % 1) == 0
         out = (out.withColumn(f"{c}_int", F.when(whole, d.cast("bigint")))
                   .withColumn(f"{c}_float", F.when(~whole, d.cast("double")))

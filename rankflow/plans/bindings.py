@@ -585,6 +585,39 @@ def plain_numbers(spark, d):
     return records.plain_numbers(li, ["price"])
 
 
+NUMBER_SQL = "CASE WHEN {0} % 1 = 0 THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE CAST(CAST({0} AS DOUBLE) AS VARCHAR) END"
+
+
+@register("plain_numbers_nested", f"""
+WITH l AS (SELECT l_orderkey, l_linenumber, l_returnflag, CAST(l_extendedprice AS DECIMAL(12,2)) AS p,
+             CAST(l_discount AS DECIMAL(12,2)) AS d, CAST(l_quantity AS DECIMAL(12,2)) AS q FROM lineitem),
+o AS (SELECT o_orderkey, o_orderpriority, CAST(o_totalprice AS DECIMAL(12,2)) AS t FROM orders),
+a AS (SELECT l_orderkey, string_agg('{{"n":' || l_linenumber || ',"amounts":[' || {NUMBER_SQL.format("p")} || ',' || {NUMBER_SQL.format("q")}
+        || CASE WHEN d = 0 THEN ',null' ELSE '' END || '],"by":{{"' || l_returnflag || '":' || {NUMBER_SQL.format("d")} || '}}}}', ',' ORDER BY l_linenumber, p, q, d, l_returnflag) AS x
+      FROM l GROUP BY l_orderkey)
+SELECT o_orderkey, '{{"ship":' || CASE WHEN o_orderpriority = '5-LOW' THEN 'null' ELSE '{{"total":' || {NUMBER_SQL.format("t")} || '}}' END
+  || ',"lines":[' || CASE WHEN o_orderpriority = '1-URGENT' THEN '' ELSE coalesce(x, '') END || ']}}' AS doc
+FROM o LEFT JOIN a ON a.l_orderkey = o.o_orderkey
+""")
+def plain_numbers_nested(spark, d):
+    dec = lambda c: F.col(c).cast("decimal(12,2)")
+    line = F.struct(F.col("l_linenumber").alias("n"), F.when(dec("l_discount") == 0, F.array(dec("l_extendedprice"), dec("l_quantity"), F.lit(None).cast("decimal(12,2)")))
+                    .otherwise(F.array(dec("l_extendedprice"), dec("l_quantity"))).alias("amounts"),
+                    F.create_map(F.col("l_returnflag"), dec("l_discount")).alias("by"))
+    # maps have no order, so the line is not its own sort key
+    keyed = F.struct("l_linenumber", dec("l_extendedprice").alias("p"), dec("l_quantity").alias("q"), dec("l_discount").alias("d"),
+                     "l_returnflag")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(keyed.alias("k"), line.alias("line"))).alias("_l"))
+    ordered = F.transform(F.array_sort("_l", lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)), lambda x: x["line"])
+    lines = lines.select("l_orderkey", ordered.alias("_l"))
+    kind = lines.schema["_l"].dataType
+    held = F.when(F.col("o_orderpriority") != "1-URGENT", F.col("_l"))
+    doc = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.struct(
+        F.when(F.col("o_orderpriority") != "5-LOW", F.struct(dec("o_totalprice").alias("total"))).alias("ship"),
+        F.coalesce(held, F.array().cast(kind)).alias("lines")).alias("doc"))
+    return records.plain_numbers(doc, ["doc"]).select("o_orderkey", F.to_json("doc", {"ignoreNullFields": "false"}).alias("doc"))
+
+
 # ---------------------------------------------------------------- O05 / O46 notifications from events
 def _notifications(spark, d) -> DataFrame:
     """Queue records built from events (to_json envelopes), one per event:
@@ -901,11 +934,20 @@ LINK_SQL = r'<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
 
 
 def _extract_sql(row_pattern: str, title_href: str, id_pattern: str, host: str, other_href: str,
-                 block: str = "(?:span|div|p)") -> str:
+                 block: str = "(?:span|div|p)", own_close: bool = False) -> str:
+    """``own_close``: a block ends at its own end tag, counted over the tags of its name, else at the first one."""
     clean = S.strip(S.html_text("t[i]"))
     own = S.strip(S.html_text("x"))
     stop = "('track', 'title', 'artist', 'label', 'genre', 'bpm', 'key')"
     text = S.html_text("row_html")
+    blocks = f"regexp_extract_all(row_html, '(?s)<{block}\\b[^>]*>(.*?)(?:</{block}\\s*>|$)', 1)"
+    if own_close:
+        tokens = f"regexp_extract_all(row_html, '(?s)</?{block}\\b[^>]*>|<[^>]*>|[^<]+|<')"
+        sign = (f"list_transform({tokens}, lambda x: CASE WHEN regexp_matches(x, '^<{block}\\b') THEN 1 "
+                f"WHEN regexp_matches(x, '^</{block}\\b') THEN -1 ELSE 0 END)")
+        end = ("coalesce(list_filter(generate_series(i + 1, len(sg)), lambda j: sg[j] = -1 AND list_sum(sg[i:j]) = 0)[1], len(sg) + 1)")
+        blocks = f"""(SELECT list_transform(list_filter(generate_series(1, len(sg)), lambda i: sg[i] = 1),
+            lambda i: array_to_string(tk[i + 1:{end} - 1], '')) FROM (SELECT {tokens} AS tk, {sign} AS sg))"""
     return f"""
 WITH r AS (SELECT page_id, CAST(o AS INTEGER) AS position, row_html
            FROM pages, unnest(regexp_extract_all(html, '{row_pattern}', 1)) WITH ORDINALITY AS u(row_html, o)),
@@ -914,7 +956,7 @@ l AS (SELECT *, regexp_extract_all(row_html, '{LINK_SQL}', 1) AS h,
 c AS (SELECT *, list_transform(traw, lambda x: {S.strip(S.html_text("x"))}) AS t FROM l),
 f AS (SELECT *,
   list_filter(generate_series(1, len(h)), lambda i: contains(h[i], '{title_href}') AND length(t[i]) > 3)[1] AS ti,
-  list_filter(list_transform(regexp_extract_all(row_html, '(?s)<{block}\\b[^>]*>(.*?)(?:</{block}\\s*>|$)', 1), lambda x: {own}),
+  list_filter(list_transform({blocks}, lambda x: {own}),
               lambda x: length(x) > 5 AND lower(x) NOT IN {stop} AND NOT regexp_matches(x, '^\\p{{Nd}}+$')
                         AND NOT regexp_matches(x, '^\\d+[A-G]?$'))[1] AS fb,
   list_filter(generate_series(1, len(h)), lambda i: contains(h[i], '{other_href}'))[1] AS oi,
@@ -972,7 +1014,7 @@ def assemble_snapshot(spark, d):
 
 @register("title_fallback", f"""
 SELECT page_id, title FROM ({_extract_sql(ARTICLE_RULES.row_pattern, '/track/', ARTICLE_RULES.id_pattern,
-                                          ARTICLE_RULES.host, '/artist/', 'p')})
+                                          ARTICLE_RULES.host, '/artist/', 'p', own_close=True)})
 """)
 def title_fallback(spark, d):
     return _extracted(spark, d, ARTICLE_RULES).select("page_id", "title")

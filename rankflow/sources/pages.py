@@ -1,8 +1,8 @@
 """Row extraction from raw pages (O13-O21), as a distributed job over a table
 of pages.  Markup is read by expressions inside the JVM: a row ends at its own
-balanced close, an element of the title fallback at the first close of its
-name.  Each page is processed independently (no shuffle until O21 groups rows
-back into one snapshot per page).
+balanced close, and an element of the title fallback where its own end tag, or
+that of an element around it, stands.  Each page is processed independently (no
+shuffle until O21 groups rows back into one snapshot per page).
 """
 
 from __future__ import annotations
@@ -23,9 +23,12 @@ FALLBACK_STOP_WORDS = ["track", "title", "artist", "label", "genre", "bpm", "key
 
 # href in double quotes, single quotes or none; the text may span lines and hold tags
 LINK_RE = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a\s*>"""
-BLOCK_START = r"(?i)(?=<(?:span|div|p)\b)"
-BLOCK = r"(?is)^<(span|div|p)\b[^>]*>(.*?)(?:</\1\s*>|$)"
-
+# Elements without content, and those whose content is no text.
+VOID_ELEMENTS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
+NO_TEXT_RE = r"(?is)<!--.*?-->|<(script|style|template)\b.*?</\1\s*>"
+#: a tag (slash, name, closing slash), or text; quoted attributes may hold any character
+TAG_RE = r"""<(/?)([a-zA-Z][^\s/>]*)(?>"[^"]*"|'[^']*'|[^'">])*+>|<[!?][^>]*>|[^<]+|<"""
+BLOCKS = ["span", "div", "p"]
 
 @dataclass(frozen=True)
 class ExtractRules:
@@ -108,12 +111,53 @@ def _links(row: Column) -> Column:
                                           py_strip(html_text(z["t"])).alias("text")))
 
 
-def _blocks(row: Column) -> Column:
-    """Full text, children included, of each span, div and p in document order."""
-    pieces = F.split(F.concat(F.lit(" "), row), BLOCK_START)  # so the first piece is no element
-    tails = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)),
-                        lambda _, i: F.array_join(F.slice(pieces, i + 2, F.size(pieces)), ""))
-    return F.transform(tails, lambda t: py_strip(html_text(F.regexp_extract(t, BLOCK, 2))))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def block_texts(row: Column) -> Column:
+    """Text, children included, of each span, div and p in document order.
+
+    One fold over the tags with the stack of open elements: an end tag closes the nearest open element of its name
+    and all in it, an end tag without one does nothing, and the end of the fragment closes the rest.  An element is a
+    stretch of the fragment's text, so the fold carries numbers, no pieces of markup."""
+    blocks, void = F.array(*map(F.lit, BLOCKS)), F.array(*map(F.lit, VOID_ELEMENTS))
+
+    def tokens(clean):
+        whole, slash, name = (F.regexp_extract_all(clean, F.lit(TAG_RE), i) for i in range(3))
+        # what: text, start tag, end tag or neither
+        return F.transform(F.arrays_zip(whole.alias("w"), slash.alias("s"), name.alias("n")), lambda z: F.struct(
+            F.when((z["n"] == "") & ~z["w"].rlike("^<[!?]"), "text").when(z["s"] == "/", "end")
+             .when((z["n"] == "") | z["w"].endswith("/>") | F.array_contains(void, F.lower(z["n"])), "").otherwise("start").alias("what"),
+            F.lower(z["n"]).alias("n"), F.length(z["w"]).alias("size"), z["w"].alias("w")))
+
+    closed = "array<struct<i:int,at:int,end:int>>"
+    start = F.struct(F.array().cast("array<struct<n:string,i:int,at:int>>").alias("stack"), F.lit(0).alias("i"),
+                     F.lit(0).alias("at"), F.array().cast(closed).alias("done"))
+
+    def ended(elements, at):
+        return F.transform(F.filter(elements, lambda e: F.array_contains(blocks, e["n"])),
+                           lambda e: F.struct(e["i"].alias("i"), e["at"].alias("at"), at.alias("end")))
+
+    def step(acc, t):
+        stack, at = acc["stack"], acc["at"]
+        # the stack has its top first
+        nearest = F.when(t["what"] == "end", F.array_position(F.transform(stack, lambda e: e["n"]), t["n"]).cast("int")).otherwise(F.lit(0))
+        return _let(nearest, lambda k: F.struct(
+            F.when(k > 0, F.slice(stack, k + 1, F.size(stack)))
+             .when(t["what"] == "start", F.concat(F.array(F.struct(t["n"].alias("n"), acc["i"].alias("i"), at.alias("at"))), stack))
+             .otherwise(stack).alias("stack"),
+            (acc["i"] + 1).alias("i"), (at + F.when(t["what"] == "text", t["size"]).otherwise(F.lit(0))).alias("at"),
+            F.when(k > 0, F.concat(acc["done"], ended(F.slice(stack, F.lit(1), k), at))).otherwise(acc["done"]).alias("done")))
+
+    def texts(found):
+        spoken = F.array_join(F.transform(F.filter(found, lambda t: t["what"] == "text"), lambda t: t["w"]), "")
+        elements = F.array_sort(F.aggregate(found, start, step, lambda acc: F.concat(acc["done"], ended(acc["stack"], acc["at"]))))
+        return _let(F.struct(spoken.alias("spoken"), elements.alias("elements")), lambda x: F.transform(
+            x["elements"], lambda e: py_strip(html_text(F.substr(x["spoken"], e["at"] + 1, e["end"] - e["at"])))))
+
+    return _let(F.regexp_replace(row, NO_TEXT_RE, ""), lambda clean: _let(tokens(clean), texts))
 
 
 def extract_fields(rows: DataFrame, rules: ExtractRules, row_col: str = "row_html") -> DataFrame:
@@ -126,9 +170,8 @@ def extract_fields(rows: DataFrame, rules: ExtractRules, row_col: str = "row_htm
     bid = F.nullif(F.regexp_extract(href, rules.id_pattern, 1), F.lit(""))
     url = F.when(bid.isNotNull(), F.when(href.startswith("/"), F.concat(F.lit(rules.host), href)).otherwise(href))
     # O15 fallback: text of span/div/p elements in document order
-    own = _blocks(row)
     stop = F.array(*[F.lit(w) for w in FALLBACK_STOP_WORDS])
-    fallback = F.get(F.filter(own, lambda t: (F.length(t) > rules.fallback_min_len)
+    fallback = F.get(F.filter(block_texts(row), lambda t: (F.length(t) > rules.fallback_min_len)
                               & ~F.array_contains(stop, F.lower(t))
                               & ~t.rlike(r"^\p{Nd}+$") & ~t.rlike(r"^\d+[A-G]?$")), 0)
     artists = F.filter(links, lambda l: l["href"].contains(rules.artist_href) & (F.length(l["text"]) > 1))

@@ -161,3 +161,72 @@ def test_location_rules(spark):
     enr = spark.createDataFrame([("dry", "skipped"), ("ok", "skipped"), ("ok", "enriched")], "k string, status string")
     assert rows(playlist.validate_location(enr, req, "k"), "k", "error") == [
         ("dry", "No tracks with YouTube video IDs found in database"), ("none", "No tracks found in playlist data"), ("ok", None)]
+
+
+def _texts_by_parser(fragment):
+    """Texts of span, div and p in document order, by the standard library's parser and a stack."""
+    from html.parser import HTMLParser
+
+    class P(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack, self.found, self.hidden = [], [], 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag in pages.VOID_ELEMENTS:
+                return
+            node = [tag, []]
+            if tag in pages.BLOCKS:
+                self.found.append(node)
+            self.stack.append(node)
+
+        def handle_startendtag(self, tag, attrs):
+            if tag in pages.BLOCKS:
+                self.found.append([tag, []])
+
+        def handle_endtag(self, tag):
+            at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), None)
+            if at is not None:
+                del self.stack[at:]
+
+        def handle_data(self, data):
+            if not any(n[0] in ("script", "style", "template") for n in self.stack):
+                for n in self.stack:
+                    n[1].append(data)
+
+    p = P()
+    p.feed(fragment)
+    p.close()
+    return [t for t in ("".join(n[1]).strip() for n in p.found) if t]
+
+
+def test_block_texts_follow_the_stack_of_open_elements(spark):
+    cases = ["<span>short</span><div><div>Inner one title</div> outer</div>", "<div>ab<span>Second</span><p>x<p>y</div>tail",
+             "<p>unclosed paragraph <span>text", '<span title="a > b" data-x=\'</div>\'>Quoted</span>', "<div><br>with br<img src=x/></div>",
+             "<div/><span>After empty</span>", "<script>var a='<div>no</div>';</script><span>Shown</span>",
+             "<!-- <span>comment</span> --><SPAN>Upper</Span>", "</div><span>a</span></p><span>b &amp; c &#233;</span>", "", "no tags",
+             "<a><span>in the link</a> tail</span><p>other</p>", "<ul><li><div>one<li><div>two</ul>three", "5 <span>x</span> 6",
+             "<div>" * 40 + "deep" + "</div>" * 20 + "half", "<div><span>a<div>b</span>c</div>d</div>e"]
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, h string")
+    got = {r.i: [t for t in r.x if t] for r in df.select("i", pages.block_texts(F.col("h")).alias("x")).collect()}
+    assert got == {i: _texts_by_parser(c) for i, c in enumerate(cases)}
+
+
+def test_title_fallback_of_nested_elements(spark):
+    row = ('<div data-testid="tracks-table-row"><div><span>Key</span><div>12A</div></div>'
+           '<div><div>Deep </div><span>Nested <b>Title</b></span></div><a href="/artist/z/9">Zed</a></div>')
+    out = pages.extract_rows(spark.createDataFrame([(1, row), (2, None)], "page int, html string"), "html")
+    got = {r.page: (r.row_count, r.title) for r in out.collect()}
+    assert got == {1: (1, "Key12A"), 2: (0, None)}
+
+
+def test_block_texts_of_a_long_fragment_take_time_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([("<span>ab</span><b>x</b>" * n,)], "h string")
+        t = time.time()
+        assert df.select(F.size(pages.block_texts(F.col("h")))).first()[0] == n
+        return time.time() - t
+    seconds(100)
+    assert seconds(8000) < 12 * max(seconds(2000), 0.15)

@@ -1,6 +1,9 @@
 """O22 / O23 / O25 / O26 on inline documents (FIXTURES §3)."""
 
-from decimal import Decimal
+import json
+from decimal import Decimal, localcontext
+
+from pyspark.sql import functions as F
 
 from rowtools import rows
 from rankflow.operators.records import locate_records, normalize_records, plain_numbers, sparse
@@ -55,3 +58,40 @@ def test_any_field_name_and_repeated_keys(spark):
     df = spark.createDataFrame(list(enumerate(docs)), "doc int, json string")
     got = normalize_records(locate_records(df, "json"))
     assert rows(got, "doc", "title") == [(0, "t1"), (1, "new"), (2, "t3")]
+
+
+def _plain(x):
+    """The reference's rule on Python values."""
+    if isinstance(x, Decimal):
+        with localcontext(prec=60):
+            return int(x) if x % 1 == 0 else float(x)
+    if isinstance(x, dict):
+        return {k: _plain(v) for k, v in x.items()}
+    if isinstance(x, list | tuple):
+        return [_plain(v) for v in x]
+    return x
+
+
+def test_plain_numbers_at_every_depth(spark):
+    D = Decimal
+    schema = ("id int, a array<decimal(10,2)>, s struct<x:decimal(38,2),y:struct<z:array<map<string,decimal(20,5)>>,t:string>>, "
+              "m map<string,array<decimal(10,0)>>, keep array<int>")
+    data = [(1, [D("1.00"), D("2.50"), None], {"x": D("3.00"), "y": {"z": [{"k": D("0.10000"), "w": D("-7.00000")}, {}], "t": "u"}},
+             {"p": [D("4")], "e": []}, [1, 2]),
+            (2, [], {"x": D("123456789012345678901234567890.00"), "y": None}, {}, []),
+            (3, None, None, None, None),
+            (4, [D("-0.01")], {"x": None, "y": {"z": None, "t": None}}, {"n": None}, [None])]
+    df = spark.createDataFrame(data, schema)
+    got = {r[0]: json.loads(r[1]) for r in plain_numbers(df, ["a", "s", "m", "keep"]).select(
+        "id", F.to_json(F.struct("a", "s", "m", "keep"), {"ignoreNullFields": "false"})).collect()}
+    for r in data:
+        want = json.loads(json.dumps(_plain(dict(zip(("a", "s", "m", "keep"), r[1:], strict=True)))))
+        assert got[r[0]] == want
+        assert json.dumps(got[r[0]], sort_keys=True) == json.dumps(want, sort_keys=True)  # 3 is not 3.0
+    assert plain_numbers(df, ["keep"]).schema["keep"] == df.schema["keep"]
+
+
+def test_plain_numbers_of_a_variant(spark):
+    df = spark.createDataFrame([('{"a":1.00,"b":[2.50,{"c":-3.0}],"d":"4.00","e":null,"f":[]}',), ("null",), (None,)], "j string")
+    out = plain_numbers(df.select(F.try_parse_json("j").alias("v")), ["v"]).select(F.to_json("v")).collect()
+    assert [r[0] for r in out] == ['{"a":1,"b":[2.5,{"c":-3}],"d":"4.00","e":null,"f":[]}', "null", None]
