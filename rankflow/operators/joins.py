@@ -1,17 +1,18 @@
 """Keyed lookups and joins.
 
-Each lookup is one plain join on the projected key.  No operator runs a job or
-forces a broadcast: AQE broadcasts a side whose *measured* shuffle output is
+Each lookup is one plain join on the projected key, without a job or a forced
+broadcast (``match_top1``, a search, writes its steps): AQE broadcasts a side whose *measured* shuffle output is
 under ``spark.sql.adaptive.autoBroadcastJoinThreshold`` bytes, and splits a hot
 key on the probe side (inner, left outer, left semi and left anti joins).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankflow.functions.text import content_key, py_strip, truthy_str
+from rankflow.session import work_dir
 
 SKIP_MISSING_FIELDS = "missing title or artist"
 SKIP_MISSING_KEY = "missing track_id"
@@ -104,86 +105,108 @@ def tokens(c) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(c), TOKEN_SPLIT), lambda t: t != ""))
 
 
-HOT_TOKEN_DF = 50_000
+#: bits of a token filter (128 KB), whatever the number of tokens
+FILTER_BITS = 1 << 20
+#: query tokens up to which the query side is sent to every task (some 16 MB); beyond, the postings are joined by token
+BROADCAST_TOKENS = 1 << 20
+#: the rarest tokens of a query that seed its search, if no more entries than this carry them
+SEED_TOKENS, SEED_DF = 8, 10_000
 
 
-def _best(pairs: DataFrame, score: str) -> DataFrame:
-    """Best entry per query: highest score, then smallest id (partial aggregate)."""
+def _place(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(FILTER_BITS))
+
+
+def _token_filter(rows: DataFrame, token: str = "_tok"):
+    """A test that holds for every token of ``rows`` (and some others).  Spark ors the bits; at most FILTER_BITS / 64
+    numbers come to the driver."""
+    at = rows.select(_place(F.col(token)).alias("p"))
+    words = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function(
+        "shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))).alias("bits")).collect()
+    held = [0] * (FILTER_BITS // 64)
+    for r in words:
+        held[r["w"]] = r["bits"]
+    table = F.from_json(F.lit(str(held)), "array<long>")  # one constant of the plan
+
+    def holds(token: Column) -> Column:
+        p = _place(token)
+        word = F.get(table, F.shiftright(p, 6).cast("int"))
+        return F.call_function("shiftright", word, F.pmod(p, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return holds
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """Best entry per query: highest overlap, then smallest id (partial aggregate)."""
     return (pairs.groupBy("_qid")
-                 .agg(F.min(F.struct((-F.col(score)).alias("neg"), F.col("_cid").alias("cid"))).alias("_b"))
+                 .agg(F.min(F.struct((-F.col("_ov")).alias("neg"), F.col("_cid").alias("cid"))).alias("_b"))
                  .select("_qid", F.col("_b.cid").alias("_cid"), (-F.col("_b.neg")).alias("_ov")))
 
 
 def match_top1(queries: DataFrame, catalog: DataFrame, query_id: str, query_text: str | Column,
-               cat_id: str, cat_text: str | Column, hot_df: int = HOT_TOKEN_DF) -> DataFrame:
+               cat_id: str, cat_text: str | Column, seed_tokens: int = SEED_TOKENS, seed_df: int = SEED_DF,
+               broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """Best catalogue entry per query by shared distinct tokens, ties to
     the smallest id; queries with no shared token are ``not_found``.
 
-    Exact, and without emitting every (query, entry) pair behind a token that
-    many entries carry.  Tokens with catalogue frequency above ``hot_df`` are
-    *hot* (``hot_df`` only moves work between the two paths, never the answer):
-
-    * cold path - join on cold tokens only (bounded fan-out per token), drop
-      candidates whose cold count plus |hot(q)| cannot reach the query's best
-      cold count, then add each survivor's exact hot-token overlap by a keyed
-      lookup of (candidate, hot token) in the postings;
-    * hot path - an entry sharing only hot tokens scores at most |hot(q)|, so a
-      query whose best cold score already exceeds that is resolved.  Remaining
-      queries join on their hot tokens except the most frequent one; entries
-      sharing only that token score 1 and are answered by the smallest id
-      carrying it, so the hottest token never produces pairs.
-
-    Cold scores are exact and hot-path scores never overestimate, so the
-    maximum (smallest id on ties) over both paths is the exact answer.
+    Exact, by prefix and length filters over a global order of tokens, rarest
+    first.  Entries are cut to tokens that some query may have (a bit filter) and
+    written once; frequencies are partial aggregates over them.
+
+    1. Seeds: the entries with any of a query's ``seed_tokens`` rarest tokens
+       (of at most ``seed_df`` entries) give it a lower bound m on its best
+       overlap.
+    2. An entry that shares m or more of a query's n tokens holds one of its
+       n - m + 1 rarest, and m tokens at least.  Only those tokens' postings are
+       joined; each entry met this way is compared whole.
+    3. A query's most frequent token never joins: an entry that shares just one
+       token scores 1, and the smallest id of those is an aggregate.
+
+    The three parameters move work, never the answer.  Up to ``broadcast_tokens``
+    query tokens the query side goes to the entries and nothing of the catalogue
+    is shuffled but counts; beyond, postings are joined by token.
     """
-    q = queries.select(F.col(query_id).alias("_qid"), F.explode(tokens(query_text)).alias("_tok"))
-    # Postings are tokenised once and hash-partitioned on the token; the
-    # frequency count and every token join reuse that exchange.  They grow with
-    # the catalogue's text, far beyond any file-size estimate, so they are never
-    # a broadcast candidate (sort-merge; measured faster than letting the planner
-    # choose here).
-    c = catalog.select(F.col(cat_id).alias("_cid"), F.explode(tokens(cat_text)).alias("_tok")).hint("merge")
-    freq = c.groupBy("_tok").agg(F.count(F.lit(1)).alias("_df"))
-    qf = q.join(freq, "_tok")                        # tokens absent from the catalogue cannot match
-    q_cold = qf.where(F.col("_df") <= hot_df).select("_qid", "_tok")
-    q_hot = qf.where(F.col("_df") > hot_df).select("_qid", "_tok", "_df")
-
-    cold = q_cold.join(c, "_tok").groupBy("_qid", "_cid").agg(F.count(F.lit(1)).alias("_cold"))
-    n_hot = q_hot.groupBy("_qid").agg(F.count(F.lit(1)).alias("_k"))
-    # A candidate scores at most cold + |hot(q)|; one that cannot reach the best
-    # cold count of its query cannot win and needs no hot lookup (exact pruning).
-    reach = (cold.groupBy("_qid").agg(F.max("_cold").alias("_m"))
-                 .join(n_hot, "_qid", "left")
-                 .select("_qid", (F.col("_m") - F.coalesce(F.col("_k"), F.lit(0))).alias("_need")))
-    cold = cold.join(reach, "_qid").where(F.col("_cold") >= F.col("_need")).drop("_need")
-    hot_of_cand = (cold.select("_qid", "_cid").join(q_hot.select("_qid", "_tok"), "_qid")
-                       .join(c, ["_cid", "_tok"])          # (entry, token) is unique in the postings
-                       .groupBy("_qid", "_cid").agg(F.count(F.lit(1)).alias("_hot")))
-    exact = (cold.join(hot_of_cand, ["_qid", "_cid"], "left")
-                 .select("_qid", "_cid", (F.col("_cold") + F.coalesce(F.col("_hot"), F.lit(0))).alias("_score")))
-    best_cold = _best(exact, "_score")
-
-    unresolved = (n_hot.join(best_cold, "_qid", "left")
-                       .where(F.col("_ov").isNull() | (F.col("_ov") <= F.col("_k"))).select("_qid"))
-    uq_hot = q_hot.join(unresolved, "_qid", "left_semi")
-    # The query's most frequent hot token never enters a pair join: entries
-    # sharing only it score exactly 1, and the best of those is simply the
-    # smallest id carrying the token (a partial aggregate over the postings).
-    top = (uq_hot.groupBy("_qid").agg(F.max(F.struct("_df", "_tok")).alias("_t"))
-                 .select("_qid", F.col("_t._tok").alias("_tmax")))
-    rest = uq_hot.join(top, (uq_hot["_qid"] == top["_qid"]) & (uq_hot["_tok"] == top["_tmax"]), "left_anti")
-    rest_pairs = rest.join(c, "_tok").groupBy("_qid", "_cid").agg(F.count(F.lit(1)).alias("_n"))
-    has_top = (rest_pairs.join(top, "_qid")
-                         .join(c.select("_cid", F.col("_tok").alias("_tmax")), ["_cid", "_tmax"], "left_semi")
-                         .select("_qid", "_cid", F.lit(1).alias("_plus")))
-    hot_pairs = (rest_pairs.join(has_top, ["_qid", "_cid"], "left")
-                           .select("_qid", "_cid", (F.col("_n") + F.coalesce(F.col("_plus"), F.lit(0))).alias("_score")))
-    first_carrier = c.groupBy("_tok").agg(F.min("_cid").alias("_cid"))
-    only_top = (top.join(first_carrier, top["_tmax"] == first_carrier["_tok"])
-                   .select("_qid", "_cid", F.lit(1).cast("long").alias("_score")))
-    best_hot = _best(hot_pairs.unionByName(only_top), "_score")
-
-    best = _best(best_cold.unionByName(best_hot).withColumnRenamed("_ov", "_score"), "_score") \
-        .select("_qid", F.col("_cid").alias("match_id"), F.col("_ov").alias("overlap"))
+    spark = queries.sparkSession
+    folder = work_dir(spark, "match")
+    queries.select(F.col(query_id).alias("_qid"), F.explode(tokens(query_text)).alias("_tok")).where(
+        "_qid IS NOT NULL").distinct().write.parquet(f"{folder}/queries")
+    q = spark.read.parquet(f"{folder}/queries")
+    small = q.count() <= broadcast_tokens
+    send = F.broadcast if small else (lambda df: df)
+    holds = _token_filter(q)
+    catalog.select(F.col(cat_id).alias("_cid"), F.filter(tokens(cat_text), holds).alias("_toks")).where(
+        (F.size("_toks") > 0) & F.col("_cid").isNotNull()).write.parquet(f"{folder}/entries")
+    entries = spark.read.parquet(f"{folder}/entries")
+    freq = entries.select("_cid", F.explode("_toks").alias("_tok")).groupBy("_tok").agg(
+        F.count(F.lit(1)).alias("_df"), F.min("_cid").alias("_first"))
+    known = q.join(freq, "_tok")                   # tokens that no entry has can't match
+    by = Window.partitionBy("_qid")                # a query's tokens are bounded by its text
+    known.select("*", F.row_number().over(by.orderBy("_df", "_tok")).alias("_rank"),
+                 F.count(F.lit(1)).over(by).alias("_n")).write.parquet(f"{folder}/ranked")
+    ranked = spark.read.parquet(f"{folder}/ranked")
+
+    def overlaps(wanted: DataFrame) -> DataFrame:
+        """(query, entry, overlap) of the entries with one of the wanted (query, token, least size) rows; an entry met
+        by several tokens may come several times."""
+        some = _token_filter(wanted)
+        here = entries.select("_cid", "_toks", F.explode(F.filter("_toks", some)).alias("_tok"))
+        if small:
+            lists = q.groupBy("_qid").agg(F.collect_list("_tok").alias("_q"))
+            met = here.join(send(wanted), "_tok").where(F.size("_toks") >= F.col("_least"))
+            return met.join(send(lists), "_qid").select("_qid", "_cid", F.size(F.array_intersect("_toks", "_q")).alias("_ov"))
+        met = (here.select("_cid", "_tok", F.size("_toks").alias("_size")).join(wanted, "_tok").where("_size >= _least")
+                   .select("_qid", "_cid").distinct())
+        return (met.join(q, "_qid").join(entries.select("_cid", F.explode("_toks").alias("_tok")), ["_cid", "_tok"])
+                   .groupBy("_qid", "_cid").agg(F.count(F.lit(1)).cast("int").alias("_ov")))
+
+    is_seed = (F.col("_rank") <= seed_tokens) & (F.col("_df") <= seed_df) & (F.col("_rank") < F.col("_n"))
+    seeds = ranked.where(is_seed).select("_qid", "_tok", F.lit(1).alias("_least"))
+    _best(overlaps(seeds)).write.parquet(f"{folder}/seeded")
+    seeded = spark.read.parquet(f"{folder}/seeded")
+    least = F.greatest(F.coalesce("_ov", F.lit(1)), F.lit(2))
+    prefix = (ranked.where(~is_seed).join(seeded.select("_qid", "_ov"), "_qid", "left").withColumn("_least", least)
+                    .where(F.col("_rank") <= F.col("_n") - F.col("_least") + 1).select("_qid", "_tok", "_least"))
+    one = ranked.groupBy("_qid").agg(F.min("_first").alias("_cid")).select("_qid", "_cid", F.lit(1).alias("_ov"))
+    best = _best(overlaps(prefix).unionByName(seeded).unionByName(one)) \
+        .select("_qid", F.col("_cid").alias("match_id"), F.col("_ov").cast("long").alias("overlap"))
     return (queries.join(best, queries[query_id] == best["_qid"], "left").drop("_qid")
                    .withColumn("status", F.when(F.col("match_id").isNull(), "not_found").otherwise("success")))

@@ -102,17 +102,33 @@ def _brute_top1(q, c):
 @settings(max_examples=12, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("a b c d e f g h".split()), min_size=1, max_size=5), min_size=1, max_size=5),
        st.lists(st.lists(st.sampled_from("a b c d e f g h".split()), min_size=1, max_size=6), min_size=1, max_size=12),
-       st.integers(0, 6))
-def test_property_match_top1_exact_for_any_hot_threshold(spark, qs, cs, hot_df):
+       st.integers(0, 4), st.integers(0, 6), st.sampled_from([0, 1 << 20]))
+def test_property_match_top1_exact_whatever_the_work_is_split(spark, qs, cs, seed_tokens, seed_df, broadcast_tokens):
     q = [(i, " ".join(t)) for i, t in enumerate(qs)]
     c = [(100 - i, " ".join(t)) for i, t in enumerate(cs)]
     Q = spark.createDataFrame(q, "qid int, text string")
     C = spark.createDataFrame(c, "cid int, text string")
     got = {r.qid: (r.match_id, r.overlap) if r.match_id is not None else None
-           for r in joins.match_top1(Q, C, "qid", "text", "cid", "text", hot_df=hot_df).collect()}
+           for r in joins.match_top1(
+               Q, C, "qid", "text", "cid", "text", seed_tokens, seed_df, broadcast_tokens).collect()}
     assert got == _brute_top1(q, c)
 
 
+def test_match_top1_never_joins_the_most_frequent_token(spark):
+    """One token in all entries: it only counts, in either way of joining, and entries with it alone score 1."""
+    import numpy as np
+    rng = np.random.default_rng(1)
+    c = [(i, "the " + " ".join(f"w{x}" for x in rng.zipf(1.5, 6) if x < 400)) for i in range(600)]
+    q = [(i, "the " + " ".join(f"w{x}" for x in rng.integers(1, 60, 5))) for i in range(20)] + [(99, "the"), (98, None), (97, ""), (96, "zz")]
+    Q, C = spark.createDataFrame(q, "qid int, text string"), spark.createDataFrame([*c, (700, None)], "cid int, text string")
+    want = _brute_top1([(i, t or "") for i, t in q], c)
+    for limit in (0, 1 << 20):
+        got = {r.qid: (r.match_id, r.overlap) if r.match_id is not None else None
+               for r in joins.match_top1(Q, C, "qid", "text", "cid", "text", broadcast_tokens=limit).collect()}
+        assert got == want
+    assert want[99] == (0, 1) and want[96] is None
+
+
 @settings(max_examples=10, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["t", "", " "]), st.sampled_from(["a", ""]),
                           st.sampled_from(["k1", "k2", "k3", "", None])), max_size=12),
