@@ -1,8 +1,7 @@
 """Keyed table mutation without a table format.
 
 Each operator is one join that produces the next version of the table plus an
-``action`` column; callers write the result as a new Parquet version (see
-``sources.snapshots.write_table_version``).  ``as_of`` replaces wall-clock now
+``action`` column; callers write the result as a new Parquet version.  ``as_of`` replaces wall-clock now
 so reruns give identical output.
 """
 

@@ -9,6 +9,7 @@ Timestamps leave as strings and doubles are rounded so both engines agree.
 from __future__ import annotations
 
 import datetime as _dt
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -68,6 +69,24 @@ def new_records(spark, d):
     return _new_lines(spark, d).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
+@register("new_records_bucketed", f"""
+SELECT l_orderkey, l_linenumber, l_partkey FROM ({NEW_LINES_SQL})
+""")
+def new_records_bucketed(spark, d):
+    known = table(spark, d, "part").where(F.col("p_size") <= 25).select("p_partkey")
+    return joins.new_records(table(spark, d, "lineitem"), _bucketed(spark, known, "p_partkey"), key="l_partkey",
+                             required=("l_returnflag", "l_linestatus"), known_key="p_partkey").select(
+        "l_orderkey", "l_linenumber", "l_partkey")
+
+
+def _bucketed(spark, rows: DataFrame, key: str, buckets: int = 16) -> DataFrame:
+    """``rows`` as a table dealt by its key, as a stable table is kept."""
+    from rankflow.session import work_dir
+    from rankflow.sources.tables import write_bucketed
+    path = work_dir(spark, "bucketed")
+    return write_bucketed(rows, "t_" + path.rsplit("-", 1)[-1], path, key, buckets)
+
+
 def _source_file(ts_col: str):
     return F.concat(F.lit("lineitem/"), F.date_format(F.col(ts_col), "yyyy/MM"), F.lit(".json"))
 
@@ -277,6 +296,20 @@ def lookup_by_content(spark, d):
     return joins.lookup_by_content(probe, tracks).select("p_partkey", "lookup_key", "found")
 
 
+@register("lookup_by_content_bucketed", f"""
+SELECT p.p_partkey, {S.key("' ' || p.p_brand", "upper(p.p_name) || '!'")} AS lookup_key,
+       k.track_id IS NOT NULL AS found
+FROM part p LEFT JOIN (SELECT DISTINCT {S.key('p_brand', 'p_name')} AS track_id FROM part WHERE p_size <= 25) k
+  ON k.track_id = {S.key("' ' || p.p_brand", "upper(p.p_name) || '!'")}
+""")
+def lookup_by_content_bucketed(spark, d):
+    part = table(spark, d, "part")
+    tracks = part.where(F.col("p_size") <= 25).select(content_key("p_brand", "p_name").alias("track_id"))
+    probe = part.select("p_partkey", F.concat(F.upper("p_name"), F.lit("!")).alias("title"),
+                        F.concat(F.lit(" "), F.col("p_brand")).alias("artist"))
+    return joins.lookup_by_content(probe, _bucketed(spark, tracks, "track_id")).select("p_partkey", "lookup_key", "found")
+
+
 TOKENS_SQL = "list_distinct(list_filter(string_split_regex(lower({c}), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: t <> ''))"
 
 
@@ -523,6 +556,19 @@ def get_by_key(spark, d):
         "o_orderkey", "o_custkey", "o_orderstatus", F.round("o_totalprice", 2).alias("o_totalprice"))
 
 
+@register("get_by_hashed_key", """
+SELECT o_orderkey, sha256(CAST(o_orderkey AS VARCHAR)) AS track_id, o_custkey FROM orders WHERE o_orderkey = 7
+""")
+def get_by_hashed_key(spark, d):
+    from rankflow.session import work_dir
+    from rankflow.sources.tables import write_point_table
+    path = work_dir(spark, "tracks")
+    keyed = table(spark, d, "orders").select("o_orderkey", F.sha2(F.col("o_orderkey").cast("string"), 256).alias("track_id"), "o_custkey")
+    write_point_table(keyed, path, "track_id", files=8)
+    wanted = hashlib.sha256(b"7").hexdigest()
+    return history.get_by_key(spark.read.parquet(path), "track_id", wanted)
+
+
 @register("scan_limited", """
 SELECT o_orderkey, o_custkey, count(*) OVER () AS returned_count
 FROM (SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 100)
@@ -1149,17 +1195,25 @@ def snapshot_roundtrip(spark, d):
 
 
 @register("list_snapshot_files", f"""
-SELECT strftime(strptime(month || '-01', '%Y-%m-%d'), '%Y/%m/%d') AS snapshot_date, count(*) AS objects
-FROM (SELECT DISTINCT month FROM ({CHART_SQL})) WHERE month LIKE '1997-%' GROUP BY 1
+SELECT 'year=' || m[1] || '/month=' || m[2] || '/day=01/snapshot=chart-' || m[1] || m[2] || '01-000000' AS folder,
+  'chart' AS source, CASE WHEN m[2] < '07' THEN 'first half' ELSE 'second half' END AS playlist_type,
+  m[1] || '-' || m[2] || '-01T00:00:00' AS scraped_at, true AS whole, true AS same
+FROM (SELECT DISTINCT string_split(month, '-') AS m FROM ({CHART_SQL}) WHERE month LIKE '1997-%')
 """)
 def list_snapshot_files(spark, d):
-    from rankflow.sources.snapshots import list_snapshot_files as lsf
-    path = _written_charts(spark, d)
+    from rankflow.session import work_dir
+    from rankflow.sources.snapshots import list_snapshot_files as lsf, write_snapshots
+    path = work_dir(spark, "snapshots")
+    half = F.when(F.month("created_at") < 7, "first half").otherwise("second half")
+    write_snapshots(_chart_docs(spark, d), path, "created_at", source="chart", playlist_type=half)
+    read = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("p"), F.octet_length("value").alias("n"))
+    below = lambda c: F.regexp_extract(c, "(year=.*)$", 1)
     files = lsf(spark, path, date_prefix="1997/")
-    date = F.regexp_extract("key", r"year=(\d{4})/month=(\d{2})/day=(\d{2})", 0)
-    return (files.select(F.regexp_replace(F.regexp_replace(F.regexp_replace(date, "year=", ""), "month=", ""),
-                                          "day=", "").alias("snapshot_date"))
-                 .groupBy("snapshot_date").agg(F.count(F.lit(1)).alias("objects")))
+    # sizes are those of the objects; the key is the end of the url
+    return files.join(read.select(below("p").alias("_below"), "n"), below("url") == F.col("_below")).select(
+        F.regexp_extract("key", "^(.*)/[^/]+$", 1).alias("folder"), F.col("metadata")["source"].alias("source"),
+        F.col("metadata")["playlist-type"].alias("playlist_type"), F.col("metadata")["scraped-at"].alias("scraped_at"),
+        (F.col("size") == F.col("n")).alias("whole"), F.col("url").endswith(F.col("key")).alias("same"))
 
 
 # ---------------------------------------------------------------- O46, O50 - O53 streaming over the events files

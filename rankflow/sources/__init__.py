@@ -7,12 +7,12 @@ from rankflow.sources.pages import (
 )
 from rankflow.sources.snapshots import (
     latest_snapshot, list_snapshot_files, list_snapshots, parse_snapshots, read_snapshots, write_snapshots,
-    write_table_version,
 )
+from rankflow.sources.tables import open_bucketed, write_bucketed, write_point_table
 
 __all__ = [
     "ExtractRules", "assemble_snapshot", "build_messages", "decode_messages", "decode_notifications",
     "extract_fields", "extract_rows", "latest_snapshot", "list_snapshot_files", "list_snapshots", "number_with_unit",
-    "outcome_summary", "parse_snapshots", "pattern_extract", "read_snapshots", "split_rows", "valid_rows",
-    "write_snapshots", "write_table_version",
+    "open_bucketed", "outcome_summary", "parse_snapshots", "pattern_extract", "read_snapshots", "split_rows", "valid_rows",
+    "write_bucketed", "write_point_table", "write_snapshots",
 ]

@@ -8,7 +8,9 @@ reads only file metadata when ``content`` is not selected.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SNAPSHOT_FORMAT = "yyyyMMdd-HHmmss"
@@ -44,24 +46,35 @@ def read_objects(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def write_snapshots(df: DataFrame, path: str, ts_col: str, source: str = "snapshots",
-                    mode: str = "append", fmt: str = "json") -> None:
-    """Dated snapshot documents under ``year=/month=/day=`` with their
-    metadata (source, snapshot id, type, time) as columns; ``fmt`` is ``json``
-    (one object per document: ``maxRecordsPerFile`` is one) or ``parquet``."""
+                    mode: str = "append", fmt: str = "json", playlist_type: str | Column | None = None) -> None:
+    """Dated snapshot documents under ``year=/month=/day=/snapshot=`` with
+    their metadata (source, snapshot id, type, time) as columns; ``fmt`` is
+    ``json`` (one object per document: ``maxRecordsPerFile`` is one) or
+    ``parquet``.  ``playlist_type`` (by default the source) may be a column.
+
+    The metadata also goes to a manifest under ``_manifest`` (same date folders),
+    which a listing joins without opening an object."""
+    kind = F.lit(source) if playlist_type is None else F.lit(playlist_type) if isinstance(playlist_type, str) else playlist_type
     ts = F.col(ts_col).cast("timestamp")
     out = (df.withColumn("snapshot_id", F.concat(F.lit(f"{source}-"), F.date_format(ts, SNAPSHOT_FORMAT)))
-             .withColumn("playlist_type", F.lit(source))
+             .withColumn("playlist_type", kind)
              .withColumn("scraped_at", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"))
              .withColumn("year", F.date_format(ts, "yyyy"))
              .withColumn("month", F.date_format(ts, "MM"))
-             .withColumn("day", F.date_format(ts, "dd")))
+             .withColumn("day", F.date_format(ts, "dd"))
+             .withColumn("snapshot", F.col("snapshot_id")))
+    folders = ["year", "month", "day"]
     if fmt == "json":
-        out.write.mode(mode).partitionBy("year", "month", "day").option("maxRecordsPerFile", 1).json(path)
+        out.write.mode(mode).partitionBy(*folders, "snapshot").option("maxRecordsPerFile", 1).json(path)
     else:
-        out.write.mode(mode).partitionBy("year", "month", "day").format(fmt).save(path)
+        out.write.mode(mode).partitionBy(*folders, "snapshot").format(fmt).save(path)
+    about = out.groupBy(*folders, "snapshot_id").agg(
+        F.min("playlist_type").alias("playlist_type"), F.min("scraped_at").alias("scraped_at"), F.count(F.lit(1)).alias("documents"))
+    about.withColumn("source", F.lit(source)).write.mode(mode).partitionBy(*folders).parquet(f"{path.rstrip('/')}/{MANIFEST}")
 
 
 PARTITION_LEVELS = ["year", "month", "day"]
+MANIFEST = "_manifest"
 
 
 def date_prefix_path(date_prefix: str | None) -> str:
@@ -74,20 +87,40 @@ def date_prefix_path(date_prefix: str | None) -> str:
 
 def list_snapshot_files(spark: SparkSession, path: str, date_prefix: str | None = None,
                         glob: str = "*.json*") -> DataFrame:
-    """O03 over storage: objects under ``path[/date_prefix]`` newest first.
+    """O03 over storage: objects under ``path[/date_prefix]`` newest first, with
+    ``key`` (below ``path``), ``size``, ``last_modified``, ``metadata`` (a map,
+    empty for objects that no manifest names) and ``url``.
 
     A prefix such as ``2024/07`` maps to the partition folder
     ``year=2024/month=07``, so only that folder is listed; all listing pages
-    are read.
+    are read.  Neither objects nor their metadata are fetched one by one.
     """
-    root = path.rstrip("/")
-    if date_prefix:
-        root = f"{root}/{date_prefix_path(date_prefix)}"
+    base, prefix = path.rstrip("/"), date_prefix_path(date_prefix)
+    root = f"{base}/{prefix}" if prefix else base
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", glob).load(root)
-             .select(F.col("path").alias("key"), F.col("length").alias("size"),
+             .select(F.col("path").alias("url"), F.col("length").alias("size"),
                      F.col("modificationTime").alias("last_modified")))
-    return files.orderBy(F.col("last_modified").desc(), F.col("key"))
+    # the folders after the root's own name, whatever scheme the listing shows
+    below = F.regexp_extract("url", f"/{re.escape(base.split('/')[-1])}/((?:year=|[^/]+$).*)$", 1)
+    files = files.withColumn("key", below).withColumn("_id", F.regexp_extract("url", r"/snapshot=([^/]+)/[^/]+$", 1))
+    manifest = f"{base}/{MANIFEST}" + (f"/{prefix}" if prefix else "")
+    if _exists(spark, manifest):
+        about = (spark.read.option("recursiveFileLookup", "true").parquet(manifest)
+                 .groupBy(F.col("snapshot_id").alias("_id")).agg(F.max(F.struct("scraped_at", "playlist_type", "source")).alias("_m")))
+        files = files.join(about, "_id", "left")
+    else:
+        files = files.withColumn("_m", F.lit(None).cast("struct<scraped_at:string,playlist_type:string,source:string>"))
+    metadata = F.when(F.col("_m").isNull(), F.create_map().cast("map<string,string>")).otherwise(F.create_map(
+        F.lit("source"), F.col("_m.source"), F.lit("playlist-type"), F.col("_m.playlist_type"),
+        F.lit("scraped-at"), F.col("_m.scraped_at")))
+    return files.select("key", "size", "last_modified", metadata.alias("metadata"), "url").orderBy(
+        F.col("last_modified").desc(), F.col("key"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def list_snapshots(listing: DataFrame, key_col: str = "key", ts_col: str = "last_modified",
@@ -105,11 +138,3 @@ def list_snapshots(listing: DataFrame, key_col: str = "key", ts_col: str = "last
 def latest_snapshot(listing: DataFrame, ts_col: str = "last_modified", key_col: str = "key") -> DataFrame:
     """The newest object (TakeOrdered of one row)."""
     return listing.orderBy(F.col(ts_col).desc(), F.col(key_col).desc()).limit(1)
-
-
-def write_table_version(df: DataFrame, path: str, version: int) -> str:
-    """Write the next version of a keyed table; readers switch by version
-    folder, so a failed write never exposes a partial table."""
-    target = f"{path.rstrip('/')}/v={version:08d}"
-    df.write.mode("overwrite").parquet(target)
-    return target
