@@ -35,8 +35,8 @@ _CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _CUE_VALUE = re.compile(r"(?:[ \t]*+[:=#][ \t]*+|[ \t]++(?:no\.?|nr\.?|number|is)?[ \t]*+)[\"']?+([A-Za-z0-9](?:[ -]?[A-Za-z0-9])*+)")
-_QUOTED = re.compile(r"[ \t]*+[:=][ \t]*+([\"'])([^\s\"']{6,256})\1")
-_USERINFO = re.compile(r"[^\s/?#@<>\"']{1,256}@[^\s/?#@<>\"']+")
+_QUOTED = re.compile(r"[ \t]*+[:=][ \t]*+([\"'])([^\s\"']{6,})\1")
+_USERINFO = re.compile(r"[^\s/?#@<>\"']++@[^\s/?#@<>\"']+")
 _TEL = re.compile(r"\+?[0-9](?:[ ().-]?[0-9])+")
 
 Span = tuple[str, int, int]
@@ -141,7 +141,7 @@ def _added(text: str, anchors: list[tuple[str, int, int]]) -> Iterator[Span]:
             if (start == 0 or not text[start - 1].isalnum()) and (span := _account(text, end)):
                 yield span
         elif kind == "scheme" and text[start:end].lower() == "tel:":
-            if m := _TEL.match(text, end):
+            if (m := _TEL.match(text, end)) and 9 <= sum(c.isdigit() for c in m.group()) <= 15:
                 yield "phone", m.start(), m.end()
         elif kind == "scheme" and text[start:end].lower() != "mailto:":
             if m := _USERINFO.match(text, end):

@@ -1,8 +1,10 @@
 """Quality rules with adaptive thresholds.
 
 Per language and source a mergeable quantile sketch of each ratio (counts by steps of 1/1000; sketches merge by adding
-counts) gives quartiles, and a document fails where it lies beyond the upper fence of its group.  Cutoffs follow each
-group instead of being fixed; a fence keeps a least distance, so a group of clean texts rejects none of them.
+counts) gives quantiles, and a document fails where it lies beyond the fence of its group: so many interquartile ranges
+above the upper quartile, and for ratios that are zero in most texts as far beyond the 99th percentile as that lies
+above the upper quartile.  Cutoffs follow each group instead of being fixed; where a group has no spread at all, a few
+steps are left for rounding.
 """
 
 from __future__ import annotations
@@ -19,15 +21,17 @@ from rankflow.llm.arrowtext import NOT_SPACE, number, pieces, word_array, words
 from rankflow.session import work_dir
 
 STEPS = 1000
-#: ratio -> (numerator, denominator, least distance of the fence from the upper quartile in steps)
+#: ratio -> (numerator, denominator, whether its own tail sets the fence: most texts have none of it)
 RATIOS = {
-    "symbols": ("n_symbols", "word_chars", 50),
-    "dup_lines": ("n_dup_lines", "n_lines", 350),
-    "repeats": ("n_repeat_words", "n_words", 350),
-    "capitals": ("n_upper", "word_chars", 300),
+    "symbols": ("n_symbols", "word_chars", False),
+    "dup_lines": ("n_dup_lines", "n_lines", True),
+    "repeats": ("n_repeat_words", "n_words", True),
+    "capitals": ("n_upper", "word_chars", False),
 }
-#: the fence lies so many interquartile ranges above the upper quartile
-FENCE = 3
+#: the fence lies so many interquartile ranges, or distances of the 99th percentile, above the upper quartile
+FENCE, TAIL = 6, 2
+#: steps left to a group without spread
+LEAST = 25
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
 
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -119,11 +123,13 @@ def cutoffs(sketch: DataFrame, by: list[str]) -> DataFrame:
     """One row a group: the highest accepted step of each ratio."""
     group = Window.partitionBy(*by, "ratio")
     run = sketch.select("*", F.sum("n").over(group.orderBy("step")).alias("upto"), F.sum("n").over(group).alias("all"))
-    quartiles = run.groupBy(*by, "ratio").agg(F.min(F.when(4 * F.col("upto") >= F.col("all"), F.col("step"))).alias("q1"),
-                                              F.min(F.when(4 * F.col("upto") >= 3 * F.col("all"), F.col("step"))).alias("q3"))
-    of = lambda name, least: F.max(F.when(F.col("ratio") == name, F.col("q3") + F.greatest(
-        F.lit(least), FENCE * (F.col("q3") - F.col("q1"))))).alias(f"max_{name}")
-    return quartiles.groupBy(*by).agg(*[of(name, least) for name, (_, _, least) in RATIOS.items()])
+    at = lambda q: F.min(F.when(100 * F.col("upto") >= q * F.col("all"), F.col("step"))).alias(f"q{q}")
+    found = run.groupBy(*by, "ratio").agg(at(25), at(75), at(99))
+
+    def limit(name: str, tail: bool) -> Column:
+        reach = [F.lit(LEAST), FENCE * (F.col("q75") - F.col("q25"))] + [TAIL * (F.col("q99") - F.col("q75"))] * tail
+        return F.max(F.when(F.col("ratio") == name, F.col("q75") + F.greatest(*reach))).alias(f"max_{name}")
+    return found.groupBy(*by).agg(*[limit(name, tail) for name, (_, _, tail) in RATIOS.items()])
 
 
 def judge(docs: DataFrame, by: tuple[str, ...] = ("lang", "source"), doc_id: str = "doc_id") -> DataFrame:

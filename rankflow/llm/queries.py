@@ -78,7 +78,11 @@ def op4(spark, d):
     return decontaminate.contamination(_table(spark, d, "documents"), _table(spark, d, "benchmark")).drop("items")
 
 
-_RATIO_SQL = {name: f"least(coalesce((1000 * {a}) // nullif({b}, 0), 0), 1000)" for name, (a, b, _) in quality.RATIOS.items()}
+_RATIO_SQL = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"),
+              "repeats": ("n_repeat_words", "n_words"), "capitals": ("n_upper", "word_chars")}
+_RATIO_SQL = {name: f"least(coalesce((1000 * {a}) // nullif({b}, 0), 0), 1000)" for name, (a, b) in _RATIO_SQL.items()}
+_LIMIT_SQL = {"symbols": "q3 + greatest(25, 6 * (q3 - q1))", "dup_lines": "q3 + greatest(25, 6 * (q3 - q1), 2 * (q99 - q3))",
+              "repeats": "q3 + greatest(25, 6 * (q3 - q1), 2 * (q99 - q3))", "capitals": "q3 + greatest(25, 6 * (q3 - q1))"}
 OP5_SQL = f"""
 WITH d AS (SELECT doc_id, lang, source, row_number() OVER () AS rid, coalesce(text, '') AS t,
              regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -100,9 +104,10 @@ q AS (SELECT lang, source, ratio, step, count(*) AS n FROM s GROUP BY ALL),
 u AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, ratio ORDER BY step) AS upto,
         sum(n) OVER (PARTITION BY lang, source, ratio) AS total FROM q),
 z AS (SELECT lang, source, ratio, min(step) FILTER (WHERE 4 * upto >= total) AS q1,
-        min(step) FILTER (WHERE 4 * upto >= 3 * total) AS q3 FROM u GROUP BY ALL),
-k AS (SELECT lang, source, {", ".join(f"max(q3 + greatest({least}, {quality.FENCE} * (q3 - q1))) FILTER (WHERE ratio = '{name}') AS max_{name}"
-                                     for name, (_, _, least) in quality.RATIOS.items())} FROM z GROUP BY ALL)
+        min(step) FILTER (WHERE 4 * upto >= 3 * total) AS q3, min(step) FILTER (WHERE 100 * upto >= 99 * total) AS q99
+      FROM u GROUP BY ALL),
+k AS (SELECT lang, source, {", ".join(f"max({v}) FILTER (WHERE ratio = '{name}') AS max_{name}" for name, v in _LIMIT_SQL.items())}
+      FROM z GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND {" AND ".join(f"{v} <= coalesce(max_{name}, 1000)" for name, v in _RATIO_SQL.items())} AS kept
 FROM f LEFT JOIN k ON f.lang IS NOT DISTINCT FROM k.lang AND f.source IS NOT DISTINCT FROM k.source

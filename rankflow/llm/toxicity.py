@@ -1,10 +1,11 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on bounded samples of labelled texts: an ordinary one, and a toxic one that
-adds what toxic texts repeat and ordinary ones don't.  Every window of a text is compressed with both; the bytes that
-the toxic dictionary saves are the window's distance.  A document's distance is that of its most toxic window, and
-held-back labelled texts calibrate distances to probabilities (monotonely, so any threshold on one is a threshold on
-the other).
+Two zstandard dictionaries are trained on bounded samples of labelled texts: one on windows of ordinary texts, one on
+toxic texts reduced to the words that recur in them and hardly in ordinary ones (unreduced, the trainer spends the
+dictionary on words that both share).  Every window of a text is compressed with the ordinary dictionary and with both;
+the bytes that the toxic one saves are the window's distance.  A document's distance is that of its most toxic window,
+and held-back labelled texts calibrate distances to probabilities (monotonely, so any threshold on one is a threshold
+on the other).
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,56 +31,42 @@ FIT_TOXIC, FIT_ORDINARY, CALIBRATE = 1000, 1500, 4000
 SAMPLE_TEXT_BYTES = 40_000
 WINDOW, STRIDE = 140, 70
 ORDINARY_BYTES, TOXIC_BYTES = 7500, 1024
-#: a piece is telling if this share of toxic texts holds it, and it is so many times as frequent there
+#: the ordinary dictionary trains on at most so many windows, drawn by hash from all of its texts
+TRAIN_WINDOWS = 40_000
+#: a word recurs in toxic texts if this share of them holds it, and it is so many times as frequent there
 TELL_SHARE, TELL_RATIO = 0.03, 20
 TOP = 24
 
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_SIZES = (5, 6, 7, 8, 9, 10, 11, 12)
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 def _held(doc_id: str, folds: int = 4, out: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == out, F.lit(False))
 
 
-def _grams(word: bytes, sizes) -> set[bytes]:
-    return {word[i: i + n] for n in sizes for i in range(len(word) - n + 1)}
+def telling_words(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
+    """Whole words that many toxic texts share and ordinary texts lack."""
+    ones, zeros = (Counter(w for text in texts for w in set(_WORD.findall(text))) for texts in (toxic, ordinary))
+    least = max(3.0, TELL_SHARE * len(toxic))
+    return {w for w, n in ones.items() if n >= least and len(w) > 2
+            and n / len(toxic) > TELL_RATIO * (zeros[w] + 1) / (len(ordinary) + TELL_RATIO)}
 
 
-def telling_pieces(toxic: list[bytes], ordinary: list[bytes], budget: int = TOXIC_BYTES) -> list[bytes]:
-    """Pieces of words (with the space before) that many toxic texts share and ordinary texts lack, most useful first,
-    none inside another, at most ``budget`` bytes in all."""
+def toxic_content(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
+    """The content of a dictionary trained on toxic texts, each reduced to its telling words (or their end, where
+    there are too few to train)."""
     toxic, ordinary = sorted(set(toxic)), sorted(set(ordinary))
     if not toxic or not ordinary:
-        return []
-    least = max(3.0, TELL_SHARE * len(toxic))
-
-    def count(texts: list[bytes], sizes, only: set[bytes] | None = None, words: set[bytes] | None = None) -> Counter:
-        out: Counter = Counter()
-        for text in texts:
-            found: set[bytes] = set()
-            for w in set(_WORD.findall(text)):
-                w = b" " + w[:24]
-                if words is None or w in words:
-                    found |= _grams(w, sizes)
-            out.update(found if only is None else found & only)
-        return out
-
-    def telling(seen: Counter, texts: Counter) -> dict[bytes, int]:
-        return {g: n for g, n in seen.items() if n >= least
-                and n / len(toxic) > TELL_RATIO * (texts[g] + 1) / (len(ordinary) + TELL_RATIO)}
-
-    first = {g: n for g, n in count(toxic, (5,)).items() if n >= least}
-    short = telling(Counter(first), count(ordinary, (5,), set(first)))
-    words = {w for text in toxic for x in set(_WORD.findall(text)) if (w := b" " + x[:24]) and _grams(w, (5,)) & short.keys()}
-    longer = {g: n for g, n in count(toxic, _SIZES, None, words).items() if n >= least}
-    kept = telling(Counter(longer), count(ordinary, _SIZES, set(longer), words))
-    out, size = [], 0
-    for _, g in sorted((-n * (len(g) - 3), g) for g, n in kept.items()):
-        if size + len(g) <= budget and not any(g in p or p in g for p in out):
-            out.append(g)
-            size += len(g)
-    return out
+        return b""
+    words = telling_words(toxic, ordinary)
+    samples = [b" " + b" ".join(found) + b" " for text in toxic if (found := [w for w in _WORD.findall(text) if w in words])]
+    if not samples:
+        return b""
+    try:
+        # the trainer wants some volume
+        return zstandard.train_dictionary(TOXIC_BYTES + 256, samples * (1 + 20_000 // sum(map(len, samples))), k=16, d=6).as_bytes()[-TOXIC_BYTES:]
+    except zstandard.ZstdError:
+        return b"".join(samples)[-TOXIC_BYTES:]
 
 
 def _windows(text: bytes) -> list[bytes]:
@@ -87,7 +75,8 @@ def _windows(text: bytes) -> list[bytes]:
 
 def ordinary_content(texts: list[bytes]) -> bytes:
     """The content of a dictionary trained on ordinary windows (or their end, where there are too few to train)."""
-    samples = [x for text in texts for x in _windows(text)][:40_000]
+    windows = {x for text in texts for x in _windows(text)}
+    samples = sorted(windows, key=lambda x: (xxhash.xxh64_intdigest(x, 3), x))[:TRAIN_WINDOWS]
     try:
         return zstandard.train_dictionary(8192, samples, k=32, d=8).as_bytes()[-ORDINARY_BYTES:]
     except zstandard.ZstdError:
@@ -175,8 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     sample = (texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "use").agg(F.min("text").alias("text")))
     got = sample.where("use").select("label", "text").toArrow().to_pylist()
     by = {k: [r["text"].translate(_LOWER).encode() for r in got if r["label"] == k] for k in (0, 1)}
-    pieces_found = telling_pieces(by[1], by[0])
-    model = ToxicityModel(ordinary_content(sorted(by[0])), b"".join(reversed(pieces_found)), [])
+    model = ToxicityModel(ordinary_content(by[0]), toxic_content(by[1], by[0]), [])
     seen = (distances(sample.where("not use").select("label", "text"), model)
             .groupBy(F.least(F.greatest("distance", F.lit(0)), F.lit(TOP)).alias("at"), "label").count().collect())
     model.by_distance = calibrated({(r["at"], r["label"]): r["count"] for r in seen})
