@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
 PIECE_BYTES = 1 << 20
@@ -34,6 +35,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: rows of short keys up to which a written table is sent to every task (some 20 MB)
+SENT_ROWS = 1 << 18
+
+
+def sent_if_small(keys: DataFrame) -> DataFrame:
+    """A written table of short keys, for the small side of a join: broadcast if it has at most SENT_ROWS rows, so that
+    texts stay where they are; else left to the planner."""
+    return F.broadcast(keys) if keys.count() <= SENT_ROWS else keys
+
+
 def plus(df: DataFrame, name: str, kind: DataType) -> tuple[DataFrame, StructType]:
     """``df`` without a column ``name``, and its schema with one at the end."""
     df = df.drop(name) if name in df.columns else df

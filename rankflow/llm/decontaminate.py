@@ -15,8 +15,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.llm.arrowtext import ALNUM, ASCII_LOWER, RollingHash, fresh, mix, pieces, word_array, words
+from rankflow.llm.arrowtext import ALNUM, ASCII_LOWER, RollingHash, fresh, mix, pieces, sent_if_small, word_array, words
 from rankflow.llm.bloom import BitFilter, bit_filter
+from rankflow.session import work_dir
 
 SPAN, GRAM = 13, 5
 
@@ -176,15 +177,22 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.minimum(np.diff(w.first), SPAN)))], names=["n"])
 
     fams = families([r["n"] for r in items.select("text").mapInArrow(lengths, "n long").distinct().collect()])
-    prints = item_fingerprints(items, fams)
+    folder = work_dir(spark, "contamination")
+    item_fingerprints(items, fams).write.parquet(f"{folder}/prints")
+    prints = spark.read.parquet(f"{folder}/prints")
     known = spark.sparkContext.broadcast(bit_filter(prints, "h", prints.count()))
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
-    near = candidates(rows, fams, known).select("_row", "doc_id", "n_words", F.explode_outer("near").alias("w"))
-    hits = (near.select("_row", "doc_id", "n_words", "w.at", "w.n", "w.key")
+    candidates(rows, fams, known).write.parquet(f"{folder}/near")
+    near = spark.read.parquet(f"{folder}/near")
+    # most documents have no candidate: they need no join
+    none = near.where(F.size("near") == 0).select(
+        "_row", "doc_id", "n_words", F.array().cast("array<struct<at:int,n:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    hits = (near.where(F.size("near") > 0).select("_row", "doc_id", "n_words", F.explode("near").alias("w"))
+            .select("_row", "doc_id", "n_words", "w.at", "w.n", "w.key")
             .join(item_windows(items, fams), "key", "left")
             .groupBy("_row", "doc_id", "n_words")
             .agg(F.array_sort(F.collect_set(F.when(F.col("item_id").isNotNull(), F.struct("at", "n")))).alias("spans"),
-                 F.array_sort(F.collect_set("item_id")).alias("items")))
+                 F.array_sort(F.collect_set("item_id")).alias("items"))).unionByName(none)
     n_hit = _covered(F.col("spans"))
     return hits.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
@@ -197,6 +205,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     row = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text"))
     key = fresh(docs, "row_key")
     keyed = docs.withColumn(key, row)
-    bad = contamination(keyed.select(F.col(key).alias("doc_id"), "text"), items).where("contaminated") \
-        .select(F.col("doc_id").alias(key)).distinct()
-    return keyed.join(bad, key, "left_anti").select(*docs.columns)
+    folder = work_dir(docs.sparkSession, "contaminated")
+    contamination(keyed.select(F.col(key).alias("doc_id"), "text"), items).where("contaminated").select(
+        F.col("doc_id").alias(key)).distinct().write.parquet(folder)
+    return keyed.join(sent_if_small(docs.sparkSession.read.parquet(folder)), key, "left_anti").select(*docs.columns)

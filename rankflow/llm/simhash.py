@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, MapType
 
-from rankflow.llm.arrowtext import ASCII_LOWER, NOT_SPACE, fresh, pieces, plus, word_array, words
+from rankflow.llm.arrowtext import ASCII_LOWER, NOT_SPACE, fresh, pieces, plus, sent_if_small, word_array, words
 from rankflow.llm.components import connected_components
 from rankflow.session import work_dir
 
@@ -171,14 +171,18 @@ def keep_first(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     comps = connected_components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
     firsts = (nodes.join(comps, "fp", "left").groupBy(F.coalesce("component", "fp").alias("component"))
               .agg(F.min("first").alias("first")).select("first.doc_id", "first._digest"))
-    copies = rows.groupBy("doc_id", "_digest").agg(F.count("*").alias("n"))
-    on = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a[digest if digest in a.columns else "_digest"] == b["_digest"])
-    repeated = copies.where("n > 1")
-    firsts_once = firsts.join(repeated, on(firsts, repeated), "left_anti")
-    firsts_more = firsts.join(repeated, on(firsts, repeated), "left_semi")
-    once = docs.join(firsts_once, on(docs, firsts_once), "left_semi")
-    more = docs.join(firsts_more, on(docs, firsts_more), "left_semi").dropDuplicates(["doc_id", digest])
-    return once.union(more).select(*names)
+    # names of rows that go, and of first rows that are there several times
+    named = rows.groupBy("doc_id", "_digest").agg(F.count("*").alias("n"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a[digest] == b["_digest"])
+    spark, first = docs.sparkSession, firsts.toDF("_id", "_d")
+    met = named.join(first, named["doc_id"].eqNullSafe(first["_id"]) & (named["_digest"] == first["_d"]), "left")
+    met.where("_d IS NULL OR n > 1").select("doc_id", "_digest", F.col("_d").isNotNull().alias("first")).write.parquet(f"{folder}-names")
+    odd = spark.read.parquet(f"{folder}-names")
+    out = docs.join(sent_if_small(odd), same(docs, odd), "left_anti")
+    again = odd.where("first")
+    if again.take(1):
+        out = out.unionByName(docs.join(sent_if_small(again), same(docs, again), "left_semi").dropDuplicates(["doc_id", digest]))
+    return out.select(*names)
 
 
 def hex16(fp: Column) -> Column:
