@@ -20,9 +20,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: whole texts go to Python workers in batches of so many rows; some MB, on top of an executor's heap
+BATCH_ROWS = "1000"
+
+
+def _ready(spark: SparkSession) -> None:
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression distance, calibrated on the labelled ones, scores under 0.3."""
-    ship_package(spark)
+    _ready(spark)
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
     score = fresh(docs, "toxicity")
     return toxicity.scored(docs, model, score).where(F.col(score) < 0.3).select(*docs.columns)
@@ -30,19 +39,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of SimHash near-duplicates."""
-    ship_package(spark)
+    _ready(spark)
     return simhash.keep_first(docs, shingle=4, radius=4)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark share of a twentieth of their words."""
-    ship_package(spark)
+    _ready(spark)
     return decontaminate.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of personal data replaced by its kind; n_chars follows the text."""
-    ship_package(spark)
+    _ready(spark)
     masked = pii.mask(docs)
     if "n_chars" not in docs.columns:
         return masked
@@ -52,7 +61,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether they decode to it."""
-    ship_package(spark)
+    _ready(spark)
     done = bpe_codec.round_trip(docs, BYTE_BPE)
     return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
