@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from rankflow.llm.arrowtext import plus
-from rankflow.llm.bpe import KEEP_CHARS, KEEP_ENTRIES, tables
+from rankflow.llm.bpe import KEEP_CHARS, tables
 
 NEVER = 1 << 60
+#: pre-tokens, and pairs, remembered at a time
+KEEP_ENTRIES = 200_000
 
 
 class PrefixEncoder(dict):
