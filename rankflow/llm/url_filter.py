@@ -127,7 +127,8 @@ class UrlModel:
 
     def score(self) -> Column:
         """Log odds of allow of a row with the feature columns; 0 without trees."""
-        return _walk(self.trees, F.array(*NAMES))
+        # the lambda's argument is evaluated once; written into the walk, the features would be at every step
+        return F.transform(F.array(F.array(*NAMES)), lambda vector: _walk(self.trees, vector))[0]
 
 
 NAMES = ["f_length", "f_host_length", "f_path_length", "f_depth", "f_labels", "f_digits", "f_path_digits", "f_entropy",
