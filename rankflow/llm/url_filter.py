@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rankflow.session import work_dir
 
 #: (host, path) rules with their verdict; a rule fits its host and all subdomains
-RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "allow"),
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 #: at most so many labelled urls fit the trees, taken by a hash of the url
