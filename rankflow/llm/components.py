@@ -18,15 +18,16 @@ def _written(df: DataFrame, folder: str) -> DataFrame:
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Large: every node links its larger neighbours to the smallest of itself and its neighbours.  Small: it links
-    itself and its smaller neighbours to the smallest of them."""
+    itself and its smaller neighbours to the smallest of them.  (Merge joins: a broadcast of the nodes would pass the
+    driver.)"""
     if large:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-        out = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        out = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
     else:
         down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("least"))
-        out = (down.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        out = (down.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
                .union(least.select("a", F.col("least").alias("b"))))
     return out.where("a <> b").distinct()
 

@@ -111,6 +111,8 @@ def links(distinct: DataFrame, radius: int, pairwise: int = PAIRWISE) -> DataFra
     """Edges (a, b) between distinct fingerprints (column fp) such that two of them are connected by edges exactly if
     they are connected by links of at most ``radius`` bits; every edge is such a link.
 
+    No side of a join here or below has a bound that suits the driver, so all are merge joins and none is broadcast.
+
     Buckets of up to ``pairwise`` fingerprints give their linked pairs.  In larger ones two fingerprints within
     ``radius`` bits share a value within radius // 2 and radius - radius // 2 bits; for an even radius each
     fingerprint names all values within half the radius, and links to the smallest fingerprint that names the same."""
@@ -118,20 +120,20 @@ def links(distinct: DataFrame, radius: int, pairwise: int = PAIRWISE) -> DataFra
                        for i, m in enumerate(covering_masks(radius))])
     dealt = distinct.select("fp", F.explode(tables).alias("x")).select("x.t", "x.key", "fp")
     sizes = dealt.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = dealt.join(sizes, ["t", "key"])
+    shared = dealt.join(sizes.hint("merge"), ["t", "key"])
     folder = work_dir(distinct.sparkSession, "simhash-shared")
     shared.write.mode("overwrite").parquet(folder)
     shared = distinct.sparkSession.read.parquet(folder)
     small = shared.where(F.col("n") <= pairwise)
     a, b = small.select("t", "key", F.col("fp").alias("a")), small.select("t", "key", F.col("fp").alias("b"))
-    edges = a.join(b, ["t", "key"]).where((F.col("a") < F.col("b")) & _near(F.col("a"), F.col("b"), radius)) \
+    edges = a.join(b.hint("merge"), ["t", "key"]).where((F.col("a") < F.col("b")) & _near(F.col("a"), F.col("b"), radius)) \
         .select("a", "b")
     crowded = shared.where(F.col("n") > pairwise).select("fp").distinct()
     if radius % 2:
         raise ValueError("an even radius is needed")
     named = crowded.select("fp", F.explode(_flips(F.col("fp"), radius)).alias("mid"))
     least = named.groupBy("mid").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1")
-    via = named.join(least, "mid").where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    via = named.join(least.hint("merge"), "mid").where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
     return edges.union(via).distinct()
 
 
@@ -149,11 +151,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, text: st
     rows = spark.read.parquet(folder)
     nodes = rows.groupBy("fp").agg(F.min(doc_id).alias("_least"))
     comps = connected_components(links(nodes.select("fp"), radius))
-    labelled = nodes.join(comps.withColumnRenamed("node", "fp"), "fp", "left") \
+    labelled = nodes.join(comps.withColumnRenamed("node", "fp").hint("merge"), "fp", "left") \
         .select("fp", "_least", F.coalesce("component", "fp").alias("_comp"))
     ids = labelled.groupBy("_comp").agg(F.min("_least").alias("component_id"))
-    names = labelled.join(ids, "_comp").select("fp", "component_id")
-    return rows.join(names, "fp").select(doc_id, "fp", "component_id")
+    names = labelled.join(ids.hint("merge"), "_comp").select("fp", "component_id")
+    return rows.join(names.hint("merge"), "fp").select(doc_id, "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -169,13 +171,13 @@ def keep_first(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
         F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_digest")).alias("first"),
     )
     comps = connected_components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    firsts = (nodes.join(comps, "fp", "left").groupBy(F.coalesce("component", "fp").alias("component"))
+    firsts = (nodes.join(comps.hint("merge"), "fp", "left").groupBy(F.coalesce("component", "fp").alias("component"))
               .agg(F.min("first").alias("first")).select("first.doc_id", "first._digest"))
     # names of rows that go, and of first rows that are there several times
     named = rows.groupBy("doc_id", "_digest").agg(F.count("*").alias("n"))
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a[digest] == b["_digest"])
     spark, first = docs.sparkSession, firsts.toDF("_id", "_d")
-    met = named.join(first, named["doc_id"].eqNullSafe(first["_id"]) & (named["_digest"] == first["_d"]), "left")
+    met = named.join(first.hint("merge"), named["doc_id"].eqNullSafe(first["_id"]) & (named["_digest"] == first["_d"]), "left")
     met.where("_d IS NULL OR n > 1").select("doc_id", "_digest", F.col("_d").isNotNull().alias("first")).write.parquet(f"{folder}-names")
     odd = spark.read.parquet(f"{folder}-names")
     out = docs.join(sent_if_small(odd), same(docs, odd), "left_anti")

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rankflow.llm import decontaminate, simhash, suffix_dedup
+from rankflow.llm import components, decontaminate, simhash, suffix_dedup
 from rankflow.llm.components import connected_components
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -245,3 +245,13 @@ def test_stretches_do_not_change_runs(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "STRETCH", 100)
     assert suffixes() == whole
     assert set(whole) == {(t, s) for t, x in enumerate(texts) for s in range(len(x) - 49)}
+
+
+def test_simhash_joins_are_not_sent_through_the_driver(spark, docs_of):
+    docs = docs_of([(i, f"one two three four five{i // 2} six") for i in range(60)])
+    found = simhash.near_duplicates(docs)
+    edges = simhash.links(spark.range(0, 64).selectExpr("id fp"), 4, 8)
+    stars = [components._star(spark.range(50).selectExpr("id a", "id + 1 b"), large) for large in (True, False)]
+    for df in (found, edges, *stars):
+        assert df.collect()
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
