@@ -47,8 +47,12 @@ def test_an_arrival_is_as_many_files_as_cores(spark):
 
 def test_rows_out_of_many_state_partitions_are_one_batch_of_the_next_stream(spark):
     out = work_dir(spark, "chained")
-    for k in range(3):
-        _put_whole(spark.range(k * 100, k * 100 + 100).repartition(40), out, k)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as inside a micro-batch
+    try:
+        for k in range(3):
+            _put_whole(spark.range(k * 100, k * 100 + 100).repartition(40), out, k)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
     batches = []
     bindings._run(batches_of(spark, out, "id long", 16).writeStream.foreachBatch(lambda b, k: batches.append(b.count()))
                   .option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start())
