@@ -32,10 +32,14 @@ CLASSES = HEADS + ENDINGS
 #: rows of the weight table: previous word, word before it, and the two pairs of neighbouring classes before a token
 PREVIOUS, SKIP, PAIR = 1 << 13, 1 << 12, CLASSES * CLASSES
 ROWS = PREVIOUS + SKIP + 2 * PAIR
+#: first row and number of rows of each feature
+FEATURES = ((0, PREVIOUS), (PREVIOUS, SKIP), (PREVIOUS + SKIP, PAIR), (PREVIOUS + SKIP + PAIR, PAIR))
 ROUNDS, STEP, DAMPING, LARGEST = 3, 0.45, 2.0, 4.0
 #: the end of a text as a token; no word is empty
 END = b""
 BATCH = 1 << 12
+#: tokens whose gradient is added up together
+GROUP = 1 << 14
 BLOCKS = 64
 
 
@@ -43,6 +47,47 @@ def _fold(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")), F.lit(0))
 
 
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all words, one after the other, and where each begins (and the last one ends)."""
+    cut = np.frombuffer(words.buffers()[1], np.int64)[words.offset:][: len(words) + 1]
+    raw = words.buffers()[2]
+    return np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8), cut
+
+
+class _Ranks:
+    """Place of words in ``top``, found by hash and compared byte by byte."""
+
+    def __init__(self, top: pa.Array):
+        self.top, self.end = top, pc.index_in(pa.scalar(END, pa.large_binary()), value_set=top).as_py()
+        if len(top):
+            raw, cut = _bytes_of(top)
+            hashed = RollingHash(raw).of(cut[:-1], cut[1:])
+            self.order = np.argsort(hashed, kind="stable")
+            self.hashed = hashed[self.order]
+
+    def of(self, words: pa.Array, hashed: np.ndarray) -> np.ndarray:
+        """The place of each word, -1 if it has none."""
+        if not len(self.top):
+            return np.full(len(words), -1)
+        near = np.minimum(np.searchsorted(self.hashed, hashed), len(self.hashed) - 1)
+        same = np.flatnonzero(self.hashed[near] == hashed)
+        rank = np.full(len(words), -1)
+        rank[same] = self.order[near[same]]
+        if not pc.all(pc.equal(self.top.take(pa.array(rank[same])), words.take(pa.array(same)))).as_py():  # words with one hash
+            rank = pc.index_in(words, value_set=self.top).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        return rank
+
+
+_ranks_of: list[_Ranks] = []
+
+
+def _ranks(top: pa.Array) -> _Ranks:
+    """Kept for the task, which has one ``top``."""
+    if not _ranks_of or _ranks_of[0].top is not top:
+        _ranks_of[:] = [_Ranks(top)]
+    return _ranks_of[0]
+
+
 class Tokens:
     """The tokens of some texts in order, each text with its end: identity, hash and class."""
 
@@ -57,19 +102,19 @@ class Tokens:
         self.doc = np.repeat(np.arange(n), self.counts)
         ids, self.distinct = number(word_array(data, starts, ends, inside)) if len(starts) else (
             starts, pa.array([], pa.large_binary()))
-        rank = pc.index_in(self.distinct, value_set=top).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        end_rank = pc.index_in(pa.scalar(END, pa.large_binary()), value_set=top).as_py()
+        ranks = _ranks(top)
         self.id = np.full(size, -1)
         self.id[at] = ids
-        self.rank = np.full(size, -1 if end_rank is None else end_rank)
-        self.rank[at] = rank[ids]
+        self.rank = np.full(size, -1 if ranks.end is None else ranks.end)
         self.hash = np.zeros(size, np.uint64)
-        if len(starts):
-            self.hash[at] = RollingHash(data).of(starts, ends)
-        last = np.zeros(size, np.int64)
-        if len(starts):
-            last[at] = data[ends - 1].astype(np.int64) << 8 | np.where(ends - starts > 1, data[ends - 2], 0)
-        self.kind = classes(self.rank, last)
+        self.kind = np.full(size, classes(self.rank[self.ends[:1]], np.zeros(1, np.int64))[0] if n else 0)
+        if len(starts):  # hash, rank and class depend on the word alone
+            raw, cut = _bytes_of(self.distinct)
+            hashed = RollingHash(raw).of(cut[:-1], cut[1:])
+            rank = ranks.of(self.distinct, hashed)
+            self.hash[at], self.rank[at] = hashed[ids], rank[ids]
+            last = raw[cut[1:] - 1].astype(np.int64) << 8 | np.where(np.diff(cut) > 1, raw[cut[1:] - 2], 0)
+            self.kind[at] = classes(rank, last)[ids]
 
     def features(self) -> list[np.ndarray]:
         """Row of the weight table for each feature of each token's history; before a text lies its end."""
@@ -130,18 +175,25 @@ class MaxentModel:
     def gradient(self, t: Tokens, into: np.ndarray, times: np.ndarray) -> None:
         """Adds observed minus expected classes to the row of every feature, and how often each row fires."""
         rows, ones = t.features(), np.ones(CLASSES, np.float32)
-        for a in range(0, len(t.kind), BATCH):
-            part = slice(a, a + BATCH)
-            p = self.logits(rows, part)
-            np.exp(p, out=p)
-            p /= -(p @ ones)[:, None]
-            p[np.arange(len(p)), t.kind[part]] += 1
-            for r in rows:
-                order = np.argsort(r[part].astype(np.uint16), kind="stable")  # ROWS fit; a radix sort
-                sorted_rows = r[part][order]
-                begin = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-                into[sorted_rows[begin]] += np.add.reduceat(p[order], begin, axis=0)
-                times[sorted_rows[begin]] += np.diff(np.append(begin, len(order)))
+        slope = np.zeros((CLASSES, ROWS))
+        for a in range(0, len(t.kind), GROUP):
+            own = [r[a: a + GROUP] - base for r, (base, _) in zip(rows, FEATURES, strict=True)]
+            by_class = np.empty((CLASSES, len(own[0])), np.float32)
+            for b in range(0, len(own[0]), BATCH):
+                part = slice(a + b, min(a + b + BATCH, a + GROUP))
+                p = self.logits(rows, part)
+                np.exp(p, out=p)
+                p /= -(p @ ones)[:, None]
+                p[np.arange(len(p)), t.kind[part]] += 1
+                by_class[:, b: b + BATCH] = p.T
+            # class by class: sums of one column by row take a single pass, in double precision
+            for k in range(CLASSES):
+                weights = by_class[k].astype(np.float64)
+                for r, (base, size) in zip(own, FEATURES, strict=True):
+                    slope[k, base: base + size] += np.bincount(r, weights=weights, minlength=size)
+            for r, (base, size) in zip(own, FEATURES, strict=True):
+                times[base: base + size] += np.bincount(r, minlength=size)
+        into += slope.T
 
 
 def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:

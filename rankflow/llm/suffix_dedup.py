@@ -21,6 +21,8 @@ from rankflow.llm.bloom import bit_filter
 from rankflow.session import release, work_dir
 
 SPAN, GRAM = 50, 20
+#: texts are hashed together up to so many bytes, which a core's cache holds with the numbers made of them
+BLOCK = 1 << 16
 #: a longer text is cut into stretches of so many suffixes (their strings overlap, the suffixes don't)
 STRETCH = 1 << 21
 
@@ -40,9 +42,9 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     hashed = RollingHash(data)
     found: list[tuple[np.ndarray, ...]] = []
     a = 0
-    # whole texts together, up to STRETCH bytes; a longer text by stretches
+    # whole texts together, up to BLOCK bytes; a longer text alone, by stretches
     while a < len(offsets) - 1:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + STRETCH, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + min(BLOCK, STRETCH), "right")) - 1)
         for low in range(int(offsets[a]), max(int(offsets[a]) + 1, int(offsets[b])), STRETCH):
             high = min(low + STRETCH + SPAN - 1, int(offsets[b])) if b == a + 1 else int(offsets[b])
             if high - low >= SPAN:
@@ -59,11 +61,12 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _runs(hashed: RollingHash, low: int, high: int, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    at = np.arange(low, high - GRAM + 1)
-    grams = hashed.of(at, at + GRAM)
-    place = np.arange(len(at), dtype=np.uint64)
+    grams = hashed.windows(low, high, GRAM)
     mark = np.uint64(22)
-    best = _least((grams >> mark << mark) | place, SPAN - GRAM + 1)
+    best = grams >> mark
+    best <<= mark
+    best |= np.arange(len(grams), dtype=np.uint64)
+    best = _least(best, SPAN - GRAM + 1)
     anchor = (best & np.uint64((1 << 22) - 1)).astype(np.int64)
     start = np.arange(low, low + len(best))
     inside = np.ones(len(best), bool)  # suffixes that have SPAN bytes left in their text

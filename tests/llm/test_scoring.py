@@ -446,3 +446,44 @@ def test_lm_history_reaches_three_tokens_back():
     assert lm.CLASSES == 64 and len(rows[0]) == 4
     at = 3  # its last three tokens differ in the third one only, and that one is a class of its own
     assert [a[at] == b[at] for a, b in zip(*rows, strict=True)] == [True, True, True, False]
+
+
+def test_lm_looks_top_words_up_in_one_table(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    top = pa.array([b"", *(b"w%d" % i for i in range(3000))], pa.large_binary())
+    texts = [" ".join(f"w{(i * k) % 4000}" for i in range(400)).encode() for k in (3, 7, 11, 13)]
+    made, index_in = [], lm.pc.index_in
+    monkeypatch.setattr(lm.pc, "index_in", lambda x, value_set: (made.append(x), index_in(x, value_set=value_set))[1])
+    tokens = [lm.Tokens(np.frombuffer(t, np.uint8), np.array([0, len(t)]), top) for t in texts]
+    assert len(made) <= 1  # not once a piece of texts: that reads all top words again
+    place = {w: i for i, w in enumerate(top.to_pylist())}
+    wanted = [[*(place.get(w, -1) for w in t.split()), 0] for t in texts]
+    assert [t.rank.tolist() for t in tokens] == wanted
+    # words with one hash are told apart by their bytes
+    monkeypatch.setattr(lm.RollingHash, "of", lambda self, starts, ends: np.zeros(len(starts), np.uint64))
+    monkeypatch.setattr(lm, "_ranks_of", [])
+    assert lm.Tokens(np.frombuffer(texts[0], np.uint8), np.array([0, len(texts[0])]), top).rank.tolist() == wanted[0]
+
+
+def test_lm_gradient_is_observed_minus_expected(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    monkeypatch.setattr(lm, "BATCH", 8)
+    monkeypatch.setattr(lm, "GROUP", 24)
+    rng = np.random.default_rng(2)
+    model = lm.MaxentModel(pa.array([b"", *(b"w%d" % i for i in range(30))], pa.large_binary()), np.ones(31), 31, 31, np.ones(lm.CLASSES),
+                           rng.normal(size=(lm.ROWS, lm.CLASSES)).astype(np.float32), np.zeros(lm.CLASSES, np.float32))
+    text = b" ".join(b"w%d" % i for i in rng.integers(0, 40, 100))
+    t = lm.Tokens(np.frombuffer(text, np.uint8), np.array([0, 50, 50, len(text)]), model.top)
+    rows = t.features()
+    z = np.exp(model.logits(rows, slice(0, len(t.kind))).astype(np.float64))
+    left = -z / z.sum(axis=1, keepdims=True)
+    left[np.arange(len(left)), t.kind] += 1
+    slope, fired = np.zeros((lm.ROWS, lm.CLASSES)), np.zeros(lm.ROWS)
+    for r in rows:
+        np.add.at(slope, r, left)
+        np.add.at(fired, r, 1)
+    into, times = np.zeros((lm.ROWS, lm.CLASSES), np.float32), np.zeros(lm.ROWS, np.float32)
+    model.gradient(t, into, times)
+    assert np.allclose(into, slope, atol=1e-4) and (times == fired).all()
