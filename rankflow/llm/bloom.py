@@ -1,6 +1,6 @@
 """A bounded membership filter that a job may broadcast whatever the size of the set.
 
-The bit array never exceeds ``MAX_BITS`` (8 MB).  It only thins out rows before an exact join, so a set too large for
+The bit array never exceeds ``MAX_BITS`` (64 MB).  It only thins out rows before an exact join, so a set too large for
 it costs shuffle, not rows.
 """
 
@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from rankflow.llm.arrowtext import mix
 
-MIN_BITS, MAX_BITS = 1 << 16, 1 << 26
+MIN_BITS, MAX_BITS = 1 << 16, 1 << 29
+#: at 12 bits a key one strange key in 43 passes
+BITS_A_KEY = 12
 _SECOND = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,7 +43,7 @@ def bit_filter(keys: DataFrame, column: str, n: int) -> BitFilter:
     """The filter of a column of 64-bit keys, ``n`` of them (to choose its size).  Bits are or-ed by Spark; the driver
     gets at most MAX_BITS / 64 words."""
     bits = MIN_BITS
-    while bits < 24 * n and bits < MAX_BITS:
+    while bits < BITS_A_KEY * n and bits < MAX_BITS:
         bits *= 2
     words = np.zeros(bits // 64, np.uint64)
 

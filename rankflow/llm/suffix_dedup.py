@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.llm.arrowtext import RollingHash, mix, pieces
+from rankflow.llm.arrowtext import RollingHash, flat, mix, pieces
 from rankflow.llm.bloom import bit_filter
 from rankflow.session import release, work_dir
 
@@ -105,9 +106,14 @@ def shared_digits(docs: DataFrame) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         h, least, most = h[first], np.minimum.reduceat(least, first), np.maximum.reduceat(most, first)
         cut = np.flatnonzero(np.concatenate([[True], (h[1:] >> shift) != (h[:-1] >> shift)]))
+        # mostly one document: the difference is zero then, which compresses to nothing
+        least, most = narrow(least), narrow(most - least)
         blocks = [[x.tobytes() for x in np.split(col, cut[1:])] for col in (h, least, most)]
         return pa.RecordBatch.from_arrays([pa.array((h[cut] >> shift).astype(np.int64)),
-                                           *(pa.array(b, pa.binary()) for b in blocks)], names=["bucket", "h", "least", "most"])
+                                           *(pa.array(b, pa.binary()) for b in blocks)], names=["bucket", "h", "least", "more"])
+
+    def narrow(x: np.ndarray) -> np.ndarray:
+        return x.astype(np.int32) if len(x) and -1 << 31 <= x.min() and x.max() < 1 << 31 else x
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, size = [], 0
@@ -126,9 +132,9 @@ def shared_digits(docs: DataFrame) -> DataFrame:
         blocks: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for batch in batches:
             for i, bucket in enumerate(batch.column("bucket").to_pylist()):
-                blocks.setdefault(bucket, []).append(tuple(
-                    np.frombuffer(batch.column(c)[i].as_buffer(), kind).copy()
-                    for c, kind in (("h", np.uint64), ("least", np.int64), ("most", np.int64))))
+                h, least, more = (batch.column(c)[i].as_buffer() for c in ("h", "least", "more"))
+                least, more = (np.frombuffer(x, np.int64 if x.size == h.size else np.int32).astype(np.int64) for x in (least, more))
+                blocks.setdefault(bucket, []).append((np.frombuffer(h, np.uint64).copy(), least, least + more))
         for bucket in list(blocks):
             h, least, most = (np.concatenate(x) for x in zip(*blocks.pop(bucket), strict=True))
             order = np.argsort(h, kind="stable")
@@ -137,7 +143,7 @@ def shared_digits(docs: DataFrame) -> DataFrame:
             both = np.minimum.reduceat(least, first) < np.maximum.reduceat(most, first)
             yield pa.RecordBatch.from_arrays([pa.array(h[first][both].view(np.int64))], names=["h"])
 
-    dealt = docs.mapInArrow(run, "bucket long, h binary, least binary, most binary")
+    dealt = docs.mapInArrow(run, "bucket long, h binary, least binary, more binary")
     return dealt.repartition("bucket").mapInArrow(meet, "h long")
 
 
@@ -177,37 +183,50 @@ def _kept(batches: Iterator[pa.RecordBatch], keep) -> Iterator[tuple[_Distinct,
 
 
 def distinct_runs(docs: DataFrame, known) -> DataFrame:
-    """Distinct run contents whose digit passes the filter: digit (h), hash of the content (c), number of suffixes,
-    place of the digit, least and largest document, whether the digit has other contents too, and filter keys."""
+    """Distinct run contents whose digit occurs in documents with different ids: digit (h), hash of the content (c),
+    least and largest document, and whether the digit has other contents too.
+
+    The filter only thins out what is dealt; digits that it lets through by chance are dropped here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for d, _ in _kept(batches, lambda digit, whole, doc: known.value.holds(digit)):
-            yield pa.RecordBatch.from_arrays([*d.columns(), pa.array(np.minimum.reduceat(d.doc, d.first)),
+            yield pa.RecordBatch.from_arrays([*d.columns()[:2], pa.array(np.minimum.reduceat(d.doc, d.first)),
                                               pa.array(np.maximum.reduceat(d.doc, d.first))],
-                                             names=["h", "c", "n", "a", "least", "most"])
+                                             names=["h", "c", "least", "most"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(got) if (got := list(batches)) else None
         if table is None or not table.num_rows:
             return
-        h, c, n, a, least, most = (table[x].to_numpy() for x in ("h", "c", "n", "a", "least", "most"))
+        h, c, least, most = (table[x].to_numpy() for x in ("h", "c", "least", "most"))
         order = np.lexsort((c, h))
-        h, c, n, a, least, most = (x[order] for x in (h, c, n, a, least, most))
+        h, c, least, most = (x[order] for x in (h, c, least, most))
         first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
         least, most = np.minimum.reduceat(least, first), np.maximum.reduceat(most, first)
-        h, c, n, a = (x[first] for x in (h, c, n, a))
+        h, c = h[first], c[first]
         begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         size = np.diff(np.append(begin, len(h)))
-        key = _key(h.view(np.uint64), c.view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
-            h, c, n, a, least, most, np.repeat(size > 1, size), key.view(np.int64),
-            mix(key ^ least.view(np.uint64)).view(np.int64))], names=_DISTINCT_NAMES)
+        shared = np.repeat(np.minimum.reduceat(least, begin) < np.maximum.reduceat(most, begin), size)
+        yield pa.RecordBatch.from_arrays([pa.array(x[shared]) for x in (h, c, least, most, np.repeat(size > 1, size))],
+                                         names=["h", "c", "least", "most", "crowded"])
+
+    return docs.mapInArrow(run, "h long, c long, least long, most long").repartition("h").mapInArrow(
+        meet, "h long, c long, least long, most long, crowded boolean")
 
-    return docs.mapInArrow(run, "h long, c long, n int, a int, least long, most long").repartition("h").mapInArrow(
-        meet, "h long, c long, n int, a int, least long, most long, crowded boolean, run_key long, first_key long")
 
+def run_keys(runs: DataFrame) -> DataFrame:
+    """The key of each run (h, c), and with a document (least) the key of the run in it."""
+    in_document = "least" in runs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, c = (batch.column(x).to_numpy().view(np.uint64) for x in ("h", "c"))
+            key = _key(h, c)
+            if in_document:
+                key = mix(key ^ batch.column("least").to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
 
-_DISTINCT_NAMES = ["h", "c", "n", "a", "least", "most", "crowded", "run_key", "first_key"]
+    return runs.mapInArrow(run, "key long")
 
 
 def first_contents(docs: DataFrame, wanted) -> DataFrame:
@@ -350,19 +369,21 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
         release(spark)
         return spark.read.parquet(f"{folder}/{name}")
 
-    def filter_of(df: DataFrame, column: str):
-        return spark.sparkContext.broadcast(bit_filter(df.select(column), column, df.count()))
+    def filter_of(keys: DataFrame, n: int):
+        return spark.sparkContext.broadcast(bit_filter(keys, keys.columns[0], n))
 
     digits = kept("digits", lambda: shared_digits(docs))
-    distinct = kept("distinct", lambda: distinct_runs(docs, filter_of(digits, "h")))
+    distinct = kept("distinct", lambda: distinct_runs(docs, filter_of(digits, digits.count())))
+    crowded, shared = distinct.where("crowded").select("h", "c", "least"), distinct.where("least < most").select("h", "c")
     suffixes = kept("suffixes", lambda: suffix_answers(
-        first_contents(docs, filter_of(distinct.where("crowded"), "first_key"))))
-    answers = kept("answers", lambda: distinct.select("h", "c", "least", "most", "run_key").join(
-        suffixes, ["h", "c"], "left").where("least < most or suffixes is not null"))
+        first_contents(docs, filter_of(run_keys(crowded), crowded.count()))))
 
     def spans() -> DataFrame:
-        places = run_places(docs, filter_of(answers, "run_key"))
-        met = places.join(answers.select("h", "c", "least", "suffixes"), ["h", "c"])
+        answered = shared.unionAll(suffixes.select("h", "c"))
+        places = run_places(docs, filter_of(run_keys(answered), answered.count()))
+        answers = distinct.select("h", "c", "least", "most").join(suffixes, ["h", "c"], "left").where(
+            "least < most or suffixes is not null").drop("most")
+        met = places.join(answers, ["h", "c"])
         return (met.select("n", "docs", "keys", "starts", "least", "suffixes")
                 .mapInArrow(_intervals, "doc_id long, key long, start long, end long")
                 .groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
@@ -384,11 +405,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, cut in zip(batch.column("text"), batch.column("spans"), strict=True):
-                raw = text.as_py().encode()
+            data, offsets = flat(batch.column("text"))
+            spans = batch.column("spans")
+            times = pc.fill_null(pc.list_value_length(spans), 0).to_numpy()
+            found = pc.list_flatten(spans)  # of a null no spans
+            start, end = (found.field(x).to_numpy() for x in ("start", "end"))
+            order = np.lexsort((end, start, np.repeat(np.arange(len(times)), times)))
+            cuts = list(zip(start[order].tolist(), end[order].tolist(), strict=True))
+            ends = np.cumsum(times).tolist()
+            for low, high, first, last in zip(offsets[:-1].tolist(), offsets[1:].tolist(), [0, *ends], ends, strict=False):
+                raw = data[low:high].tobytes()
                 at = removed = n = 0
                 kept = []
-                for a, b in sorted((x["start"], x["end"]) for x in cut.as_py() or []):
+                for a, b in cuts[first:last]:
                     if a > at or n == 0:
                         kept.append(raw[at:a])
                         n, at = n + 1, a

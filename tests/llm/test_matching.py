@@ -10,7 +10,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rankflow.llm import components, decontaminate, simhash, suffix_dedup
+from rankflow.llm import bloom, components, decontaminate, simhash, suffix_dedup
+from rankflow.llm.arrowtext import RollingHash
 from rankflow.llm.components import connected_components
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -247,6 +248,35 @@ def test_stretches_do_not_change_runs(monkeypatch):
     assert set(whole) == {(t, s) for t, x in enumerate(texts) for s in range(len(x) - 49)}
 
 
+def test_digits_of_one_document_are_dropped_whatever_the_filter_holds(spark, docs_of):
+    rnd = random.Random(8)
+    own = [(i, "".join(rnd.choice("abcdefgh ") for _ in range(400))) for i in range(40)]
+    rows = [*own, (40, "zz" + own[3][1]), (41, own[3][1] + "yy"), (5, own[5][1])]
+    docs = docs_of([(*r, 1) for r in rows], ", key int").selectExpr("cast(doc_id as long) doc_id", "cast(key as long) key", "text")
+    full = spark.sparkContext.broadcast(bloom.BitFilter(np.full(1024, ~np.uint64(0))))  # lets every digit through
+    got = suffix_dedup.distinct_runs(docs, full).collect()
+    texts = [t.encode() for _, t in rows]
+    digit, text, *_ = suffix_dedup.runs(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    holders = {}
+    for d, t in zip(digit.view(np.int64).tolist(), text.tolist(), strict=True):
+        holders.setdefault(d, set()).add(rows[t][0])
+    assert {r.h for r in got} == {d for d, ids in holders.items() if len(ids) > 1} and len(got) < 0.3 * len(holders)
+
+
+def test_filters_follow_their_number_of_keys(spark):
+    keys = spark.range(2000).selectExpr("xxhash64(id) k")
+    few = bloom.bit_filter(keys, "k", 20_000_000)  # as for the texts of some gigabytes
+    assert len(few.words) * 64 >= 12 * 20_000_000
+    assert few.holds(np.array([r.k for r in keys.collect()], np.int64).view(np.uint64)).all()
+
+
+@pytest.mark.parametrize("low, high", [(0, 500), (37, 90), (0, 20), (3, 10)])
+def test_windows_are_hashes_of_ranges(low, high):
+    data = np.random.default_rng(1).integers(0, 256, 500).astype(np.uint8)
+    hashed, at = RollingHash(data), np.arange(low, max(low, high - 19))
+    assert (hashed.windows(low, max(high, low + 19), 20) == hashed.of(at, at + 20)).all()
+
+
 def test_simhash_joins_are_not_sent_through_the_driver(spark, docs_of):
     docs = docs_of([(i, f"one two three four five{i // 2} six") for i in range(60)])
     found = simhash.near_duplicates(docs)
