@@ -6,6 +6,8 @@ it costs shuffle, not rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,23 +41,26 @@ class BitFilter:
         return (self.words[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def bit_filter(keys: DataFrame, column: str, n: int) -> BitFilter:
-    """The filter of a column of 64-bit keys, ``n`` of them (to choose its size).  Bits are or-ed by Spark; the driver
-    gets at most MAX_BITS / 64 words."""
+def bit_filter(rows: DataFrame, columns: str | list[str], n: int,
+               key: Callable[..., np.ndarray] | None = None) -> BitFilter:
+    """The filter of a column of 64-bit keys, ``n`` of them (to choose its size), or of what ``key`` makes of several
+    such columns (as unsigned numbers), in the task that sets the bits: one Python worker a task.  Bits are or-ed by
+    Spark; the driver gets at most MAX_BITS / 64 words."""
     bits = MIN_BITS
     while bits < BITS_A_KEY * n and bits < MAX_BITS:
         bits *= 2
     words = np.zeros(bits // 64, np.uint64)
+    names, made = [columns] if isinstance(columns, str) else columns, key or (lambda k: k)
 
     def positions(batches):
         for batch in batches:
-            k = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            k = made(*(x.to_numpy(zero_copy_only=False).view(np.uint64) for x in batch.columns))
             at = np.unique(np.concatenate([k, mix(k ^ _SECOND)]) & np.uint64(bits - 1))
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)),
                                               pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))],
                                              names=["word", "bits"])
 
-    found = (keys.select(F.col(column).cast("long")).mapInArrow(positions, "word long, bits long")
+    found = (rows.select(*(F.col(x).cast("long") for x in names)).mapInArrow(positions, "word long, bits long")
              .groupBy("word").agg(F.bit_or("bits").alias("bits")))
     got = found.toArrow()
     words[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)

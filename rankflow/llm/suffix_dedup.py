@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.llm.arrowtext import RollingHash, flat, mix, pieces
+from rankflow.llm.arrowtext import PIECE_BYTES, RollingHash, flat, mix, pieces
 from rankflow.llm.bloom import bit_filter
 from rankflow.session import release, work_dir
 
@@ -89,62 +89,111 @@ def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         np.maximum.reduceat(values, first) if len(first) else values
 
 
-def shared_digits(docs: DataFrame) -> DataFrame:
-    """Digits (h) that occur in documents with different ids.
-
-    A task adds up its own digits first and deals them in blocks by their leading bits; what a digit costs a block is
-    one entry a task, however often it occurs."""
+def _buckets(docs: DataFrame) -> int:
+    """Number of blocks that digits are dealt in: a power of two, some for each shuffle partition."""
     buckets = 64
-    while buckets < 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+    while buckets < 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
         buckets *= 2
-    shift = np.uint64(64 - buckets.bit_length() + 1)
+    return buckets
+
+
+def _turned(digit: np.ndarray) -> np.ndarray:
+    """Digits with their halves swapped.  A digit is the least of many hashes, so its leading bits are mostly zero and
+    would put most digits into the first buckets; its lower half is as even as any hash."""
+    return digit << np.uint64(32) | digit >> np.uint64(32)
+
+
+def _bucket(turned: np.ndarray, buckets: int) -> np.ndarray:
+    return turned >> np.uint64(65 - buckets.bit_length())
+
+
+def _packed(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """One row a bucket with its entries packed; entries are ordered by bucket."""
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    at = np.append(first, len(bucket))
+    packs = [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((at * x.itemsize).astype(np.int32)),
+                                                             pa.py_buffer(np.ascontiguousarray(x))]) for x in columns.values()]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int64)), *packs], names=["bucket", *columns])
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.int32) if len(x) and -1 << 31 <= x.min() and x.max() < 1 << 31 else x
+
+
+def _unpacked_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The entries of one bucket after the other, of packed rows that are ordered by bucket.  Hashes are eight bytes
+    wide, documents four or eight."""
+    now, kept = None, []
+
+    def joined() -> dict[str, np.ndarray]:
+        out = {name: np.concatenate(x) for name, x in zip(names, zip(*kept, strict=True), strict=True)}
+        out["most"] = out["least"] + out.pop("more")
+        return out
+
+    for batch in batches:
+        names = batch.schema.names[1:]
+        columns = [batch.column(name) for name in names]
+        for i, bucket in enumerate(batch.column("bucket").to_pylist()):
+            if bucket != now and kept:
+                yield joined()
+                kept = []
+            now, raw = bucket, [x[i].as_buffer() for x in columns]
+            kept.append([np.frombuffer(x, np.uint64) if name in ("h", "c") else
+                         np.frombuffer(x, np.int64 if x.size == raw[0].size else np.int32).astype(np.int64)
+                         for name, x in zip(names, raw, strict=True)])
+    if kept:
+        yield joined()
+
+
+#: a task deals its entries whenever it has so many
+DEALT = 1_000_000
+
+
+def deal_digits(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Digits of texts with their least and largest document, one entry a digit, packed by bucket."""
 
     def deal(kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        h = np.concatenate([x[0] for x in kept])
-        order = np.argsort(h, kind="stable")
-        h, least, most = h[order], np.concatenate([x[1] for x in kept])[order], np.concatenate([x[2] for x in kept])[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        h, least, most = h[first], np.minimum.reduceat(least, first), np.maximum.reduceat(most, first)
-        cut = np.flatnonzero(np.concatenate([[True], (h[1:] >> shift) != (h[:-1] >> shift)]))
+        h, least, most = (np.concatenate(x) for x in zip(*kept, strict=True))
+        kept.clear()
+        turned = _turned(h)
+        order = np.argsort(turned, kind="stable")
+        turned, least, most = turned[order], least[order], most[order]
+        first = np.flatnonzero(np.concatenate([[True], turned[1:] != turned[:-1]]))
+        turned, least, most = turned[first], np.minimum.reduceat(least, first), np.maximum.reduceat(most, first)
         # mostly one document: the difference is zero then, which compresses to nothing
-        least, most = narrow(least), narrow(most - least)
-        blocks = [[x.tobytes() for x in np.split(col, cut[1:])] for col in (h, least, most)]
-        return pa.RecordBatch.from_arrays([pa.array((h[cut] >> shift).astype(np.int64)),
-                                           *(pa.array(b, pa.binary()) for b in blocks)], names=["bucket", "h", "least", "more"])
+        return _packed(_bucket(turned, buckets), {"h": _turned(turned), "least": _narrow(least), "more": _narrow(most - least)})
+
+    kept, size = [], 0
+    for rows, data, offsets in pieces(batches, "text", min(PIECE_BYTES, STRETCH)):
+        digit, text, *_ = runs(data, offsets)
+        if len(digit):
+            kept.append(_sums(digit, rows.column("doc_id").to_numpy()[text]))
+            size += len(kept[-1][0])
+        if size > DEALT:
+            yield deal(kept)
+            size = 0
+    if kept:
+        yield deal(kept)
 
-    def narrow(x: np.ndarray) -> np.ndarray:
-        return x.astype(np.int32) if len(x) and -1 << 31 <= x.min() and x.max() < 1 << 31 else x
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, size = [], 0
-        for rows, data, offsets in pieces(batches, "text", STRETCH):
-            digit, text, *_ = runs(data, offsets)
-            if len(digit):
-                kept.append(_sums(digit, rows.column("doc_id").to_numpy()[text]))
-                size += len(kept[-1][0])
-            if size > 4_000_000:
-                yield deal(kept)
-                kept, size = [], 0
-        if kept:
-            yield deal(kept)
+def meet_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digits that occur in documents with different ids, bucket by bucket."""
+    for met in _unpacked_buckets(batches):
+        order = np.argsort(met["h"], kind="stable")
+        h, least, most = met["h"][order], met["least"][order], met["most"][order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        both = np.minimum.reduceat(least, first) < np.maximum.reduceat(most, first)
+        yield pa.RecordBatch.from_arrays([pa.array(h[first][both].view(np.int64))], names=["h"])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, list[tuple[np.ndarray, ...]]] = {}
-        for batch in batches:
-            for i, bucket in enumerate(batch.column("bucket").to_pylist()):
-                h, least, more = (batch.column(c)[i].as_buffer() for c in ("h", "least", "more"))
-                least, more = (np.frombuffer(x, np.int64 if x.size == h.size else np.int32).astype(np.int64) for x in (least, more))
-                blocks.setdefault(bucket, []).append((np.frombuffer(h, np.uint64).copy(), least, least + more))
-        for bucket in list(blocks):
-            h, least, most = (np.concatenate(x) for x in zip(*blocks.pop(bucket), strict=True))
-            order = np.argsort(h, kind="stable")
-            h, least, most = h[order], least[order], most[order]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            both = np.minimum.reduceat(least, first) < np.maximum.reduceat(most, first)
-            yield pa.RecordBatch.from_arrays([pa.array(h[first][both].view(np.int64))], names=["h"])
-
-    dealt = docs.mapInArrow(run, "bucket long, h binary, least binary, more binary")
-    return dealt.repartition("bucket").mapInArrow(meet, "h long")
+
+def shared_digits(docs: DataFrame) -> DataFrame:
+    """Digits (h) that occur in documents with different ids.
+
+    A task adds up its own digits first and deals them in blocks; what a digit costs a block is one entry a task,
+    however often it occurs.  A task holds one bucket at a time, whatever its partition holds."""
+    buckets = _buckets(docs)
+    dealt = docs.mapInArrow(lambda batches: deal_digits(batches, buckets), "bucket long, h binary, least binary, more binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet_digits, "h long")
 
 
 def _key(digit: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -152,6 +201,11 @@ def _key(digit: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return mix(digit ^ mix(whole))
 
 
+def _key_in(digit: np.ndarray, whole: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """One number for a run in a document."""
+    return mix(_key(digit, whole) ^ doc.view(np.uint64))
+
+
 class _Distinct:
     """The kept runs of a piece, ordered by digit and content, and where each distinct one begins."""
 
@@ -171,7 +225,7 @@ class _Distinct:
 
 def _kept(batches: Iterator[pa.RecordBatch], keep) -> Iterator[tuple[_Distinct, np.ndarray]]:
     """Distinct runs for which ``keep(digit, content, document)`` holds, with the bytes they lie in, piece by piece."""
-    for rows, data, offsets in pieces(batches, "text", STRETCH):
+    for rows, data, offsets in pieces(batches, "text", min(PIECE_BYTES, STRETCH)):
         found = runs(data, offsets)
         digit, text, _, n, _, at, hashed = found
         if not len(digit):
@@ -188,53 +242,51 @@ def distinct_runs(docs: DataFrame, known) -> DataFrame:
 
     The filter only thins out what is dealt; digits that it lets through by chance are dropped here."""
 
+    buckets = _buckets(docs)
+
+    def deal(kept: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        h, c, least, most = (np.concatenate(x) for x in zip(*kept, strict=True))
+        kept.clear()
+        bucket = _bucket(_turned(h), buckets)
+        order = np.argsort(bucket.astype(np.min_scalar_type(buckets)), kind="stable")
+        return _packed(bucket[order], {"h": h[order], "c": c[order], "least": _narrow(least[order]), "more": _narrow((most - least)[order])})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size = [], 0
         for d, _ in _kept(batches, lambda digit, whole, doc: known.value.holds(digit)):
-            yield pa.RecordBatch.from_arrays([*d.columns()[:2], pa.array(np.minimum.reduceat(d.doc, d.first)),
-                                              pa.array(np.maximum.reduceat(d.doc, d.first))],
-                                             names=["h", "c", "least", "most"])
+            kept.append((d.digit[d.first], d.whole[d.first], np.minimum.reduceat(d.doc, d.first), np.maximum.reduceat(d.doc, d.first)))
+            size += len(d.first)
+            if size > DEALT // 2:
+                yield deal(kept)
+                size = 0
+        if kept:
+            yield deal(kept)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(got) if (got := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        h, c, least, most = (table[x].to_numpy() for x in ("h", "c", "least", "most"))
-        order = np.lexsort((c, h))
-        h, c, least, most = (x[order] for x in (h, c, least, most))
-        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
-        least, most = np.minimum.reduceat(least, first), np.maximum.reduceat(most, first)
-        h, c = h[first], c[first]
-        begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        size = np.diff(np.append(begin, len(h)))
-        shared = np.repeat(np.minimum.reduceat(least, begin) < np.maximum.reduceat(most, begin), size)
-        yield pa.RecordBatch.from_arrays([pa.array(x[shared]) for x in (h, c, least, most, np.repeat(size > 1, size))],
-                                         names=["h", "c", "least", "most", "crowded"])
-
-    return docs.mapInArrow(run, "h long, c long, least long, most long").repartition("h").mapInArrow(
+        for met in _unpacked_buckets(batches):
+            h, c, least, most = (met[x] for x in ("h", "c", "least", "most"))
+            order = np.lexsort((c, h))
+            h, c, least, most = (x[order] for x in (h, c, least, most))
+            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
+            least, most = np.minimum.reduceat(least, first), np.maximum.reduceat(most, first)
+            h, c = h[first], c[first]
+            begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            size = np.diff(np.append(begin, len(h)))
+            shared = np.repeat(np.minimum.reduceat(least, begin) < np.maximum.reduceat(most, begin), size)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x[shared]) for x in (h.view(np.int64), c.view(np.int64), least, most, np.repeat(size > 1, size))],
+                names=["h", "c", "least", "most", "crowded"])
+
+    dealt = docs.mapInArrow(run, "bucket long, h binary, c binary, least binary, more binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
         meet, "h long, c long, least long, most long, crowded boolean")
 
 
-def run_keys(runs: DataFrame) -> DataFrame:
-    """The key of each run (h, c), and with a document (least) the key of the run in it."""
-    in_document = "least" in runs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, c = (batch.column(x).to_numpy().view(np.uint64) for x in ("h", "c"))
-            key = _key(h, c)
-            if in_document:
-                key = mix(key ^ batch.column("least").to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
-
-    return runs.mapInArrow(run, "key long")
-
-
 def first_contents(docs: DataFrame, wanted) -> DataFrame:
     """The bytes of runs in the documents that the filter names: digit, content hash, shape, document, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        holds = lambda digit, whole, doc: wanted.value.holds(mix(_key(digit, whole) ^ doc.view(np.uint64)))
-        for d, data in _kept(batches, holds):
+        for d, data in _kept(batches, lambda digit, whole, doc: wanted.value.holds(_key_in(digit, whole, doc))):
             raw, f = data.tobytes(), d.first
             content = [raw[i:j] for i, j in zip(d.at[f].tolist(), (d.at + d.n - 1 + SPAN)[f].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*d.columns(), pa.array(np.minimum.reduceat(d.doc, f)), pa.array(content, pa.binary())],
@@ -298,27 +350,48 @@ def least_by_suffix(digit: np.ndarray, place: np.ndarray, n: np.ndarray, doc: np
     return out
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], column: str, rows: int) -> Iterator[pa.Table]:
+    """Tables of some ``rows`` rows (or one larger group), of rows ordered by ``column``; no group is split."""
+    kept, n = [], 0
+    for batch in batches:
+        kept.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            table = pa.Table.from_batches(kept)
+            key = table[column].to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut:
+                yield table.slice(0, cut)
+            kept, n = table.slice(cut).to_batches(), n - cut
+    if n:
+        yield pa.Table.from_batches(kept)
+
+
+#: contents whose suffixes are sorted at once, but for a digit that has more
+SORTED = 20_000
+
+
 def suffix_answers(contents: DataFrame) -> DataFrame:
-    """(h, c, suffixes): packed, the least document of every suffix of a run, where one differs from the run's own."""
+    """(h, c, suffixes): packed, the least document of every suffix of a run, where one differs from the run's own.
+
+    A task holds the contents of some digits at a time, whatever its partition holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(got) if (got := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        h, c, least, n, a = (table[x].to_numpy().astype(np.int64) for x in ("h", "c", "least", "n", "a"))
-        order = np.lexsort((least, c, h))
-        order = order[np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])])]
-        h, c, least, n, a = (x[order] for x in (h, c, least, n, a))
-        content = table["content"].combine_chunks().cast(pa.large_binary()).take(pa.array(order))
-        at = np.frombuffer(content.buffers()[1], np.int64)[: len(order) + 1]
-        found = least_by_suffix(h, a, n, least, np.frombuffer(content.buffers()[2], np.uint8), at[:-1])
-        ends = np.cumsum(n)
-        differs = np.flatnonzero(np.add.reduceat(found != np.repeat(least, n), ends - n))
-        packed = [found[ends[i] - n[i]: ends[i]].tobytes() for i in differs.tolist()]
-        yield pa.RecordBatch.from_arrays([pa.array(h[differs]), pa.array(c[differs]), pa.array(packed, pa.binary())],
-                                         names=["h", "c", "suffixes"])
-
-    return contents.repartition("h").mapInArrow(run, "h long, c long, suffixes binary")
+        for table in _whole_groups(batches, "h", SORTED):
+            h, c, least, n, a = (table[x].to_numpy().astype(np.int64) for x in ("h", "c", "least", "n", "a"))
+            order = np.lexsort((least, c, h))
+            order = order[np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])])]
+            h, c, least, n, a = (x[order] for x in (h, c, least, n, a))
+            content = table["content"].combine_chunks().cast(pa.large_binary()).take(pa.array(order))
+            at = np.frombuffer(content.buffers()[1], np.int64)[: len(order) + 1]
+            found = least_by_suffix(h, a, n, least, np.frombuffer(content.buffers()[2], np.uint8), at[:-1])
+            ends = np.cumsum(n)
+            differs = np.flatnonzero(np.add.reduceat(found != np.repeat(least, n), ends - n))
+            packed = [found[ends[i] - n[i]: ends[i]].tobytes() for i in differs.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(h[differs]), pa.array(c[differs]), pa.array(packed, pa.binary())],
+                                             names=["h", "c", "suffixes"])
+
+    return contents.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, c long, suffixes binary")
 
 
 def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,18 +442,17 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
         release(spark)
         return spark.read.parquet(f"{folder}/{name}")
 
-    def filter_of(keys: DataFrame, n: int):
-        return spark.sparkContext.broadcast(bit_filter(keys, keys.columns[0], n))
+    def filter_of(rows: DataFrame, key=None):
+        return spark.sparkContext.broadcast(bit_filter(rows, rows.columns, rows.count(), key))
 
     digits = kept("digits", lambda: shared_digits(docs))
-    distinct = kept("distinct", lambda: distinct_runs(docs, filter_of(digits, digits.count())))
+    distinct = kept("distinct", lambda: distinct_runs(docs, filter_of(digits)))
     crowded, shared = distinct.where("crowded").select("h", "c", "least"), distinct.where("least < most").select("h", "c")
-    suffixes = kept("suffixes", lambda: suffix_answers(
-        first_contents(docs, filter_of(run_keys(crowded), crowded.count()))))
+    suffixes = kept("suffixes", lambda: suffix_answers(first_contents(docs, filter_of(crowded, _key_in))))
 
     def spans() -> DataFrame:
         answered = shared.unionAll(suffixes.select("h", "c"))
-        places = run_places(docs, filter_of(run_keys(answered), answered.count()))
+        places = run_places(docs, filter_of(answered, _key))
         answers = distinct.select("h", "c", "least", "most").join(suffixes, ["h", "c"], "left").where(
             "least < most or suffixes is not null").drop("most")
         met = places.join(answers, ["h", "c"])

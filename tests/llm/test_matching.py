@@ -1,11 +1,13 @@
 """Decontamination, SimHash and suffix removal against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -263,6 +265,51 @@ def test_digits_of_one_document_are_dropped_whatever_the_filter_holds(spark, doc
     assert {r.h for r in got} == {d for d, ids in holders.items() if len(ids) > 1} and len(got) < 0.3 * len(holders)
 
 
+def batch_of(texts, first=0):
+    return pa.RecordBatch.from_pydict({"doc_id": pa.array(range(first, first + len(texts)), pa.int64()), "text": texts})
+
+
+def test_digits_are_dealt_evenly_and_meet_bucket_by_bucket(monkeypatch):
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("abcdefgh ") for _ in range(2000)) for _ in range(60)]
+    texts += [texts[3][500:900], "zz" + texts[8]]
+    monkeypatch.setattr(suffix_dedup, "DEALT", 2000)  # several deals a task
+    batches = [batch_of(texts[i: i + 10], i) for i in range(0, len(texts), 10)]
+    dealt = [b for own in (batches[:4], batches[4:]) for b in suffix_dedup.deal_digits(iter(own), 64)]
+    assert len(dealt) > 3
+    size = Counter()
+    for b in dealt:
+        for r in b.to_pylist():
+            size[r["bucket"]] += len(r["h"]) // 8
+    assert len(size) == 64 and max(size.values()) < 2 * sum(size.values()) / 64  # by leading bits: half in two buckets
+    rows = sorted((r for b in dealt for r in b.to_pylist()), key=lambda r: r["bucket"])
+    taken = []
+
+    def ordered():
+        for i in range(0, len(rows), 5):
+            taken.append(i)
+            yield pa.RecordBatch.from_pylist(rows[i: i + 5], dealt[0].schema)
+    met = suffix_dedup.meet_digits(ordered())
+    found = next(met).column("h").to_pylist()
+    assert len(taken) < len(rows) / 5 / 8  # the first buckets come before the rest is read
+    found = {*found, *(h for b in met for h in b.column("h").to_pylist())}
+    data = [t.encode() for t in texts]
+    digit, text, *_ = suffix_dedup.runs(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    holders = {}
+    for d, t in zip(digit.view(np.int64).tolist(), text.tolist(), strict=True):
+        holders.setdefault(d, set()).add(t)
+    assert found == {d for d, ids in holders.items() if len(ids) > 1}
+
+
+def test_contents_come_in_tables_of_whole_digits():
+    keys = [-3] * 4 + [0] * 30 + [5] + [7] * 2 + [8] * 3
+    batches = [pa.RecordBatch.from_pydict({"h": keys[i: i + 3]}) for i in range(0, len(keys), 3)]
+    tables = [t["h"].to_pylist() for t in suffix_dedup._whole_groups(iter(batches), "h", 5)]
+    assert sum(tables, []) == keys and len(tables) > 2
+    assert all(a[-1] < b[0] for a, b in itertools.pairwise(tables))
+    assert list(suffix_dedup._whole_groups(iter([]), "h", 5)) == []
+
+
 def test_filters_follow_their_number_of_keys(spark):
     keys = spark.range(2000).selectExpr("xxhash64(id) k")
     few = bloom.bit_filter(keys, "k", 20_000_000)  # as for the texts of some gigabytes
